@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from zonalis.llm.decontaminate import op9_decontaminate
+from zonalis.llm.media import op10_media
 from zonalis.llm.simhash import op8_simhash
+from zonalis.llm.token_counts import op6_token_counts
 
 QUERIES = {
+    "op6_token_counts": op6_token_counts,
     "op8_simhash": op8_simhash,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_media": op10_media,
 }
 ORACLE: dict[str, str] = {}
