@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from zonalis.llm.decontaminate import op9_decontaminate
+from zonalis.llm.html_extract import op2_html
 from zonalis.llm.media import op10_media
+from zonalis.llm.pieces import op5_sentencepiece
 from zonalis.llm.simhash import op8_simhash
 from zonalis.llm.token_counts import op6_token_counts
+from zonalis.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_html": op2_html,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_token_counts": op6_token_counts,
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_media": op10_media,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_url_filter": OP1_SQL}
