@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from zonalis.llm.decontaminate import op9_decontaminate
 from zonalis.llm.html_extract import op2_html
+from zonalis.llm.language import op4_language
 from zonalis.llm.media import op10_media
 from zonalis.llm.pieces import op5_sentencepiece
+from zonalis.llm.pii import op7_pii
 from zonalis.llm.simhash import op8_simhash
 from zonalis.llm.token_counts import op6_token_counts
 from zonalis.llm.url_filter import OP1_SQL, op1_url_filter
@@ -13,8 +15,10 @@ from zonalis.llm.url_filter import OP1_SQL, op1_url_filter
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_html": op2_html,
+    "op4_language": op4_language,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_token_counts": op6_token_counts,
+    "op7_pii": op7_pii,
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_media": op10_media,
