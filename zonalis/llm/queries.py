@@ -9,12 +9,14 @@ from zonalis.llm.media import op10_media
 from zonalis.llm.pieces import op5_sentencepiece
 from zonalis.llm.pii import op7_pii
 from zonalis.llm.simhash import op8_simhash
+from zonalis.llm.substrings import op3_substrings
 from zonalis.llm.token_counts import op6_token_counts
 from zonalis.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_html": op2_html,
+    "op3_substrings": op3_substrings,
     "op4_language": op4_language,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_token_counts": op6_token_counts,
