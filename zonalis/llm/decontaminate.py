@@ -179,18 +179,22 @@ def _scan(batches: Iterator[pa.RecordBatch], ix: Index, threshold: float) -> Ite
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], ["d", "item_id", "n_words", "n_tiles", "n_covered", "coverage"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = LEAST, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, item_id, n_words, n_tiles, n_covered, coverage): documents and the items they give away."""
-    spark = docs.sparkSession
-    common.ship(spark)
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block_bytes: int):
+    """The benchmark as broadcast lists (item, text), each of about ``block_bytes``."""
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = 1 + size // block_bytes
+    for n in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == n).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(sorted(((r.i, r.t) for r in part), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = LEAST, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, item_id, n_words, n_tiles, n_covered, coverage): documents and the items they give away."""
+    common.ship(docs.sparkSession)
     one = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
     out = None
-    for n in range(blocks):
-        rows = sorted(((r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == n).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        shared = spark.sparkContext.broadcast(rows)
+    for shared in _blocks(benchmark, item_col, item_text, block_bytes):
 
         def scan(it, shared=shared):
             return _scan(it, Index(shared.value, least), threshold)
@@ -200,5 +204,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.withColumnRenamed("d", id_col)
 
 
+def _clean(batches: Iterator[pa.RecordBatch], column: int, ix: Index, threshold: float) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for b in common.slices(whole, whole.schema.names[column]):
+            plain = pa.record_batch([pa.array(range(b.num_rows), pa.int64()), b.column(column)], ["d", "t"])
+            keep = np.ones(b.num_rows, bool)
+            for got in _scan(iter([plain]), ix, threshold):
+                keep[np.asarray(got.column(0))] = False
+            yield b.filter(pa.array(keep))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = LEAST, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """All columns of the rows that give no item of the benchmark away."""
+    common.ship(docs.sparkSession)
+    at, out = docs.columns.index(text_col), docs
+    for shared in _blocks(benchmark, item_col, item_text, block_bytes):
+
+        def scan(it, shared=shared):
+            return _clean(it, at, Index(shared.value, least), threshold)
+
+        out = out.mapInArrow(scan, docs.schema)
+    return out
+
+
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))

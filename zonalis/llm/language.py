@@ -244,6 +244,23 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     return one.mapInArrow(lambda it: _predict(it, shared.value), "i long, held_out boolean, lang_pred string, score double").withColumnRenamed("i", id_col)
 
 
+def _confident(batches: Iterator[pa.RecordBatch], column: int, net: Network | None, least: float) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for b in common.slices(whole, whole.schema.names[column]):
+            plain = pa.record_batch([pa.nulls(b.num_rows, pa.int64()), b.column(column), pa.nulls(b.num_rows, pa.bool_())], ["i", "t", "h"])
+            for got in _predict(iter([plain]), net):
+                keep = (np.asarray(got.column(3)) >= least) & (np.array(got.column(2).to_pylist()) != "und")
+                yield b.filter(pa.array(keep))
+
+
+def confident(docs: DataFrame, net: Network | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """All columns of the rows whose language is found with a score of ``least`` or more."""
+    common.ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    at = docs.columns.index(text_col)
+    return docs.mapInArrow(lambda it: _confident(it, at, shared.value, least), docs.schema)
+
+
 def op4_language(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return identify(docs, learn(docs))

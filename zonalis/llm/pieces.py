@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from zonalis.llm import common
 
@@ -234,6 +235,23 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return _run(docs, id_col, text_col, _digest, "i long, n_pieces long, n_byte_pieces long, ids_sha256 string, round_trip boolean", path)
 
 
+def _append(batches: Iterator[pa.RecordBatch], column: int, path: str) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for b in common.slices(whole, whole.schema.names[column]):
+            plain = pa.record_batch([pa.nulls(b.num_rows, pa.int64()), b.column(column)], ["i", "t"])
+            for got in _encode(iter([plain]), path):
+                ids = got.column(1)
+                yield pa.record_batch([*b.columns, pa.array(np.diff(np.asarray(ids.offsets)), pa.int64()), ids], [*b.schema.names, "n_pieces", "pieces"])
+
+
+def with_pieces(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """All columns, with n_pieces and pieces array<int>."""
+    common.ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_pieces", T.LongType()), T.StructField("pieces", T.ArrayType(T.IntegerType()))])
+    return docs.mapInArrow(lambda it: _append(it, at, path), schema)
+
+
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

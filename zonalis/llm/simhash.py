@@ -220,18 +220,41 @@ def links(nodes: DataFrame, radius: int = RADIUS, cap: int = CAP) -> DataFrame:
     return dealt.mapInArrow(lambda it: _bucket_links(it, radius), "a long, b long").distinct()
 
 
+def _classes(fps: DataFrame, rep, radius: int, cap: int) -> DataFrame:
+    """(f, rep): the least rep of all rows whose fingerprints can be reached from f."""
+    nodes = common.materialize(fps.groupBy("fp").agg(F.min(rep).alias("rep")))
+    found = common.components(links(nodes.select("fp"), radius, cap))
+    joined = nodes.join(found, nodes.fp == found.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    least = joined.groupBy("root").agg(F.min("rep").alias("least"))
+    return common.materialize(joined.join(least, "root").select(F.col("fp").alias("f"), F.col("least").alias("rep")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS, cap: int = CAP) -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id = least id that links reach)."""
     fps = common.materialize(fingerprints(docs, id_col, text_col, width))
-    nodes = common.materialize(fps.groupBy("fp").agg(F.min("id").alias("rep")))
-    found = common.components(links(nodes.select("fp"), radius, cap))
-    joined = nodes.join(found, nodes.fp == found.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = common.materialize(joined.join(least, "root").select(F.col("fp").alias("f"), "component_id"))
+    named = _classes(fps, F.col("id"), radius, cap)
     return fps.join(named, fps.fp == named.f).select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("rep").alias("component_id")
     )
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS, cap: int = CAP) -> DataFrame:
+    """All columns of one row of each group: the one with the least id (null ids last)."""
+    i = F.col(id_col).cast("long")
+    key = F.xxhash64(i, F.col(text_col))
+    # a row's key goes with it as the id, its id comes back by the key: rows that share both are alike
+    rows = docs.select(key.alias("r"), i.alias("i"), F.col(text_col).alias("t"))
+    fps = common.materialize(fingerprints(rows.select("r", "t"), "r", "t", width).withColumnRenamed("id", "r"))
+    named = rows.groupBy("r").agg(F.min("i").alias("i"), F.count("*").alias("n"))
+    fps = common.materialize(fps.distinct().join(named, "r"))
+    classes = _classes(fps, F.struct(F.col("i").isNull().alias("last"), F.col("i"), F.col("r"), F.col("n")), radius, cap)
+    keep = common.materialize(classes.select("rep.r", "rep.n").distinct())
+    kept = docs.withColumn("_r", key).join(keep.withColumnsRenamed({"r": "_k", "n": "_n"}), F.col("_r") == F.col("_k"))
+    single = kept.where("_n = 1").select(docs.columns)
+    if keep.where("n > 1").isEmpty():
+        return single
+    return single.union(kept.where("_n > 1").dropDuplicates(["_r"]).select(docs.columns))
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
