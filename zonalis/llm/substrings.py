@@ -2,12 +2,11 @@
 
 Only runs of words that two documents share can be repeats, so suffixes are first reduced to those: each run
 of ``width`` words has an anchor, the run of ``PREFIX`` words in it with the least hash, and equal runs have equal
-anchors. Anchors that occur in one document only are dropped. What is left goes, as stretches of neighbouring
-suffixes with the same anchor, to groups: suffixes with one anchor meet in one group, and a group over ``cap``
-stretches is split by the longer prefix of all ``width`` words. In each group the suffixes are sorted, neighbours'
-common prefixes give the subtree's internal nodes, and of each node as deep as ``width`` words or deeper the
-least document id is kept. Equal stretches are merged before they are dealt out, and results go back to all
-their occurrences by a join, so that a passage of a third of all documents is one row in its group.
+anchors. Anchors that occur in one document only are dropped. What is left is dealt out by prefixes of variable
+length: suffixes whose anchor is in at most ``cap`` documents go, as stretches of neighbouring ones, to the group
+of those few words; the others by all of their ``width`` words, where a group is one node and is reduced before
+it is dealt out. In each group the suffixes are sorted, neighbours' common prefixes give the subtree's internal
+nodes, and of each node as deep as ``width`` words the least document id is kept.
 
 Defined cases: a null or empty text has no words; a null id is neither smaller than another nor has smaller ones,
 so nothing is removed from it or because of it; rows that repeat an id are judged on their own, and none is
@@ -75,18 +74,22 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(total)
 
 
+def _shared(b: pa.RecordBatch, width: int, prefix: int):
+    """Rows (r, d, t, anchors) of a batch: (symbols, first words, runs with one of the row's anchors, their rows, anchors)."""
+    sym, first, at, doc, low = _runs(b.column(2), width, prefix)
+    lists = b.column(3)
+    size = np.diff(np.asarray(lists.offsets))
+    anchors = np.asarray(lists.flatten()).view(np.uint64)
+    salt = lambda x, k: common.mix64(x ^ (k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    hit = np.isin(salt(low, doc), salt(anchors, np.repeat(np.arange(len(size)), size)))
+    return sym, first, at[hit], doc[hit], low[hit]
+
+
 def _stretch_rows(batches: Iterator[pa.RecordBatch], width: int, prefix: int) -> Iterator[pa.RecordBatch]:
-    """Rows (r, d, t, shared anchors) to stretches (r, d, start, n, m, fp, words); of equal ones in a batch,
-    the one with the least d has the words."""
+    """Rows (r, d, t, anchors) to stretches (r, d, starts, n, m, words); equal ones of a document are one row."""
     for whole in batches:
         for b in common.slices(whole, "t"):
-            sym, first, at, doc, low = _runs(b.column(2), width, prefix)
-            lists = b.column(3)
-            size = np.diff(np.asarray(lists.offsets))
-            shared = np.asarray(lists.flatten()).view(np.uint64)
-            salt = lambda x, k: common.mix64(x ^ (k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-            hit = np.isin(salt(low, doc), salt(shared, np.repeat(np.arange(len(size)), size)))
-            at, doc, low = at[hit], doc[hit], low[hit]
+            sym, first, at, doc, low = _shared(b, width, prefix)
             if not len(at):
                 continue
             new = np.ones(len(at), bool)
@@ -96,18 +99,28 @@ def _stretch_rows(batches: Iterator[pa.RecordBatch], width: int, prefix: int) ->
             head = np.flatnonzero(place % STRETCH == 0)
             n = np.diff(np.append(head, len(at)))
             fp = common.mix64(np.add.reduceat(common.rolling(sym, width)[at] * _COEF[place % STRETCH], head) + n.astype(np.uint64))
-            r, d = np.asarray(b.column(0))[doc[head]], np.asarray(b.column(1))[doc[head]]
-            order = np.lexsort((d, fp))
-            rep = np.zeros(len(head), bool)
-            rep[order] = np.append(True, fp[order][1:] != fp[order][:-1])
-            length = np.where(rep, n + width - 1, 0)
+            order = np.lexsort((at[head], fp, doc[head]))
+            head, n, fp = head[order], n[order], fp[order]
+            new = np.append(True, (fp[1:] != fp[:-1]) | (doc[head][1:] != doc[head][:-1]))
+            rep = np.flatnonzero(new)
+            starts = pa.ListArray.from_arrays(pa.array(np.append(rep, len(head)), pa.int32()), pa.array(at[head] - first[doc[head]], pa.int32()))
+            head, n = head[rep], n[rep]
+            length = n + width - 1
             words = sym[_ranges(at[head], length)]
-            offsets = np.append(0, np.cumsum(length * 8)).astype(np.int32)
-            data = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(words.tobytes())])
-            yield pa.record_batch(
-                [pa.array(r), pa.array(d), pa.array((at[head] - first[doc[head]]).astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(low[head].view(np.int64)), pa.array(fp.view(np.int64)), data],
-                ["r", "d", "start", "n", "m", "fp", "words"],
-            )
+            data = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(np.append(0, np.cumsum(length * 8)).astype(np.int32).tobytes()), pa.py_buffer(words.tobytes())])
+            r, d = np.asarray(b.column(0))[doc[head]], np.asarray(b.column(1))[doc[head]]
+            yield pa.record_batch([pa.array(r), pa.array(d), starts, pa.array(n.astype(np.int32)), pa.array(low[head].view(np.int64)), data], ["r", "d", "starts", "n", "m", "words"])
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch], width: int, prefix: int) -> Iterator[pa.RecordBatch]:
+    """Rows (r, d, t, anchors) to (r, d, start, key): each suffix with the hash of all its ``width`` words."""
+    for whole in batches:
+        for b in common.slices(whole, "t"):
+            sym, first, at, doc, _ = _shared(b, width, prefix)
+            if len(at):
+                key = common.rolling(sym, width)[at]
+                r, d = np.asarray(b.column(0))[doc], np.asarray(b.column(1))[doc]
+                yield pa.record_batch([pa.array(r), pa.array(d), pa.array((at - first[doc]).astype(np.int32)), pa.array(key.view(np.int64))], ["r", "d", "start", "key"])
 
 
 def subtree(group: np.ndarray, suffix: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -127,48 +140,42 @@ def subtree(group: np.ndarray, suffix: np.ndarray, doc: np.ndarray) -> np.ndarra
     return out
 
 
-def _suffixes(cols: dict[str, np.ndarray], width: int):
-    """Suffixes of stretches: (index of the stretch, rows of ``width`` symbols)."""
-    n = cols["n"].astype(np.int64)
-    begin = np.cumsum(n + width - 1) - (n + width - 1)
-    at = _ranges(begin, n)
-    return np.repeat(np.arange(len(n)), n), cols["words"][at[:, None] + np.arange(width)]
-
-
-def _read(b: pa.RecordBatch) -> dict[str, np.ndarray]:
-    out = {k: np.asarray(b.column(k)) for k in ("m", "fp", "d", "n")}
-    col = b.column("words")
-    off = np.frombuffer(col.buffers()[1], np.int32 if pa.types.is_binary(col.type) else np.int64)[col.offset : col.offset + len(col) + 1]
-    out["words"] = np.frombuffer(col.buffers()[2], np.uint8)[off[0] : off[-1]].view(np.uint64) if len(col) else np.zeros(0, np.uint64)
-    return out
-
-
 def _lowest(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Stretches sorted by m: (fp, least document for each of the stretch's suffixes)."""
-    held: dict[str, np.ndarray] | None = None
-
-    def solve(c: dict[str, np.ndarray]) -> pa.RecordBatch:
-        which, suffix = _suffixes(c, width)
-        low = subtree(c["m"][which], suffix, c["d"][which])
-        begin = np.cumsum(c["n"]) - c["n"]
-        _, first = np.unique(c["fp"], return_index=True)
-        n = c["n"][first].astype(np.int64)
-        flat = low[_ranges(begin[first].astype(np.int64), n)]
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(flat, pa.int64()))
-        return pa.record_batch([pa.array(c["fp"][first]), lists], ["fp", "low"])
-
-    def part(c, a, b):
-        size = (c["n"].astype(np.int64) + width - 1)
-        at = np.append(0, np.cumsum(size))
-        return {**{k: c[k][a:b] for k in ("m", "fp", "d", "n")}, "words": c["words"][at[a] : at[b]]}
+    """Stretches sorted by m: (r, starts, bits) where a suffix's node has a smaller document."""
+    held: dict | None = None
+
+    def read(b: pa.RecordBatch) -> dict:
+        out = {k: np.asarray(b.column(k)) for k in ("m", "d", "n", "r")}
+        col = b.column("words")
+        off = np.frombuffer(col.buffers()[1], np.int32 if pa.types.is_binary(col.type) else np.int64)[col.offset : col.offset + len(col) + 1]
+        out["words"] = np.frombuffer(col.buffers()[2], np.uint8)[off[0] : off[-1]].view(np.uint64)
+        out["starts"] = b.column("starts")
+        return out
+
+    def join(x: dict, y: dict) -> dict:
+        return {k: pa.concat_arrays([x[k], y[k]]) if k == "starts" else np.concatenate([x[k], y[k]]) for k in x}
+
+    def part(c: dict, a: int, b: int) -> dict:
+        at = np.append(0, np.cumsum(c["n"].astype(np.int64) + width - 1))
+        return {k: c[k][at[a] : at[b]] if k == "words" else c[k].slice(a, b - a) if k == "starts" else c[k][a:b] for k in c}
+
+    def solve(c: dict) -> pa.RecordBatch:
+        n = c["n"].astype(np.int64)
+        begin = np.cumsum(n + width - 1) - (n + width - 1)
+        which, at = np.repeat(np.arange(len(n)), n), _ranges(begin, n)
+        low = subtree(c["m"][which], c["words"][at[:, None] + np.arange(width)], c["d"][which])
+        place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        bits = np.add.reduceat(np.where(low < c["d"][which], 1 << place, 0), np.cumsum(n) - n)
+        hit = np.flatnonzero(bits)
+        return pa.record_batch([pa.array(c["r"][hit]), c["starts"].take(pa.array(hit)), pa.array(bits[hit].astype(np.int32))], ["r", "starts", "bits"])
 
     for batch in batches:
-        c = _read(batch)
+        if not batch.num_rows:
+            continue
+        c = read(batch)
         if held is not None:
-            c = {k: np.concatenate([held[k], c[k]]) for k in c}
+            c = join(held, c)
         total = len(c["m"])
-        if not total:
-            continue
         cut = int(np.searchsorted(c["m"], c["m"][-1]))
         if cut:
             yield solve(part(c, 0, cut))
@@ -177,16 +184,6 @@ def _lowest(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         yield solve(held)
 
 
-def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Stretches of groups that are too large: each suffix with the hash of its whole prefix."""
-    for b in batches:
-        c = _read(b)
-        which, suffix = _suffixes(c, width)
-        key = common.rolling(np.ascontiguousarray(suffix).ravel(), width)[::width] if len(suffix) else np.zeros(0, np.uint64)
-        begin = np.cumsum(c["n"]) - c["n"]
-        yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(c["fp"][which]), pa.array((np.arange(len(which)) - begin[which]).astype(np.int32)), pa.array(c["d"][which])], ["key", "fp", "k", "d"])
-
-
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(r, d, t): a row's key (rows with equal id and text share it), its id and text."""
     d, t = F.col(id_col).cast("long"), F.col(text_col)
@@ -198,25 +195,20 @@ def marks(rows: DataFrame, width: int = WIDTH, prefix: int = PREFIX, cap: int =
     that begins at word start + i also begins in a document with a smaller id."""
     usable = rows.where("d is not null and t is not null")
     anchors = common.materialize(usable.mapInArrow(lambda it: _anchor_rows(it, width, prefix), "r long, d long, m long"))
-    shared = anchors.groupBy("m").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select("m")
-    lists = common.materialize(anchors.join(shared, "m").groupBy("r").agg(F.collect_set("m").alias("ms")))
+    shared = anchors.groupBy("m").agg(F.min("d").alias("a"), F.max("d").alias("b"), F.count("*").alias("n")).where("a < b").select("m", (F.col("n") > cap).alias("hot"))
+    lists = anchors.join(shared, "m").groupBy("r").agg(F.collect_set(F.expr("if(hot, null, m)")).alias("few"), F.collect_set(F.expr("if(hot, m, null)")).alias("many"))
+    lists = common.materialize(lists)
     common.discard(anchors)
-    found = common.materialize(usable.join(lists, "r").select("r", "d", "t", "ms").mapInArrow(lambda it: _stretch_rows(it, width, prefix), "r long, d long, start long, n int, m long, fp long, words binary"))
-    group = found.where("octet_length(words) > 0").select("m", "fp", "d", "n", "words")
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = common.materialize(group.groupBy("m").count().where(F.col("count") > cap).select("m"))
-    is_hot = not hot.isEmpty()
-    small = group.join(hot, "m", "left_anti") if is_hot else group
-    low = small.repartition(parts, "m").sortWithinPartitions("m").mapInArrow(lambda it: _lowest(it, width), "fp long, low array<long>")
-    if is_hot:
-        each = common.materialize(group.join(hot, "m", "left_semi").select("m", "fp", "d", "n", "words").mapInArrow(lambda it: _windows(it, width), "key long, fp long, k int, d long"))
-        node = each.groupBy("key").agg(F.min("d").alias("low"))
-        back = each.select("key", "fp", "k").distinct().join(node, "key").groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("k", "low"))).alias("s"))
-        low = low.union(back.select("fp", F.col("s.low").alias("low")))
-    bits = F.expr("aggregate(transform(low, (x, i) -> if(x < d, shiftleft(1, i), 0)), 0, (a, b) -> a + b)")
-    marked = found.select("r", "d", "start", "fp").join(low, "fp").select("r", "start", bits.alias("bits")).where("bits <> 0")
-    return marked.groupBy("r").agg(F.collect_set(F.struct("start", "bits")).alias("marks"))
+    joined = usable.join(lists, "r")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = joined.select("r", "d", "t", "few").mapInArrow(lambda it: _stretch_rows(it, width, prefix), "r long, d long, starts array<int>, n int, m long, words binary")
+    found = few.repartition(parts, "m").sortWithinPartitions("m").mapInArrow(lambda it: _lowest(it, width), "r long, starts array<int>, bits int").select("r", F.explode("starts").alias("start"), "bits")
+    if not lists.where(F.size("many") > 0).isEmpty():
+        hot = usable.join(lists.where(F.size("many") > 0), "r").select("r", "d", "t", "many")
+        each = common.materialize(hot.mapInArrow(lambda it: _window_rows(it, width, prefix), "r long, d long, start int, key long"))
+        node = each.groupBy("key").agg(F.min("d").alias("low"), F.max("d").alias("top")).where("low < top").select("key", "low")
+        found = found.union(each.join(node, "key").where("low < d").select("r", "start", F.lit(1).alias("bits")))
+    return found.groupBy("r").agg(F.collect_set(F.struct("start", "bits")).alias("marks"))
 
 
 def covered(n: int, marks: list | None, width: int = WIDTH) -> np.ndarray:
