@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from zonalis.llm import common
 
 BAR = "▁"
-MEMO, PAIRS = 300_000, 1_000_000
+MEMO, PAIRS = 800_000, 1_000_000
 
 
 class Transducer:
@@ -51,13 +51,17 @@ class Transducer:
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == 6}
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.first_byte, self.last_byte = min(self.of_byte), max(self.of_byte)
-        self.stem = {p[:k] for p in self.id for k in range(1, len(p) + 1)}
         if any(BAR in p.lstrip(BAR) for p in self.id):
             raise ValueError("a piece reaches over the start of a word")
-        self.segment = re.compile(f"{BAR}*[^{BAR}]+|{BAR}+")
-        self.alone = {p for p in self.id if self.merge(p) == [p]}
-        self.memo: dict[str, bytes] = {}
-        self.pair: dict[tuple[str, str], bool] = {}
+        #: Lexicon: every beginning of a piece, with the piece's id where it is one that merging yields, else -1.
+        self.lexicon = {p[:k]: -1 for p in self.id for k in range(1, len(p) + 1)}
+        self.lexicon.update({p: i for p, i in self.id.items() if self.merge(p) == [p]})
+        #: Neighbouring characters inside pieces; between others every path has a cut.
+        self.joint = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
+        loose = "".join(c for c in "\n\t\r" if c not in self.lexicon)
+        self.segment = re.compile(f"{BAR}*[^{BAR}{loose}]+|{BAR}+" + (f"|[{loose}]" if loose else ""))
+        self.memo: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.pair: dict[int, bool] = {}
 
     def merge(self, s: str) -> list[str]:
         """The model's own rule: join the neighbours with the best score, leftmost first, while there are any."""
@@ -87,51 +91,76 @@ class Transducer:
                 offer(prv[i])
         return [p for p in part if p]
 
-    def compatible(self, a: str, b: str) -> bool:
-        """Whether the acceptor lets b follow a."""
-        ok = self.pair.get((a, b))
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether the acceptor lets piece b follow piece a."""
+        key = a << 20 | b
+        ok = self.pair.get(key)
         if ok is None:
             if len(self.pair) >= PAIRS:
                 self.pair.clear()
-            ok = self.pair[a, b] = self.merge(a + b) == [a, b]
+            x, y = self.text[a], self.text[b]
+            ok = self.pair[key] = x[-1] + y[0] not in self.joint or self.merge(x + y) == [x, y]
         return ok
 
     def solve(self, s: str) -> list[int]:
         """Shortest path through the composition of one segment with the machines."""
         n = len(s)
-        ids, stem, alone, pair = self.id, self.stem, self.alone, self.pair
-        cost: list[int] = [0, *[1 << 60] * n]  # of a prefix; it has one live state, the last piece of its encoding
-        last: list[str] = [""] * (n + 1)
+        lexicon, pair, far = self.lexicon.get, self.pair.get, 1 << 60
+        cost: list[int] = [0, *[far] * n]  # of a prefix; it has one live state, the last piece of its encoding
+        last: list[int] = [-1] * (n + 1)
+        come: list[int] = [0] * (n + 1)
         for i in range(n):
-            if cost[i] == 1 << 60:
+            if cost[i] == far:
                 continue
             left, c = last[i], cost[i] + 1
-            if s[i] not in stem:  # bytes; nothing merges with them
-                if c < cost[i + 1]:
-                    cost[i + 1], last[i + 1] = c, ""
-                continue
             for j in range(i + 1, n + 1):
-                p = s[i:j]
-                if p not in stem:
+                p = lexicon(s[i:j])
+                if p is None:
                     break
-                if p in alone and c < cost[j]:
-                    if left:
-                        ok = pair.get((left, p))
+                if p >= 0 and c < cost[j]:
+                    if left >= 0:
+                        ok = pair(left << 20 | p)
                         if not (self.compatible(left, p) if ok is None else ok):
                             continue
-                    cost[j], last[j] = c, p
+                    cost[j], last[j], come[j] = c, p, i
+            if s[i] not in self.lexicon and c < cost[i + 1]:  # bytes; nothing merges with them
+                cost[i + 1], last[i + 1], come[i + 1] = c, -1, i
         out: list[int] = []
         j = n
         while j:
-            p = last[j]
-            if p:
-                out.append(ids[p])
-                j -= len(p)
+            if last[j] >= 0:
+                out.append(last[j])
             else:
                 out += [self.byte[b] for b in reversed(s[j - 1].encode())]
-                j -= 1
+            j = come[j]
         return out[::-1]
 
+    def _remember(self, s: str, ids: bytes) -> None:
+        young, old = self.memo
+        if len(young) >= MEMO // 2:
+            self.memo = ({}, young)
+            young = self.memo[0]
+        young[s] = ids
+
+    def _segment(self, s: str) -> bytes:
+        """Ids of one segment: from the memo, or cut where no piece reaches over and solved part by part."""
+        old = self.memo[1].get(s)
+        if old is None:
+            joint, at, parts = self.joint, 0, []
+            for k in range(1, len(s)):
+                if s[k - 1 : k + 1] not in joint:
+                    parts.append(s[at:k])
+                    at = k
+            if at:
+                parts.append(s[at:])
+                old = b"".join([self.memo[0].get(x) or self._segment(x) for x in parts])
+            else:
+                ids = self.solve(s)
+                old = struct.pack(f"<{len(ids)}i", *ids)
+        if len(s) <= 48:
+            self._remember(s, old)
+        return old
+
     def encode(self, text: str) -> bytes:
         """Piece ids of a text as little-endian 32-bit integers."""
         if not text:
@@ -139,19 +168,10 @@ class Transducer:
         text = text.replace(" ", BAR)
         if self.prefix:
             text = BAR + text
-        get = self.memo.get
         segments = self.segment.findall(text)
-        got = list(map(get, segments))
+        got = list(map(self.memo[0].get, segments))
         if None in got:
-            for k, (g, s) in enumerate(zip(got, segments)):
-                if g is None and (g := get(s)) is None:
-                    if len(self.memo) >= MEMO:
-                        self.memo.clear()
-                    ids = self.solve(s)
-                    g = struct.pack(f"<{len(ids)}i", *ids)
-                    if len(s) <= 64:
-                        self.memo[s] = g
-                got[k] = g
+            got = [self.memo[0].get(s) or self._segment(s) if g is None else g for g, s in zip(got, segments)]
         return b"".join(got)
 
     def decode(self, ids: np.ndarray) -> str:
