@@ -65,7 +65,7 @@ def _evaluate(frame: DataFrame, at: dict[str, np.ndarray]) -> dict[str, tuple[fl
     return out
 
 
-def solve(frame: DataFrame, goal: DataFrame, tolerance: float = 1e-8, steps: int = 200) -> DataFrame:
+def solve(frame: DataFrame, goal: DataFrame, tolerance: float = 1e-8, steps: int = 60) -> DataFrame:
     """(region, l1, l2, l3, gap, steps, converged) for a frame with region and features; one row a region on the driver."""
     mu = {r.region: np.array([r.t1, r.t2, r.t3]) for r in goal.collect()}
     lam = {r: np.zeros(3) for r in mu}
@@ -80,7 +80,8 @@ def solve(frame: DataFrame, goal: DataFrame, tolerance: float = 1e-8, steps: int
         for _ in range(8):
             trial = {r: lam[r] + size[r] * step[r] if r in open_ else lam[r] for r in mu}
             got = _evaluate(frame, trial)
-            worse = [r for r in open_ if not got[r][0] - trial[r] @ mu[r] <= now[r][0] - lam[r] @ mu[r] + 1e-12]
+            gap = lambda x, r: np.abs(x[r][1] - mu[r]).max()
+            worse = [r for r in open_ if not (got[r][0] - trial[r] @ mu[r] <= now[r][0] - lam[r] @ mu[r] or gap(got, r) < gap(now, r))]
             if not worse:
                 break
             for r in worse:
