@@ -73,17 +73,15 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are finished."""
+    """Let Spark delete the shuffle files of plans that are finished: nothing may refer to them any more, so
+    the events that do are waited for first, and the cleaner has a moment for its work."""
     import gc
+    import time
 
     gc.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
     spark.sparkContext._jvm.System.gc()
-
-
-def parallel(df: DataFrame, rows_each: int = 0) -> DataFrame:
-    """At least as many partitions as cores for a small table; larger ones stay as they are."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    time.sleep(0.5)
 
 
 # --------------------------------------------------------------------------- words
