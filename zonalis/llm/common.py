@@ -57,10 +57,11 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark)
+    schema = df.schema
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    del df  # its plans refer to shuffles
     release(spark)
-    return out
+    return spark.read.schema(schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
@@ -78,10 +79,11 @@ def release(spark: SparkSession) -> None:
     import gc
     import time
 
-    gc.collect()
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 # --------------------------------------------------------------------------- words
