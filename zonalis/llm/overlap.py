@@ -1,0 +1,225 @@
+"""Near-duplicates whose sets of word runs overlap: five words, Jaccard similarity of at least 0.8.
+
+Texts with equal sets are one node. MinHash values in ``BANDS`` bands of ``ROWS`` send each node to
+buckets; a bucket compares sketches (4 bits of each value) and sends on a spanning forest of the pairs that
+may be similar. Only nodes of the resulting groups have their whole sets sent on; within a group the
+similarity is counted exactly, so no link is a guess. Buckets and groups over their caps are cut into
+parts and every two parts meet: no pair is left out.
+
+A pair of similarity 0.8 shares no bucket with a chance of (1 - 0.8^4)^25 = 2e-6 and fails the sketch
+(``ALIKE`` of 100 values) with less than 1e-6; more similar pairs are missed less.
+
+Defined cases: words are ASCII-lower-cased; a text of fewer than five words has one run, all its words; null
+and empty texts are one node.
+"""
+
+from __future__ import annotations
+
+import ctypes
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from zonalis.llm import common
+
+WIDTH, BANDS, ROWS, ALIKE = 5, 25, 4, 60
+CAP, CAP_RUNS = 2048, 2_000_000
+_N = BANDS * ROWS
+_rng = np.random.default_rng(80)
+_XOR, _MUL = _rng.integers(0, 2**64, _N, dtype=np.uint64), _rng.integers(0, 2**63, _N, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FOLD = _rng.integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SAME = np.array([(x & 15 == 0) + (x >> 4 == 0) for x in range(256)], np.uint8)
+
+
+def _sets(column: pa.Array, width: int) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's runs of ``width`` words."""
+    off, raw = common.buffers(column)
+    _, _, sym, first = common.words(off, raw, fold=True)
+    runs = common.rolling(sym, width)
+    out = []
+    for a, b in zip(first[:-1], first[1:]):
+        n = b - a
+        if n >= width:
+            out.append(np.unique(runs[a : b - width + 1]))
+        else:
+            out.append(common.rolling(sym[a:b], int(n), salt=int(n)) if n else np.zeros(0, np.uint64))
+    return out
+
+
+def _signed(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each set: node, size, sketch (50 bytes) and bucket keys (one for each band)."""
+    size = np.array([len(s) for s in sets], np.int64)
+    node = np.zeros(len(sets), np.uint64)
+    sketch = np.zeros((len(sets), _N // 2), np.uint8)
+    keys = np.zeros((len(sets), BANDS), np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        h = np.concatenate([sets[i] for i in full])
+        at = np.append(0, np.cumsum(size[full])[:-1])
+        node[full] = common.mix64(np.add.reduceat(common.mix64(h ^ _XOR[0]), at) + size[full].astype(np.uint64))
+        low = np.empty((len(full), _N), np.uint64)
+        for i in range(_N):
+            low[:, i] = np.minimum.reduceat((h ^ _XOR[i]) * _MUL[i], at)
+        four = (common.mix64(low) & np.uint64(15)).astype(np.uint8)
+        sketch[full] = four[:, ::2] << 4 | four[:, 1::2]
+        for c in range(BANDS):
+            keys[full, c] = common.mix64((low[:, c * ROWS : (c + 1) * ROWS] * _FOLD).sum(axis=1, dtype=np.uint64) + _XOR[c])
+    return node, size, sketch, keys
+
+
+def _trim() -> None:
+    """Give free memory back: Python workers live on into the next stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def _bytes(x: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in x], pa.binary())
+
+
+def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b in common.slices(batch, "t", 1 << 20):
+            node, size, sketch, keys = _signed(_sets(b.column(1), width))
+            flat = pa.array(keys.reshape(-1).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * BANDS), flat)
+            yield pa.record_batch([b.column(0), pa.array(node.view(np.int64)), pa.array(size), _bytes(sketch), lists], ["r", "node", "n", "sketch", "keys"])
+        _trim()
+
+
+def _whole(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b in common.slices(batch, "t", 1 << 20):
+            sets = _sets(b.column(b.schema.get_field_index("t")), width)
+            runs = pa.array([s.tobytes() for s in sets], pa.binary())
+            rest = ["k", "i", "j", "node", "sketch"]
+            yield pa.record_batch([*[b.column(b.schema.get_field_index(c)) for c in rest], runs], [*rest, "runs"])
+        _trim()
+
+
+def _reach(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Spanning forest of 0..n-1: near(i, others) are those of the others that i links to."""
+    left = np.arange(n)
+    while len(left) > 1:
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            i = todo.pop()
+            hit = near(i, left)
+            for j in left[hit].tolist():
+                yield i, j
+                todo.append(j)
+            left = left[~hit]
+
+
+def _alike(sketch: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    return _SAME[sketch[others] ^ sketch[i]].sum(axis=1, dtype=np.int64) >= ALIKE
+
+
+def _group_links(group: pa.Table) -> tuple[list[int], list[int]]:
+    """Links of one bucket, or of one group where whole sets are given."""
+    node = np.asarray(group["node"])
+    sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
+    if "runs" in group.column_names:
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in group["runs"]]
+        size = np.array([len(s) for s in sets], np.int64)
+
+        def near(i: int, others: np.ndarray) -> np.ndarray:
+            ok = _alike(sketch, i, others) & (5 * np.minimum(size[others], size[i]) >= 4 * np.maximum(size[others], size[i]))
+            for p in np.flatnonzero(ok):
+                a, b = sets[i], sets[others[p]]
+                both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+                ok[p] = 5 * both >= 4 * (len(a) + len(b) - both)
+            return ok
+    else:
+
+        def near(i: int, others: np.ndarray) -> np.ndarray:
+            return _alike(sketch, i, others)
+
+    got = [(int(node[i]), int(node[j])) for i, j in _reach(len(node), near)]
+    return [a for a, _ in got], [b for _, b in got]
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of all groups (k, i, j); the rows come sorted by group."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def emit() -> pa.RecordBatch:
+        a, b = _group_links(pa.Table.from_batches(held)) if sum(x.num_rows for x in held) > 1 else ([], [])
+        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("k", "i", "j")]
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+        first = np.flatnonzero(new)
+        for a, b in zip(first, np.append(first[1:], batch.num_rows)):
+            key = tuple(int(c[a]) for c in cols)
+            if held and key != last:
+                if sum(x.num_rows for x in held) > 1:
+                    yield emit()
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield emit()
+    held = []
+    _trim()
+
+
+def _dealt(rows: DataFrame, weight, cap: int) -> DataFrame:
+    """rows (k, node, ...) with (i, j): 0, 0 in groups k of weight up to cap; others are cut into parts that meet in pairs."""
+    hot = common.materialize(rows.groupBy("k").agg(F.sum(weight).alias("w")).where(F.col("w") > cap).select("k", F.ceil(F.col("w") / cap).cast("int").alias("parts")))
+    if hot.isEmpty():
+        return rows.withColumns({"i": F.lit(0), "j": F.lit(0)})
+    both = rows.join(F.broadcast(hot), "k", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    both = both.withColumn("_p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return both.withColumns({"i": F.least("_p", "_o"), "j": F.greatest("_p", "_o")}).drop("_p", "_o", "parts")
+
+
+def _linked(dealt: DataFrame) -> DataFrame:
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(_links, "a long, b long").distinct()
+
+
+def _similar(rows: DataFrame, signed: DataFrame, width: int, cap: int, cap_runs: int) -> DataFrame:
+    """(node, root) of all nodes with a similar other one."""
+    nodes = common.materialize(signed.where("n > 0").dropDuplicates(["node"]))
+    keyed = nodes.select(F.explode("keys").alias("k"), "node", "sketch")
+    groups = common.materialize(common.components(_linked(_dealt(keyed, F.lit(1), cap))))
+    member = nodes.join(groups.withColumnRenamed("node", "_m").hint("merge"), F.col("node") == F.col("_m")).select(F.col("root").alias("k"), "r", "node", "n", "sketch")
+    member = common.materialize(_dealt(common.materialize(member), F.col("n"), cap_runs).drop("n"))
+    # rows that share r are alike: one of them is enough
+    texts = rows.join(member.select(F.col("r").alias("_r")).distinct().hint("merge"), F.col("r") == F.col("_r")).select("r", "t").dropDuplicates(["r"])
+    sets = member.join(texts.hint("merge"), "r").select("k", "i", "j", "node", "sketch", "t")
+    sets = sets.mapInArrow(lambda it: _whole(it, width), "k long, i int, j int, node long, sketch binary, runs binary")
+    return common.components(_linked(sets))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, cap: int = CAP, cap_runs: int = CAP_RUNS) -> DataFrame:
+    """All columns of one row of each group that links connect: the one with the least id (null ids last)."""
+    common.ship(docs.sparkSession)
+    i = F.col(id_col).cast("long")
+    key = F.xxhash64(i, F.col(text_col))
+    rows = docs.select(key.alias("r"), i.alias("i"), F.col(text_col).alias("t"))
+    signed = common.materialize(rows.select("r", "t").mapInArrow(lambda it: _signatures(it, width), "r long, node long, n long, sketch binary, keys array<long>"))
+    found = common.materialize(_similar(rows, signed, width, cap, cap_runs))
+    counted = rows.groupBy("r").agg(F.min("i").alias("i"), F.count("*").alias("c"))
+    named = signed.select("r", "node").distinct().join(counted.hint("merge"), "r")
+    least = F.min(F.struct(F.col("i").isNull().alias("last"), F.col("i"), F.col("r"), F.col("c"))).alias("rep")
+    per_node = named.groupBy("node").agg(least)
+    joined = per_node.join(found.withColumnRenamed("node", "_m").hint("merge"), F.col("node") == F.col("_m"), "left")
+    keep = common.materialize(joined.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rep").alias("rep")).select(F.col("rep.r").alias("_k"), F.col("rep.c").alias("_n")))
+    kept = docs.withColumn("_r", key).join(keep.hint("merge"), F.col("_r") == F.col("_k"))
+    single = kept.where("_n = 1").select(docs.columns)
+    if keep.where("_n > 1").isEmpty():
+        return single
+    return single.union(kept.where("_n > 1").dropDuplicates(["_r"]).select(docs.columns))
