@@ -492,7 +492,8 @@ def maxent_alloc(spark, sf):
 
 
 # ------------------------------------------------------------------ roads
-def roads(spark, sf) -> tuple[DataFrame, DataFrame]:
+def roads(spark, sf, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges; the edges are thinned by modulus unless ``whole``."""
     n = t(spark, sf, "nation")
     k = F.col("n_nationkey")
     nodes = n.select(k.cast("long").alias("id"), ((F.lit(100.0) + (k * 7919) % 400) * 1000).alias("x"), ((F.lit(100.0) + (k * 104729) % 400) * 1000).alias("y"))
@@ -500,7 +501,7 @@ def roads(spark, sf) -> tuple[DataFrame, DataFrame]:
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(F.broadcast(c), o.o_custkey == c.c_custkey) if c.limit(distance.BROADCAST_ROWS + 1).count() <= distance.BROADCAST_ROWS else li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
     j = j.join(distance.small(s), li.l_suppkey == s.s_suppkey)
     e = j.groupBy(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst")).agg((F.sum("l_quantity") / F.count("*")).alias("travel_time"))
-    return nodes, e.where("(src * 7 + dst * 3) % 11 = 0")
+    return nodes, e if whole else e.where("(src * 7 + dst * 3) % 11 = 0")
 
 
 @query
@@ -532,11 +533,17 @@ def edge_times(spark, sf):
     return graph.edge_times(e).select("src", F.round("travel_time", DIGITS).alias("travel_time"))
 
 
-def _minutes(spark, sf):
-    nodes, edges = roads(spark, sf)
+def _minutes(spark, sf, whole: bool = False):
+    nodes, edges = roads(spark, sf, whole)
     return graph.travel_minutes(cells(spark, sf), places(spark, sf), nodes, edges)
 
 
+def _network(spark, sf, minutes):
+    near = allocate.masses(places(spark, sf)).select("place_id", "mass")
+    p = minutes.join(distance.small(near), "place_id")
+    return _out(allocate.on_weights(cells(spark, sf), allocate.potential(p, 30.0), totals(spark, sf)))
+
+
 @query
 def network_minutes(spark, sf):
     return _minutes(spark, sf).select("cell_id", "place_id", F.round("d", 5).alias("d"))
@@ -544,9 +551,7 @@ def network_minutes(spark, sf):
 
 @query
 def alloc_network(spark, sf):
-    near = allocate.masses(places(spark, sf)).select("place_id", "mass")
-    p = _minutes(spark, sf).join(distance.small(near), "place_id")
-    return _out(allocate.on_weights(cells(spark, sf), allocate.potential(p, 30.0), totals(spark, sf)))
+    return _network(spark, sf, _minutes(spark, sf))
 
 
 @query
@@ -554,6 +559,39 @@ def reachable_share(spark, sf):
     return graph.reachable_share(_minutes(spark, sf)).select("region", F.round("share", DIGITS).alias("share"))
 
 
+# ------------------------------------------------------------------ roads, the whole graph
+@query
+def road_undirected_whole(spark, sf):
+    return graph.undirected(roads(spark, sf, True)[1]).select("src", "dst", F.round("travel_time", DIGITS).alias("travel_time"))
+
+
+@query
+def shortest_paths_whole(spark, sf):
+    nodes, edges = roads(spark, sf, True)
+    seeds = nodes.select(F.col("id").alias("place_id"), F.col("id").alias("node"))
+    return graph.shortest(seeds, graph.undirected(edges)).select("place_id", "node", F.round("sec", DIGITS).alias("sec"))
+
+
+@query
+def largest_component_whole(spark, sf):
+    return graph.largest_component(*roads(spark, sf, True)).select("id")
+
+
+@query
+def network_minutes_whole(spark, sf):
+    return _minutes(spark, sf, True).select("cell_id", "place_id", F.round("d", 5).alias("d"))
+
+
+@query
+def alloc_network_whole(spark, sf):
+    return _network(spark, sf, _minutes(spark, sf, True))
+
+
+@query
+def reachable_share_whole(spark, sf):
+    return graph.reachable_share(_minutes(spark, sf, True)).select("region", F.round("share", DIGITS).alias("share"))
+
+
 # ------------------------------------------------------------------ documents from the web
 OVERPASS_JSON = (
     '{"elements":[{"type":"node","id":1,"lat":62.0,"lon":129.7,"tags":{"name":"A","population":"361 154","place":"city"}},'
