@@ -218,3 +218,5 @@ def _whole(sql: str) -> str:
 
 
 ORACLE |= {f"{k}_whole": _whole(ORACLE[k]) for k in ("road_undirected", "shortest_paths", "largest_component", "network_minutes", "alloc_network", "reachable_share")}
+# points in the borders of all regions, not of two
+ORACLE["points_in_border_whole"] = ORACLE["points_in_border"].replace(" where region in ('CHINA', 'FRANCE')", "")
