@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from zonalis.plans.catalog import BETAS, SCALES
+from zonalis.plans.catalog import BETAS, SCALES, SWEEP, SWEEP_BETAS, SWEEP_MINUTES
 
 _CELLS = """
 reg as (select n_nationkey, n_name, r_name as region, r_regionkey from nation join region on n_regionkey = r_regionkey),
@@ -44,7 +44,7 @@ def _top(k: str) -> str:
 
 
 _TOP_ROUND = "greatest(1, round_even(n * 0.1e0, 0))"
-_F = {"exp": "exp(-d / {s}e0)", "gauss": "exp(-(d * d) / (2.0e0 * {s}e0 * {s}e0))"}
+_F = {"exp": "exp(-d / {s}e0)", "gauss": "exp(-(d * d) / (2.0e0 * {s}e0 * {s}e0))", "power": "power(d + 1, -{s}e0)"}
 
 
 def _rank(value: str, by: str, name: str) -> str:
@@ -55,8 +55,8 @@ def _rho(by: str) -> str:
     return f"coalesce(covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0), 0)"
 
 
-def _trace(kind: str, betas) -> str:
-    combos = [(b, s, i, j) for i, b in enumerate(betas) for j, s in enumerate(SCALES)]
+def _trace(kind: str, betas, scales=SCALES) -> str:
+    combos = [(b, s, i, j) for i, b in enumerate(betas) for j, s in enumerate(scales)]
     each = " union all ".join(
         f"select d.region, d.cell_id, {b}e0 as beta, {s}e0 as scale, {i} as bp, {j} as sp, sum(power(share, {b}e0) * {_F[kind].format(s=s)}) as w from dist d join sh using (place_id) group by d.region, d.cell_id" for b, s, i, j in combos
     )
@@ -220,3 +220,12 @@ def _whole(sql: str) -> str:
 ORACLE |= {f"{k}_whole": _whole(ORACLE[k]) for k in ("road_undirected", "shortest_paths", "largest_component", "network_minutes", "alloc_network", "reachable_share")}
 # points in the borders of all regions, not of two
 ORACLE["points_in_border_whole"] = ORACLE["points_in_border"].replace(" where region in ('CHINA', 'FRANCE')", "")
+
+# the surveyed sweeps
+_SHOWN = "region, '{kind}' as kind, beta, scale, round(rho, 4) as rho"
+ORACLE |= {f"tune_sweep_{k}": f"{_trace(k, SWEEP_BETAS, s)} select {_SHOWN.format(kind=k)} from trace" for k, s in SWEEP.items()}
+ORACLE["tune_sweep_best"] = " union all ".join(
+    f"select * from ({_trace(k, SWEEP_BETAS, s)} select {_SHOWN.format(kind=k)} from (select *, row_number() over (partition by region order by round(rho, 9) desc, bp, sp) as k from trace) where k = 1)" for k, s in SWEEP.items()
+)
+_BY_ROAD = _trace("exp", SWEEP_BETAS, SWEEP_MINUTES).replace(_W, _whole(_MINUTES)).replace("exp(-d / ", "exp(-least(d, 1e6) / ").replace("from dist d join sh", "from mins d join sh")
+ORACLE["tune_sweep_network"] = f"{_BY_ROAD} select {_SHOWN.format(kind='exp')} from trace"
