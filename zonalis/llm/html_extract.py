@@ -6,7 +6,8 @@ is trained in numpy, by gradient ascent on the exact log-likelihood, on labelled
 layouts (``training_pages``); Viterbi decoding labels each page's blocks as one chain.
 
 A block's character references are decoded, its white space becomes one space, blocks are joined in page order
-by a line feed. Scripts, styles, templates, comments and the head are never text.
+by a line feed. Scripts, styles, templates, comments, the head and titles are never text; what other elements hold
+(formulas, fallbacks) is, and the field labels it.
 
 Defined cases: null, empty or text-free html has the text "" and 0 characters; html without any tag is one
 block; broken markup is read as far as it goes; repeated rows and ids are kept; null ids and urls stay null; an
@@ -30,8 +31,8 @@ from zonalis.llm import common
 
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html iframe legend li main menu nav noframes object ol option optgroup p pre search section select summary table tbody td tfoot th thead tr ul video audio canvas button label textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROP = frozenset("script style template noscript head svg math iframe object".split())
-RAW = frozenset("script style textarea title xmp noembed noframes".split())
+DROP = frozenset("script style template head".split())
+RAW = frozenset("script style textarea title xmp".split())
 CLOSES = {
     "p": frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt td th tr".split()),
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option", "optgroup"]),
@@ -136,8 +137,12 @@ def blocks(page: str | None) -> list[Block]:
             state["drop"] -= 1
         if tag in RAW and stack and stack[-1][0] == tag:
             end = re.compile(rf"</{tag}\b", re.I).search(page, at)
-            add(page[at : end.start()] if end and tag == "textarea" else "")
-            at = end.start() if end else len(page)
+            stop = end.start() if end else len(page)
+            if tag == "xmp":  # its text is no markup
+                add(charrefs.escape(page[at:stop], quote=False))
+            else:
+                add(page[at:stop] if end and tag == "textarea" else "")
+            at = stop
     flush()
     return out
 
