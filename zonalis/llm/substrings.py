@@ -1,12 +1,12 @@
-"""Substring dedup by prefix-partitioned suffix trees over words.
+"""Substring dedup by sorting windows of words in groups of equal minimizers; suffix trees are not built.
 
 Only runs of words that two documents share can be repeats, so suffixes are first reduced to those: each run
 of ``width`` words has an anchor, the run of ``PREFIX`` words in it with the least hash, and equal runs have equal
-anchors. Anchors that occur in one document only are dropped. What is left is dealt out by prefixes of variable
-length: suffixes whose anchor is in at most ``cap`` documents go, as stretches of neighbouring ones, to the group
-of those few words; the others by all of their ``width`` words, where a group is one node and is reduced before
-it is dealt out. In each group the suffixes are sorted, neighbours' common prefixes give the subtree's internal
-nodes, and of each node as deep as ``width`` words the least document id is kept.
+anchors. Anchors that occur in one document only are dropped. What is left is dealt out by its anchor or
+all its words: suffixes whose anchor is in at most ``cap`` documents go, as stretches of neighbouring ones, to the group
+of those few words; the others by all of their ``width`` words, where a group is reduced before it is dealt
+out. In each group the suffixes' first ``width`` words are sorted, and of equal ones the least document id is kept:
+a longer repeat shows in each of its windows, so no common-prefix lengths or deeper nodes are needed.
 
 Defined cases: a null or empty text has no words; a null id is neither smaller than another nor has smaller ones,
 so nothing is removed from it or because of it; rows that repeat an id are judged on their own, and none is
@@ -124,10 +124,9 @@ def _window_rows(batches: Iterator[pa.RecordBatch], width: int, prefix: int) ->
 
 
 def subtree(group: np.ndarray, suffix: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Least document of each suffix's node at the depth of all its symbols: groups of suffixes (rows of symbols).
+    """Least document of all suffixes with equal symbols in a group: groups of suffixes (rows of symbols).
 
-    The suffixes are put in the tree's order; neighbours in one group with a common prefix of full depth hang
-    below one internal node.
+    The suffixes are sorted; neighbours in one group that are equal in all symbols are one node.
     """
     depth = suffix.shape[1]
     order = np.lexsort((*(suffix[:, k] for k in range(depth - 1, -1, -1)), group))
