@@ -1,6 +1,7 @@
 import duckdb
 import public_tokenizers
 import sentencepiece
+from test_similar import kept as first_of_each
 
 import corpus_pipeline
 from zonalis.llm import common, decontaminate, language, pii, simhash
@@ -11,20 +12,8 @@ SF = "/root/testdata/sf0.001"
 def plain(net, docs, items, field):
     """The same decisions, one document after the other."""
     kept = [(i, t) for i, t in docs if t and any(map(str.isalpha, t)) and net.pooled(*common.buffers(__import__("pyarrow").array([t]))).max() >= 0.5]
-    fps = [simhash.fingerprint(t) for _, t in kept]
-    comp = list(range(len(kept)))
-    for _ in range(len(kept)):
-        before = list(comp)
-        for a in range(len(kept)):
-            for b in range(a):
-                if (fps[a] ^ fps[b]).bit_count() <= 4:
-                    comp[a] = comp[b] = min(comp[a], comp[b])
-        if comp == before:
-            break
-    first = {}
-    for k, (i, t) in enumerate(kept):
-        if comp[k] not in first or i < first[comp[k]][0]:
-            first[comp[k]] = (i, t)
+    stay = set(first_of_each(kept))  # five-word sets, Jaccard similarity of 0.8 or more, all pairs
+    first = {i: (i, t) for i, t in kept if i in stay}
     out = []
     for i, t in first.values():
         w = t.lower().split() if t.isascii() else "".join(c.lower() if "A" <= c <= "Z" else c for c in t).split()

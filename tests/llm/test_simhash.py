@@ -72,4 +72,4 @@ def test_bit_planes_find_exactly_the_near_pairs():
             b[i] ^= np.uint64(1) << np.uint64(bit)
     for radius in (0, 1, 3, 4, 7):
         want = np.array([bin(int(x ^ y)).count("1") <= radius for x, y in zip(a, b)])
-        assert (simhash._pairs_within(a, b, radius) == want).all()
+        assert (simhash.pairs_within(a, b, radius) == want).all()

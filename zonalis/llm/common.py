@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parents[1]
 _shipped: dict[str, str] = {}
+_local: dict[str, str] = {}
+_LIMIT, _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application."""
+    """Give the executors this package, once for each application, and let Arrow batches hold ``_BATCH`` bytes, so
+    that rows with long texts do not fill a worker's memory (a limit that the user has set stays)."""
+    if spark.conf.get(_LIMIT) == "67108864b":
+        spark.conf.set(_LIMIT, str(_BATCH))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -40,50 +45,49 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share.
-
-    It lies below ``spark.checkpoint.dir``; only where that is unset (tests) is it a local one.
-    """
+    """A new folder that the driver and all executors share: below ``spark.checkpoint.dir``, or, where that is
+    unset and the session is a local one (tests), a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="zonalis-shared-")
-        atexit.register(shutil.rmtree, base, True)
-        base = f"file://{base}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
+        base = _local.get(spark.sparkContext.applicationId)
+        if not base:
+            folder = tempfile.mkdtemp(prefix="zonalis-shared-")
+            atexit.register(shutil.rmtree, folder, True)
+            base = _local[spark.sparkContext.applicationId] = f"file://{folder}"
     return f"{base.rstrip('/')}/zonalis/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark)
-    schema = df.schema
-    df.write.parquet(path)
-    del df  # its plans refer to shuffles
-    release(spark)
-    return spark.read.schema(schema).parquet(path)
+#: Spark deletes a write's shuffle files at its end.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that ``materialize`` wrote and that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/zonalis/" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors.
 
+    The plan's shuffle files go as soon as the table is there. They would be made anew if another action ran
+    the same plan, so ``df`` is not for further use.
+    """
+    spark = df.sparkSession
+    path = scratch(spark)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are finished: nothing may refer to them any more, so
-    the events that do are waited for first, and the cleaner has a moment for its work."""
-    import gc
-    import time
 
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/zonalis/" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 # --------------------------------------------------------------------------- words
@@ -195,12 +199,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     cur = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
     for _ in range(rounds):
+        before = cur
         both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         cur = materialize(small)
+        discard(before)
         now = cur.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == last:
             break

@@ -245,7 +245,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     common.ship(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     gone = common.materialize(marks(rows, width, prefix, cap))
-    common.release(docs.sparkSession)  # before the texts are dealt out once more
+
     joined = rows.join(gone, "r", "left").select("d", "t", "marks")
     return joined.mapInArrow(lambda it: _kept(it, width, text), "d long, n_words long, n_removed long, kept string").withColumnRenamed("d", id_col)
 
