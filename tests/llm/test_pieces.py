@@ -52,3 +52,70 @@ def test_library_decoding_is_the_same():
         ids = [r.randrange(259, 32000) if r.random() < 0.8 else r.randrange(3, 259) for _ in range(r.randrange(1, 12))]
         if not any(3 <= i < 259 for i in ids):
             assert t.decode(np.array(ids)) == lib.decode(ids)
+
+
+def unigram(path, seed):
+    """A small unigram model made by hand: pieces and weights are drawn, nothing is trained."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    r = random.Random(seed)
+    m = pb.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback, m.trainer_spec.unk_surface = 1, True, " "
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.escape_whitespaces = "identity", True, False, True
+    for p, kind in [("<unk>", 2), ("<s>", 3), ("</s>", 3)] + [(f"<0x{b:02X}>", 6) for b in range(256)]:
+        m.pieces.add(piece=p, score=0, type=kind)
+    made = {pieces.BAR, *"abcdeé"} | {r.choice(["", pieces.BAR]) + "".join(r.choice("abcdeé") for _ in range(r.randrange(1, 5))) for _ in range(150)}
+    for p in sorted(made):
+        m.pieces.add(piece=p, score=-r.randrange(64, 576) / 64, type=1)  # sums without rounding
+    path.write_bytes(m.SerializeToString())
+    return str(path)
+
+
+def test_weights_decide_among_the_paths_of_a_unigram_model(tmp_path):
+    r = random.Random(4)
+    for seed in range(3):
+        path = unigram(tmp_path / f"{seed}.model", seed)
+        lib, t = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Transducer(path)
+        changed = 0
+        for _ in range(300):
+            s = "".join(r.choice("aaabbcdeé  x日") for _ in range(r.randrange(0, 30)))
+            got = list(struct.unpack(f"<{len(t.encode(s)) // 4}i", t.encode(s)))
+            assert got == lib.encode(s), s
+            greedy, at, whole = [], 0, (pieces.BAR + s.replace(" ", pieces.BAR)) if s else ""
+            while at < len(whole):  # longest match first is another path
+                ways = t.lexicon_paths(whole, at)
+                j, piece, _ = ways[-1] if ways else (at + 1, None, 0)
+                greedy += [piece] if piece is not None else [t.byte[b] for b in whole[at].encode()]
+                at = j
+            changed += greedy != got
+        assert changed > 100
+
+
+def test_composition_has_one_state_for_each_place_and_last_piece():
+    t = pieces.machine(PATH)
+    s = pieces.BAR + "reconsideration"
+    live = t.compose(s)
+    assert sum(map(len, filter(None, live))) > 3 and len(live) == len(s) + 1
+    assert sum(len(t.lexicon_paths(s, i)) for i in range(len(s))) > 25  # arcs before the grammar
+    assert t.solve(s) == sentencepiece.SentencePieceProcessor(model_file=PATH).encode("reconsideration")
+
+
+def test_the_grammar_lets_pieces_meet_where_merging_leaves_both():
+    t = pieces.machine(PATH)
+    score = t.grammar.score
+    ids, r = [i for i in range(259, 32000)], random.Random(9)
+    some = [(r.choice(ids), r.choice(ids)) for _ in range(4000)]
+    some += [(x, y) for x in r.sample(ids, 60) for y in r.sample(ids, 60) if t.text[x][-1] + t.text[y][0] in t.grammar.joint]
+    seen = set()
+    for x, y in some:
+        if pieces.merges(t.text[x], score)[1] == [t.text[x]] and pieces.merges(t.text[y], score)[1] == [t.text[y]]:
+            want = pieces.merges(t.text[x] + t.text[y], score)[1] == [t.text[x], t.text[y]]
+            assert t.grammar.arc(x, y) == want, (t.text[x], t.text[y])
+            seen.add(want)
+    assert seen == {True, False}
+
+
+def test_new_columns_replace_those_of_their_names(spark):
+    df = spark.createDataFrame([(1, "a b", "old", 5)], "doc_id long, text string, pieces string, n_pieces int")
+    (row,) = pieces.with_pieces(df, PATH).collect()
+    assert row.asDict().keys() == {"doc_id", "text", "n_pieces", "pieces"} and row.n_pieces == len(row.pieces)

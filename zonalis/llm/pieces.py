@@ -1,17 +1,25 @@
-"""SentencePiece encoding and decoding by a weighted finite-state transducer.
+"""SentencePiece encoding and decoding by weighted finite-state transducers.
 
-Three machines are compiled from a model and composed with each input: the normaliser (a dummy prefix
-and spaces as U+2581; only identity normalisation is taken), the lexicon (a trie of pieces, and bytes for
-characters that no piece has) and an acceptor over neighbouring pieces. The model's pieces come from
-merges by score, so a sequence of pieces is its encoding if and only if every two neighbours, joined and
-merged anew, come out as the same two; the acceptor gives such pairs the weight 0 and all others infinity,
-and each piece weighs 1. The encoding is the tropical shortest path. No piece has U+2581 after another
-character, so paths never lead over the start of a run of U+2581 and segments between are solved on
-their own, behind a bounded memo.
+A model is compiled into three machines (``Machine``: states with arcs from a label to an output, a weight and a state):
+
+* the normaliser writes the dummy prefix and U+2581 for spaces, and copies all other characters (only identity
+  normalisation is taken);
+* the lexicon is a trie of characters whose ends write a piece and go back to the root at the piece's weight; a
+  character that no piece has is written as its bytes;
+* the grammar reads pieces. For a unigram model it has one state, and a piece weighs minus its score. A merge model's
+  pieces come from merges by score, and a sequence of pieces is its encoding if and only if no merge across any
+  two neighbours comes before those inside them; the grammar's state is the last piece, an arc is there for
+  each piece that may follow it, and each piece weighs 1.
+
+Each input is composed with the machines: the composition's states are (place in the input, lexicon state, grammar
+state), expanded from left to right as paths reach them, and the encoding is its shortest path in the tropical semiring
+(weights add along a path, the least wins). No piece has U+2581 after another character, so paths never lead over the
+start of a run of U+2581, nor between two characters that no piece has beside each other: segments between are
+composed on their own, and their paths are kept in a bounded memo.
 
 Defined cases: a null or empty text has no pieces and decodes to an empty text; a literal U+2581 in a text
 decodes to a space (``round_trip`` is false); repeated rows and ids are kept; a null id stays null; an empty
-table gives an empty result; further columns are ignored.
+table gives an empty result; further columns are ignored; columns that have the names of ``with_pieces``'s new ones are replaced.
 """
 
 from __future__ import annotations
@@ -32,6 +40,124 @@ from zonalis.llm import common
 
 BAR = "▁"
 MEMO, PAIRS = 800_000, 1_000_000
+UNIGRAM, MERGES = 1, 2
+
+
+class Machine:
+    """A transducer as a trie. A state is the dict of its arcs: label to (next state, output of the arc without a label that leads
+    from there back to the root, its weight); an output of -1 means that there is no such arc."""
+
+    def __init__(self):
+        self.root: dict = {}
+        self.states = 1
+
+    def add(self, labels: str, out: int, weight: float) -> None:
+        at = self.root
+        for k, label in enumerate(labels):
+            to, old, w = at.get(label) or ({}, -1, 0.0)
+            self.states += label not in at
+            at[label] = (to, out, weight) if k == len(labels) - 1 else (to, old, w)
+            at = to
+
+
+def merges(s: str, score: dict[str, float]) -> tuple[list[tuple[float, str, str]], list[str]]:
+    """A merge model's rule on one string: join the neighbours with the best score, leftmost first, while there are any.
+
+    Gives each merge's score with the last and the first part after it, and the parts that are left.
+    """
+    part = list(s)
+    nxt, prv = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
+    heap: list[tuple[float, int, int, str]] = []
+    events, tail = [], len(part) - 1
+
+    def offer(i):
+        j = nxt[i]
+        if j < len(part):
+            both = part[i] + part[j]
+            if both in score:
+                heapq.heappush(heap, (-score[both], i, j, both))
+
+    for i in range(len(part)):
+        offer(i)
+    while heap:
+        at, i, j, both = heapq.heappop(heap)
+        if not part[i] or not part[j] or part[i] + part[j] != both or nxt[i] != j:
+            continue
+        part[i], part[j] = both, ""
+        nxt[i] = nxt[j]
+        if nxt[j] < len(part):
+            prv[nxt[j]] = i
+        if tail == j:
+            tail = i
+        events.append((-at, part[tail], part[0]))
+        offer(i)
+        if prv[i] >= 0:
+            offer(prv[i])
+    return events, [p for p in part if p]
+
+
+class Free:
+    """The grammar of a unigram model: one state, and an arc for each piece."""
+
+    known: dict[int, bool] = {}
+
+    @staticmethod
+    def to(piece: int) -> int:
+        return -1
+
+    @staticmethod
+    def arc(state: int, piece: int) -> bool:
+        return True
+
+
+class Grammar:
+    """The grammar of a merge model. A state is the last piece, or -1 at the start and after bytes, beside which nothing merges."""
+
+    def __init__(self, events: dict[int, list[tuple[float, str, str]]], text: list[str], score: dict[str, float]):
+        self.events, self.text, self.score = events, text, score
+        #: Neighbouring characters inside pieces; between others nothing merges.
+        self.joint = {p[k : k + 2] for p in score for k in range(len(p) - 1)}
+        self.known: dict[int, bool] = {}
+
+    @staticmethod
+    def to(piece: int) -> int:
+        return piece
+
+    def arc(self, a: int, b: int) -> bool:
+        """Whether there is an arc from state a with the label b (to state b)."""
+        if a < 0:
+            return True
+        key = a << 20 | b
+        ok = self.known.get(key)
+        if ok is None:
+            if len(self.known) >= PAIRS:
+                self.known.clear()
+            ok = self.known[key] = self._arc(a, b)
+        return ok
+
+    def _arc(self, a: int, b: int) -> bool:
+        """The merges inside a and those inside b in the order of their scores: none across may come before one of them.
+
+        Of equal scores the merge further left comes first.
+        """
+        x, y, score = self.text[a], self.text[b], self.score
+        if x[-1] + y[0] not in self.joint:
+            return True
+        left, right, i, j, last, first = self.events[a], self.events[b], 0, 0, x[-1], y[0]
+        while True:
+            in_a = left[i][0] if i < len(left) else None
+            in_b = right[j][0] if j < len(right) else None
+            across = score.get(last + first)
+            if across is not None and (in_a is None or across > in_a) and (in_b is None or across >= in_b):
+                return False
+            if in_a is None and in_b is None:
+                return True
+            if in_b is None or in_a is not None and in_a >= in_b:
+                last = left[i][1]
+                i += 1
+            else:
+                first = right[j][2]
+                j += 1
 
 
 class Transducer:
@@ -41,99 +167,109 @@ class Transducer:
         m = pb.ModelProto()
         with open(path, "rb") as f:
             m.ParseFromString(f.read())
-        n = m.normalizer_spec
-        if m.trainer_spec.model_type != 2 or n.precompiled_charsmap or n.remove_extra_whitespaces or not n.escape_whitespaces or not m.trainer_spec.byte_fallback:
-            raise ValueError("a merge model with byte fallback and identity normalisation is needed")
+        n, kind = m.normalizer_spec, m.trainer_spec.model_type
+        if kind not in (UNIGRAM, MERGES) or n.precompiled_charsmap or n.remove_extra_whitespaces or not n.escape_whitespaces or not m.trainer_spec.byte_fallback or any(p.type in (4, 5) for p in m.pieces):
+            raise ValueError("a unigram or merge model with byte fallback and identity normalisation is needed")
         self.prefix = n.add_dummy_prefix
         self.text = [p.piece for p in m.pieces]
-        self.id = {p.piece: i for i, p in enumerate(m.pieces) if p.type == 1}
-        self.score = {p.piece: p.score for p in m.pieces if p.type == 1}
+        score = {p.piece: p.score for p in m.pieces if p.type == 1}
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == 6}
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.first_byte, self.last_byte = min(self.of_byte), max(self.of_byte)
-        if any(BAR in p.lstrip(BAR) for p in self.id):
+        if any(BAR in p.lstrip(BAR) for p in score):
             raise ValueError("a piece reaches over the start of a word")
-        #: Lexicon: every beginning of a piece, with the piece's id where it is one that merging yields, else -1.
-        self.lexicon = {p[:k]: -1 for p in self.id for k in range(1, len(p) + 1)}
-        self.lexicon.update({p: i for p, i in self.id.items() if self.merge(p) == [p]})
+        self.normaliser = {ord(" "): BAR}  # one state; all other labels are copied
+        self.lexicon, events = Machine(), {}
+        for i, p in enumerate(m.pieces):
+            if p.type == 1:
+                if kind == UNIGRAM:
+                    self.lexicon.add(p.piece, i, -p.score)
+                else:
+                    events[i], parts = merges(p.piece, score)
+                    if parts == [p.piece]:  # others are never written
+                        self.lexicon.add(p.piece, i, 1.0)
+        self.grammar = Free() if kind == UNIGRAM else Grammar(events, self.text, score)
+        self.single = {p for p in score if len(p) == 1}
+        if kind == MERGES and any(c not in self.single for p in score for c in p):
+            raise ValueError("a character of a piece is no piece")
+        #: The weight of a character that no piece has, written as bytes.
+        self.fallback = 10.0 - min(score.values()) if kind == UNIGRAM else 1.0
         #: Neighbouring characters inside pieces; between others every path has a cut.
-        self.joint = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
-        loose = "".join(c for c in "\n\t\r" if c not in self.lexicon)
+        self.joint = {p[k : k + 2] for p in score for k in range(len(p) - 1)}
+        loose = "".join(c for c in "\n\t\r" if c not in self.lexicon.root)
         self.segment = re.compile(f"{BAR}*[^{BAR}{loose}]+|{BAR}+" + (f"|[{loose}]" if loose else ""))
         self.memo: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.pair: dict[int, bool] = {}
-
-    def merge(self, s: str) -> list[str]:
-        """The model's own rule: join the neighbours with the best score, leftmost first, while there are any."""
-        part = list(s)
-        nxt, prv = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
-        heap: list[tuple[float, int, int, str]] = []
-
-        def offer(i):
-            j = nxt[i]
-            if j < len(part):
-                both = part[i] + part[j]
-                if both in self.score:
-                    heapq.heappush(heap, (-self.score[both], i, j, both))
-
-        for i in range(len(part)):
-            offer(i)
-        while heap:
-            _, i, j, both = heapq.heappop(heap)
-            if not part[i] or not part[j] or part[i] + part[j] != both or nxt[i] != j:
-                continue
-            part[i], part[j] = both, ""
-            nxt[i] = nxt[j]
-            if nxt[j] < len(part):
-                prv[nxt[j]] = i
-            offer(i)
-            if prv[i] >= 0:
-                offer(prv[i])
-        return [p for p in part if p]
-
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether the acceptor lets piece b follow piece a."""
-        key = a << 20 | b
-        ok = self.pair.get(key)
-        if ok is None:
-            if len(self.pair) >= PAIRS:
-                self.pair.clear()
-            x, y = self.text[a], self.text[b]
-            ok = self.pair[key] = x[-1] + y[0] not in self.joint or self.merge(x + y) == [x, y]
-        return ok
 
-    def solve(self, s: str) -> list[int]:
-        """Shortest path through the composition of one segment with the machines."""
-        n = len(s)
-        lexicon, pair, far = self.lexicon.get, self.pair.get, 1 << 60
-        cost: list[int] = [0, *[far] * n]  # of a prefix; it has one live state, the last piece of its encoding
-        last: list[int] = [-1] * (n + 1)
-        come: list[int] = [0] * (n + 1)
+    def lexicon_paths(self, s: str, at: int) -> list[tuple[int, int, float]]:
+        """(place, piece, weight) of the ways through the lexicon that begin at a place of s, shortest first."""
+        arcs, found = self.lexicon.root, []
+        for j in range(at, len(s)):
+            got = arcs.get(s[j])
+            if got is None:
+                break
+            arcs, piece, w = got
+            if piece >= 0:
+                found.append((j + 1, piece, w))
+        return found
+
+    def compose(self, s: str) -> list[list[tuple[int, float, int, int, int]] | None]:
+        """The composition of a segment with the machines, as far as paths reach.
+
+        Of each place in s its states: (grammar state, least weight, place and index of the state before, piece of the last
+        arc; -1 for bytes).
+        """
+        n, root, single, arc, to = len(s), self.lexicon.root, self.single, self.grammar.arc, self.grammar.to
+        known = self.grammar.known
+        live: list = [[(-1, 0.0, 0, 0, -1)], *[None] * n]
         for i in range(n):
-            if cost[i] == far:
+            here = live[i]
+            if here is None:
                 continue
-            left, c = last[i], cost[i] + 1
-            for j in range(i + 1, n + 1):
-                p = lexicon(s[i:j])
-                if p is None:
-                    break
-                if p >= 0 and c < cost[j]:
-                    if left >= 0:
-                        ok = pair(left << 20 | p)
-                        if not (self.compatible(left, p) if ok is None else ok):
-                            continue
-                    cost[j], last[j], come[j] = c, p, i
-            if s[i] not in self.lexicon and c < cost[i + 1]:  # bytes; nothing merges with them
-                cost[i + 1], last[i + 1], come[i + 1] = c, -1, i
-        out: list[int] = []
-        j = n
-        while j:
-            if last[j] >= 0:
-                out.append(last[j])
+            for index, (state, cost, _, _, _) in enumerate(here):
+                arcs = root
+                for j in range(i, n):
+                    got = arcs.get(s[j])
+                    if got is None:
+                        break
+                    arcs, piece, w = got
+                    if piece >= 0:
+                        ok = known.get(state << 20 | piece)
+                        if ok or ok is None and arc(state, piece):
+                            there = live[j + 1]
+                            if there is None:
+                                live[j + 1] = [(to(piece), cost + w, i, index, piece)]
+                            else:
+                                self._relax(there, (to(piece), cost + w, i, index, piece))
+                if s[i] not in single:
+                    new = (-1, cost + self.fallback, i, index, -1)
+                    if live[i + 1] is None:
+                        live[i + 1] = [new]
+                    else:
+                        self._relax(live[i + 1], new)
+        return live
+
+    @staticmethod
+    def _relax(there: list[tuple], new: tuple) -> None:
+        for k, old in enumerate(there):
+            if old[0] == new[0]:
+                if new[1] < old[1]:
+                    there[k] = new
+                return
+        there.append(new)
+
+    def solve(self, s: str) -> list[int]:
+        """Shortest path through the composition of a segment with the machines."""
+        live, out, j = self.compose(s), [], len(s)
+        _, _, i, index, piece = min(live[j], key=lambda x: x[1])
+        while True:
+            if piece >= 0:
+                out.append(piece)
             else:
-                out += [self.byte[b] for b in reversed(s[j - 1].encode())]
-            j = come[j]
-        return out[::-1]
+                out += [self.byte[b] for b in reversed(s[i:j].encode())]
+            if not i:
+                return out[::-1]
+            j = i
+            _, _, i, index, piece = live[j][index]
 
     def _remember(self, s: str, ids: bytes) -> None:
         young, old = self.memo
@@ -165,7 +301,7 @@ class Transducer:
         """Piece ids of a text as little-endian 32-bit integers."""
         if not text:
             return b""
-        text = text.replace(" ", BAR)
+        text = text.translate(self.normaliser)
         if self.prefix:
             text = BAR + text
         segments = self.segment.findall(text)
@@ -265,8 +401,9 @@ def _append(batches: Iterator[pa.RecordBatch], column: int, path: str) -> Iterat
 
 
 def with_pieces(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """All columns, with n_pieces and pieces array<int>."""
+    """All columns, with n_pieces and pieces array<int> (in the place of any that had these names)."""
     common.ship(docs.sparkSession)
+    docs = docs.drop("n_pieces", "pieces") if text_col not in ("n_pieces", "pieces") else docs
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_pieces", T.LongType()), T.StructField("pieces", T.ArrayType(T.IntegerType()))])
     return docs.mapInArrow(lambda it: _append(it, at, path), schema)
