@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from zonalis.llm import common
 
 BAR = "▁"
-MEMO, PAIRS = 800_000, 1_000_000
+MEMO, PAIRS = 400_000, 1_000_000
 UNIGRAM, MERGES = 1, 2
 
 
