@@ -94,3 +94,28 @@ def test_long_words_differ():
     texts = ["a" * 5000 + "b" + "c" * 5000, "a" * 5000 + "c" + "b" + "c" * 4999, "b" * 10_001]
     _, _, sym, _ = common.words(*common.buffers(pa.array(texts)))
     assert len(np.unique(sym)) == 3
+
+
+def test_nodes_of_a_subtree_are_the_longest_common_repeats():
+    r = random.Random(7)
+    for _ in range(60):
+        docs = [[r.randrange(3) for _ in range(r.randrange(4, 40))] for _ in range(r.randrange(1, 8))]
+        docs += [docs[0][2:] + [9], docs[-1]]
+        words = np.array([w for d in docs for w in d], np.uint64)
+        start = np.cumsum([0, *map(len, docs)])
+        suffixes = [(k, i) for k, d in enumerate(docs) for i in range(len(d) - 3)]
+        doc = np.array([k for k, _ in suffixes])
+        begin, have = np.array([start[k] + i for k, i in suffixes]), np.array([len(docs[k]) - i for k, i in suffixes])
+        group = words[begin]  # by a prefix of one word
+        tree = substrings.subtree(group, words, begin, have, doc, 4)
+        want = {}
+        for s, (k, i) in enumerate(suffixes):
+            want.setdefault(tuple(docs[k][i : i + 4]), []).append(s)
+        got = {}
+        for n, (a, b) in enumerate(zip(tree.first[:-1], tree.first[1:])):
+            members = sorted(tree.order[a:b].tolist())
+            tails = [docs[suffixes[s][0]][suffixes[s][1] :] for s in members]
+            depth = next((d for d in range(min(map(len, tails))) if len({t[d] for t in tails}) > 1), min(map(len, tails)))
+            assert tree.depth[n] == depth >= 4 and tree.least[n] == doc[members].min()
+            got[tuple(tails[0][:4])] = members
+        assert got == {k: v for k, v in want.items() if len(v) > 1}

@@ -1,22 +1,30 @@
-"""Substring dedup by sorting windows of words in groups of equal minimizers; suffix trees are not built.
+"""Substring dedup by prefix-partitioned suffix trees over words.
 
 Only runs of words that two documents share can be repeats, so suffixes are first reduced to those: each run
 of ``width`` words has an anchor, the run of ``PREFIX`` words in it with the least hash, and equal runs have equal
-anchors. Anchors that occur in one document only are dropped. What is left is dealt out by its anchor or
-all its words: suffixes whose anchor is in at most ``cap`` documents go, as stretches of neighbouring ones, to the group
-of those few words; the others by all of their ``width`` words, where a group is reduced before it is dealt
-out. In each group the suffixes' first ``width`` words are sorted, and of equal ones the least document id is kept:
-a longer repeat shows in each of its windows, so no common-prefix lengths or deeper nodes are needed.
+anchors. Anchors that occur in one document only are dropped.
+
+A suffix's prefix ends where its anchor ends, so it has ``PREFIX`` to ``width`` words, and suffixes with equal first ``width``
+words have equal prefixes. Suffixes are dealt out by prefix: the prefixes that end in one anchor go to one task, as
+stretches of neighbouring suffixes that share their words. Where a group's stretches would take more than ``cap`` bytes its
+prefixes are lengthened to ``width`` words. Such a prefix is itself a deep node: its least document is an aggregate, reduced
+before the shuffle, and nothing of it is gathered.
+
+In each group the suffix tree is built (``subtree``): suffixes are sorted, neighbours' common prefixes give the internal
+nodes, and the highest ones of a depth of ``width`` words or more are kept. A node's depth is the length of the repeat that all
+its suffixes share; a suffix in a node with a smaller document begins a repeat that is to go.
 
 Defined cases: a null or empty text has no words; a null id is neither smaller than another nor has smaller ones,
 so nothing is removed from it or because of it; rows that repeat an id are judged on their own, and none is
-smaller than the other; an empty table gives an empty result; further columns are ignored.
+smaller than the other; an empty table gives an empty result; further columns are ignored. Words are compared by 64-bit
+symbols, lengthened prefixes by 128 bits.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +33,7 @@ from pyspark.sql import functions as F
 
 from zonalis.llm import common
 
-WIDTH, PREFIX, STRETCH, CAP = 13, 5, 16, 20_000
+WIDTH, PREFIX, STRETCH, CAP = 13, 5, 16, 4 << 20
 _COEF = np.random.default_rng(99).integers(0, 2**63, STRETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -53,19 +61,22 @@ def _runs(column: pa.Array, width: int, prefix: int):
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], width: int, prefix: int) -> Iterator[pa.RecordBatch]:
-    """Rows (r, d, t) to rows (r, d, m): a document's distinct anchors."""
+    """Rows (r, d, t) to rows (r, d, m, n): a document's distinct anchors and the bytes of their stretches."""
     for whole in batches:
         for b in common.slices(whole, "t"):
             _, _, _, doc, low = _runs(b.column(2), width, prefix)
             new = np.ones(len(low), bool)
             new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
+            size = np.diff(np.append(np.flatnonzero(new), len(low)))
             doc, low = doc[new], low[new]
             order = np.lexsort((low, doc))
-            doc, low = doc[order], low[order]
+            doc, low, size = doc[order], low[order], 8 * (size[order] + width) + 32
             new = np.ones(len(low), bool)
             new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
+            total = np.add.reduceat(size, np.flatnonzero(new)) if len(size) else size
             r, d = np.asarray(b.column(0)), np.asarray(b.column(1))
-            yield pa.record_batch([pa.array(r[doc[new]], pa.int64()), pa.array(d[doc[new]], pa.int64()), pa.array(low[new].view(np.int64))], ["r", "d", "m"])
+            cols = [pa.array(r[doc[new]], pa.int64()), pa.array(d[doc[new]], pa.int64()), pa.array(low[new].view(np.int64)), pa.array(total, pa.int64())]
+            yield pa.record_batch(cols, ["r", "d", "m", "n"])
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -113,34 +124,57 @@ def _stretch_rows(batches: Iterator[pa.RecordBatch], width: int, prefix: int) ->
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], width: int, prefix: int) -> Iterator[pa.RecordBatch]:
-    """Rows (r, d, t, anchors) to (r, d, start, key): each suffix with the hash of all its ``width`` words."""
+    """Rows (r, d, t, anchors) to (r, d, start, p, q): each suffix with its prefix of ``width`` words, as 128 bits."""
     for whole in batches:
         for b in common.slices(whole, "t"):
             sym, first, at, doc, _ = _shared(b, width, prefix)
             if len(at):
-                key = common.rolling(sym, width)[at]
+                p, q = (common.rolling(sym, width, salt)[at].view(np.int64) for salt in (0, 77))
                 r, d = np.asarray(b.column(0))[doc], np.asarray(b.column(1))[doc]
-                yield pa.record_batch([pa.array(r), pa.array(d), pa.array((at - first[doc]).astype(np.int32)), pa.array(key.view(np.int64))], ["r", "d", "start", "key"])
+                yield pa.record_batch([pa.array(r), pa.array(d), pa.array((at - first[doc]).astype(np.int32)), pa.array(p), pa.array(q)], ["r", "d", "start", "p", "q"])
+
+
+class Nodes(NamedTuple):
+    """Internal nodes of suffix trees: node k has the suffixes order[first[k] : first[k + 1]]."""
 
+    order: np.ndarray
+    first: np.ndarray
+    depth: np.ndarray
+    least: np.ndarray
 
-def subtree(group: np.ndarray, suffix: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Least document of all suffixes with equal symbols in a group: groups of suffixes (rows of symbols).
 
-    The suffixes are sorted; neighbours in one group that are equal in all symbols are one node.
+def subtree(group: np.ndarray, words: np.ndarray, begin: np.ndarray, have: np.ndarray, doc: np.ndarray, width: int) -> Nodes:
+    """The highest nodes of ``width`` words or more of the suffix tree of each group, and their least documents.
+
+    A suffix is words[begin : begin + have], and has at least ``width`` words. A node is where a path of that many words
+    ends: its suffixes lie beside each other in their sorted order, and its depth is the length of what all of them share.
     """
-    depth = suffix.shape[1]
-    order = np.lexsort((*(suffix[:, k] for k in range(depth - 1, -1, -1)), group))
-    s, g = suffix[order], group[order]
-    same = (s[1:] == s[:-1]).all(axis=1) & (g[1:] == g[:-1])
-    node = np.append(0, np.cumsum(~same))
-    low = np.minimum.reduceat(doc[order], np.flatnonzero(np.append(True, ~same)))
-    out = np.empty(len(doc), np.int64)
-    out[order] = low[node]
-    return out
+    column = [words[begin + k] for k in range(width)]
+    order = np.lexsort((*reversed(column), group))
+    same = group[order][1:] == group[order][:-1]
+    for c in column:
+        same &= c[order][1:] == c[order][:-1]
+    inside = np.append(False, same) | np.append(same, False)  # a leaf on its own is no internal node
+    at = np.flatnonzero(inside)
+    order, head = order[at], np.append(True, ~same)[at]
+    first = np.flatnonzero(head)
+    node = np.cumsum(head) - 1
+    depth = np.full(len(at), width, np.int64)
+    root = order[first[node]] if len(at) else order
+    more = np.flatnonzero(have[order] > width)
+    while len(more):  # how far each suffix goes with its node's first one
+        i, j, k = order[more], root[more], depth[more]
+        on = (k < have[i]) & (k < have[j])
+        on[on] = words[begin[i[on]] + k[on]] == words[begin[j[on]] + k[on]]
+        more = more[on]
+        depth[more] += 1
+    if not len(at):
+        return Nodes(order, np.zeros(1, np.int64), depth, doc[order])
+    return Nodes(order, np.append(first, len(at)), np.minimum.reduceat(depth, first), np.minimum.reduceat(doc[order], first))
 
 
 def _lowest(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Stretches sorted by m: (r, starts, bits) where a suffix's node has a smaller document."""
+    """Stretches sorted by m: (r, d, starts, bits) where a suffix's node has a smaller document."""
     held: dict | None = None
 
     def read(b: pa.RecordBatch) -> dict:
@@ -162,11 +196,14 @@ def _lowest(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         n = c["n"].astype(np.int64)
         begin = np.cumsum(n + width - 1) - (n + width - 1)
         which, at = np.repeat(np.arange(len(n)), n), _ranges(begin, n)
-        low = subtree(c["m"][which], c["words"][at[:, None] + np.arange(width)], c["d"][which])
         place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        bits = np.add.reduceat(np.where(low < c["d"][which], 1 << place, 0), np.cumsum(n) - n)
+        tree = subtree(c["m"][which], c["words"], at, n[which] - place + width - 1, c["d"][which], width)
+        low = np.repeat(tree.least, np.diff(tree.first))
+        hit = tree.order[low < c["d"][which[tree.order]]]
+        bits = np.zeros(len(n), np.int32)
+        np.bitwise_or.at(bits, which[hit], np.left_shift(1, place[hit]).astype(np.int32))
         hit = np.flatnonzero(bits)
-        return pa.record_batch([pa.array(c["r"][hit]), c["starts"].take(pa.array(hit)), pa.array(bits[hit].astype(np.int32))], ["r", "starts", "bits"])
+        return pa.record_batch([pa.array(c["r"][hit]), pa.array(c["d"][hit]), c["starts"].take(pa.array(hit)), pa.array(bits[hit])], ["r", "d", "starts", "bits"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -184,30 +221,34 @@ def _lowest(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(r, d, t): a row's key (rows with equal id and text share it), its id and text."""
+    """(r, d, t): id and text with a hash of both; rows that share r and d are alike."""
     d, t = F.col(id_col).cast("long"), F.col(text_col)
     return docs.select(F.xxhash64(d, t).alias("r"), d.alias("d"), t.alias("t"))
 
 
 def marks(rows: DataFrame, width: int = WIDTH, prefix: int = PREFIX, cap: int = CAP) -> DataFrame:
-    """(r, marks array<struct<start, bits>>) for rows (r, d, t): bit i of bits says that the run of ``width`` words
+    """(r, d, marks array<struct<start, bits>>) for rows (r, d, t): bit i of bits says that the run of ``width`` words
     that begins at word start + i also begins in a document with a smaller id."""
     usable = rows.where("d is not null and t is not null")
-    anchors = common.materialize(usable.mapInArrow(lambda it: _anchor_rows(it, width, prefix), "r long, d long, m long"))
-    shared = anchors.groupBy("m").agg(F.min("d").alias("a"), F.max("d").alias("b"), F.count("*").alias("n")).where("a < b").select("m", (F.col("n") > cap).alias("hot"))
-    lists = anchors.join(shared, "m").groupBy("r").agg(F.collect_set(F.expr("if(hot, null, m)")).alias("few"), F.collect_set(F.expr("if(hot, m, null)")).alias("many"))
+    anchors = common.materialize(usable.mapInArrow(lambda it: _anchor_rows(it, width, prefix), "r long, d long, m long, n long"))
+    shared = anchors.groupBy("m").agg(F.min("d").alias("a"), F.max("d").alias("b"), F.sum("n").alias("bytes")).where("a < b").select("m", (F.col("bytes") > cap).alias("hot"))
+    lists = anchors.join(shared, "m").groupBy("r", "d").agg(F.collect_set(F.expr("if(hot, null, m)")).alias("few"), F.collect_set(F.expr("if(hot, m, null)")).alias("many"))
     lists = common.materialize(lists)
     common.discard(anchors)
-    joined = usable.join(lists, "r")
+    joined = usable.join(lists, ["r", "d"])
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = joined.select("r", "d", "t", "few").mapInArrow(lambda it: _stretch_rows(it, width, prefix), "r long, d long, starts array<int>, n int, m long, words binary")
-    found = few.repartition(parts, "m").sortWithinPartitions("m").mapInArrow(lambda it: _lowest(it, width), "r long, starts array<int>, bits int").select("r", F.explode("starts").alias("start"), "bits")
-    if not lists.where(F.size("many") > 0).isEmpty():
-        hot = usable.join(lists.where(F.size("many") > 0), "r").select("r", "d", "t", "many")
-        each = common.materialize(hot.mapInArrow(lambda it: _window_rows(it, width, prefix), "r long, d long, start int, key long"))
-        node = each.groupBy("key").agg(F.min("d").alias("low"), F.max("d").alias("top")).where("low < top").select("key", "low")
-        found = found.union(each.join(node, "key").where("low < d").select("r", "start", F.lit(1).alias("bits")))
-    return found.groupBy("r").agg(F.collect_set(F.struct("start", "bits")).alias("marks"))
+    found = few.repartition(parts, "m").sortWithinPartitions("m").mapInArrow(lambda it: _lowest(it, width), "r long, d long, starts array<int>, bits int")
+    found = found.select("r", "d", F.explode("starts").alias("start"), "bits")
+    long, each = lists.where(F.size("many") > 0), None
+    if not long.isEmpty():
+        each = usable.join(long, ["r", "d"]).select("r", "d", "t", "many")
+        each = common.materialize(each.mapInArrow(lambda it: _window_rows(it, width, prefix), "r long, d long, start int, p long, q long"))
+        node = each.groupBy("p", "q").agg(F.min("d").alias("low"), F.max("d").alias("top")).where("low < top").select("p", "q", "low")
+        found = found.union(each.join(node, ["p", "q"]).where("low < d").select("r", "d", "start", F.lit(1).alias("bits")))
+    out = common.materialize(found.groupBy("r", "d").agg(F.collect_set(F.struct("start", "bits")).alias("marks")))
+    common.discard(lists, *([each] if each is not None else []))
+    return out
 
 
 def covered(n: int, marks: list | None, width: int = WIDTH) -> np.ndarray:
@@ -244,9 +285,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     text that is left, its words joined by one space, or with ``text=False`` its SHA-256."""
     common.ship(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
-    gone = common.materialize(marks(rows, width, prefix, cap))
-
-    joined = rows.join(gone, "r", "left").select("d", "t", "marks")
+    joined = rows.join(marks(rows, width, prefix, cap), ["r", "d"], "left").select("d", "t", "marks")
     return joined.mapInArrow(lambda it: _kept(it, width, text), "d long, n_words long, n_removed long, kept string").withColumnRenamed("d", id_col)
 
 
