@@ -5,8 +5,11 @@ the corpus can ask for: each host, and for each shape of rule (labels of its hos
 path) the url's host suffix with its path prefix. Level 1 is a Bloom filter of the listed keys, level 2
 of the universe's other keys that pass level 1, level 3 of the listed keys that pass level 2, and so on
 until none passes; a key's answer is the parity of the level that stops it, which is exact for every key
-of the universe and needs no join. A level is one array of longs, read as a scalar subquery; its size is
-checked against ``max_bits``, and beyond that membership is found by a left outer join instead.
+of the universe and needs no join. A level is one array of longs, read as a scalar subquery.
+
+Keys are dealt into shards by hash so that no level is over ``max_bits``; each shard has a cascade of its own, and a
+row's key asks its shard's. Shards are asked ``at_once`` at a time in one pass over the rows, so what a task holds is bounded
+however long the list is; a longer list takes more passes of the same kind.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no rule, and is allowed; empty
 tables give empty results; repeated rows and ids are kept; further columns pass through untouched only
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from zonalis.llm import common
 
-BITS_PER_KEY, HASHES, MAX_BITS, DEPTH = 10, 4, 1 << 28, 64
+BITS_PER_KEY, HASHES, MAX_BITS, AT_ONCE, DEPTH = 10, 4, 1 << 28, 8, 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = "(?s)^.*?://([^/?#]*)([^?#]*)"
 #: The rules of the query: (verdict, host, path).
@@ -73,21 +76,21 @@ class Cascade:
         return each.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("words"))
 
     @classmethod
-    def build(cls, listed: DataFrame, others: DataFrame, max_bits: int = MAX_BITS) -> "Cascade | None":
-        """From distinct keys (key): listed ones, and the rest of the universe; None if a level is over ``max_bits``."""
-        sides, levels = [listed, others], []
+    def build(cls, listed: DataFrame, universe: DataFrame) -> "Cascade":
+        """From distinct keys (key): listed ones, and all that can be asked for."""
+        sides, levels = [listed, universe], []
         for level in range(DEPTH):
             keys = sides[level % 2]
             n = keys.count()
             if n == 0 and level:
                 return cls(levels)
             bits = -(-max(64, n * BITS_PER_KEY) // 64) * 64
-            if bits > max_bits:
-                return None
             words = common.materialize(cls._level(keys, n, level, bits))
             levels.append((words, bits))
-            rest = sides[1 - level % 2]
-            sides[1 - level % 2] = common.materialize(rest.where(cls._passes(F.col("key"), level, bits, words)))
+            rest = sides[1 - level % 2].where(cls._passes(F.col("key"), level, bits, words))
+            if not level:  # of the universe only what passes is held against the list
+                rest = rest.join(listed, "key", "left_anti")
+            sides[1 - level % 2] = common.materialize(rest)
         raise RuntimeError("the cascade has not closed")
 
     def has(self, key: Column) -> Column:
@@ -110,7 +113,11 @@ def _keys(host: Column, path: Column, rules: Iterable[tuple[str, str, str]]) ->
     return out
 
 
-def judge(pages: DataFrame, listed_hosts: DataFrame, rules=RULES, url_col: str = "url", keep: Iterable[str] = ("page_id",), max_bits: int = MAX_BITS) -> DataFrame:
+def shard_of(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(shards).cast("long"))
+
+
+def judge(pages: DataFrame, listed_hosts: DataFrame, rules=RULES, url_col: str = "url", keep: Iterable[str] = ("page_id",), max_bits: int = MAX_BITS, at_once: int = AT_ONCE) -> DataFrame:
     """keep..., host, path, rule, verdict of every row. ``listed_hosts(host)`` is the block list."""
     spark = pages.sparkSession
     base = pages.select(*keep, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
@@ -118,17 +125,20 @@ def judge(pages: DataFrame, listed_hosts: DataFrame, rules=RULES, url_col: str =
     keys = _keys(F.col("host"), F.col("path"), rules)
     universe = common.materialize(asked.select(F.explode(F.array(*[k for _, k in keys])).alias("key")).where("key is not null").distinct())
     given = spark.createDataFrame([(f"{v}:{h}{p}",) for v, h, p in rules], "key string") if rules else spark.range(0).select(F.lit("").alias("key"))
-    given = given.union(listed_hosts.where("host is not null").select(F.concat(F.lit("host:"), "host"))).distinct()
-    listed = common.materialize(universe.join(given, "key", "left_semi"))
-    cascade = Cascade.build(listed, common.materialize(universe.join(given, "key", "left_anti")), max_bits)
-    named = base
-    for i, (_, k) in enumerate(keys):
-        if cascade is not None:
-            named = named.withColumn(f"_k{i}", k).withColumn(f"_in{i}", F.col(f"_k{i}").isNotNull() & cascade.has(F.col(f"_k{i}")))
-        else:
-            hit = listed.select(F.col("key").alias(f"_l{i}"))
-            named = named.withColumn(f"_k{i}", k)
-            named = named.join(hit, named[f"_k{i}"] == hit[f"_l{i}"], "left").withColumn(f"_in{i}", F.col(f"_l{i}").isNotNull())
+    listed = common.materialize(given.union(listed_hosts.where("host is not null").select(F.concat(F.lit("host:"), "host"))).distinct())
+    shards = 1 + listed.count() * BITS_PER_KEY // max_bits
+    named = base.withColumns({f"_k{i}": k for i, (_, k) in enumerate(keys)}).withColumns({f"_in{i}": F.lit(False) for i in range(len(keys))})
+    for first in range(0, shards, at_once):
+        part = range(first, min(shards, first + at_once))
+        mine = lambda df, s: df.where(shard_of(F.col("key"), shards) == s)
+        cascades = [(s, Cascade.build(mine(listed, s), mine(universe, s))) for s in part]
+        for i in range(len(keys)):
+            key, found = F.col(f"_k{i}"), F.col(f"_in{i}")
+            for s, cascade in cascades:
+                found = F.when(key.isNotNull() & (shard_of(key, shards) == s), cascade.has(key)).otherwise(found)
+            named = named.withColumn(f"_in{i}", found)
+        if part.stop < shards:
+            named = common.materialize(named)
     fits = []
     for i, (tag, _) in enumerate(keys):
         if tag != "host":
