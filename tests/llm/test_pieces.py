@@ -97,6 +97,10 @@ def test_composition_has_one_state_for_each_place_and_last_piece():
     live = t.compose(s)
     assert sum(map(len, filter(None, live))) > 3 and len(live) == len(s) + 1
     assert sum(len(t.lexicon_paths(s, i)) for i in range(len(s))) > 25  # arcs before the grammar
+    r = random.Random(2)
+    for _ in range(400):
+        w = pieces.BAR + "".join(r.choice("aeinorstdl'é日x") for _ in range(r.randrange(0, 25)))
+        assert t.solve(w) == t.shortest(w) and all(len(x) == 1 for x in t.compose(w) if x)
     assert t.solve(s) == sentencepiece.SentencePieceProcessor(model_file=PATH).encode("reconsideration")
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from zonalis.llm import common
 
 BAR = "▁"
-MEMO, PAIRS = 400_000, 1_000_000
+MEMO, PAIRS = 600_000, 1_000_000
 UNIGRAM, MERGES = 1, 2
 
 
@@ -99,7 +99,7 @@ def merges(s: str, score: dict[str, float]) -> tuple[list[tuple[float, str, str]
 class Free:
     """The grammar of a unigram model: one state, and an arc for each piece."""
 
-    known: dict[int, bool] = {}
+    known: dict[int, dict[int, bool]] = {}
 
     @staticmethod
     def to(piece: int) -> int:
@@ -117,7 +117,9 @@ class Grammar:
         self.events, self.text, self.score = events, text, score
         #: Neighbouring characters inside pieces; between others nothing merges.
         self.joint = {p[k : k + 2] for p in score for k in range(len(p) - 1)}
-        self.known: dict[int, bool] = {}
+        #: Arcs that were asked for: of each state, label to whether there is one.
+        self.known: dict[int, dict[int, bool]] = {}
+        self.count = 0
 
     @staticmethod
     def to(piece: int) -> int:
@@ -125,14 +127,13 @@ class Grammar:
 
     def arc(self, a: int, b: int) -> bool:
         """Whether there is an arc from state a with the label b (to state b)."""
-        if a < 0:
-            return True
-        key = a << 20 | b
-        ok = self.known.get(key)
+        known = self.known.setdefault(a, {})
+        ok = known.get(b)
         if ok is None:
-            if len(self.known) >= PAIRS:
-                self.known.clear()
-            ok = self.known[key] = self._arc(a, b)
+            ok = a < 0 or self._arc(a, b)
+            if self.count < PAIRS:
+                self.count += 1
+                known[b] = ok
         return ok
 
     def _arc(self, a: int, b: int) -> bool:
@@ -178,7 +179,7 @@ class Transducer:
         self.first_byte, self.last_byte = min(self.of_byte), max(self.of_byte)
         if any(BAR in p.lstrip(BAR) for p in score):
             raise ValueError("a piece reaches over the start of a word")
-        self.normaliser = {ord(" "): BAR}  # one state; all other labels are copied
+        self.normaliser = {" ": BAR}  # one state; all other labels are copied
         self.lexicon, events = Machine(), {}
         for i, p in enumerate(m.pieces):
             if p.type == 1:
@@ -219,25 +220,27 @@ class Transducer:
         arc; -1 for bytes).
         """
         n, root, single, arc, to = len(s), self.lexicon.root, self.single, self.grammar.arc, self.grammar.to
-        known = self.grammar.known
+        known, none = self.grammar.known, {}
         live: list = [[(-1, 0.0, 0, 0, -1)], *[None] * n]
         for i in range(n):
             here = live[i]
             if here is None:
                 continue
-            for index, (state, cost, _, _, _) in enumerate(here):
-                arcs = root
-                for j in range(i, n):
+            index = 0
+            for state, cost, _, _, _ in here:
+                arcs, j, follow = root, i, known.get(state, none)
+                while j < n:
                     got = arcs.get(s[j])
                     if got is None:
                         break
+                    j += 1
                     arcs, piece, w = got
                     if piece >= 0:
-                        ok = known.get(state << 20 | piece)
+                        ok = follow.get(piece)
                         if ok or ok is None and arc(state, piece):
-                            there = live[j + 1]
+                            there = live[j]
                             if there is None:
-                                live[j + 1] = [(to(piece), cost + w, i, index, piece)]
+                                live[j] = [(to(piece), cost + w, i, index, piece)]
                             else:
                                 self._relax(there, (to(piece), cost + w, i, index, piece))
                 if s[i] not in single:
@@ -246,6 +249,7 @@ class Transducer:
                         live[i + 1] = [new]
                     else:
                         self._relax(live[i + 1], new)
+                index += 1
         return live
 
     @staticmethod
@@ -257,7 +261,7 @@ class Transducer:
                 return
         there.append(new)
 
-    def solve(self, s: str) -> list[int]:
+    def shortest(self, s: str) -> list[int]:
         """Shortest path through the composition of a segment with the machines."""
         live, out, j = self.compose(s), [], len(s)
         _, _, i, index, piece = min(live[j], key=lambda x: x[1])
@@ -271,6 +275,41 @@ class Transducer:
             j = i
             _, _, i, index, piece = live[j][index]
 
+    def solve(self, s: str) -> list[int]:
+        """``shortest``; of a merge model's composition, where the paths that lead to a place are one (the encoding of what
+        is before it), with one state for each place."""
+        if isinstance(self.grammar, Free):
+            return self.shortest(s)
+        n, root, single, arc, known, none = len(s), self.lexicon.root, self.single, self.grammar.arc, self.grammar.known, {}
+        state: list[int | None] = [-1, *[None] * n]
+        place = [0] * (n + 1)
+        for i in range(n):
+            a = state[i]
+            if a is None:
+                continue
+            arcs, j, follow = root, i, known.get(a, none)
+            for c in s[i:]:
+                got = arcs.get(c)
+                if got is None:
+                    break
+                j += 1
+                arcs, piece, _ = got
+                if piece >= 0:
+                    ok = follow.get(piece)
+                    if ok or ok is None and arc(a, piece):
+                        state[j], place[j] = piece, i
+            if s[i] not in single:
+                state[i + 1], place[i + 1] = -1, i
+        out, j = [], n
+        while j:
+            i, a = place[j], state[j]
+            if a >= 0:
+                out.append(a)
+            else:
+                out += [self.byte[b] for b in reversed(s[i:j].encode())]
+            j = i
+        return out[::-1]
+
     def _remember(self, s: str, ids: bytes) -> None:
         young, old = self.memo
         if len(young) >= MEMO // 2:
@@ -279,9 +318,9 @@ class Transducer:
         young[s] = ids
 
     def _segment(self, s: str) -> bytes:
-        """Ids of one segment: from the memo, or cut where no piece reaches over and solved part by part."""
-        old = self.memo[1].get(s)
-        if old is None:
+        """Ids of one segment: from the memo, or cut where no piece leads over and solved part by part."""
+        found = self.memo[1].get(s)
+        if found is None:
             joint, at, parts = self.joint, 0, []
             for k in range(1, len(s)):
                 if s[k - 1 : k + 1] not in joint:
@@ -289,19 +328,21 @@ class Transducer:
                     at = k
             if at:
                 parts.append(s[at:])
-                old = b"".join([self.memo[0].get(x) or self._segment(x) for x in parts])
+                young = self.memo[0]
+                found = b"".join([young.get(x) or self._segment(x) for x in parts])
             else:
                 ids = self.solve(s)
-                old = struct.pack(f"<{len(ids)}i", *ids)
+                found = struct.pack(f"<{len(ids)}i", *ids)
         if len(s) <= 48:
-            self._remember(s, old)
-        return old
+            self._remember(s, found)
+        return found
 
     def encode(self, text: str) -> bytes:
         """Piece ids of a text as little-endian 32-bit integers."""
         if not text:
             return b""
-        text = text.translate(self.normaliser)
+        for label, out in self.normaliser.items():
+            text = text.replace(label, out)
         if self.prefix:
             text = BAR + text
         segments = self.segment.findall(text)
