@@ -83,3 +83,28 @@ def test_contaminated_documents(spark):
     assert sorted(map(str, blocks)) == sorted(map(str, got))
     assert dc.contaminated(df.limit(0), bench).count() == 0
     assert dc.contaminated(df, bench.limit(0)).count() == 0
+
+
+def test_a_phrase_that_many_items_share_and_a_document_repeats():
+    import time
+
+    import pyarrow as pa
+
+    phrase = "one two three four five"
+    items = [(i, f"{phrase} " + " ".join(f"x{i}y{k}" for k in range(20))) for i in range(2000)] + [(9000 + i, phrase) for i in range(2000)]
+    docs = pa.record_batch([pa.array([1, 2]), pa.array([f"{phrase} . " * 2000 + items[3][1], "nothing here"])], ["d", "t"])
+    ix = dc.Index(items, 5)
+    began = time.process_time()
+    (got,) = list(dc._scan(iter([docs]), ix, 0.8))
+    assert time.process_time() - began < 5
+    assert set(got["item_id"].to_pylist()) == {3, *range(9000, 11000)} and set(got["d"].to_pylist()) == {1}
+    assert all(r["coverage"] == 1 and r["n_tiles"] == 1 for r in got.to_pylist())
+
+
+def test_repeated_stretches_tile_an_item_as_often_as_it_has_them():
+    import pyarrow as pa
+
+    part = "a b c d e"
+    docs = pa.record_batch([pa.array([1, 2, 3]), pa.array([f"{part} x " * n for n in (1, 3, 7)])], ["d", "t"])
+    (got,) = list(dc._scan(iter([docs]), dc.Index([(5, f"{part} y " * 3)], 5), 0.8))
+    assert [(r["d"], r["n_tiles"], r["n_covered"]) for r in got.to_pylist()] == [(2, 3, 15), (3, 3, 15)]

@@ -2,7 +2,7 @@
 
 Words are ASCII-lower-cased ``[^\\x20\\x09-\\x0D]+``. Every run of ``least`` words of the benchmark is a seed;
 documents are joined with the seeds as they are read, against an index of at most ``block_bytes`` of
-benchmark text (a larger benchmark goes in several blocks, each against all documents). Where the seeds
+benchmark text (a larger benchmark goes in several blocks, one after the other, each against all documents). Where the seeds
 that a document shares with an item could cover ``threshold`` of the item, tiles are laid: running
 Karp-Rabin finds matches of at least the search length, the longest are marked first, none overlap, and
 the search length falls to ``least``. An item is contaminated where its tiles cover ``threshold`` of it, in
@@ -126,35 +126,50 @@ class Index:
 
 
 def _match(doc: np.ndarray, p: np.ndarray, k: np.ndarray, ix: Index, threshold: float) -> Iterator[tuple]:
-    """Rows of one document: symbols, and where (p) it has which seeds (k)."""
-    by: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
-    for i, s in zip(p.tolist(), k.tolist()):
-        for j in range(ix.at[s], ix.at[s + 1]):
-            qs, ps = by[int(ix.item[j])]
-            qs.append(int(ix.pos[j]))
-            ps.append(i)
-    for item in sorted(by):
-        a = ix.sym[item]
+    """Rows of one document: symbols, and where (p) it has which seeds (k).
+
+    A seed counts once for an item's bound, however often the document or the item has it.
+    """
+    seed, which = np.unique(k, return_inverse=True)
+    size = ix.at[seed + 1] - ix.at[seed]
+    at = np.repeat(ix.at[seed] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    item, pos, of = ix.item[at], ix.pos[at], np.repeat(np.arange(len(seed)), size)
+    order = np.lexsort((pos, item))
+    item, pos, of = item[order], pos[order], of[order]
+    first = np.flatnonzero(np.append(True, item[1:] != item[:-1]))
+    last = np.append(first[1:], len(item)) - 1
+    step = np.append(np.diff(pos), ix.least)
+    step[last] = ix.least
+    bound = np.add.reduceat(np.minimum(step, ix.least), first)
+    done: dict[bytes, tuple | None] = {}
+    for f, l, n in zip(first.tolist(), last.tolist(), bound.tolist()):
+        a = ix.sym[item[f]]
         need = threshold * len(a) - 1e-9
-        qs, ps = by[item]
-        cover = np.zeros(len(a) + 1, np.int64)
-        q = np.unique(qs)
-        np.add.at(cover, q, 1)
-        np.add.at(cover, q + ix.least, -1)
-        if (np.cumsum(cover)[:-1] > 0).sum() < need:
+        if n < need:
             continue
-        starts = np.unique(ps)  # only these parts of the document can be in a tile
-        part: list[int] = []
-        end = -1
-        for s in starts.tolist():
-            if s > end and part:
-                part.append(-1)
-            part += doc[max(s, end) : s + ix.least].tolist()
-            end = s + ix.least
-        got = tiles([int(v) for v in a], part, ix.least)
-        n = sum(t[2] for t in got)
-        if n >= need:
-            yield item, len(a), len(got), n, n / len(a)
+        key = a.tobytes()  # items with equal words have equal tiles
+        if key not in done:
+            mine = np.zeros(len(seed), bool)
+            mine[of[f : l + 1]] = True
+            done[key] = _tiled(a, doc, np.unique(p[mine[which]]), ix.least, need)
+        if done[key]:
+            yield int(item[f]), *done[key]
+
+
+def _tiled(a: np.ndarray, doc: np.ndarray, starts: np.ndarray, least: int, need: float) -> tuple | None:
+    """(words, tiles, words in tiles, coverage) of an item by the parts of a document from which seeds start."""
+    cut = np.flatnonzero(np.diff(starts) > least) + 1
+    part: list[int] = []
+    copies: dict[bytes, int] = defaultdict(int)
+    for lo, hi in zip(np.append(0, cut).tolist(), np.append(cut, len(starts)).tolist()):
+        stretch = doc[starts[lo] : starts[hi - 1] + least]
+        key = stretch.tobytes()
+        copies[key] += 1
+        if copies[key] <= len(a) // least:  # no tiling has use for more
+            part += [*([-1] if part else []), *stretch.tolist()]
+    got = tiles([int(v) for v in a], part, least)
+    n = sum(t[2] for t in got)
+    return (len(a), len(got), n, n / len(a)) if n >= need else None
 
 
 def _scan(batches: Iterator[pa.RecordBatch], ix: Index, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -169,7 +184,7 @@ def _scan(batches: Iterator[pa.RecordBatch], ix: Index, threshold: float) -> Ite
             ids = b.column(0)
             out: list[tuple] = []
             for r in np.unique(row):
-                mine = row == r if len(row) < 10_000 else slice(*np.searchsorted(row, [r, r + 1]))
+                mine = slice(*np.searchsorted(row, [r, r + 1]))
                 lo = first[r]
                 for item, *rest in _match(sym[lo : first[r + 1]], at[mine] - lo, k[mine], ix, threshold):
                     out.append((ids[int(r)].as_py(), ix.ids[item], *rest))
@@ -180,13 +195,14 @@ def _scan(batches: Iterator[pa.RecordBatch], ix: Index, threshold: float) -> Ite
 
 
 def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block_bytes: int):
-    """The benchmark as broadcast lists (item, text), each of about ``block_bytes``."""
+    """(list of (item, text) as a broadcast of about ``block_bytes``, whether another one comes)."""
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = 1 + size // block_bytes
     for n in range(blocks):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == n).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(sorted(((r.i, r.t) for r in part), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
+        part = sorted(((r.i, r.t) for r in part), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        yield benchmark.sparkSession.sparkContext.broadcast(part), n + 1 < blocks
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = LEAST, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -194,12 +210,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     common.ship(docs.sparkSession)
     one = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
     out = None
-    for shared in _blocks(benchmark, item_col, item_text, block_bytes):
+    for shared, more in _blocks(benchmark, item_col, item_text, block_bytes):
 
         def scan(it, shared=shared):
             return _scan(it, Index(shared.value, least), threshold)
 
         found = one.mapInArrow(scan, SCHEMA)
+        if more:  # one block at a time is in memory
+            found = common.materialize(found)
+            shared.destroy()
         out = found if out is None else out.union(found)
     return out.withColumnRenamed("d", id_col)
 
@@ -218,12 +237,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     """All columns of the rows that give no item of the benchmark away."""
     common.ship(docs.sparkSession)
     at, out = docs.columns.index(text_col), docs
-    for shared in _blocks(benchmark, item_col, item_text, block_bytes):
+    for shared, more in _blocks(benchmark, item_col, item_text, block_bytes):
 
         def scan(it, shared=shared):
             return _clean(it, at, Index(shared.value, least), threshold)
 
         out = out.mapInArrow(scan, docs.schema)
+        if more:
+            out = common.materialize(out)
+            shared.destroy()
     return out
 
 
