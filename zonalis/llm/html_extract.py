@@ -5,9 +5,13 @@ are its ancestors' tags and class words and what its text looks like; labels are
 is trained in numpy, by gradient ascent on the exact log-likelihood, on labelled pages that are made here from
 layouts (``training_pages``); Viterbi decoding labels each page's blocks as one chain.
 
-A block's character references are decoded, its white space becomes one space, blocks are joined in page order
-by a line feed. Scripts, styles, templates, comments, the head and titles are never text; what other elements hold
-(formulas, fallbacks) is, and the field labels it.
+Reader comments are told by more than class words: by the heading over them, by bylines, and by named boxes that
+stand beside others of the same name.
+
+A block's character references are decoded, its white space (as ``str.split`` has it, so with no-break spaces) becomes one
+space, blocks are joined in page order by a line feed. Scripts, styles, templates, comments, the head and titles are never
+text; what other elements hold (formulas, fallbacks) is, and the field labels it. Reading takes time and memory in
+proportion to the page: open elements are linked to their parents and found by tag.
 
 Defined cases: null, empty or text-free html has the text "" and 0 characters; html without any tag is one
 block; broken markup is read as far as it goes; repeated rows and ids are kept; null ids and urls stay null; an
@@ -20,7 +24,6 @@ import html as charrefs
 import random
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,7 @@ CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option", "optgroup"]),
     "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr", "tbody", "tfoot"]),
     **{f"h{k}": frozenset(f"h{j}" for j in range(1, 7)) for k in range(1, 7)},
-    "head": frozenset(["body", "article", "div", "p", "nav", "header", "main", "section", "footer", "ul", "h1", "table"]),
+    "head": frozenset(["head", "body", "article", "div", "p", "nav", "header", "main", "section", "footer", "ul", "h1", "table"]),
 }
 _SCOPE = frozenset("ul ol table div section article main aside nav header footer form blockquote td body".split())
 _MARK = re.compile(r"<(?:!--(?:.*?-->|.*)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*)|[^>]*)(?:>|\Z))", re.S)
@@ -46,42 +49,93 @@ _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _WORD = re.compile(r"[a-z]+")
 
 
+class Node:
+    """An open element; ``feats`` are the features of all elements from the page's root to it."""
+
+    __slots__ = ("tag", "names", "parent", "feats", "twins")
+
+    def __init__(self, tag: str, names: str, parent: "Node | None", known):
+        self.tag, self.names, self.parent = tag, names, parent
+        feats = parent.feats if parent else _BIAS
+        if tag not in ("html", "body"):
+            new = [f"in:{tag}", *(f"is:{n}" for n in names.split()), *(f"like:{n[k : k + 4]}" for n in names.split() for k in range(len(n) - 3))]
+            if known is not None:
+                new = [f for f in new if f in known]
+            if not feats.issuperset(new):
+                feats = feats.union(new)
+        self.feats: frozenset[str] = feats
+        self.twins: dict[tuple[str, str], int] = {}
+
+
+_BIAS = frozenset(["bias"])
+
+
 class Block:
-    __slots__ = ("path", "text", "linked")
+    __slots__ = ("node", "text", "linked", "seen", "twin")
 
-    def __init__(self, path: tuple, text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    def __init__(self, node: Node, text: str, linked: int, seen: bool, twin: tuple[Node, tuple[str, str]] | None):
+        self.node, self.text, self.linked, self.seen, self.twin = node, text, linked, seen, twin
 
 
-def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order: ancestors as (tag, class words), text, characters inside links."""
+def blocks(page: str | None, known=None) -> list[Block]:
+    """Leaf blocks in page order: innermost element, text, characters inside links, whether an article has ended before, and the
+    innermost named box as (its parent, its tag and names). Of the elements' features only ``known`` ones are kept."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    root = Node("", "", None, known)
+    stack: list[Node] = []
+    where: dict[str, list[int]] = {}  # places on the stack by tag
+    blocky: list[int] = []  # of block elements
+    marks: list[int] = []  # of elements that an opening tag may close or stops at
+    boxes: list[tuple[int, tuple[Node, tuple[str, str]]]] = []  # of boxes with a name
     held: list[str] = []
-    state = {"linked": 0, "links": 0, "drop": 0}
+    linked = drop = 0
+    seen = False
     if not page:
         return out
 
     def flush():
+        nonlocal linked
         if held:
             text = " ".join(charrefs.unescape("".join(held)).split())
             if text:
-                out.append(Block(tuple(stack), text, min(state["linked"], len(text))))
+                out.append(Block(stack[-1] if stack else root, text, min(linked, len(text)), seen, boxes[-1][1] if boxes else None))
             held.clear()
-        state["linked"] = 0
+        linked = 0
+
+    def push(tag, names):
+        nonlocal drop
+        at, parent = len(stack), stack[-1] if stack else root
+        stack.append(Node(tag, names, parent, known))
+        where.setdefault(tag, []).append(at)
+        if tag in BLOCK:
+            blocky.append(at)
+            if names and tag in _BOX:
+                key = (tag, names)
+                parent.twins[key] = parent.twins.get(key, 0) + 1
+                boxes.append((at, (parent, key)))
+        if tag in CLOSES or tag in _SCOPE:
+            marks.append(at)
+        drop += tag in DROP
 
     def pop():
-        tag, _ = stack.pop()
-        if tag in DROP:
-            state["drop"] -= 1
-        elif tag == "a":
-            state["links"] -= 1
+        nonlocal drop, seen
+        at = len(stack) - 1
+        tag = stack.pop().tag
+        where[tag].pop()
+        for places in (blocky, marks):
+            if places and places[-1] == at:
+                places.pop()
+        if boxes and boxes[-1][0] == at:
+            boxes.pop()
+        drop -= tag in DROP
+        seen = seen or tag in ("article", "main")
 
     def add(text):
-        if text and not state["drop"]:
+        nonlocal linked
+        if text and not drop:
             held.append(text)
-            if state["links"]:
-                state["linked"] += len(text)
+            if where.get("a"):
+                linked += len(text)
 
     at = 0
     while True:
@@ -96,23 +150,23 @@ def blocks(page: str | None) -> list[Block]:
             continue
         tag = tag.lower()
         if m[1]:
-            if any(t == tag for t, _ in stack):
+            if where.get(tag):
+                last = where[tag][-1]
                 if tag in BLOCK or tag in DROP:
                     flush()
-                elif any(t in BLOCK for t, _ in stack[max(i for i, (t, _) in enumerate(stack) if t == tag) + 1 :]):
+                elif blocky and blocky[-1] > last:
                     continue  # an inline end tag does not close blocks
-                while True:
-                    top = stack[-1][0]
+                while len(stack) > last:
                     pop()
-                    if top == tag:
-                        break
             elif tag in ("p", "br"):
                 held.append(" ")
             continue
         if tag in BLOCK or tag in DROP:
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                open_tag = stack[i][0]
+            k = len(marks) - 1
+            while k >= 0:
+                i = marks[k]
+                open_tag = stack[i].tag
                 if tag in CLOSES.get(open_tag, ()):
                     while len(stack) > i:
                         pop()
@@ -120,22 +174,15 @@ def blocks(page: str | None) -> list[Block]:
                         break
                 elif open_tag in _SCOPE:
                     break
+                k = min(k, len(marks)) - 1
         elif tag == "br":
             held.append(" ")
         if tag in VOID:
             continue
         names = " ".join(_WORD.findall(" ".join(a or b or c for a, b, c in _NAMED.findall(m[3])).lower())) if m[3] else ""
-        if tag == "a":
-            state["links"] += 1
-        elif tag in DROP:
-            state["drop"] += 1
         if not m[3].endswith("/") or tag in BLOCK:
-            stack.append((tag, names))
-        elif tag == "a":
-            state["links"] -= 1
-        elif tag in DROP:
-            state["drop"] -= 1
-        if tag in RAW and stack and stack[-1][0] == tag:
+            push(tag, names)
+        if tag in RAW and stack and stack[-1].tag == tag:
             end = re.compile(rf"</{tag}\b", re.I).search(page, at)
             stop = end.start() if end else len(page)
             if tag == "xmp":  # its text is no markup
@@ -147,33 +194,43 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-@lru_cache(maxsize=20_000)
-def _path_features(path: tuple) -> tuple[str, ...]:
-    out = {"bias"}
-    for depth, (tag, names) in enumerate(reversed(path)):
-        if tag in ("html", "body"):
-            continue
-        out.add(f"in:{tag}")
-        if depth == 0:
-            out.add(f"own:{tag}")
-        for n in names.split():
-            out.add(f"is:{n}")
-    return tuple(sorted(out))
+_HEADS = frozenset("h1 h2 h3 h4 h5 h6 legend summary dt".split())
+_BOX = frozenset("div li section article aside ul ol dl dd blockquote table tr td fieldset figure".split())
+_TALK = re.compile(r"\b(?:comments?|repl(?:y|ies)|responses?|discussions?|leave a|join the|kommentare?|commentaires?|comentarios?|said|talk ?back)\b", re.I)
+_SAYS = re.compile(r"\b(?:says?|said|wrote|writes|replied|commented|schrieb|dit|dijo)\s*:?$|\bago\b|^(?:reply|report|like|permalink|antworten|répondre|responder)$|^(?:posted|by)\b", re.I)
 
 
-def features(b: Block) -> tuple[str, ...]:
+def features(b: Block, head: str = "") -> tuple[str, ...]:
+    """Features of a block: its elements, its text, and the heading that it stands under."""
     n = len(b.text)
     words = b.text.count(" ") + 1
     linked = b.linked / n
-    return _path_features(b.path) + (
+    inside = b.node.feats
+    return (
+        *inside,
+        f"own:{b.node.tag}",
         f"words:{min(7, words.bit_length())}",
         f"linked:{0 if linked == 0 else 1 if linked < 0.4 else 2 if linked < 0.9 else 3}",
         f"stop:{b.text[-1] in '.!?…:;\"'}",
         f"bars:{'|' in b.text or '»' in b.text}",
         f"rights:{'©' in b.text or '&copy' in b.text or 'copyright' in b.text[:80].lower()}",
+        f"after:{b.seen and 'in:article' not in inside and 'in:main' not in inside}",
+        f"twins:{min(3, b.twin[0].twins[b.twin[1]]) if b.twin else 0}",
+        f"says:{words <= 12 and bool(_SAYS.search(b.text))}",
+        f"talk:{bool(head) and bool(_TALK.search(head))}",
     )
 
 
+def chain(got: list[Block]) -> list[tuple[str, ...]]:
+    """Features of a page's blocks."""
+    out, head = [], ""
+    for b in got:
+        if b.node.tag in _HEADS:
+            head = b.text[:80] if b.text.count(" ") < 8 else ""
+        out.append(features(b, head))
+    return out
+
+
 class Field:
     """Linear-chain CRF with two labels (0 other, 1 main text)."""
 
@@ -185,20 +242,21 @@ class Field:
     def train(cls, chains: list[tuple[list[tuple[str, ...]], list[int]]], rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> "Field":
         names = {f: i for i, f in enumerate(sorted({f for fs, _ in chains for b in fs for f in b}))}
         n, steps = len(chains), max(len(y) for _, y in chains)
-        x = np.zeros((n, steps, len(names)), np.float32)
         y, mask = np.zeros((n, steps), int), np.zeros((n, steps), bool)
-        for i, (fs, labels) in enumerate(chains):
-            for t, b in enumerate(fs):
-                x[i, t, [names[f] for f in b]] = 1
+        for i, (_, labels) in enumerate(chains):
             y[i, : len(labels)], mask[i, : len(labels)] = labels, True
+        # the features of all blocks, one block after the other in the order of the mask
+        at = np.array([names[f] for fs, _ in chains for b in fs for f in b])
+        size = np.array([len(b) for fs, _ in chains for b in fs])
+        first = np.cumsum(size) - size
         gold = np.eye(2)[y] * mask[..., None]
-        pairs = np.einsum("nta,ntb->ab", gold[:, :-1], gold[:, 1:])
-        flat, total = x.reshape(-1, len(names)), mask.sum()
+        pairs, total = np.einsum("nta,ntb->ab", gold[:, :-1], gold[:, 1:]), mask.sum()
         theta = [np.zeros((len(names), 2)), np.zeros((2, 2)), np.zeros(2)]
         moments = [[np.zeros_like(p), np.zeros_like(p)] for p in theta]
         for step in range(1, rounds + 1):
             w, trans, start = theta
-            score = (flat @ w.astype(np.float32)).reshape(n, steps, 2).astype(float)
+            score = np.zeros((n, steps, 2))
+            score[mask] = np.add.reduceat(w[at], first)
             alpha, beta = np.zeros((n, steps, 2)), np.zeros((n, steps, 2))
             alpha[:, 0] = start + score[:, 0]
             for t in range(1, steps):
@@ -211,7 +269,9 @@ class Field:
             node = np.exp(alpha + beta - logz[:, None, None]) * mask[..., None]
             edge = alpha[:, :-1, :, None] + trans + (score[:, 1:] + beta[:, 1:])[:, :, None, :] - logz[:, None, None, None]
             edge = (np.exp(np.minimum(edge, 0)) * mask[:, 1:, None, None]).sum(axis=(0, 1))
-            grads = [flat.T @ (gold - node).reshape(-1, 2), pairs - edge, (gold - node)[:, 0].sum(axis=0)]
+            off = np.repeat((gold - node)[mask], size, axis=0)
+            slope = np.stack([np.bincount(at, off[:, k], len(names)) for k in range(2)], axis=1)
+            grads = [slope, pairs - edge, (gold - node)[:, 0].sum(axis=0)]
             for p, g, (m1, m2) in zip(theta, grads, moments):
                 g = g / total - decay * p
                 m1 += 0.1 * (g - m1)
@@ -304,6 +364,26 @@ def training_pages(count: int = 400, seed: int = 11) -> Iterator[tuple[str, list
                 leaf(r.choice(["p", "a", "span"]), words(1, 6), 0)
                 out.append("</div>")
 
+        def talk():
+            """Reader comments; their boxes have all kinds of names, or none."""
+            box = r.choice(["section", "div", "div", "ol", "ul", "aside"])
+            whole = name(*"comments comment-list commentlist comments-area reader-comments replies responses respond disqus_thread discussion thread feedback conversation talkback".split())
+            out.append(f"<{box}{whole if r.random() < 0.7 else name(word())}>")
+            if r.random() < 0.75:
+                cue = r.choice([f"{r.randrange(1, 90)} comments", "Comments", "Responses", "Leave a reply", "Join the discussion", "Reader replies", f"{r.randrange(2, 20)} responses to {words(1, 4)}", "What readers said", words(1, 3)])
+                leaf(r.choice(["h2", "h3", "h4", "div", "p"]), cue, 0)
+            item, attr = ("li" if box in ("ol", "ul") else r.choice(["div", "article", "section"])), r.choice([name("comment", "reply", "comment-body", "post-reply", "response", "message"), name(word())])
+            for _ in range(r.randrange(1, 6)):
+                out.append(f"<{item}{attr}>")
+                if r.random() < 0.6:
+                    leaf(r.choice(["div", "p", "cite", "header", "h5"]) if item != "li" else r.choice(["div", "p"]), r.choice([f"{word()} says:", f"{word()} wrote:", f"{word()} {word()} said", f"{r.randrange(2, 20)} hours ago", f"Posted by {word()}", word()]), 0) if r.random() < 0.9 else None
+                for _ in range(r.randrange(1, 3)):
+                    leaf("p", r.choice([sentences(1, 4), words(2, 9)]), 0)
+                if r.random() < 0.4:
+                    leaf(r.choice(["div", "button"]), r.choice(["Reply", "Report", "Like", "Permalink", words(1, 2)]), 0)
+                out.append(f"</{item}>")
+            out.append(f"</{box}>")
+
         def main():
             box = r.choice(["article", "article", "article", "main", "div", "section"])
             attr = name("content", "main", "post", "article", "entry", "article-body", "post-content") if box in ("div", "section") or r.random() < 0.3 else ""
@@ -335,8 +415,18 @@ def training_pages(count: int = 400, seed: int = 11) -> Iterator[tuple[str, list
                     out.append("</tr></table>")
                 elif kind == 14 and r.random() < 0.5:
                     notice()
+                elif kind == 15 and r.random() < 0.5:  # named boxes that repeat are not always comments
+                    part = name("section", "paragraph", "chapter", "block", "text", word())
+                    for _ in range(r.randrange(2, 4)):
+                        out.append(f"<div{part}>")
+                        if r.random() < 0.4:
+                            leaf("h3", r.choice([words(1, 5), "Discussion", "Response of the board"]), 1)
+                        leaf("p", sentences(1, 5), 1)
+                        out.append("</div>")
                 else:
                     out.append(f"<script>var {word()}='<p>';</script>")
+            if r.random() < 0.15:
+                talk()
             out.append(f"</{box}>")
 
         out.append(f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title><style>p{{}}</style></head><body>")
@@ -354,14 +444,8 @@ def training_pages(count: int = 400, seed: int = 11) -> Iterator[tuple[str, list
                 notice()
         main()
         if not bare:
-            if r.random() < 0.35:
-                out.append(f"<{(box := r.choice(['section', 'div']))}{name('comments', 'comment-list', 'reader-comments', 'replies')}>")
-                leaf("h3", words(1, 3), 0)
-                for _ in range(r.randrange(1, 5)):
-                    out.append(f"<div{name('comment', 'reply')}>")
-                    leaf("p", sentences(1, 4), 0)
-                    out.append("</div>")
-                out.append(f"</{box}>")
+            if r.random() < 0.4:
+                talk()
             for _ in range(r.randrange(2)):
                 notice()
             if r.random() < 0.85:
@@ -380,13 +464,13 @@ def train(count: int = 400, seed: int = 11) -> Field:
     for page, labels in training_pages(count, seed):
         got = blocks(page)
         if len(got) == len(labels) and got:
-            chains.append(([features(b) for b in got], labels))
+            chains.append((chain(got), labels))
     return Field.train(chains)
 
 
 def main_text(page: str | None, field: Field) -> str:
-    got = blocks(page)
-    return "\n".join(b.text for b, y in zip(got, field.decode([features(b) for b in got])) if y)
+    got = blocks(page, field.w)
+    return "\n".join(b.text for b, y in zip(got, field.decode(chain(got))) if y)
 
 
 def _extract(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
