@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from zonalis.llm import common
 
-WIDTH, PREFIX, STRETCH, CAP = 13, 5, 16, 4 << 20
+WIDTH, PREFIX, STRETCH, CAP, SALTS = 13, 5, 16, 4 << 20, 16
 _COEF = np.random.default_rng(99).integers(0, 2**63, STRETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -245,7 +245,10 @@ def marks(rows: DataFrame, width: int = WIDTH, prefix: int = PREFIX, cap: int =
         each = usable.join(long, ["r", "d"]).select("r", "d", "t", "many")
         each = common.materialize(each.mapInArrow(lambda it: _window_rows(it, width, prefix), "r long, d long, start int, p long, q long"))
         node = each.groupBy("p", "q").agg(F.min("d").alias("low"), F.max("d").alias("top")).where("low < top").select("p", "q", "low")
-        found = found.union(each.join(node, ["p", "q"]).where("low < d").select("r", "d", "start", F.lit(1).alias("bits")))
+        # a node may have a third of all rows: both sides are dealt by a salt too
+        salted = each.withColumn("s", F.pmod(F.xxhash64("r", "start"), F.lit(SALTS)).cast("int"))
+        node = node.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = found.union(salted.join(node, ["p", "q", "s"]).where("low < d").select("r", "d", "start", F.lit(1).alias("bits")))
     out = common.materialize(found.groupBy("r", "d").agg(F.collect_set(F.struct("start", "bits")).alias("marks")))
     common.discard(lists, *([each] if each is not None else []))
     return out
