@@ -34,9 +34,9 @@ def test_query_gives_what_its_sql_gives(spark, duck, name):
     order = sorted(got.columns)
     mine = sorted([plain(r[c]) for c in order] for r in got.collect())
     theirs = sorted([plain(dict(zip(want.columns, r))[c]) for c in order] for r in want.fetchall())
-    assert len(mine) == len(theirs)
+    assert len(mine) == len(theirs) > 0
     assert mine == theirs
 
 
-def test_every_query_but_the_dual_has_sql():
-    assert set(QUERIES) - set(ORACLE) == {"maxent_alloc"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE)

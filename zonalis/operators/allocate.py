@@ -6,17 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.functions.scalar import finite, kernel, masked_power
-from zonalis.operators import distance
+from zonalis.operators import distance, graph
 
 
-def normalize(df: DataFrame, weight: Column | str, totals: DataFrame, on_zero: str = "uniform", by: tuple[str, ...] = ("region",), value: str = "value") -> DataFrame:
+def normalize(df: DataFrame, weight: Column | str, totals: DataFrame, on_zero: str = "uniform", by: tuple[str, ...] = ("region",), value: str = "value", settle: bool = False) -> DataFrame:
     """Adds ``value``; ``totals`` has the keys ``by`` and x_total.
 
-    Where the weights' sum is not a positive number: equal shares (uniform), 0 (zero) or null (null).
+    Where the weights' sum is not a positive number: equal shares (uniform), 0 (zero) or null (null). The weights are read
+    twice, for their sum and for the shares; with ``settle`` they are written in between, as dear ones should be.
     """
     if on_zero not in ("uniform", "zero", "null"):
         raise ValueError(f"unknown on_zero {on_zero!r}")
     w = df.withColumn("_w", F.col(weight) if isinstance(weight, str) else weight)
+    w = graph.settle(w) if settle else w
     sums = w.groupBy(*by).agg(F.sum("_w").alias("_s"), F.count("*").alias("_n")).join(totals.select(*by, "x_total"), list(by))
     other = {"uniform": F.col("x_total") / F.col("_n"), "zero": F.lit(0.0), "null": F.lit(None).cast("double")}[on_zero]
     ok = finite(F.col("_s")) & (F.col("_s") > 0)
@@ -29,16 +31,16 @@ def area(cells: DataFrame, totals: DataFrame) -> DataFrame:
 
 def proximity(cells: DataFrame, totals: DataFrame) -> DataFrame:
     """0.7 / (distance to the centre + 1) + 0.3 / (distance to the nearest place + 1)."""
-    return normalize(cells, 0.7 / (F.col("dist_to_center_km") + 1) + 0.3 / (F.col("dist_to_city_km") + 1), totals, "null")
+    return normalize(cells, 0.7 / (F.col(distance.centre_column(cells)) + 1) + 0.3 / (F.col("dist_to_city_km") + 1), totals, "null", settle=True)
 
 
 def remoteness(cells: DataFrame, totals: DataFrame) -> DataFrame:
     """Distance to the nearest place / (distance to the centre + 1)."""
-    return normalize(cells, F.col("dist_to_city_km") / (F.col("dist_to_center_km") + 1), totals, "null")
+    return normalize(cells, F.col("dist_to_city_km") / (F.col(distance.centre_column(cells)) + 1), totals, "null", settle=True)
 
 
 def nearest_place(cells: DataFrame, totals: DataFrame) -> DataFrame:
-    return normalize(cells, 1 / (F.col("dist_to_city_km") + 1), totals, "null")
+    return normalize(cells, 1 / (F.col("dist_to_city_km") + 1), totals, "null", settle=True)
 
 
 def population(cells: DataFrame, totals: DataFrame) -> DataFrame:
@@ -69,10 +71,39 @@ def decay(cells: DataFrame, places: DataFrame, totals: DataFrame, scale: float,
     return on_weights(cells, found, totals)
 
 
+def decay_network(cells: DataFrame, places: DataFrame, minutes: DataFrame, totals: DataFrame, scale: float, kind: str = "exp", beta: float = 1.0, buffer_km: float | None = 30.0) -> DataFrame:
+    """Gravity allocation by travel minutes (region, cell_id, place_id, d); places out of the buffer are left out as in ``decay``."""
+    near = distance.within_buffer(places, cells, buffer_km) if buffer_km is not None else places
+    mass = masses(near, beta).select("place_id", "mass")
+    return on_weights(cells, potential(minutes.join(mass, "place_id"), scale, kind), totals)
+
+
 def on_weights(cells: DataFrame, weights: DataFrame, totals: DataFrame) -> DataFrame:
     """Allocation by weights (region, cell_id, weight); cells without one have 0."""
     w = cells.join(weights, ["region", "cell_id"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    return normalize(w, "weight", totals, "uniform")
+    return normalize(w, "weight", totals, "uniform", settle=True)
+
+
+#: Methods whose weights are made from a cell alone: weight and what a sum of zero gives.
+SIMPLE = {
+    "area": (lambda: F.col("area_km2"), "null"),
+    "population": (lambda: F.col("population"), "null"),
+    "elasticity": (lambda: masked_power(F.col("population"), 2.77), "zero"),
+}
+
+
+def several(cells: DataFrame, totals: DataFrame, methods: tuple[str, ...]) -> DataFrame:
+    """(region, cell_id, method, value) of ``SIMPLE`` methods: one aggregate over the cells and one pass for all of them."""
+    w = cells.select("region", "cell_id", *[SIMPLE[m][0]().alias(f"_w{k}") for k, m in enumerate(methods)])
+    sums = w.groupBy("region").agg(*[F.sum(f"_w{k}").alias(f"_s{k}") for k in range(len(methods))]).join(totals.select("region", "x_total"), "region")
+
+    def share(k: int, method: str) -> Column:
+        s = F.col(f"_s{k}")
+        other = F.lit(0.0 if SIMPLE[method][1] == "zero" else None).cast("double")
+        return F.struct(F.lit(method).alias("method"), F.when(finite(s) & (s > 0), F.col("x_total") * F.col(f"_w{k}") / s).otherwise(other).alias("value"))
+
+    each = F.array(*[share(k, m) for k, m in enumerate(methods)])
+    return w.join(sums, "region").select("region", "cell_id", F.explode(each).alias("m")).select("region", "cell_id", "m.method", "m.value")
 
 
 def rescale(df: DataFrame, factor: float = 1000.0, value: str = "value") -> DataFrame:
@@ -87,6 +118,8 @@ def run(cells: DataFrame, totals: DataFrame, method: str, **options) -> DataFram
         return known[method](cells, totals, **options)
     if method == "decay":
         return decay(cells, options.pop("places"), totals, **options)
+    if method == "network":
+        return decay_network(cells, options.pop("places"), options.pop("minutes"), totals, **options)
     if method == "maxent":
         from zonalis.operators import maxent
 

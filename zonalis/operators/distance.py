@@ -5,13 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A side of a join is sent to all executors only where it has at most so many rows.
-BROADCAST_ROWS = 50_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table, marked for broadcast if a count shows that it is small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Places are repeated for so many parts of a region's cells, so that a join on a few regions has many tasks.
+SALTS = 16
 
 
 def project(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -27,22 +22,62 @@ def km(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 
 
 def pairs(cells: DataFrame, places: DataFrame, *keep: str) -> DataFrame:
-    """(region, cell_id, place_id, d, kept place columns) of all cells and places of a region: an equi-join on the region."""
-    p = places.select(F.col("region").alias("_r"), "place_id", F.col("x").alias("_px"), F.col("y").alias("_py"), *keep)
-    j = cells.join(small(p), cells.region == p._r)
-    return j.select(cells.region, cells.cell_id, "place_id", km(cells.x, cells.y, F.col("_px"), F.col("_py")).alias("d"), *keep)
+    """(region, cell_id, place_id, d, kept place columns) of all cells and places of a region.
 
+    An equi-join on the region and a salt of the cell: a region's cells are dealt to ``SALTS`` tasks, each with all its
+    places. Catalyst sends the places to all executors where their size allows.
+    """
+    p = places.select(F.col("region").alias("_r"), "place_id", F.col("x").alias("_px"), F.col("y").alias("_py"), *keep, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
+    c = cells.select("region", "cell_id", "x", "y")
+    j = c.join(p, (c.region == p._r) & (F.pmod(F.xxhash64(c.cell_id), F.lit(SALTS)).cast("int") == p._s))
+    return j.select("region", "cell_id", "place_id", km(F.col("x"), F.col("y"), F.col("_px"), F.col("_py")).alias("d"), *keep)
 
-def nearest(cells: DataFrame, places: DataFrame) -> DataFrame:
-    """(region, cell_id, dist_to_city_km, place_id): each cell's nearest place, of equal ones the least id."""
-    best = F.min(F.struct("d", "place_id")).alias("b")
-    return pairs(cells, places).groupBy("region", "cell_id").agg(best).select("region", "cell_id", F.col("b.d").alias("dist_to_city_km"), F.col("b.place_id").alias("place_id"))
 
+def nearest(cells: DataFrame, places: DataFrame, square_km: float = 25.0) -> DataFrame:
+    """(region, cell_id, dist_to_city_km, place_id): each cell's nearest place, of equal ones the least id.
 
-def to_point(cells: DataFrame, centres: DataFrame) -> DataFrame:
-    """Cells with dist_to_center_km, the distance to their region's one centre (region, cx, cy)."""
+    Cells are gathered in squares. A square's candidates are the places that are no farther from its middle than its
+    nearest place and one diagonal more: no other can be nearest to any of its cells. Squares, not cells, meet all
+    places, and cells meet their square's candidates.
+    """
+    size = square_km * 1000.0
+    bx, by = F.floor(F.col("x") / size), F.floor(F.col("y") / size)
+    at = cells.select("region", "cell_id", "x", "y", bx.alias("_bx"), by.alias("_by"))
+    squares = at.select("region", "_bx", "_by").distinct()
+    middle = squares.select("region", F.struct("_bx", "_by").alias("cell_id"), ((F.col("_bx") + 0.5) * size).alias("x"), ((F.col("_by") + 0.5) * size).alias("y"))
+    met = pairs(middle, places.select("region", "place_id", "x", "y", F.col("x").alias("px"), F.col("y").alias("py")), "px", "py")
+    low = met.groupBy("region", "cell_id").agg(F.min("d").alias("_low"))
+    reach = square_km * 2**0.5 * (1 + 1e-9)
+    near = met.join(low, ["region", "cell_id"]).where(F.col("d") <= F.col("_low") + reach).select("region", "cell_id._bx", "cell_id._by", "place_id", "px", "py")
+    best = F.min(F.struct(km(F.col("x"), F.col("y"), F.col("px"), F.col("py")).alias("d"), "place_id")).alias("b")
+    found = at.join(near, ["region", "_bx", "_by"]).groupBy("region", "cell_id").agg(best)
+    return found.select("region", "cell_id", F.col("b.d").alias("dist_to_city_km"), F.col("b.place_id").alias("place_id"))
+
+
+def to_point(cells: DataFrame, centres: DataFrame, name: str = "dist_to_center_km") -> DataFrame:
+    """Cells with the distance to their region's one centre (region, cx, cy) as ``name``."""
     c = centres.select(F.col("region").alias("_r"), "cx", "cy")
-    return cells.join(small(c), cells.region == c._r).withColumn("dist_to_center_km", km(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))).drop("_r", "cx", "cy")
+    return cells.join(c, cells.region == c._r).withColumn(name, km(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))).drop("_r", "cx", "cy")
+
+
+def attach(cells: DataFrame, places: DataFrame, centres: DataFrame, capital: tuple[float, float] | None = None, capital_of: str | None = None) -> DataFrame:
+    """Cells with dist_to_center_km and dist_to_city_km, and, where a capital's (x, y) is given, dist_to_moscow_km for the
+    cells of the region ``capital_of`` (null for others). A helper column ``centroid`` goes."""
+    near = nearest(cells, places).select("region", "cell_id", "dist_to_city_km")
+    out = to_point(cells.drop("centroid"), centres)
+    if capital is not None:
+        x, y = (F.lit(float(v)) for v in capital)
+        mine = F.lit(True) if capital_of is None else F.col("region") == capital_of
+        out = out.withColumn("dist_to_moscow_km", F.when(mine, km(F.col("x"), F.col("y"), x, y)))
+    return out.join(near, ["region", "cell_id"])
+
+
+def centre_column(cells: DataFrame) -> str:
+    """The column that stands for the distance to the centre: to the centre, else to the capital, else to a town."""
+    for name in ("dist_to_center_km", "dist_to_moscow_km", "dist_to_city_km"):
+        if name in cells.columns:
+            return name
+    raise ValueError("no distance column")
 
 
 def within_buffer(places: DataFrame, cells: DataFrame, radius_km: float = 30.0) -> DataFrame:

@@ -10,20 +10,23 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonalis.operators import distance
-
 OFFROAD_KMH = 25.0
+_local: dict[str, str] = {}
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """The table written to the shared folder in spark.checkpoint.dir and read again: loops keep no lineage."""
+    """The table written to the shared folder in spark.checkpoint.dir and read again: loops keep no lineage. Only a local
+    session (tests) may go without that setting."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="zonalis-")
-        atexit.register(shutil.rmtree, base, True)
-        base = f"file://{base}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
+        base = _local.get(spark.sparkContext.applicationId)
+        if not base:
+            folder = tempfile.mkdtemp(prefix="zonalis-")
+            atexit.register(shutil.rmtree, folder, True)
+            base = _local[spark.sparkContext.applicationId] = f"file://{folder}"
     path = f"{base.rstrip('/')}/zonalis/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -111,7 +114,7 @@ def travel_minutes(cells: DataFrame, places: DataFrame, nodes: DataFrame, edges:
     t = times.withColumnsRenamed({"place_id": "_p", "node": "_n"})
     cc = cells.select("region", "cell_id").join(c, "cell_id")
     pp = places.select(F.col("region").alias("_r"), "place_id").join(p, "place_id")
-    both = cc.join(distance.small(pp), cc.region == pp._r)
+    both = cc.join(pp, cc.region == pp._r)
     j = both.join(t, (both.place_id == t._p) & (both.c_node == t._n), "left")
     return j.select("region", "cell_id", "place_id", F.coalesce(F.col("sec") / 60 + (F.col("c_off") + F.col("p_off")) * per_m, F.lit(float("inf"))).alias("d"))
 

@@ -1,7 +1,7 @@
 """Grids over boxes and polygons, clipping, zonal sums. Coordinates are Web Mercator metres.
 
-A border is (region, part, ring, is_hole, pts array<struct<x, y>>), rings closed or not. Interior cells never
-meet Python: a cell is cut only where a border edge may cross it.
+A border is (region, part, ring, is_hole, pts array<struct<x, y>>), rings closed or not. A cell is cut in Python only
+where an edge of the border may cross it; the cells between are made from ranges by Spark.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ def lattice(boxes: DataFrame, size: float = 1000.0) -> DataFrame:
     """(region, ix, iy) of all squares that boxes (region, xmin, ymin, xmax, ymax) touch, snapped outward."""
     s = F.lit(float(size))
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / s), F.ceil(F.col(hi) / s) - 1)
-    return boxes.withColumn("ix", F.explode(span("xmin", "xmax"))).withColumn("iy", F.explode(span("ymin", "ymax")))
+    # the columns of squares are dealt out before each is filled, so that a large box is not one task
+    columns = boxes.withColumn("ix", F.explode(span("xmin", "xmax"))).repartition("region", "ix")
+    return columns.withColumn("iy", F.explode(span("ymin", "ymax")))
 
 
 def box_grid(boxes: DataFrame, size: float = 1000.0) -> DataFrame:
@@ -108,38 +110,70 @@ def simplify(pts: np.ndarray, tolerance: float) -> np.ndarray:
     return pts[keep]
 
 
-def _ring_cells(batches: Iterator[pa.RecordBatch], size: float) -> Iterator[pa.RecordBatch]:
-    """Rings to the parts of cells they cover: (region, ix, iy, area, mx, my); holes count negative.
+CHUNK = 64  # columns of cells in one task's share of a ring
+
+
+def _column(ring: np.ndarray, ix: int, size: float, big: float) -> Iterator[tuple[int, int, float, float, float]]:
+    """The cells of one column of a ring: (first iy, iy after the last, area, mx, my); whole cells as ranges with area 0."""
+    x0, x1 = ix * size, (ix + 1) * size
+    column = clip_ring(ring, x0, -big, x1, big)
+    if len(column) < 3:
+        return
+    nxt = np.roll(column, -1, axis=0)
+    along = ((column[:, 0] == nxt[:, 0]) & ((column[:, 0] == x0) | (column[:, 0] == x1))) | (column == nxt).all(axis=1)
+    a, b = column[~along], nxt[~along]
+    low, high = int(np.floor(column[:, 1].min() / size)), int(np.ceil(column[:, 1].max() / size))
+    cut = np.zeros(high - low + 1, int)  # cells that an edge may touch
+    np.add.at(cut, np.floor(np.minimum(a[:, 1], b[:, 1]) / size).astype(int) - low, 1)
+    np.add.at(cut, np.minimum(np.floor(np.maximum(a[:, 1], b[:, 1]) / size).astype(int) - low + 1, high - low), -1)
+    touched = np.cumsum(cut)[:-1] > 0
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], touched, [True]]).astype(int)))
+    for lo, hi in edge.reshape(-1, 2):  # runs of untouched cells are inside or outside as a whole
+        mid = np.array([(low + lo + 0.5) * size])
+        if inside(column, np.array([(x0 + x1) / 2]), mid)[0]:
+            yield low + int(lo), low + int(hi), 0.0, 0.0, 0.0
+    for k in np.flatnonzero(touched):
+        iy = low + int(k)
+        m = moments(clip_ring(column, x0, iy * size, x1, (iy + 1) * size))
+        if m[0] > 0:
+            yield iy, iy + 1, *m
 
-    A ring is cut into columns of cells first and each column into cells, so that a cell sees few vertices.
-    """
+
+def _ring_cells(batches: Iterator[pa.RecordBatch], size: float) -> Iterator[pa.RecordBatch]:
+    """Shares of rings (region, is_hole, pts, first) to (region, ix, lo, hi, area, mx, my) of the cells they cover."""
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+    names = ["region", "ix", "lo", "hi", "a", "mx", "my"]
     for b in batches:
-        out: list[list] = [[] for _ in range(6)]
-        for region, hole, pts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+        for region, hole, pts, first in zip(*(b.column(k).to_pylist() for k in range(4))):
             ring = np.array([(p["x"], p["y"]) for p in pts], float).reshape(-1, 2)
             if len(ring) < 3:
                 continue
             sign = -1.0 if hole else 1.0
             big = 4 * (np.abs(ring).max() + size)
-            for ix in range(int(np.floor(ring[:, 0].min() / size)), int(np.ceil(ring[:, 0].max() / size))):
-                column = clip_ring(ring, ix * size, -big, (ix + 1) * size, big)
-                if len(column) < 3:
-                    continue
-                for iy in range(int(np.floor(column[:, 1].min() / size)), int(np.ceil(column[:, 1].max() / size))):
-                    a, mx, my = moments(clip_ring(column, ix * size, iy * size, (ix + 1) * size, (iy + 1) * size))
-                    if a > 0:
-                        for k, v in zip(out, (region, ix, iy, sign * a, sign * mx, sign * my)):
-                            k.append(v)
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds)], ["region", "ix", "iy", "a", "mx", "my"])
+            end = min(first + CHUNK, int(np.ceil(ring[:, 0].max() / size)))
+            for ix in range(first, end):
+                rows = [(region, ix, lo, hi, sign * a if a else sign, sign * mx, sign * my) for lo, hi, a, mx, my in _column(ring, ix, size, big)]
+                if rows:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
 
 def polygon_grid(border: DataFrame, size: float = 1000.0) -> DataFrame:
-    """Cells of polygons: (region, cell_id, ix, iy, x, y of the clipped cell's centroid, area_km2)."""
-    rings = border.select(F.col("region").cast("string"), "is_hole", "pts")
-    parts = rings.mapInArrow(lambda it: _ring_cells(it, size), "region string, ix long, iy long, a double, mx double, my double")
-    s = parts.groupBy("region", "ix", "iy").agg(F.sum("a").alias("a"), F.sum("mx").alias("mx"), F.sum("my").alias("my")).where("a > 1e-6")
-    return s.select("region", cell_id().alias("cell_id"), "ix", "iy", (F.col("mx") / F.col("a")).alias("x"), (F.col("my") / F.col("a")).alias("y"), (F.col("a") / 1e6).alias("area_km2"))
+    """Cells of polygons: (region, cell_id, ix, iy, x, y of the clipped cell's centroid, area_km2).
+
+    A ring's columns of cells are dealt out in shares; in a share, cells that no edge touches come as ranges.
+    """
+    s = F.lit(float(size))
+    xs = F.transform("pts", lambda p: p["x"])
+    first = F.explode(F.sequence(F.floor(F.array_min(xs) / s), F.greatest(F.floor(F.array_min(xs) / s), F.ceil(F.array_max(xs) / s) - 1), F.lit(CHUNK).cast("long")))
+    shares = border.where(F.size("pts") >= 3).select(F.col("region").cast("string"), "is_hole", "pts", first.alias("first"))
+    shares = shares.repartition("region", "is_hole", "first")
+    parts = shares.mapInArrow(lambda it: _ring_cells(it, size), "region string, ix long, lo long, hi long, a double, mx double, my double")
+    cells = parts.withColumn("iy", F.explode(F.sequence("lo", F.col("hi") - 1)))
+    whole, sign = F.abs(F.col("mx")) + F.abs(F.col("my")) == 0, F.signum("a")
+    full = lambda i: sign * (F.col(i) + 0.5) * s * s * s
+    cells = cells.select("region", "ix", "iy", F.when(whole, sign * s * s).otherwise(F.col("a")).alias("a"), F.when(whole, full("ix")).otherwise(F.col("mx")).alias("mx"), F.when(whole, full("iy")).otherwise(F.col("my")).alias("my"))
+    t = cells.groupBy("region", "ix", "iy").agg(F.sum("a").alias("a"), F.sum("mx").alias("mx"), F.sum("my").alias("my")).where("a > 1e-6")
+    return t.select("region", cell_id().alias("cell_id"), "ix", "iy", (F.col("mx") / F.col("a")).alias("x"), (F.col("my") / F.col("a")).alias("y"), (F.col("a") / 1e6).alias("area_km2"))
 
 
 def polygon_area(border: DataFrame) -> DataFrame:
@@ -169,10 +203,11 @@ def points_inside(points: DataFrame, border: DataFrame, size: float = 1000.0) ->
     return keyed.join(hits, "_id", "left_semi").drop("_id")
 
 
-def zonal_sum(cells: DataFrame, pixels: DataFrame, size: float = 1000.0, nodata: float = -99999.0, value: str = "value") -> DataFrame:
+def zonal_sum(cells: DataFrame, pixels: DataFrame, size: float = 1000.0, nodata: float = -99999.0, value: str = "value", border: DataFrame | None = None) -> DataFrame:
     """Cells with ``population``, the sum of the pixels (region, x, y, value) whose centre is in their square
-    (left and lower edge included); no pixel: 0."""
+    (left and lower edge included) and, where a border is given, inside it; no pixel: 0."""
     s = F.lit(float(size))
+    pixels = points_inside(pixels, border, size) if border is not None else pixels
     p = pixels.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.col(value) != nodata))
     p = p.groupBy("region", F.floor(F.col("x") / s).alias("ix"), F.floor(F.col("y") / s).alias("iy")).agg(F.sum(value).alias("_p"))
     return cells.join(p, ["region", "ix", "iy"], "left").withColumn("population", F.coalesce("_p", F.lit(0.0))).drop("_p")
@@ -184,3 +219,106 @@ def square(spark: SparkSession, region: str, lon: float, lat: float, half: float
 
     p = spark.range(1).select(F.lit(region).alias("region"), merc_x(F.lit(float(lon))).alias("x"), merc_y(F.lit(float(lat))).alias("y"))
     return p.select("region", (F.col("x") - half).alias("xmin"), (F.col("y") - half).alias("ymin"), (F.col("x") + half).alias("xmax"), (F.col("y") + half).alias("ymax"))
+
+
+# ------------------------------------------------------------------ outlines
+def edges_of(border: DataFrame) -> DataFrame:
+    """(region, ax, ay, bx, by) of all rings' edges."""
+    n = F.size("pts")
+    each = F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.element_at("pts", i).alias("p"), F.element_at("pts", (F.pmod(i, n) + 1).cast("int")).alias("q"))))
+    e = border.where(n >= 3).select("region", each.alias("e"))
+    return e.select("region", F.col("e.p.x").alias("ax"), F.col("e.p.y").alias("ay"), F.col("e.q.x").alias("bx"), F.col("e.q.y").alias("by")).where("ax <> bx or ay <> by")
+
+
+def _chain(key: tuple, edges) -> "pd.DataFrame":  # noqa: F821
+    """Rings of one region from its outline's edges; at a vertex of several rings the sharpest turn to the right is taken."""
+    import pandas as pd
+
+    left: dict[tuple[float, float], list[tuple[float, float]]] = {}
+    for ax, ay, bx, by in edges[["ax", "ay", "bx", "by"]].itertuples(index=False):
+        left.setdefault((ax, ay), []).append((bx, by))
+        left.setdefault((bx, by), []).append((ax, ay))
+    out = []
+    for start in sorted(left):
+        while left[start]:
+            ring, before, at = [start], None, start
+            while True:
+                ways = left[at]
+                if before is None or len(ways) == 1:
+                    to = ways[0]
+                else:
+                    back = np.arctan2(before[1] - at[1], before[0] - at[0])
+                    to = min(ways, key=lambda w: (np.arctan2(w[1] - at[1], w[0] - at[0]) - back) % (2 * np.pi) or 7.0)
+                left[at].remove(to)
+                left[to].remove(at)
+                before, at = at, to
+                if at == start:
+                    break
+                ring.append(at)
+            out.append((key[0], len(out), np.array(ring)))
+    area = [abs(moments(r)[0]) for *_, r in out]
+    rows = []
+    for (region, k, ring), a in zip(out, area):
+        x, y = (ring[0] + ring[1]) / 2
+        within = sum(bool(inside(o, np.array([x]), np.array([y]))[0]) for (_, j, o), oa in zip(out, area) if j != k and oa > a)
+        rows.append((region, k, 0, bool(within % 2), [{"x": float(px), "y": float(py)} for px, py in ring]))
+    return pd.DataFrame(rows, columns=["region", "part", "ring", "is_hole", "pts"])
+
+
+BORDER = "region string, part int, ring int, is_hole boolean, pts array<struct<x: double, y: double>>"
+
+
+def dissolve(border: DataFrame) -> DataFrame:
+    """One outline for each region: edges that two of its polygons share go, the others are chained to rings anew.
+
+    Polygons that touch have to share vertices, as in a layer of adjoining areas; only a region's outline, not its
+    area, is gathered in one task.
+    """
+    e = edges_of(border)
+    back = (F.col("ax") > F.col("bx")) | ((F.col("ax") == F.col("bx")) & (F.col("ay") > F.col("by")))
+    pick = lambda a, b: F.when(back, F.col(b)).otherwise(F.col(a))
+    one = e.select("region", pick("ax", "bx").alias("ax"), pick("ay", "by").alias("ay"), pick("bx", "ax").alias("bx"), pick("by", "ay").alias("by"))
+    outline = one.groupBy("region", "ax", "ay", "bx", "by").agg((F.count("*") % 2).alias("odd")).where("odd = 1").drop("odd")
+    return outline.withColumn("region", F.col("region").cast("string")).groupBy("region").applyInPandas(_chain, BORDER)
+
+
+def simplified(border: DataFrame, tolerance: float) -> DataFrame:
+    """The rings with fewer points, none of the others farther than the tolerance; a ring keeps its first point and the
+    one farthest from it."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for pts in b.column(b.schema.get_field_index("pts")).to_pylist():
+                ring = np.array([(p["x"], p["y"]) for p in pts], float).reshape(-1, 2)
+                if len(ring) > 3:
+                    far = int(np.hypot(*(ring - ring[0]).T).argmax())
+                    closed = np.vstack([ring, ring[:1]])
+                    ring = np.vstack([simplify(closed[: far + 1], tolerance)[:-1], simplify(closed[far:], tolerance)[:-1]])
+                out.append([{"x": float(x), "y": float(y)} for x, y in ring])
+            at = b.schema.get_field_index("pts")
+            yield pa.record_batch([*b.columns[:at], pa.array(out, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))), *b.columns[at + 1 :]], b.schema.names)
+
+    return border.mapInArrow(work, border.schema)
+
+
+def region_polygon(border: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """A region's outline without holes, simplified (the tolerance is in the border's unit; 0: as it is)."""
+    outer = without_holes(dissolve(border))
+    return simplified(outer, tolerance) if tolerance else outer
+
+
+def representative_point(border: DataFrame, by: str = "region") -> DataFrame:
+    """(by, x, y): a point inside each polygon: the middle of the longest stretch inside it on the line through the
+    middle of its height; of a point its own place."""
+    n = F.size("pts")
+    dots = border.where(n == 1).groupBy(by).agg(F.min(F.struct(F.element_at("pts", 1)["x"].alias("x"), F.element_at("pts", 1)["y"].alias("y"))).alias("p")).select(by, "p.x", "p.y")
+    rings = border.where(n >= 3)
+    box = rings.select(by, F.explode("pts").alias("p")).groupBy(by).agg(F.min("p.y").alias("lo"), F.max("p.y").alias("hi"))
+    # not through a vertex: a fixed part of the height that vertices seldom have
+    line = box.select(by, (F.col("lo") + (F.col("hi") - F.col("lo")) * 0.5000173).alias("y"))
+    e = edges_of(rings.withColumn("region", F.col(by))).join(line.withColumnRenamed(by, "region"), "region")
+    cross = e.where((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))).select("region", "y", ((F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")).alias("x"))
+    xs = cross.groupBy("region", "y").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    spans = F.transform(F.sequence(F.lit(1), F.size("xs") - 1, F.lit(2)), lambda k: F.struct((F.element_at("xs", k + 1) - F.element_at("xs", k)).alias("w"), ((F.element_at("xs", k + 1) + F.element_at("xs", k)) / 2).alias("x")))
+    return xs.select(F.col("region").alias(by), F.array_max(spans)["x"].alias("x"), "y").union(dots)

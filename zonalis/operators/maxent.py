@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from zonalis.functions.scalar import masked_power
 from zonalis.operators import allocate as spread
-from zonalis.operators import distance
+from zonalis.operators import distance, graph
 
 FEATURES = ("f1", "f2", "f3")
 
 
 def raw_features(cells: DataFrame) -> DataFrame:
     pop = F.greatest(F.coalesce(F.nanvl("population", F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
-    return cells.withColumns({"f1": F.log1p(pop), "f2": F.log1p(1 / (F.col("dist_to_city_km") + 1)), "f3": F.log1p(1 / (F.col("dist_to_center_km") + 1))})
+    return cells.withColumns({"f1": F.log1p(pop), "f2": F.log1p(1 / (F.col("dist_to_city_km") + 1)), "f3": F.log1p(1 / (F.col(distance.centre_column(cells)) + 1))})
 
 
 def features(cells: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def features(cells: DataFrame) -> DataFrame:
 
 def reference(cells: DataFrame, elasticity: float = 2.77, power: float = 0.35) -> DataFrame:
     """Adds ``ref``: population^elasticity times access^power, with sum 1 in each region; a sum of 0: equal weights."""
-    access = F.pow(1 / (F.col("dist_to_center_km") + 1), F.lit(0.7)) * F.pow(1 / (F.col("dist_to_city_km") + 1), F.lit(0.3))
+    access = F.pow(1 / (F.col(distance.centre_column(cells)) + 1), F.lit(0.7)) * F.pow(1 / (F.col("dist_to_city_km") + 1), F.lit(0.3))
     one = cells.select("region").distinct().withColumn("x_total", F.lit(1.0))
     return spread.normalize(cells, masked_power(F.col("population"), elasticity) * F.pow(access, F.lit(float(power))), one, "uniform", value="ref")
 
@@ -107,17 +107,31 @@ def prepared(cells: DataFrame, elasticity: float = 2.77, power: float = 0.35) ->
     return reference(features(cells), elasticity, power)
 
 
-def allocate_frame(frame: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
+def allocate_frame(frame: DataFrame, totals: DataFrame, tolerance: float = 1e-8) -> tuple[DataFrame, DataFrame]:
     """(cells with p and value, solution) of a frame from ``prepared``."""
-    frame = frame.persist()
-    solution = solve(frame.select("region", *FEATURES), targets(frame))
-    out = weights(frame, solution).join(distance.small(totals.select("region", "x_total")), "region")
+    frame = graph.settle(frame)
+    solution = solve(frame.select("region", *FEATURES), targets(frame), tolerance)
+    out = weights(frame, solution).join(totals.select("region", "x_total"), "region")
     return out.withColumn("value", F.col("x_total") * F.col("p")).drop("x_total"), solution
 
 
-def allocate(cells: DataFrame, totals: DataFrame, elasticity: float = 2.77, power: float = 0.35) -> DataFrame:
+def allocate(cells: DataFrame, totals: DataFrame, elasticity: float = 2.77, power: float = 0.35, tolerance: float = 1e-8) -> DataFrame:
     """Cells with ``value``."""
-    return allocate_frame(prepared(cells, elasticity, power), totals)[0]
+    return allocate_frame(prepared(cells, elasticity, power), totals, tolerance)[0]
+
+
+#: The two scenarios' elasticity and power of access.
+SCENARIOS = {"strict": (2.77, 0.35), "smooth": (1.0, 0.5)}
+
+
+def scenarios(cells: DataFrame, totals: DataFrame, variants: dict[str, tuple[float, float]] = SCENARIOS) -> tuple[DataFrame, DataFrame]:
+    """(cells of all scenarios with p and value, solutions), each with a column ``scenario``; the features are made once."""
+    frame, done, found = graph.settle(features(cells)), None, None
+    for name, (elasticity, power) in variants.items():
+        got, solution = allocate_frame(reference(frame, elasticity, power), totals)
+        got, solution = got.withColumn("scenario", F.lit(name)), solution.withColumn("scenario", F.lit(name))
+        done, found = (got, solution) if done is None else (done.unionByName(got), found.unionByName(solution))
+    return done, found
 
 
 def diagnostics(frame: DataFrame, goal: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from zonalis.operators import ranks
+
 
 def gini(df: DataFrame, value: str = "value", by: tuple[str, ...] = ("region", "method"), keep: str = "all") -> DataFrame:
     """by..., gini. Equal values are one block, so that a million zeros are one row of the running sum.
@@ -14,9 +15,8 @@ def gini(df: DataFrame, value: str = "value", by: tuple[str, ...] = ("region", "
     """
     v = df.where(F.col(value) >= 0) if keep == "nonnegative" else df
     blocks = v.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(W.partitionBy(*by).orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = F.col("_c") * F.col("_b") + F.col("_c") * (F.col("_c") + 1) / 2
-    s = blocks.withColumn("_b", before).groupBy(*by).agg(F.sum(F.col("_v") * ranks).alias("_r"), F.sum(F.col("_v") * F.col("_c")).alias("_s"), F.sum("_c").alias("_n"))
+    place = F.col("_c") * F.col("_b") + F.col("_c") * (F.col("_c") + 1) / 2
+    s = ranks.running(blocks, by, "_v", "_c", "_b").groupBy(*by).agg(F.sum(F.col("_v") * place).alias("_r"), F.sum(F.col("_v") * F.col("_c")).alias("_s"), F.sum("_c").alias("_n"))
     g = (2 * F.col("_r") - (F.col("_n") + 1) * F.col("_s")) / (F.col("_n") * F.when(F.col("_s") > 0, F.col("_s")))
     return s.select(*by, F.coalesce(g, F.lit(0.0)).alias("gini"))
 
@@ -31,11 +31,10 @@ def top_share(df: DataFrame, value: str = "value", by: tuple[str, ...] = ("regio
         raise ValueError(f"unknown mode {mode!r}")
     v = df.where(F.col(value) > 0) if mode == "positive_trunc" else df
     blocks = v.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    whole = W.partitionBy(*by)
-    before = F.coalesce(F.sum("_c").over(whole.orderBy(F.desc("_v")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     n = F.col("_n") * F.lit(float(fraction))
     k = {"all_round": F.greatest(F.lit(1), F.bround(n).cast("long")), "positive_trunc": F.greatest(F.lit(1), F.floor(n)), "all_trunc": F.floor(n)}[mode]
-    s = blocks.withColumn("_b", before).withColumn("_n", F.sum("_c").over(whole)).withColumn("_k", k)
+    count = blocks.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    s = ranks.running(blocks, by, "_v", "_c", "_b", descending=True).join(count, list(by)).withColumn("_k", k)
     part = F.col("_v") * F.greatest(F.lit(0), F.least("_c", F.col("_k") - F.col("_b")))
     t = s.groupBy(*by).agg(F.sum(part).alias("_t"), F.sum(F.col("_v") * F.col("_c")).alias("_s"))
     return t.select(*by, F.coalesce(F.col("_t") / F.when(F.col("_s") > 0, F.col("_s")), F.lit(0.0)).alias("top_share"))
@@ -47,6 +46,12 @@ def table(df: DataFrame, value: str = "value", by: tuple[str, ...] = ("region",
     return gini(df, value, by).join(top_share(df, value, by, fraction, mode), list(by)).join(counts, list(by))
 
 
+def describe(df: DataFrame, value: str, by: tuple[str, ...] = ("region",)) -> DataFrame:
+    """by..., n, mean, std, low, q25, q50, q75, high."""
+    s = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"))
+    return s.join(ranks.quantiles(df, value, by, {"q25": 0.25, "q50": 0.5, "q75": 0.75}), list(by))
+
+
 def mass_check(df: DataFrame, totals: DataFrame, value: str = "value", by: tuple[str, ...] = ("region", "method"), tolerance: float = 1e-6) -> DataFrame:
     """by..., total, x_total, ok: whether the cells add up to the known total."""
     s = df.groupBy(*by).agg(F.sum(value).alias("total")).join(totals.select("region", "x_total"), "region")
@@ -60,4 +65,4 @@ def max_min_ratio(df: DataFrame, value: str = "value", by: tuple[str, ...] = ("r
 def colour_limits(df: DataFrame, value: str = "value", by: tuple[str, ...] = ("region", "method"), quantile: float = 0.95) -> DataFrame:
     """by..., vmin and vmax of the positive values (log scale), and an exact quantile (linear scale)."""
     p = F.when(F.col(value) > 0, F.col(value))
-    return df.groupBy(*by).agg(F.min(p).alias("vmin"), F.max(p).alias("vmax"), F.percentile(value, F.lit(quantile)).alias("vq"))
+    return df.groupBy(*by).agg(F.min(p).alias("vmin"), F.max(p).alias("vmax")).join(ranks.quantiles(df, value, by, {"vq": quantile}), list(by))

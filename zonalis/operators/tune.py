@@ -5,26 +5,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from zonalis.functions.scalar import kernel
-from zonalis.operators import allocate, distance
-
-
-def average_rank(df: DataFrame, value: str, by: Sequence[str], name: str) -> DataFrame:
-    """Adds the rank of ``value`` within ``by``; equal values share their mean rank. Ranks are made over blocks
-    of equal values, so that a million zeros are one row of the running sum."""
-    blocks = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = blocks.withColumn(name, before + (F.col("_c") + 1) / 2).select(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], F.col(value).alias("_v"), name)
-    on = [df[b] == F.col(f"_k{i}") for i, b in enumerate(by)] + [df[value] == F.col("_v")]
-    return df.join(ranked, on).drop("_v", *[f"_k{i}" for i in range(len(by))])
+from zonalis.functions.scalar import KERNELS, kernel
+from zonalis.operators import allocate, distance, graph
+from zonalis.operators.ranks import average_rank
 
 
 def spearman(df: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:
     """by..., rho: rank correlation with mean ranks of ties; 0 where either side is constant."""
-    r = average_rank(average_rank(df, a, by, "_ra"), b, by, "_rb")
+    return correlation(average_rank(average_rank(df, a, by, "_ra"), b, by, "_rb"), by)
+
+
+def correlation(r: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by..., rho of the ranks _ra and _rb."""
     spread = F.stddev_pop("_ra") * F.stddev_pop("_rb")
     return r.groupBy(*by).agg(F.coalesce(F.covar_pop("_ra", "_rb") / F.nullif(spread, F.lit(0.0)), F.lit(0.0)).alias("rho"))
 
@@ -37,10 +31,14 @@ def sweep(pairs: DataFrame, target: DataFrame, kind: str, scales: Sequence[float
     """
     combos = [(b, s) for b in betas for s in scales]
     sums = [F.sum(F.pow("share", F.lit(float(b))) * kernel(F.col("d"), s, kind)).alias(f"w{i}") for i, (b, s) in enumerate(combos)]
-    cells = pairs.groupBy("region", "cell_id").agg(*sums).join(target, ["region", "cell_id"])
-    params = F.array(*[F.struct(F.lit(i).alias("combo"), F.lit(float(b)).alias("beta"), F.lit(float(s)).alias("scale"), F.col(f"w{i}").alias("w")) for i, (b, s) in enumerate(combos)])
-    long = cells.select("region", "target", F.explode(params).alias("p")).select("region", "target", "p.combo", "p.w")
-    rho = spearman(long, "w", "target", ("region", "combo"))
+    # one rank of the target serves all combinations
+    goal = average_rank(target, "target", ("region",), "_rb").select("region", "cell_id", "_rb")
+    cells = graph.settle(pairs.groupBy("region", "cell_id").agg(*sums).join(goal, ["region", "cell_id"]))
+    # sums that differ only by the order of their terms are equal: eleven digits count
+    digits = lambda w: F.when(w > 1e-290, F.rint(w / F.pow(F.lit(10.0), F.floor(F.log10(w)) - 10)) * F.pow(F.lit(10.0), F.floor(F.log10(w)) - 10)).otherwise(w)
+    params = F.array(*[F.struct(F.lit(i).alias("combo"), digits(F.col(f"w{i}")).alias("w")) for i in range(len(combos))])
+    long = cells.select("region", "_rb", F.explode(params).alias("p")).select("region", "_rb", "p.combo", "p.w")
+    rho = correlation(average_rank(long, "w", ("region", "combo"), "_ra"), ("region", "combo"))
     names = F.create_map(*[x for i, (b, s) in enumerate(combos) for x in (F.lit(i), F.struct(F.lit(float(b)).alias("beta"), F.lit(float(s)).alias("scale")))])
     return rho.select("region", F.lit(kind).alias("kind"), names[F.col("combo")]["beta"].alias("beta"), names[F.col("combo")]["scale"].alias("scale"), (F.col("combo") / len(scales)).cast("int").alias("beta_pos"), (F.col("combo") % len(scales)).alias("scale_pos"), "rho")
 
@@ -56,3 +54,17 @@ def gravity(cells: DataFrame, places: DataFrame, kind: str, scales: Sequence[flo
     near = distance.within_buffer(places, cells, buffer_km) if buffer_km is not None else places
     p = distance.pairs(cells, allocate.masses(near, 1.0).withColumnRenamed("mass", "share"), "share")
     return sweep(p, cells.select("region", "cell_id", F.col("population").alias("target")), kind, scales, betas)
+
+
+def allocated(cells: DataFrame, places: DataFrame, totals: DataFrame, chosen: DataFrame, buffer_km: float | None = 30.0) -> DataFrame:
+    """(region, kind, cell_id, value): gravity allocation by each region's chosen (region, kind, beta, scale), all kernels in one
+    pass over the pairs."""
+    near = distance.within_buffer(places, cells, buffer_km) if buffer_km is not None else places
+    p = distance.pairs(cells, allocate.masses(near, 1.0).withColumnRenamed("mass", "share"), "share").join(chosen.select("region", "kind", "beta", "scale"), "region")
+    f = None
+    for kind in KERNELS:
+        one = kernel(F.col("d"), F.col("scale"), kind)
+        f = F.when(F.col("kind") == kind, one) if f is None else f.when(F.col("kind") == kind, one)
+    weight = p.groupBy("region", "kind", "cell_id").agg(F.sum(F.pow("share", "beta") * f).alias("weight"))
+    both = totals.join(chosen.select("region", "kind"), "region")
+    return allocate.normalize(weight, "weight", both, "uniform", by=("region", "kind"), settle=True).drop("weight")

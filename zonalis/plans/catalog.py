@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonalis.functions import scalar
-from zonalis.operators import allocate, distance, graph, grid, maxent, metrics, regress, tune
+from zonalis.operators import allocate, distance, graph, grid, maxent, metrics, region, regress, tune
 from zonalis.plans import report
 from zonalis.sources import files
 
@@ -80,13 +80,7 @@ def _out(df: DataFrame) -> DataFrame:
 
 def _long(spark, sf) -> DataFrame:
     """Three methods as one long frame, from one pass over the cells."""
-    c, x = cells(spark, sf), totals(spark, sf)
-    parts = [("area", allocate.area(c, x)), ("population", allocate.population(c, x)), ("elasticity", allocate.elasticity(c, x))]
-    out = None
-    for name, df in parts:
-        p = df.select("region", "cell_id", F.lit(name).alias("method"), "value")
-        out = p if out is None else out.unionByName(p)
-    return out
+    return allocate.several(cells(spark, sf), totals(spark, sf), ("area", "population", "elasticity"))
 
 
 # ------------------------------------------------------------------ allocation
@@ -201,6 +195,15 @@ def cities_in_buffer(spark, sf):
     return distance.within_buffer(places(spark, sf), cells(spark, sf), 12.0).select("region", "place_id")
 
 
+@query
+def attached_distances(spark, sf):
+    """Distances to the centre, the nearest place and, for one region, a capital; the columns that stand for the centre."""
+    a = distance.attach(cells(spark, sf), places(spark, sf), centres(spark, sf), (200000.0, 250000.0), "ASIA")
+    out = a.select("cell_id", *[F.round(c, DIGITS).alias(c) for c in ("dist_to_center_km", "dist_to_city_km", "dist_to_moscow_km")])
+    chosen = [distance.centre_column(a.drop(*gone)) for gone in ((), ("dist_to_center_km",), ("dist_to_center_km", "dist_to_moscow_km"))]
+    return out.withColumn("stand_in", F.lit(",".join(chosen)))
+
+
 @query
 def dist_to_center(spark, sf):
     return distance.to_point(cells(spark, sf), centres(spark, sf)).select("cell_id", F.round("dist_to_center_km", DIGITS).alias("d"))
@@ -248,6 +251,75 @@ def grid_polygon(spark, sf):
     return _grid(grid.polygon_grid(grid.without_holes(_border(spark, sf))))
 
 
+def _l_shape(spark, sf):
+    """The boxes without their upper right part (not convex), with the hole; the corner is at 0.55 of the width, 0.4 of the height."""
+    p = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    x0, y0, x1, y1 = (F.col(k) for k in ("xmin", "ymin", "xmax", "ymax"))
+    xm, ym = x0 + (x1 - x0) * 0.55, y0 + (y1 - y0) * 0.4
+    outer = F.array(p(x0, y0), p(x1, y0), p(x1, ym), p(xm, ym), p(xm, y1), p(x0, y1))
+    return _border(spark, sf).join(_boxes(spark, sf), "region").select("region", "part", "ring", "is_hole", F.when(F.col("is_hole"), F.col("pts")).otherwise(outer).alias("pts"))
+
+
+@query
+def grid_l_shape(spark, sf):
+    return _grid(grid.polygon_grid(_l_shape(spark, sf)))
+
+
+@query
+def region_outline(spark, sf):
+    """Each box as two halves and a hole: one outline without the hole and without points on straight sides."""
+    p = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    x0, y0, x1, y1 = (F.col(k) for k in ("xmin", "ymin", "xmax", "ymax"))
+    xm = (x0 + x1) / 2
+    half = lambda k, a, b: _boxes(spark, sf).select("region", F.lit(k).alias("part"), F.lit(0).alias("ring"), F.lit(False).alias("is_hole"), F.array(p(a, y0), p(b, y0), p(b, y1), p(a, y1)).alias("pts"))
+    halves = half(0, x0, xm).union(half(1, xm, x1)).union(_border(spark, sf).where("is_hole"))
+    out = grid.region_polygon(halves, 1.0).withColumn("n", F.size("pts"))
+    return out.join(grid.polygon_area(out), "region").select("region", F.col("n").cast("long").alias("n"), F.round("area_km2", DIGITS).alias("area_km2"))
+
+
+@query
+def inner_point(spark, sf):
+    return grid.representative_point(_l_shape(spark, sf)).select("region", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+def _event_points(spark, sf):
+    """A point of each event in each box, with the event's value; errors have none."""
+    k = F.col("event_id")
+    value = F.when(F.col("event_type") == "error", F.lit(-99999.0)).otherwise(F.col("value"))
+    keys = t(spark, sf, "nation").agg(F.collect_list("n_name")).scalar()
+    e = t(spark, sf, "events").select("event_id", value.alias("value"), F.explode(keys).alias("region")).join(_boxes(spark, sf), "region")
+    return e.select("region", (F.col("xmin") - 500 + (k * 7919) % 12000).alias("x"), (F.col("ymin") - 500 + (k * 104729) % 12000).alias("y"), "value")
+
+
+@query
+def zonal_sum_border(spark, sf):
+    """Sums over cells that the border cuts take the pixels inside it only."""
+    border = _l_shape(spark, sf)
+    z = grid.zonal_sum(grid.polygon_grid(border), _event_points(spark, sf), border=border)
+    return z.select("region", "ix", "iy", F.round("population", 4).alias("population"))
+
+
+@query
+def features_grid(spark, sf):
+    """Population, distances to the middle of the box, to the nearest supplier's place and, in one region, to the capital."""
+    border, b = _l_shape(spark, sf), _boxes(spark, sf)
+    s = t(spark, sf, "supplier").join(t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("region")).join(b, "region")
+    k = F.col("s_suppkey")
+    towns = s.select("region", k.alias("place_id"), (F.col("xmin") + (k * 7919) % 8000).alias("x"), (F.col("ymin") + (k * 104729) % 9000).alias("y"))
+    middle = b.select("region", ((F.col("xmin") + F.col("xmax")) / 2).alias("cx"), ((F.col("ymin") + F.col("ymax")) / 2).alias("cy"))
+    f = region.with_features(grid.polygon_grid(border), _event_points(spark, sf), towns, middle, border, (70000.0, 30000.0), "NATION_1")
+    return f.select("region", "ix", "iy", F.round("population", 4).alias("population"), *[F.round(c, 5).alias(c) for c in ("dist_to_center_km", "dist_to_city_km", "dist_to_moscow_km")])
+
+
+@query
+def tagged_towns(spark, sf):
+    k = F.col("s_suppkey")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("Point", "LineString", "Polygon", "MultiPolygon")]), ((k % 4) + 1).cast("int"))
+    place = F.element_at(F.array(*[F.lit(x) for x in ("city", "town", "village")]), ((F.col("s_nationkey") % 3) + 1).cast("int"))
+    f = t(spark, sf, "supplier").select(k.alias("id"), ((k * 37) % 360 - 180).cast("double").alias("lon"), ((k * 53) % 170 - 85).cast("double").alias("lat"), F.create_map(F.lit("place"), place).alias("tags"), kind.alias("geometry_type"))
+    return files.tagged(f, (-150.0, -80.0, 120.0, 80.0)).select("id", "geometry_type")
+
+
 @query
 def border_area(spark, sf):
     return grid.polygon_area(_border(spark, sf)).select("region", F.round("area_km2", DIGITS).alias("area_km2"))
@@ -260,17 +332,10 @@ def border_bounds(spark, sf):
 
 @query
 def points_in_border(spark, sf):
-    k = F.col("event_id")
-    e = t(spark, sf, "events").join(F.broadcast(_boxes(spark, sf)).where("region = 'CHINA' or region = 'FRANCE'"), F.lit(True))
-    pts = e.select("region", "event_id", (F.col("xmin") - 500 + (k * 7919) % 12000).alias("x"), (F.col("ymin") - 500 + (k * 104729) % 12000).alias("y"))
-    return grid.points_inside(pts, _border(spark, sf)).select("region", "event_id")
-
-
-@query
-def points_in_border_whole(spark, sf):
     """A point of each event in each of the regions."""
-    k = F.col("event_id")
-    e = t(spark, sf, "events").crossJoin(F.broadcast(_boxes(spark, sf)))
+    k, boxes = F.col("event_id"), _boxes(spark, sf)
+    keys = t(spark, sf, "nation").agg(F.collect_list("n_name")).scalar()
+    e = t(spark, sf, "events").select("event_id", F.explode(keys).alias("region")).join(boxes, "region")
     pts = e.select("region", "event_id", (F.col("xmin") - 500 + (k * 7919) % 12000).alias("x"), (F.col("ymin") - 500 + (k * 104729) % 12000).alias("y"))
     return grid.points_inside(pts, _border(spark, sf)).select("region", "event_id")
 
@@ -342,12 +407,8 @@ def quantile_vmax(spark, sf):
 
 @query
 def describe_weights(spark, sf):
-    c = cells(spark, sf)
-    q = lambda p: F.round(F.percentile("population", F.lit(p)), 4)
-    return c.groupBy("region").agg(
-        F.count("*").alias("n"), F.round(F.avg("population"), 4).alias("mean"), F.round(F.stddev("population"), 4).alias("std"), F.min("population").alias("low"),
-        q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max("population").alias("high"),
-    )
+    d = metrics.describe(cells(spark, sf), "population")
+    return d.select("region", "n", *[F.round(k, 4).alias(k) for k in ("mean", "std")], "low", *[F.round(k, 4).alias(k) for k in ("q25", "q50", "q75")], "high")
 
 
 @query
@@ -410,7 +471,7 @@ def tune_sweep_network(spark, sf):
     """The sweep over travel minutes on the whole road graph."""
     c, p = cells(spark, sf), places(spark, sf)
     near = allocate.masses(distance.within_buffer(p, c, 30.0), 1.0).select("place_id", F.col("mass").alias("share"))
-    pairs = _minutes(spark, sf, True).join(distance.small(near), "place_id")
+    pairs = _minutes(spark, sf).join(near, "place_id")
     return _swept(tune.sweep(pairs, c.select("region", "cell_id", F.col("population").alias("target")), "exp", SWEEP_MINUTES, SWEEP_BETAS))
 
 
@@ -421,6 +482,16 @@ def tune_sweep_best(spark, sf):
     return _swept(tune.best(a.unionByName(b).unionByName(c)))
 
 
+@query
+def kernel_metrics(spark, sf):
+    """Of each region and kernel the best parameters and how concentrated the allocation by them is."""
+    c, p = cells(spark, sf), places(spark, sf)
+    a, b, g = (_sweep(spark, sf, k) for k in SWEEP)
+    chosen = graph.settle(tune.best(a.unionByName(b).unionByName(g)))
+    m = metrics.table(tune.allocated(c, p, totals(spark, sf), chosen), by=("region", "kind"))
+    return m.join(chosen, ["region", "kind"]).select("region", "kind", "beta", "scale", F.round("gini", 5).alias("gini"), F.round("top_share", 5).alias("top_share"))
+
+
 @query
 def spearman_ties(spark, sf):
     return tune.spearman(cells(spark, sf).withColumn("b", F.floor(F.col("x") / 50000)), "population", "b", ("region",)).select("region", F.round("rho", DIGITS).alias("rho"))
@@ -451,7 +522,7 @@ def keyword_search(spark, sf):
 
 @query
 def keyword_distinct(spark, sf):
-    return report.search(t(spark, sf, "part"), "p_type", "brass|STEEL", "p_type", "p_size")
+    return report.search(t(spark, sf, "part"), "p_type", "promo|SMALL", "p_type", "p_size")
 
 
 @query
@@ -537,22 +608,34 @@ def maxent_achieved(spark, sf):
     return d.select("region", "feature", F.round("achieved", 4).alias("achieved"))
 
 
+@query
+def maxent_scenarios(spark, sf):
+    """The strict and the smooth scenario in one frame: means that were asked for and reached."""
+    frame = maxent.features(featured(spark, sf))
+    done, _ = maxent.scenarios(featured(spark, sf), totals(spark, sf))
+    goals = None
+    for name, (elasticity, power) in maxent.SCENARIOS.items():
+        one = maxent.diagnostics(done.where(F.col("scenario") == name), maxent.targets(maxent.reference(frame, elasticity, power))).withColumn("scenario", F.lit(name))
+        goals = one if goals is None else goals.unionByName(one)
+    return goals.select("region", "scenario", "feature", F.round("achieved", 4).alias("achieved"))
+
+
 @query
 def maxent_alloc(spark, sf):
-    return _out(maxent.allocate(featured(spark, sf), totals(spark, sf), 1.0, 0.5))
+    return _out(maxent.allocate(featured(spark, sf), totals(spark, sf), 1.0, 0.5, tolerance=1e-11))
 
 
 # ------------------------------------------------------------------ roads
-def roads(spark, sf, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges; the edges are thinned by modulus unless ``whole``."""
+def roads(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Nations as nodes, and their trade with each other as edges."""
     n = t(spark, sf, "nation")
     k = F.col("n_nationkey")
     nodes = n.select(k.cast("long").alias("id"), ((F.lit(100.0) + (k * 7919) % 400) * 1000).alias("x"), ((F.lit(100.0) + (k * 104729) % 400) * 1000).alias("y"))
     li, o, c, s = (t(spark, sf, x) for x in ("lineitem", "orders", "customer", "supplier"))
-    j = li.join(o, li.l_orderkey == o.o_orderkey).join(F.broadcast(c), o.o_custkey == c.c_custkey) if c.limit(distance.BROADCAST_ROWS + 1).count() <= distance.BROADCAST_ROWS else li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
-    j = j.join(distance.small(s), li.l_suppkey == s.s_suppkey)
+    buyer = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_nationkey")
+    j = li.join(s, li.l_suppkey == s.s_suppkey).select("l_orderkey", "l_quantity", "s_nationkey").join(buyer, F.col("l_orderkey") == F.col("o_orderkey"))
     e = j.groupBy(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst")).agg((F.sum("l_quantity") / F.count("*")).alias("travel_time"))
-    return nodes, e if whole else e.where("(src * 7 + dst * 3) % 11 = 0")
+    return nodes, e
 
 
 @query
@@ -560,21 +643,16 @@ def road_undirected(spark, sf):
     return graph.undirected(roads(spark, sf)[1]).select("src", "dst", F.round("travel_time", DIGITS).alias("travel_time"))
 
 
-def _paths(spark, sf):
-    nodes, edges = roads(spark, sf)
-    seeds = nodes.where("id % 4 = 0").select(F.col("id").alias("place_id"), F.col("id").alias("node"))
-    return graph.shortest(seeds, graph.undirected(edges))
-
-
 @query
 def shortest_paths(spark, sf):
-    return _paths(spark, sf).select("place_id", "node", F.round("sec", DIGITS).alias("sec"))
+    nodes, edges = roads(spark, sf)
+    seeds = nodes.select(F.col("id").alias("place_id"), F.col("id").alias("node"))
+    return graph.shortest(seeds, graph.undirected(edges)).select("place_id", "node", F.round("sec", DIGITS).alias("sec"))
 
 
 @query
 def largest_component(spark, sf):
-    nodes, edges = roads(spark, sf)
-    return graph.largest_component(nodes, edges.where("(src + dst) % 3 = 0")).select("id")
+    return graph.largest_component(*roads(spark, sf)).select("id")
 
 
 @query
@@ -584,17 +662,11 @@ def edge_times(spark, sf):
     return graph.edge_times(e).select("src", F.round("travel_time", DIGITS).alias("travel_time"))
 
 
-def _minutes(spark, sf, whole: bool = False):
-    nodes, edges = roads(spark, sf, whole)
+def _minutes(spark, sf):
+    nodes, edges = roads(spark, sf)
     return graph.travel_minutes(cells(spark, sf), places(spark, sf), nodes, edges)
 
 
-def _network(spark, sf, minutes):
-    near = allocate.masses(places(spark, sf)).select("place_id", "mass")
-    p = minutes.join(distance.small(near), "place_id")
-    return _out(allocate.on_weights(cells(spark, sf), allocate.potential(p, 30.0), totals(spark, sf)))
-
-
 @query
 def network_minutes(spark, sf):
     return _minutes(spark, sf).select("cell_id", "place_id", F.round("d", 5).alias("d"))
@@ -602,7 +674,7 @@ def network_minutes(spark, sf):
 
 @query
 def alloc_network(spark, sf):
-    return _network(spark, sf, _minutes(spark, sf))
+    return _out(allocate.run(cells(spark, sf), totals(spark, sf), "network", places=places(spark, sf), minutes=_minutes(spark, sf), scale=30.0, buffer_km=None))
 
 
 @query
@@ -610,39 +682,6 @@ def reachable_share(spark, sf):
     return graph.reachable_share(_minutes(spark, sf)).select("region", F.round("share", DIGITS).alias("share"))
 
 
-# ------------------------------------------------------------------ roads, the whole graph
-@query
-def road_undirected_whole(spark, sf):
-    return graph.undirected(roads(spark, sf, True)[1]).select("src", "dst", F.round("travel_time", DIGITS).alias("travel_time"))
-
-
-@query
-def shortest_paths_whole(spark, sf):
-    nodes, edges = roads(spark, sf, True)
-    seeds = nodes.select(F.col("id").alias("place_id"), F.col("id").alias("node"))
-    return graph.shortest(seeds, graph.undirected(edges)).select("place_id", "node", F.round("sec", DIGITS).alias("sec"))
-
-
-@query
-def largest_component_whole(spark, sf):
-    return graph.largest_component(*roads(spark, sf, True)).select("id")
-
-
-@query
-def network_minutes_whole(spark, sf):
-    return _minutes(spark, sf, True).select("cell_id", "place_id", F.round("d", 5).alias("d"))
-
-
-@query
-def alloc_network_whole(spark, sf):
-    return _network(spark, sf, _minutes(spark, sf, True))
-
-
-@query
-def reachable_share_whole(spark, sf):
-    return graph.reachable_share(_minutes(spark, sf, True)).select("region", F.round("share", DIGITS).alias("share"))
-
-
 # ------------------------------------------------------------------ documents from the web
 OVERPASS_JSON = (
     '{"elements":[{"type":"node","id":1,"lat":62.0,"lon":129.7,"tags":{"name":"A","population":"361 154","place":"city"}},'

@@ -55,6 +55,10 @@ def _rho(by: str) -> str:
     return f"coalesce(covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0), 0)"
 
 
+#: Sums that differ only by the order of their terms are equal: eleven digits count.
+_DIGITS = "(case when w > 1e-290 then round_even(w / power(10.0e0, floor(log10(w)) - 10), 0) * power(10.0e0, floor(log10(w)) - 10) else w end)"
+
+
 def _trace(kind: str, betas, scales=SCALES) -> str:
     combos = [(b, s, i, j) for i, b in enumerate(betas) for j, s in enumerate(scales)]
     each = " union all ".join(
@@ -62,7 +66,7 @@ def _trace(kind: str, betas, scales=SCALES) -> str:
     )
     return f"""{_W}, near as (select place_id from dist group by place_id having min(d) <= 30), kept as (select p.* from places p join near using (place_id)), top as (select region, max(population) as top from kept group by region),
 sh as (select place_id, population / top as share from kept join top using (region)), ws as ({each}),
-ranks as (select ws.region, beta, scale, bp, sp, {_rank("w", "ws.region, beta, scale", "ra")}, {_rank("population", "ws.region, beta, scale", "rb")} from ws join cells using (cell_id)),
+ranks as (select ws.region, beta, scale, bp, sp, {_rank(_DIGITS, "ws.region, beta, scale", "ra")}, {_rank("population", "ws.region, beta, scale", "rb")} from ws join cells using (cell_id)),
 trace as (select region, beta, scale, bp, sp, {_rho("region")} as rho from ranks group by region, beta, scale, bp, sp)"""
 
 
@@ -101,8 +105,7 @@ ref as (select *, w / sum(w) over (partition by region) as ref from w)"""
 
 
 _ROADS = """nodes as (select n_nationkey::bigint as id, (100.0e0 + (n_nationkey * 7919) % 400) * 1000 as x, (100.0e0 + (n_nationkey * 104729) % 400) * 1000 as y from nation),
-edges as (select s_nationkey::bigint as src, c_nationkey::bigint as dst, sum(l_quantity) / count(*) as tt from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey
-  where (s_nationkey * 7 + c_nationkey * 3) % 11 = 0 group by 1, 2),
+edges as (select s_nationkey::bigint as src, c_nationkey::bigint as dst, sum(l_quantity) / count(*) as tt from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey group by 1, 2),
 und as materialized (select src, dst, min(tt) as tt from (select * from edges union all select dst, src, tt from edges) where src <> dst group by src, dst)"""
 
 
@@ -150,7 +153,7 @@ select c_custkey, round(radians(lon) * 6378137.0e0, 3) as x, round(ln(tan(pi() /
     "grid_polygon": _grid(1000),
     "border_area": f"with {_BOXES} select region, round((xmax - xmin) * (ymax - ymin) / 1e6 - 4, 6) as area_km2 from boxes",
     "border_bounds": f"with {_BOXES} select region, xmin, ymin, xmax, ymax from boxes",
-    "points_in_border": f"""with {_BOXES}, p as (select region, event_id, xmin - 500 + (event_id * 7919) % 12000 as x, ymin - 500 + (event_id * 104729) % 12000 as y, xmin, ymin, xmax, ymax from events, boxes where region in ('CHINA', 'FRANCE'))
+    "points_in_border": f"""with {_BOXES}, p as (select region, event_id, xmin - 500 + (event_id * 7919) % 12000 as x, ymin - 500 + (event_id * 104729) % 12000 as y, xmin, ymin, xmax, ymax from events, boxes)
 select region, event_id from p where x >= xmin and x < xmax and y >= ymin and y < ymax and not ({_HOLE})""",
     "zonal_sum": """with px as (select ((event_id * 7919) % 20000) // 1000 as ix, ((event_id * 104729) % 20000) // 1000 as iy, sum(value) as v from events where event_type <> 'error' and value is not null group by 1, 2)
 select i.ix, j.iy, round(coalesce(v, 0), 4) as population from (select unnest(range(25)) as ix) i cross join (select unnest(range(20)) as iy) j left join px on px.ix = i.ix and px.iy = j.iy""",
@@ -174,7 +177,7 @@ select method, {", ".join(f"max(s) filter (where region = '{r}') as {r.lower().r
     "indicator_filter": f"{_FACTS} select object_name, round(v, 2) as value from facts where code = '1-URGENT' and yr = 1996",
     "indicator_latest": f"{_FACTS} select object_name, code as indicator_code, max(yr)::int as year, round(arg_max(v, yr), 2) as indicator_value from facts group by object_name, code",
     "keyword_search": "select doc_id from documents where regexp_matches(text, '(?i)(ÜBER|éré)')",
-    "keyword_distinct": "select distinct p_type, p_size from part where regexp_matches(p_type, '(?i)(brass|steel)')",
+    "keyword_distinct": "select distinct p_type, p_size from part where regexp_matches(p_type, '(?i)(promo|small)')",
     "section_nunique_topk": f"{_FACTS} select section, count(distinct object_name || code) as codes from facts group by section order by codes desc, section limit 3",
     "year_span": f"{_FACTS} select code as indicator_code, min(yr) as first, max(yr) as last, string_agg(distinct yr::varchar, ',' order by yr::varchar) as years, count(distinct object_name) as objects from facts group by code",
     "distinct_pairs": "select distinct p_brand, p_type from part",
@@ -191,8 +194,8 @@ select count(*)::int as folds, round(avg(r2), 5) as r2_mean, round(stddev_pop(r2
     "constraint_targets": f"{_ref(2.77, 0.35)} select region, round(sum(ref * f1), 6) as t1, round(sum(ref * f2), 6) as t2, round(sum(ref * f3), 6) as t3 from ref group by region",
     "maxent_achieved": f"{_ref(1.0, 0.5)}, t as (select region, sum(ref * f1) as t1, sum(ref * f2) as t2, sum(ref * f3) as t3 from ref group by region) select region, unnest(['f1', 'f2', 'f3']) as feature, round(unnest([t1, t2, t3]), 4) as achieved from t",
     "road_undirected": f"with {_ROADS} select src, dst, round(tt, 6) as travel_time from und",
-    "shortest_paths": f"with {_ROADS}, {_paths('select id as place_id, id as node, 0.0e0 as sec from nodes where id % 4 = 0')} select place_id, node, round(sec, 6) as sec from paths",
-    "largest_component": f"""with {_ROADS}, und2 as materialized (select src, dst from edges where (src + dst) % 3 = 0 union select dst, src from edges where (src + dst) % 3 = 0),
+    "shortest_paths": f"with {_ROADS}, {_paths('select id as place_id, id as node, 0.0e0 as sec from nodes')} select place_id, node, round(sec, 6) as sec from paths",
+    "largest_component": f"""with {_ROADS}, und2 as materialized (select src, dst from edges union select dst, src from edges),
 {", ".join([("c0 as materialized (select id, id as label from nodes)")] + [f"c{k + 1} as materialized (select c.id, min(least(c.label, coalesce(n.label, c.label))) as label from c{k} c left join und2 on src = c.id left join c{k} n on n.id = dst group by c.id)" for k in range(25)])},
 top as (select label from c25 group by label order by count(*) desc, label limit 1) select id from c25 join top using (label)""",
     "edge_times": """with e as (select s_suppkey as src, s_suppkey * 100.0e0 as len, case when s_nationkey % 5 <> 0 then 'h' || (s_nationkey % 3)::varchar end as hw, case when s_suppkey % 4 <> 0 then 30.0e0 + s_suppkey % 50 end as ms from supplier)
@@ -207,19 +210,51 @@ select region, cell_id, round(case when s > 0 then x_total * w / s else x_total
     "dedupe_first": "select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as k from events) where k = 1",
 }
 
-# the road queries over the whole graph: the same SQL without its three filters by modulus
-_THIN = ("\n  where (s_nationkey * 7 + c_nationkey * 3) % 11 = 0", " where id % 4 = 0", " where (src + dst) % 3 = 0")
-
-
-def _whole(sql: str) -> str:
-    for cut in _THIN:
-        sql = sql.replace(cut, "")
-    return sql
-
-
-ORACLE |= {f"{k}_whole": _whole(ORACLE[k]) for k in ("road_undirected", "shortest_paths", "largest_component", "network_minutes", "alloc_network", "reachable_share")}
-# points in the borders of all regions, not of two
-ORACLE["points_in_border_whole"] = ORACLE["points_in_border"].replace(" where region in ('CHINA', 'FRANCE')", "")
+# borders that are not convex and have a hole: the box's share of a cell, less the hole's and the missing corner's
+_OVER = "greatest(0, least(x1, {b}) - greatest(x0, {a})) * greatest(0, least(y1, {d}) - greatest(y0, {c}))"
+_MID = "(greatest(x0, {a}) + least(x1, {b})) / 2"
+_SHAPE = f"""{_lattice(1000)}, cut0 as (select region, ix, iy, xmin, ymin, xmax, ymax, xmin + (xmax - xmin) * 0.55e0 as xm, ymin + (ymax - ymin) * 0.4e0 as ym,
+  greatest(ix * 1000.0e0, xmin) as x0, least((ix + 1) * 1000.0e0, xmax) as x1, greatest(iy * 1000.0e0, ymin) as y0, least((iy + 1) * 1000.0e0, ymax) as y1 from lattice),
+cut1 as (select *, (x1 - x0) * (y1 - y0) as a, {_OVER.format(a="xmin + 1000", b="xmin + 3000", c="ymin + 1000", d="ymin + 3000")} as h, {_OVER.format(a="xm", b="xmax", c="ym", d="ymax")} as q,
+  {_MID.format(a="xmin + 1000", b="xmin + 3000")} as hx, (greatest(y0, ymin + 1000) + least(y1, ymin + 3000)) / 2 as hy, {_MID.format(a="xm", b="xmax")} as qx, (greatest(y0, ym) + least(y1, ymax)) / 2 as qy from cut0 where x1 > x0 and y1 > y0),
+shape as (select *, a - h - q as area from cut1 where a - h - q > 1e-6),
+pts as (select region, xmin - 500 + (event_id * 7919) % 12000 as x, ymin - 500 + (event_id * 104729) % 12000 as y, value, event_type, xmin, ymin, xmax, ymax, xmin + (xmax - xmin) * 0.55e0 as xm, ymin + (ymax - ymin) * 0.4e0 as ym from events, boxes),
+px as (select region, floor(x / 1000)::bigint as ix, floor(y / 1000)::bigint as iy, sum(value) as v from pts where event_type <> 'error' and value is not null
+  and x >= xmin and x < xmax and y >= ymin and y < ymax and not ({_HOLE}) and not (x >= xm and y >= ym) group by 1, 2, 3)"""
+ORACLE |= {
+    "grid_l_shape": f"{_SHAPE} select region, ix, iy, round((a * (x0 + x1) / 2 - h * hx - q * qx) / area, 3) as x, round((a * (y0 + y1) / 2 - h * hy - q * qy) / area, 3) as y, round(area / 1e6, 6) as area_km2 from shape",
+    "region_outline": f"with {_BOXES} select region, 4::bigint as n, round((xmax - xmin) * (ymax - ymin) / 1e6, 6) as area_km2 from boxes",
+    "inner_point": f"with {_BOXES} select region, round(xmin + (xmax - xmin) * 0.55e0 / 2, 3) as x, round(ymin + (ymax - ymin) * 0.5000173e0, 3) as y from boxes",
+    "zonal_sum_border": f"{_SHAPE} select region, ix, iy, round(coalesce(v, 0), 4) as population from shape left join px using (region, ix, iy)",
+    "features_grid": f"""{_SHAPE}, c as (select region, ix, iy, (a * (x0 + x1) / 2 - h * hx - q * qx) / area as x, (a * (y0 + y1) / 2 - h * hy - q * qy) / area as y, (xmin + xmax) / 2 as cx, (ymin + ymax) / 2 as cy, coalesce(v, 0) as p from shape left join px using (region, ix, iy)),
+towns as (select region, xmin + (s_suppkey * 7919) % 8000 as tx, ymin + (s_suppkey * 104729) % 9000 as ty from supplier join nation on s_nationkey = n_nationkey join boxes on n_name = region),
+n as (select region, ix, iy, min(sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty))) / 1000 as d from c join towns using (region) group by region, ix, iy)
+select region, ix, iy, round(p, 4) as population, round(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) / 1000, 5) as dist_to_center_km, round(d, 5) as dist_to_city_km,
+  case when region = 'NATION_1' then round(sqrt((x - 70000) * (x - 70000) + (y - 30000) * (y - 30000)) / 1000, 5) end as dist_to_moscow_km from c join n using (region, ix, iy)""",
+    "tagged_towns": "select s_suppkey as id, ['Point', 'LineString', 'Polygon', 'MultiPolygon'][s_suppkey % 4 + 1] as geometry_type from supplier where s_suppkey % 4 <> 1 and s_nationkey % 3 <> 2 and (s_suppkey * 37) % 360 - 180 between -150 and 120 and (s_suppkey * 53) % 170 - 85 between -80 and 80",
+    "attached_distances": f"""{_W} select cell_id, round(dc, 6) as dist_to_center_km, round(dn, 6) as dist_to_city_km, case when region = 'ASIA' then round(sqrt((x - 200000) * (x - 200000) + (y - 250000) * (y - 250000)) / 1000, 6) end as dist_to_moscow_km,
+  'dist_to_center_km,dist_to_moscow_km,dist_to_city_km' as stand_in from feat""",
+}
+_MEANS = "select region, '{name}' as scenario, unnest(['f1', 'f2', 'f3']) as feature, round(unnest([t1, t2, t3]), 4) as achieved from (select region, sum(ref * f1) as t1, sum(ref * f2) as t2, sum(ref * f3) as t3 from ref group by region)"
+ORACLE["maxent_scenarios"] = " union all ".join(f"select * from ({_ref(e, p)} {_MEANS.format(name=n)})" for n, (e, p) in {"strict": (2.77, 0.35), "smooth": (1.0, 0.5)}.items())
+
+def _newton(steps: int = 14) -> str:
+    """Newton's steps on the dual written out; three equations a step by Cramer's rule."""
+    out = f"""{_ref(1.0, 0.5)}, goal as (select region, sum(ref * f1) as t1, sum(ref * f2) as t2, sum(ref * f3) as t3 from ref group by region),
+fr as materialized (select region, cell_id, f1, f2, f3 from ref), l0 as (select region, 0.0e0 as l1, 0.0e0 as l2, 0.0e0 as l3 from goal)"""
+    for k in range(steps):
+        out += f""", s{k} as (select fr.*, l1 * f1 + l2 * f2 + l3 * f3 as s from fr join l{k} using (region)), e{k} as (select *, exp(s - max(s) over (partition by region)) as e from s{k}),
+m{k} as (select region, sum(e * f1) / sum(e) as m1, sum(e * f2) / sum(e) as m2, sum(e * f3) / sum(e) as m3, sum(e * f1 * f1) / sum(e) as q11, sum(e * f1 * f2) / sum(e) as q12, sum(e * f1 * f3) / sum(e) as q13,
+  sum(e * f2 * f2) / sum(e) as q22, sum(e * f2 * f3) / sum(e) as q23, sum(e * f3 * f3) / sum(e) as q33 from e{k} group by region),
+c{k} as (select region, t1 - m1 as g1, t2 - m2 as g2, t3 - m3 as g3, q11 - m1 * m1 + 1e-10 as a, q12 - m1 * m2 as b, q13 - m1 * m3 as c, q22 - m2 * m2 + 1e-10 as d, q23 - m2 * m3 as f, q33 - m3 * m3 + 1e-10 as h from m{k} join goal using (region)),
+d{k} as (select *, a * (d * h - f * f) - b * (b * h - f * c) + c * (b * f - d * c) as det from c{k}),
+l{k + 1} as materialized (select region, l1 + (g1 * (d * h - f * f) - b * (g2 * h - f * g3) + c * (g2 * f - d * g3)) / det as l1, l2 + (a * (g2 * h - f * g3) - g1 * (b * h - f * c) + c * (b * g3 - g2 * c)) / det as l2,
+  l3 + (a * (d * g3 - g2 * f) - b * (b * g3 - g2 * c) + g1 * (b * f - d * c)) / det as l3 from d{k} join l{k} using (region))"""
+    return f"""{out}, fin as (select fr.*, l1 * f1 + l2 * f2 + l3 * f3 as s from fr join l{steps} using (region)), p as (select *, exp(s - max(s) over (partition by region)) as e from fin)
+select region, cell_id, round(x_total * e / sum(e) over (partition by region), 6) as value from p join totals using (region)"""
+
+
+ORACLE["maxent_alloc"] = _newton()
 
 # the surveyed sweeps
 _SHOWN = "region, '{kind}' as kind, beta, scale, round(rho, 4) as rho"
@@ -227,5 +262,12 @@ ORACLE |= {f"tune_sweep_{k}": f"{_trace(k, SWEEP_BETAS, s)} select {_SHOWN.forma
 ORACLE["tune_sweep_best"] = " union all ".join(
     f"select * from ({_trace(k, SWEEP_BETAS, s)} select {_SHOWN.format(kind=k)} from (select *, row_number() over (partition by region order by round(rho, 9) desc, bp, sp) as k from trace) where k = 1)" for k, s in SWEEP.items()
 )
-_BY_ROAD = _trace("exp", SWEEP_BETAS, SWEEP_MINUTES).replace(_W, _whole(_MINUTES)).replace("exp(-d / ", "exp(-least(d, 1e6) / ").replace("from dist d join sh", "from mins d join sh")
+ORACLE["kernel_metrics"] = " union all ".join(
+    f"""select * from ({_trace(k, SWEEP_BETAS, s)}, best as (select region, beta, scale from (select *, row_number() over (partition by region order by round(rho, 9) desc, bp, sp) as k from trace) where k = 1),
+v as (select ws.region, ws.beta, ws.scale, cell_id, x_total * w / sum(w) over (partition by ws.region) as value from ws join best using (region, beta, scale) join totals on ws.region = totals.region),
+rk as (select *, row_number() over (partition by region order by value, cell_id) as i, row_number() over (partition by region order by value desc, cell_id) as k, count(*) over (partition by region) as n from v)
+select region, '{k}' as kind, max(beta) as beta, max(scale) as scale, round((2 * sum(i * value) - (max(n) + 1) * sum(value)) / (max(n) * sum(value)), 5) as gini, round(sum(value) filter (where k <= {_TOP_ROUND}) / sum(value), 5) as top_share from rk group by region)"""
+    for k, s in SWEEP.items()
+)
+_BY_ROAD = _trace("exp", SWEEP_BETAS, SWEEP_MINUTES).replace(_W, _MINUTES).replace("exp(-d / ", "exp(-least(d, 1e6) / ").replace("from dist d join sh", "from mins d join sh")
 ORACLE["tune_sweep_network"] = f"{_BY_ROAD} select {_SHOWN.format(kind='exp')} from trace"
