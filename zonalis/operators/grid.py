@@ -231,7 +231,7 @@ def edges_of(border: DataFrame) -> DataFrame:
 
 
 def _chain(key: tuple, edges) -> "pd.DataFrame":  # noqa: F821
-    """Rings of one region from its outline's edges; at a vertex of several rings the sharpest turn to the right is taken."""
+    """Rings of one region from its outline's edges; at a vertex of several rings the sharpest turn to the left is taken, so that they only touch."""
     import pandas as pd
 
     left: dict[tuple[float, float], list[tuple[float, float]]] = {}
@@ -243,12 +243,12 @@ def _chain(key: tuple, edges) -> "pd.DataFrame":  # noqa: F821
         while left[start]:
             ring, before, at = [start], None, start
             while True:
-                ways = left[at]
-                if before is None or len(ways) == 1:
-                    to = ways[0]
+                turn = lambda w, at=at: np.arctan2(w[1] - at[1], w[0] - at[0])
+                if before is None:  # at a leftmost vertex: counter-clockwise
+                    to = min(left[at], key=turn)
                 else:
-                    back = np.arctan2(before[1] - at[1], before[0] - at[0])
-                    to = min(ways, key=lambda w: (np.arctan2(w[1] - at[1], w[0] - at[0]) - back) % (2 * np.pi) or 7.0)
+                    back = turn(before)
+                    to = max(left[at], key=lambda w: (turn(w) - back) % (2 * np.pi))
                 left[at].remove(to)
                 left[to].remove(at)
                 before, at = at, to

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import BinaryType
 
 RING = "array<struct<x: double, y: double>>"
 
@@ -282,7 +283,7 @@ def wkb(parts: list[list[list[tuple[float, float]]]]) -> bytes:
 _BOX_HEAD = struct.pack("<BIII", 1, 3, 1, 5)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def box_wkb(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
     """Boxes as WKB polygons of five points."""
     xy = np.stack([x0, y0, x1, y0, x1, y1, x0, y1, x0, y0], axis=1).astype("<f8")
