@@ -25,3 +25,15 @@ def test_sparse_and_parted_graph(spark):
     got = {(r.place_id, r.node): r.sec for r in graph.shortest(seeds, graph.undirected(edges)).collect()}
     assert got[0, 2] == 5.0 and got[4, 3] == 1.0 and (0, 3) not in got and (5, 0) not in got and len(got) == 14
     assert sorted(r.id for r in graph.largest_component(nodes, edges).collect()) == [0, 1, 2]
+
+
+def test_long_path_and_chains(spark):
+    n = 40
+    nodes = spark.range(n + 3).selectExpr("id", "0.0D as x", "0.0D as y")
+    edges = spark.range(n - 1).selectExpr("id as src", "id + 1 as dst", "1.5D as travel_time").union(spark.createDataFrame([(n, n + 1, 1.0), (0, n - 1, 100.0)], "src long, dst long, travel_time double"))
+    seeds = spark.createDataFrame([(7, 0), (8, n - 1)], "place_id long, node long")
+    got = {(r.place_id, r.node): r.sec for r in graph.shortest(seeds, graph.undirected(edges)).collect()}
+    assert got == {**{(7, k): 1.5 * k for k in range(n)}, **{(8, k): 1.5 * (n - 1 - k) for k in range(n)}}
+    label = {r.node: r.label for r in graph.components(nodes, edges).collect()}
+    assert label == {**dict.fromkeys(range(n), 0), n: n, n + 1: n, n + 2: n + 2}
+    assert sorted(r.id for r in graph.largest_component(nodes, edges).collect()) == list(range(n))

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,33 +49,57 @@ def undirected(edges: DataFrame) -> DataFrame:
     return e.union(e.select("dst", "src", "travel_time")).where("src <> dst").groupBy("src", "dst").agg(F.min("travel_time").alias("travel_time"))
 
 
-def shortest(seeds: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(place_id, node, sec) from seeds (place_id, node) over directed edges: all sources are relaxed together, and a
-    round goes on from the nodes that the one before has improved."""
+def shortest(seeds: DataFrame, edges: DataFrame, rounds: int = 10_000, together: int = 12) -> DataFrame:
+    """(place_id, node, sec) from seeds (place_id, node) over directed edges: all sources are relaxed together.
+
+    A round goes on from what the one before has improved and writes only what it improves itself; after ``together`` rounds
+    the improvements are written as one table.
+    """
     arcs = settle(edges.select("src", "dst", "travel_time").repartition("src"))
-    state = settle(seeds.select("place_id", "node", F.lit(0.0).alias("sec"), F.lit(True).alias("new")).distinct())
+    front = settle(seeds.select("place_id", "node", F.lit(0.0).alias("sec")).distinct())
+    parts = [front]
+
+    def known() -> DataFrame:
+        return reduce(DataFrame.union, parts).groupBy("place_id", "node").agg(F.min("sec").alias("sec"))
+
     for _ in range(rounds):
-        front = state.where("new").select("place_id", F.col("node").alias("src"), "sec")
-        step = front.join(arcs, "src").select("place_id", F.col("dst").alias("node"), (F.col("sec") + F.col("travel_time")).alias("sec"), F.lit(True).alias("new"))
-        old = state.withColumn("new", F.lit(False))
-        best = old.union(step).groupBy("place_id", "node").agg(F.min(F.struct("sec", "new")).alias("b"))
-        state = settle(best.select("place_id", "node", "b.sec", "b.new"))
-        if state.where("new").isEmpty():
-            return state.drop("new")
+        step = front.withColumnRenamed("node", "src").join(arcs, "src").groupBy("place_id", F.col("dst").alias("node")).agg(F.min(F.col("sec") + F.col("travel_time")).alias("sec"))
+        old = known().withColumnRenamed("sec", "_old")
+        front = settle(step.join(old, ["place_id", "node"], "left").where("_old is null or sec < _old").drop("_old"))
+        if front.isEmpty():
+            return known()
+        parts.append(front)
+        if len(parts) > together:
+            parts = [settle(known())]
     raise RuntimeError(f"shortest paths not settled after {rounds} rounds")
 
 
-def largest_component(nodes: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """Nodes of the largest weakly connected component (of equal ones that with the least id), by least labels."""
-    arcs = settle(undirected(edges.withColumn("travel_time", F.lit(0.0)) if "travel_time" not in edges.columns else edges).select("src", "dst"))
-    label = settle(nodes.select(F.col("id").alias("node"), F.col("id").alias("label")))
+def components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(node, label): the least id of each node's weakly connected component.
+
+    Each round hangs a node's larger neighbours on its least one, then its smaller ones, so that paths shrink as in pointer
+    jumping and the rounds grow with the logarithm of the longest path. Degrees are reduced by aggregates.
+    """
+    cur = settle(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    before = None
     for _ in range(rounds):
-        near = arcs.join(label, arcs.src == label.node).groupBy("dst").agg(F.min("label").alias("m"))
-        nxt = label.join(near, label.node == near.dst, "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"), (F.col("m") < F.col("label")).alias("moved"))
-        nxt = settle(nxt)
-        label = nxt.drop("moved")
-        if nxt.where("moved").isEmpty():
-            break
+        both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        far = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = far.groupBy("a").agg(F.min("b").alias("m"))
+        near = far.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        cur = settle(near.where("a <> b").distinct())
+        now = cur.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if now == before:
+            found = cur.withColumnsRenamed({"a": "node", "b": "label"})
+            return nodes.select(F.col("id").alias("node")).join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+        before = now
+    raise RuntimeError(f"components not settled after {rounds} rounds")
+
+
+def largest_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes of the largest weakly connected component (of equal ones that with the least id)."""
+    label = settle(components(nodes, edges))
     size = label.groupBy("label").agg(F.count("*").alias("n"))
     top = size.agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))
     return nodes.join(label.join(top, "label").select(F.col("node").alias("id")), "id", "left_semi")
