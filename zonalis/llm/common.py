@@ -49,7 +49,7 @@ def scratch(spark: SparkSession) -> str:
     unset and the session is a local one (tests), a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
         base = _local.get(spark.sparkContext.applicationId)
         if not base:

@@ -46,48 +46,56 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, URL, 2), F.lit(""))
 
 
+def shard_of(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(shards).cast("long")).cast("int")
+
+
 class Cascade:
-    """Exact membership of the universe's keys in a list."""
+    """Exact membership of the universe's keys in a list, for the keys of some shards (``part`` of ``shards``)."""
 
-    def __init__(self, levels: list[tuple[DataFrame, int]]):
-        self.levels = levels
+    def __init__(self, levels: list[tuple[DataFrame, int]], part: range, shards: int):
+        self.levels, self.part, self.shards = levels, part, shards
 
     @staticmethod
     def _bit(key: Column, level: int, j: int, bits: int) -> Column:
         return F.pmod(F.xxhash64(key, F.lit(level * 64 + j)), F.lit(bits).cast("long"))
 
     @classmethod
-    def _passes(cls, key: Column, level: int, bits: int, words: DataFrame) -> Column:
+    def _passes(cls, key: Column, level: int, bits: int, words: DataFrame, part: range, shards: int) -> Column:
+        filled = None
+        for s in part:  # a key asks its shard's array
+            mine = words.where(F.col("shard") == s).select("words").scalar()
+            here = shard_of(key, shards) == s
+            filled = F.when(here, mine) if filled is None else filled.when(here, mine)
+        filled = words.select("words").scalar() if shards == 1 else filled
         out = F.lit(True)
-        filled = words.select("words").scalar()
         for j in range(HASHES):
             at = cls._bit(key, level, j, bits)
             out = out & (F.getbit(F.element_at(filled, (at / 64).cast("int") + 1), F.pmod(at, F.lit(64)).cast("int")) == 1)
         return out
 
     @classmethod
-    def _level(cls, keys: DataFrame, n: int, level: int, bits: int) -> DataFrame:
-        """One row: the level's bits as an array of longs."""
-        spark = keys.sparkSession
-        at = keys.select(F.explode(F.array(*[cls._bit(F.col("key"), level, j, bits) for j in range(HASHES)])).alias("at"))
-        put = at.select((F.col("at") / 64).cast("long").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int")).alias("b"))
-        zero = spark.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b"))
-        each = put.union(zero).groupBy("w").agg(F.bit_or("b").alias("b"))
-        return each.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("words"))
+    def _level(cls, keys: DataFrame, level: int, bits: int, part: range, shards: int) -> DataFrame:
+        """One row for each shard: the level's bits as an array of longs."""
+        at = keys.select(shard_of(F.col("key"), shards).alias("shard"), F.explode(F.array(*[cls._bit(F.col("key"), level, j, bits) for j in range(HASHES)])).alias("at"))
+        put = at.select("shard", (F.col("at") / 64).cast("long").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int")).alias("b"))
+        zero = keys.sparkSession.range(bits // 64).select(F.explode(F.array(*[F.lit(s) for s in part])).alias("shard"), F.col("id").alias("w"), F.lit(0).cast("long").alias("b"))
+        each = put.union(zero).groupBy("shard", "w").agg(F.bit_or("b").alias("b"))
+        return each.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("words"))
 
     @classmethod
-    def build(cls, listed: DataFrame, universe: DataFrame) -> "Cascade":
-        """From distinct keys (key): listed ones, and all that can be asked for."""
+    def build(cls, listed: DataFrame, universe: DataFrame, part: range = range(1), shards: int = 1) -> "Cascade":
+        """From distinct keys (key) of the shards: listed ones, and all that can be asked for."""
         sides, levels = [listed, universe], []
         for level in range(DEPTH):
             keys = sides[level % 2]
-            n = keys.count()
+            n = keys.groupBy(shard_of(F.col("key"), shards)).count().agg(F.max("count")).first()[0] or 0
             if n == 0 and level:
-                return cls(levels)
+                return cls(levels, part, shards)
             bits = -(-max(64, n * BITS_PER_KEY) // 64) * 64
-            words = common.materialize(cls._level(keys, n, level, bits))
+            words = common.materialize(cls._level(keys, level, bits, part, shards))
             levels.append((words, bits))
-            rest = sides[1 - level % 2].where(cls._passes(F.col("key"), level, bits, words))
+            rest = sides[1 - level % 2].where(cls._passes(F.col("key"), level, bits, words, part, shards))
             if not level:  # of the universe only what passes is held against the list
                 rest = rest.join(listed, "key", "left_anti")
             sides[1 - level % 2] = common.materialize(rest)
@@ -98,7 +106,7 @@ class Cascade:
         out = F.lit(len(self.levels) % 2 == 1)
         for level in reversed(range(len(self.levels))):
             words, bits = self.levels[level]
-            out = F.when(~self._passes(key, level, bits, words), F.lit(level % 2 == 1)).otherwise(out)
+            out = F.when(~self._passes(key, level, bits, words, self.part, self.shards), F.lit(level % 2 == 1)).otherwise(out)
         return out
 
 
@@ -113,10 +121,6 @@ def _keys(host: Column, path: Column, rules: Iterable[tuple[str, str, str]]) ->
     return out
 
 
-def shard_of(key: Column, shards: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(shards).cast("long"))
-
-
 def judge(pages: DataFrame, listed_hosts: DataFrame, rules=RULES, url_col: str = "url", keep: Iterable[str] = ("page_id",), max_bits: int = MAX_BITS, at_once: int = AT_ONCE) -> DataFrame:
     """keep..., host, path, rule, verdict of every row. ``listed_hosts(host)`` is the block list."""
     spark = pages.sparkSession
@@ -130,13 +134,11 @@ def judge(pages: DataFrame, listed_hosts: DataFrame, rules=RULES, url_col: str =
     named = base.withColumns({f"_k{i}": k for i, (_, k) in enumerate(keys)}).withColumns({f"_in{i}": F.lit(False) for i in range(len(keys))})
     for first in range(0, shards, at_once):
         part = range(first, min(shards, first + at_once))
-        mine = lambda df, s: df.where(shard_of(F.col("key"), shards) == s)
-        cascades = [(s, Cascade.build(mine(listed, s), mine(universe, s))) for s in part]
-        for i in range(len(keys)):
-            key, found = F.col(f"_k{i}"), F.col(f"_in{i}")
-            for s, cascade in cascades:
-                found = F.when(key.isNotNull() & (shard_of(key, shards) == s), cascade.has(key)).otherwise(found)
-            named = named.withColumn(f"_in{i}", found)
+        mine = lambda df, part=part: df.where(shard_of(F.col("key"), shards).between(part.start, part.stop - 1))
+        cascade = Cascade.build(mine(listed), mine(universe), part, shards)
+        here = lambda key, part=part: shard_of(key, shards).between(part.start, part.stop - 1)
+        found = {f"_in{i}": F.when(F.col(f"_k{i}").isNotNull() & here(F.col(f"_k{i}")), cascade.has(F.col(f"_k{i}"))).otherwise(F.col(f"_in{i}")) for i in range(len(keys))}
+        named = named.withColumns(found)
         if part.stop < shards:
             named = common.materialize(named)
     fits = []
