@@ -209,6 +209,27 @@ def test_geotiff(spark, tmp_path):
         assert got == want, (kind, options)
 
 
+def test_layers_by_parts_and_by_file(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "l.gpkg")
+    con = sqlite3.connect(path)
+    con.execute("pragma journal_mode = wal")
+    con.execute("create table gpkg_geometry_columns (table_name text, column_name text)")
+    con.execute("insert into gpkg_geometry_columns values ('b', 'geom')")
+    con.execute("create table b (fid integer primary key, geom blob, name text)")
+    shape = b"GP\x00\x01" + struct.pack("<i", 3857) + spatial.wkb([[[(0, 0), (2, 0), (0, 2), (0, 0)]]])
+    con.executemany("insert into b values (?, ?, ?)", [(k, shape, f"n{k}") for k in range(1200)])
+    con.commit()
+    con.execute("pragma wal_checkpoint(truncate)")
+    con.close()
+    whole = spatial.read_layer(spark, path, region="name")
+    spark.dataSource.register(spatial.GeoPackage)
+    parts = spark.read.format("gpkg").option("path", path).option("rows", "500").load()
+    assert parts.rdd.getNumPartitions() == 3
+    assert {x.region for x in whole.collect()} == {x.attributes["name"] for x in parts.collect()} == {f"n{k}" for k in range(1200)}
+
+
 def test_sinks(spark, tmp_path):
     nodes = spark.createDataFrame([(1, 1.5, 2.5), (2, 3.0, 4.0)], "id long, x double, y double")
     edges = spark.createDataFrame([(1, 2, 7.25)], "src long, dst long, travel_time double")

@@ -311,6 +311,15 @@ def features_grid(spark, sf):
     return f.select("region", "ix", "iy", F.round("population", 4).alias("population"), *[F.round(c, 5).alias(c) for c in ("dist_to_center_km", "dist_to_city_km", "dist_to_moscow_km")])
 
 
+@query
+def alloc_coarse(spark, sf):
+    """Population of squares of 10 km over the border's envelope, and a total spread by it."""
+    b = grid.bounds(_l_shape(spark, sf))
+    c = grid.zonal_sum(grid.box_grid(b, 10_000.0), _event_points(spark, sf), 10_000.0)
+    x = t(spark, sf, "nation").select(F.col("n_name").alias("region"), (F.lit(100.0) + F.col("n_nationkey")).alias("x_total"))
+    return allocate.run(c, x, "population").select("region", "ix", "iy", F.round("population", 4).alias("population"), F.round("value", DIGITS).alias("value"))
+
+
 @query
 def tagged_towns(spark, sf):
     k = F.col("s_suppkey")
@@ -382,6 +391,19 @@ def summary_table(spark, sf):
     return report.summary(metrics.table(_long(spark, sf))).drop("top")
 
 
+@query
+def summary_lookup(spark, sf):
+    """One row of the summary by its labels, as it is printed."""
+    row = report.lookup(report.summary(metrics.table(_long(spark, sf))), method="elasticity", region="ASIA")
+    return row.select("region", "method", "gini", "top")
+
+
+@query
+def number_formats(spark, sf):
+    x = (F.col("c_acctbal") + 0.0013) / 7  # no ties: engines round them either way
+    return t(spark, sf, "customer").select("c_custkey", report.percent(x / 1000).alias("share"), report.thousands(x * 1000).alias("whole"), F.format_string("%.3f", x).alias("three"))
+
+
 @query
 def summary_pivot(spark, sf):
     s = metrics.table(_long(spark, sf)).select("region", "method", F.round("gini", 3).alias("gini"), F.round("top_share", 2).cast("string").alias("top"))

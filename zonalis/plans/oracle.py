@@ -256,6 +256,16 @@ select region, cell_id, round(x_total * e / sum(e) over (partition by region), 6
 
 ORACLE["maxent_alloc"] = _newton()
 
+ORACLE |= {
+    "summary_lookup": f"""{_METHODS} select region, method, round(max(gini), 3) as gini, printf('%.1f%%', 100 * coalesce(sum(value) filter (where k <= {_TOP_ROUND}), 0) / sum(value)) as top
+from ranked join gini using (region, method) where method = 'elasticity' and region = 'ASIA' group by region, method""",
+    "number_formats": "select c_custkey, printf('%.1f%%', (c_acctbal + 0.0013e0) / 7 / 1000 * 100) as share, format('{:,}', round((c_acctbal + 0.0013e0) / 7 * 1000)::bigint) as whole, printf('%.3f', (c_acctbal + 0.0013e0) / 7) as three from customer",
+    "alloc_coarse": f"""with {_BOXES}, c as (select * from ({_grid(10000)})), pts as (select region, xmin - 500 + (event_id * 7919) % 12000 as x, ymin - 500 + (event_id * 104729) % 12000 as y, value, event_type from events, boxes),
+px as (select region, floor(x / 10000)::bigint as ix, floor(y / 10000)::bigint as iy, sum(value) as v from pts where event_type <> 'error' and value is not null group by 1, 2, 3),
+p as (select c.region, c.ix, c.iy, coalesce(v, 0) as p from c left join px using (region, ix, iy)), s as (select region, sum(p) as s from p group by region)
+select region, ix, iy, round(p, 4) as population, round(case when s > 0 then (100.0e0 + n_nationkey) * p / s end, 6) as value from p join s using (region) join nation on n_name = region""",
+}
+
 # the surveyed sweeps
 _SHOWN = "region, '{kind}' as kind, beta, scale, round(rho, 4) as rho"
 ORACLE |= {f"tune_sweep_{k}": f"{_trace(k, SWEEP_BETAS, s)} select {_SHOWN.format(kind=k)} from trace" for k, s in SWEEP.items()}

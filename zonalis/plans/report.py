@@ -45,6 +45,17 @@ def percent(x: Column, digits: int = 1) -> Column:
     return F.format_string(f"%.{digits}f%%", x * 100)
 
 
+def thousands(x: Column, digits: int = 0) -> Column:
+    return F.format_number(x, digits)
+
+
+def lookup(table: DataFrame, **labels) -> DataFrame:
+    """The rows with these labels, as method="area", region="A"."""
+    for name, value in labels.items():
+        table = table.where(F.col(name) == value)
+    return table
+
+
 def summary(table: DataFrame, digits: int = 3) -> DataFrame:
     """(region, method, gini, top, total, cells) as it is printed."""
     return table.select("region", "method", F.round("gini", digits).alias("gini"), percent(F.col("top_share")).alias("top"), F.round("total", 2).alias("total"), "cells")

@@ -87,15 +87,41 @@ class GeoPackage(DataSource):
         return _GeoPackageReader(dict(self.options))
 
 
+def _layer(con: sqlite3.Connection, table: str | None) -> tuple[str, str]:
+    """(table, geometry column) of a layer; the first if none is named."""
+    where, args = ("WHERE table_name = ?", (table,)) if table else ("", ())
+    return con.execute(f"SELECT table_name, column_name FROM gpkg_geometry_columns {where} ORDER BY 1", args).fetchone()
+
+
+def _ring_batches(cur: sqlite3.Cursor, column: str, size: int = 500) -> Iterator[pa.RecordBatch]:
+    """The rings of a layer's features (the cursor's first column is the key), some hundred at a time."""
+    names = [c[0] for c in cur.description]
+    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+    kinds = {"fid": pa.int64(), "attributes": pa.map_(pa.string(), pa.string()), "part": pa.int32(), "ring": pa.int32(), "is_hole": pa.bool_(), "pts": pa.list_(point)}
+    rows: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], list(kinds))
+
+    for row in cur:
+        named = dict(zip(names[1:], row[1:]))
+        blob = named.pop(column)
+        told = [(n, None if v is None else str(v)) for n, v in named.items()]
+        rows += [(row[0], told, p, k, hole, pts) for p, k, hole, pts in (rings(gpkg_body(blob)) if blob else [])]
+        if len(rows) >= size:
+            yield batch()
+            rows.clear()
+    if rows:
+        yield batch()
+
+
 class _GeoPackageReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.table, self.rows = options["path"].removeprefix("file://"), options.get("table"), int(options.get("rows", 10_000))
 
     def _open(self) -> tuple[sqlite3.Connection, str, str]:
         con = sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
-        where, args = ("WHERE table_name = ?", (self.table,)) if self.table else ("", ())
-        table, column = con.execute(f"SELECT table_name, column_name FROM gpkg_geometry_columns {where} ORDER BY 1", args).fetchone()
-        return con, table, column
+        return con, *_layer(con, self.table)
 
     def partitions(self) -> list[InputPartition]:
         con, table, _ = self._open()
@@ -103,15 +129,9 @@ class _GeoPackageReader(DataSourceReader):
         con.close()
         return [_Rows(a, a + self.rows) for a in range(lo, hi + 1, self.rows)] if lo is not None else [_Rows(0, 0)]
 
-    def read(self, part: InputPartition) -> Iterator[tuple]:
+    def read(self, part: InputPartition) -> Iterator[pa.RecordBatch]:
         con, table, column = self._open()
-        cur = con.execute(f'SELECT rowid AS _id, * FROM "{table}" WHERE rowid >= ? AND rowid < ?', (part.lo, part.hi))
-        names = [c[0] for c in cur.description]
-        for row in cur:
-            named = dict(zip(names[1:], row[1:]))
-            blob = named.pop(column)
-            for p, k, hole, pts in rings(gpkg_body(blob)) if blob else []:
-                yield row[0], {n: None if v is None else str(v) for n, v in named.items()}, p, k, hole, pts
+        yield from _ring_batches(con.execute(f'SELECT rowid AS _id, * FROM "{table}" WHERE rowid >= ? AND rowid < ?', (part.lo, part.hi)), column)
         con.close()
 
 
@@ -297,10 +317,24 @@ def with_wkb(cells: DataFrame, size: float = 1000.0) -> DataFrame:
 
 
 def read_layer(spark: SparkSession, path: str, table: str | None = None, region: str | None = None) -> DataFrame:
-    """A GeoPackage layer as rings (region, part, ring, is_hole, pts): the region is an attribute, or else the feature."""
-    spark.dataSource.register(GeoPackage)
-    r = spark.read.format("gpkg").option("path", path)
-    df = (r.option("table", table) if table else r).load()
+    """A GeoPackage layer as rings (region, part, ring, is_hole, pts): the region is an attribute, or else the feature.
+
+    The file comes through Spark's reader, from wherever that can read; large layers on a shared path are read in parts by
+    the format ``gpkg``.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column(0):
+                data = bytearray(raw.as_py())
+                data[18:20] = b"\x01\x01"  # without a write-ahead log
+                con = sqlite3.connect(":memory:")
+                con.deserialize(bytes(data))
+                name, column = _layer(con, table)
+                yield from _ring_batches(con.execute(f'SELECT rowid AS _id, * FROM "{name}"'), column)
+                con.close()
+
+    df = spark.read.format("binaryFile").load(path).select("content").mapInArrow(work, f"fid long, attributes map<string, string>, part int, ring int, is_hole boolean, pts {RING}")
     return df.withColumn("region", F.col("attributes")[region] if region else F.col("fid").cast("string")).select("region", "part", "ring", "is_hole", "pts")
 
 
