@@ -190,6 +190,17 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
 
 
 # --------------------------------------------------------------------------- graphs
+SALTS = 16
+
+
+def salted(many: DataFrame, one: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """Join on a key that ``one`` has once and ``many`` may have in a third of its rows: those are dealt to ``SALTS`` tasks by a
+    hash of the column ``spread``, and ``one`` is repeated for each."""
+    left = many.withColumn("_s", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    right = one.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [key, "_s"], how).drop("_s")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of an undirected graph (a, b): root is the least node that can be reached.
 
@@ -202,9 +213,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before = cur
         both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = salted(both.where("b > a"), low, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        small = salted(large, low, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         cur = materialize(small)
         discard(before)
         now = cur.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()

@@ -249,19 +249,19 @@ def links(nodes: DataFrame, radius: int = RADIUS, cap: int = CAP) -> DataFrame:
 
 
 def _classes(fps: DataFrame, rep, radius: int, cap: int) -> DataFrame:
-    """(f, rep): the least rep of all rows whose fingerprints can be reached from f."""
+    """(fp, rep): the least rep of all rows whose fingerprints can be reached from fp."""
     nodes = common.materialize(fps.groupBy("fp").agg(F.min(rep).alias("rep")))
     found = common.components(links(nodes.select("fp"), radius, cap))
     joined = nodes.join(found, nodes.fp == found.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("rep").alias("least"))
-    return common.materialize(joined.join(least, "root").select(F.col("fp").alias("f"), F.col("least").alias("rep")))
+    return common.materialize(common.salted(joined, least, "root", "fp").select("fp", F.col("least").alias("rep")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS, cap: int = CAP) -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id = least id that links reach)."""
     fps = common.materialize(fingerprints(docs, id_col, text_col, width))
     named = _classes(fps, F.col("id"), radius, cap)
-    return fps.join(named, fps.fp == named.f).select(
+    return common.salted(fps, named, "fp", "id").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("rep").alias("component_id")
     )
 
