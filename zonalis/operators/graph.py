@@ -74,6 +74,12 @@ def shortest(seeds: DataFrame, edges: DataFrame, rounds: int = 10_000, together:
     raise RuntimeError(f"shortest paths not settled after {rounds} rounds")
 
 
+def _salted(many: DataFrame, one: DataFrame, salts: int = 8) -> DataFrame:
+    """Join on ``a``, which ``one`` has once; a hub's rows are dealt to several tasks."""
+    left = many.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
+    return left.join(one.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["a", "s"]).drop("s")
+
+
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, label): the least id of each node's weakly connected component.
 
@@ -85,9 +91,9 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFra
     for _ in range(rounds):
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        far = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        far = _salted(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = far.groupBy("a").agg(F.min("b").alias("m"))
-        near = far.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        near = _salted(far, least).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         cur = settle(near.where("a <> b").distinct())
         now = cur.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
