@@ -13,9 +13,8 @@ A model is compiled into three machines (``Machine``: states with arcs from a la
 
 Each input is composed with the machines: the composition's states are (place in the input, lexicon state, grammar
 state), expanded from left to right as paths reach them, and the encoding is its shortest path in the tropical semiring
-(weights add along a path, the least wins). No piece has U+2581 after another character, so paths never lead over the
-start of a run of U+2581, nor between two characters that no piece has beside each other: segments between are
-composed on their own, and their paths are kept in a bounded memo.
+(weights add along a path, the least wins). Paths never lead over two characters that no piece has beside each other:
+segments between are composed on their own, and their paths are kept in a bounded memo.
 
 Defined cases: a null or empty text has no pieces and decodes to an empty text; a literal U+2581 in a text
 decodes to a space (``round_trip`` is false); repeated rows and ids are kept; a null id stays null; an empty
@@ -26,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 import struct
 from collections.abc import Iterator
 
@@ -177,8 +175,6 @@ class Transducer:
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == 6}
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.first_byte, self.last_byte = min(self.of_byte), max(self.of_byte)
-        if any(BAR in p.lstrip(BAR) for p in score):
-            raise ValueError("a piece reaches over the start of a word")
         self.normaliser = {" ": BAR}  # one state; all other labels are copied
         self.lexicon, events = Machine(), {}
         for i, p in enumerate(m.pieces):
@@ -195,10 +191,16 @@ class Transducer:
             raise ValueError("a character of a piece is no piece")
         #: The weight of a character that no piece has, written as bytes.
         self.fallback = 10.0 - min(score.values()) if kind == UNIGRAM else 1.0
-        #: Neighbouring characters inside pieces; between others every path has a cut.
-        self.joint = {p[k : k + 2] for p in score for k in range(len(p) - 1)}
-        loose = "".join(c for c in "\n\t\r" if c not in self.lexicon.root)
-        self.segment = re.compile(f"{BAR}*[^{BAR}{loose}]+|{BAR}+" + (f"|[{loose}]" if loose else ""))
+        #: Which characters are neighbours inside a piece, by the characters' codes (0: in no piece); between others every path
+        #: has a cut.
+        letters = sorted({c for p in score for c in p})
+        self.code = np.zeros(0x110000, np.uint16 if len(letters) < 65_000 else np.uint32)
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        number = {c: k + 1 for k, c in enumerate(letters)}
+        self.meets = np.zeros((len(letters) + 1,) * 2, bool)
+        for p in score:
+            for x, y in zip(p, p[1:]):
+                self.meets[number[x], number[y]] = True
         self.memo: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def lexicon_paths(self, s: str, at: int) -> list[tuple[int, int, float]]:
@@ -276,38 +278,45 @@ class Transducer:
             _, _, i, index, piece = live[j][index]
 
     def solve(self, s: str) -> list[int]:
-        """``shortest``; of a merge model's composition, where the paths that lead to a place are one (the encoding of what
-        is before it), with one state for each place."""
+        """``shortest``. A merge model's composition has one path to the end of a segment, so that path is sought there depth
+        first, longest pieces first; the places from which none leads on are not tried again."""
         if isinstance(self.grammar, Free):
             return self.shortest(s)
         n, root, single, arc, known, none = len(s), self.lexicon.root, self.single, self.grammar.arc, self.grammar.known, {}
-        state: list[int | None] = [-1, *[None] * n]
-        place = [0] * (n + 1)
-        for i in range(n):
-            a = state[i]
-            if a is None:
-                continue
-            arcs, j, follow = root, i, known.get(a, none)
-            for c in s[i:]:
-                got = arcs.get(c)
-                if got is None:
+        path: list[tuple[int, int, list[tuple[int, int]]]] = []  # place, state there, ways not yet tried
+        dead: set[int] = set()
+        i, a, ways = 0, -1, None
+        while i < n:
+            if ways is None:
+                ways, arcs, j = [], root, i
+                for c in s[i:]:
+                    got = arcs.get(c)
+                    if got is None:
+                        break
+                    j += 1
+                    arcs, piece, _ = got
+                    if piece >= 0:
+                        ways.append((j, piece))
+                if s[i] not in single:
+                    ways.append((i + 1, -1))
+            follow = known.get(a, none)
+            while ways:
+                j, piece = ways.pop()
+                ok = follow.get(piece) if piece >= 0 else True
+                if (ok or ok is None and arc(a, piece)) and j not in dead:
+                    path.append((i, a, ways))
+                    i, a, ways = j, piece, None
                     break
-                j += 1
-                arcs, piece, _ = got
-                if piece >= 0:
-                    ok = follow.get(piece)
-                    if ok or ok is None and arc(a, piece):
-                        state[j], place[j] = piece, i
-            if s[i] not in single:
-                state[i + 1], place[i + 1] = -1, i
+            else:
+                dead.add(i)
+                i, a, ways = path.pop()
         out, j = [], n
-        while j:
-            i, a = place[j], state[j]
+        for i, before, _ in reversed(path):
             if a >= 0:
                 out.append(a)
             else:
                 out += [self.byte[b] for b in reversed(s[i:j].encode())]
-            j = i
+            j, a = i, before
         return out[::-1]
 
     def _remember(self, s: str, ids: bytes) -> None:
@@ -318,25 +327,22 @@ class Transducer:
         young[s] = ids
 
     def _segment(self, s: str) -> bytes:
-        """Ids of one segment: from the memo, or cut where no piece leads over and solved part by part."""
+        """Ids of one segment, from the memo or solved."""
         found = self.memo[1].get(s)
         if found is None:
-            joint, at, parts = self.joint, 0, []
-            for k in range(1, len(s)):
-                if s[k - 1 : k + 1] not in joint:
-                    parts.append(s[at:k])
-                    at = k
-            if at:
-                parts.append(s[at:])
-                young = self.memo[0]
-                found = b"".join([young.get(x) or self._segment(x) for x in parts])
-            else:
-                ids = self.solve(s)
-                found = struct.pack(f"<{len(ids)}i", *ids)
+            ids = self.solve(s)
+            found = struct.pack(f"<{len(ids)}i", *ids)
         if len(s) <= 48:
             self._remember(s, found)
         return found
 
+    def segments(self, text: str) -> list[str]:
+        """A normalised text cut wherever no piece leads over."""
+        code = self.code[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        cut = np.flatnonzero(~self.meets[code[:-1], code[1:]]) + 1
+        at = [0, *cut.tolist(), len(text)]
+        return [text[a:b] for a, b in zip(at, at[1:])]
+
     def encode(self, text: str) -> bytes:
         """Piece ids of a text as little-endian 32-bit integers."""
         if not text:
@@ -345,7 +351,7 @@ class Transducer:
             text = text.replace(label, out)
         if self.prefix:
             text = BAR + text
-        segments = self.segment.findall(text)
+        segments = self.segments(text)
         got = list(map(self.memo[0].get, segments))
         if None in got:
             got = [self.memo[0].get(s) or self._segment(s) if g is None else g for g, s in zip(got, segments)]
