@@ -57,3 +57,16 @@ def test_stages_on_odd_rows(spark):
     got = sorted((r.doc_id, r.text) for r in one.collect() if r.text and r.doc_id is not None and r.doc_id < 7_000)
     assert got == sorted({(r.doc_id, r.text) for r in some} | {(some[2].doc_id, "another text the of and to is was")})
     assert one.count() == one.distinct().count()
+
+
+def test_only_written_tables_are_discarded(spark, tmp_path):
+    mine = str(tmp_path / "zonalis" / "mine")
+    spark.range(3).write.parquet(mine)
+    table = common.materialize(spark.read.parquet(mine))
+    common.discard(spark.read.parquet(mine))
+    assert spark.read.parquet(mine).count() == 3 == table.count()
+    (folder,) = {f.rpartition("/")[0].removeprefix("file://") for f in table.inputFiles()}
+    common.discard(table)
+    import os
+
+    assert not os.path.exists(folder)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 _PACKAGE = Path(__file__).resolve().parents[1]
 _shipped: dict[str, str] = {}
 _local: dict[str, str] = {}
+_written: set[str] = set()
 _LIMIT, _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
@@ -71,6 +72,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark)
+    _written.add(path.rpartition("/")[2])
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
@@ -81,13 +83,15 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` wrote and that nothing reads any more."""
+    """Delete tables that ``materialize`` wrote here and that nothing reads any more; others stay."""
     for df in tables:
         spark = df.sparkSession
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if "/zonalis/" in folder:
+            name = folder.rpartition("/")[2]
+            if name in _written:
                 path = spark._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                _written.discard(name)
 
 
 # --------------------------------------------------------------------------- words
