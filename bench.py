@@ -13,6 +13,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = (
     "alloc_uniform", "alloc_elasticity", "alloc_proximity", "alloc_decay_exp", "nearest_city", "cities_in_buffer", "grid_area_centroid", "zonal_sum",
     "gini_all_forms", "top_share_round", "summary_table", "tune_gravity_trace", "indicator_latest", "keyword_search", "ols_coefficients", "cv_r2", "shortest_paths",
+    "maxent_alloc", "alloc_network", "features_grid",
 )
 
 

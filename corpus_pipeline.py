@@ -74,5 +74,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, common.materialize(stage(spark, docs, sf_dir))
+        common.discard(before)  # a stage's table; the documents stay
     return docs
