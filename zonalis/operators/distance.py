@@ -33,25 +33,31 @@ def pairs(cells: DataFrame, places: DataFrame, *keep: str) -> DataFrame:
     return j.select("region", "cell_id", "place_id", km(F.col("x"), F.col("y"), F.col("_px"), F.col("_py")).alias("d"), *keep)
 
 
-def nearest(cells: DataFrame, places: DataFrame, square_km: float = 25.0) -> DataFrame:
-    """(region, cell_id, dist_to_city_km, place_id): each cell's nearest place, of equal ones the least id.
+def with_nearest(cells: DataFrame, places: DataFrame, square_km: float = 25.0) -> DataFrame:
+    """Cells (region and cell_id are their key) with dist_to_city_km and place_id of their nearest place, of equal ones the
+    least id; cells of a region without places go.
 
     Cells are gathered in squares. A square's candidates are the places that are no farther from its middle than its
     nearest place and one diagonal more: no other can be nearest to any of its cells. Squares, not cells, meet all
     places, and cells meet their square's candidates.
     """
     size = square_km * 1000.0
-    bx, by = F.floor(F.col("x") / size), F.floor(F.col("y") / size)
-    at = cells.select("region", "cell_id", "x", "y", bx.alias("_bx"), by.alias("_by"))
+    at = cells.withColumns({"_bx": F.floor(F.col("x") / size), "_by": F.floor(F.col("y") / size)})
     squares = at.select("region", "_bx", "_by").distinct()
     middle = squares.select("region", F.struct("_bx", "_by").alias("cell_id"), ((F.col("_bx") + 0.5) * size).alias("x"), ((F.col("_by") + 0.5) * size).alias("y"))
     met = pairs(middle, places.select("region", "place_id", "x", "y", F.col("x").alias("px"), F.col("y").alias("py")), "px", "py")
     low = met.groupBy("region", "cell_id").agg(F.min("d").alias("_low"))
     reach = square_km * 2**0.5 * (1 + 1e-9)
     near = met.join(low, ["region", "cell_id"]).where(F.col("d") <= F.col("_low") + reach).select("region", "cell_id._bx", "cell_id._by", "place_id", "px", "py")
-    best = F.min(F.struct(km(F.col("x"), F.col("y"), F.col("px"), F.col("py")).alias("d"), "place_id")).alias("b")
-    found = at.join(near, ["region", "_bx", "_by"]).groupBy("region", "cell_id").agg(best)
-    return found.select("region", "cell_id", F.col("b.d").alias("dist_to_city_km"), F.col("b.place_id").alias("place_id"))
+    best = F.min(F.struct(km(F.col("x"), F.col("y"), F.col("px"), F.col("py")).alias("d"), "place_id")).alias("_b")
+    rest = [c for c in cells.columns if c not in ("region", "cell_id", "dist_to_city_km", "place_id")]
+    found = at.drop("dist_to_city_km", "place_id").join(near, ["region", "_bx", "_by"]).groupBy("region", "cell_id").agg(best, *[F.first(c).alias(c) for c in rest])
+    return found.select("region", "cell_id", *rest, F.col("_b.d").alias("dist_to_city_km"), F.col("_b.place_id").alias("place_id"))
+
+
+def nearest(cells: DataFrame, places: DataFrame, square_km: float = 25.0) -> DataFrame:
+    """(region, cell_id, dist_to_city_km, place_id): ``with_nearest`` without the other columns."""
+    return with_nearest(cells.select("region", "cell_id", "x", "y"), places, square_km).select("region", "cell_id", "dist_to_city_km", "place_id")
 
 
 def to_point(cells: DataFrame, centres: DataFrame, name: str = "dist_to_center_km") -> DataFrame:
@@ -63,13 +69,12 @@ def to_point(cells: DataFrame, centres: DataFrame, name: str = "dist_to_center_k
 def attach(cells: DataFrame, places: DataFrame, centres: DataFrame, capital: tuple[float, float] | None = None, capital_of: str | None = None) -> DataFrame:
     """Cells with dist_to_center_km and dist_to_city_km, and, where a capital's (x, y) is given, dist_to_moscow_km for the
     cells of the region ``capital_of`` (null for others). A helper column ``centroid`` goes."""
-    near = nearest(cells, places).select("region", "cell_id", "dist_to_city_km")
     out = to_point(cells.drop("centroid"), centres)
     if capital is not None:
         x, y = (F.lit(float(v)) for v in capital)
         mine = F.lit(True) if capital_of is None else F.col("region") == capital_of
         out = out.withColumn("dist_to_moscow_km", F.when(mine, km(F.col("x"), F.col("y"), x, y)))
-    return out.join(near, ["region", "cell_id"])
+    return with_nearest(out, places).drop("place_id")
 
 
 def centre_column(cells: DataFrame) -> str:

@@ -69,9 +69,7 @@ def centres(spark, sf) -> DataFrame:
 
 
 def featured(spark, sf) -> DataFrame:
-    c = cells(spark, sf)
-    near = distance.nearest(c, places(spark, sf)).select("region", "cell_id", "dist_to_city_km")
-    return distance.to_point(c, centres(spark, sf)).join(near, ["region", "cell_id"])
+    return distance.with_nearest(distance.to_point(cells(spark, sf), centres(spark, sf)), places(spark, sf)).drop("place_id")
 
 
 def _out(df: DataFrame) -> DataFrame:
