@@ -223,6 +223,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.withColumnRenamed("d", id_col)
 
 
+@common.trimmed
 def _clean(batches: Iterator[pa.RecordBatch], column: int, ix: Index, threshold: float) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in common.slices(whole, whole.schema.names[column]):

@@ -183,6 +183,7 @@ def _has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+@common.trimmed
 def _predict(batches: Iterator[pa.RecordBatch], net: Network | None) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in common.slices(whole, "t"):
@@ -244,6 +245,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     return one.mapInArrow(lambda it: _predict(it, shared.value), "i long, held_out boolean, lang_pred string, score double").withColumnRenamed("i", id_col)
 
 
+@common.trimmed
 def _confident(batches: Iterator[pa.RecordBatch], column: int, net: Network | None, least: float) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in common.slices(whole, whole.schema.names[column]):

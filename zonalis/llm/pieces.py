@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from zonalis.llm import common
 
 BAR = "▁"
-MEMO, PAIRS = 600_000, 1_000_000
+MEMO, PAIRS = 300_000, 1_000_000
 UNIGRAM, MERGES = 1, 2
 
 
@@ -403,6 +403,7 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         yield pa.record_batch([b.column(0), pa.array([t.decode(np.asarray(x.values)) if x.is_valid else None for x in b.column(1)], pa.string())], ["i", "text"])
 
 
+@common.trimmed
 def _digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     t = machine(path)
     for b in batches:
@@ -438,6 +439,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return _run(docs, id_col, text_col, _digest, "i long, n_pieces long, n_byte_pieces long, ids_sha256 string, round_trip boolean", path)
 
 
+@common.trimmed
 def _append(batches: Iterator[pa.RecordBatch], column: int, path: str) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in common.slices(whole, whole.schema.names[column]):

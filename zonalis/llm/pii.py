@@ -158,7 +158,7 @@ def _side(c: str) -> str:
     return "none" if not c else "space" if c.isspace() else "digit" if c.isdigit() else "letter" if c.isalpha() else c
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=4_096)
 def _features(s: str, before: str, after: str, cue: tuple, nxt: str) -> tuple[str, ...]:
     """Features of a whole span, of the signs at its sides and of the words near it."""
     low = s.lower()
@@ -231,7 +231,7 @@ class Field:
             f = win.features(i, j)
             s = memo.get(f)
             if s is None:
-                if len(memo) >= 20_000:
+                if len(memo) >= 4_096:
                     memo.clear()
                 s = memo[f] = self.score(f)
             out[i, j] = s
@@ -464,6 +464,7 @@ def _said(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+@common.trimmed
 def _digest(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in common.slices(whole, "t"):
@@ -486,6 +487,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fie
     return one.mapInArrow(lambda it: _digest(it, shared.value), schema).withColumnRenamed("i", id_col)
 
 
+@common.trimmed
 def _masked(batches: Iterator[pa.RecordBatch], column: int, field: Field) -> Iterator[pa.RecordBatch]:
     for b in batches:
         text = []

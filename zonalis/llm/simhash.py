@@ -54,6 +54,7 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * count > n, bitorder="little").view(np.uint64)[0])
 
 
+@common.trimmed
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         last: dict[str | None, int] = {}
@@ -212,6 +213,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
+@common.trimmed
 def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Rows (c, k, i, j, part, fp) sorted by group; links of each group."""
     group = ["c", "k", "i", "j"]
@@ -333,6 +335,7 @@ def _signed(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return node, size, fp, keys
 
 
+@common.trimmed
 def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in common.slices(batch, "t", 1 << 20):
@@ -341,6 +344,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
             yield pa.record_batch([b.column(0), b.column(1), _binary(node), pa.array(size), _binary(fp), lists], ["a", "r", "node", "n", "fp", "keys"])
 
 
+@common.trimmed
 def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (k, i, j, part, node, fp) sorted by group; links of each bucket."""
     group = ["k", "i", "j"]
@@ -350,6 +354,7 @@ def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([node.take(pa.array(a)), node.take(pa.array(b))], ["a", "b"])
 
 
+@common.trimmed
 def _whole(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Rows (k, i, j, node, fp, t) to (k, i, j, node, fp, runs): texts become their sets."""
     for batch in batches:
@@ -382,6 +387,7 @@ def _reach(fp: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
             left = left[~hit]
 
 
+@common.trimmed
 def _exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (k, i, j, node, fp, runs) sorted by group; links of each group, by whole sets."""
     group = ["k", "i", "j"]

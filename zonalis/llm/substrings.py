@@ -60,6 +60,7 @@ def _runs(column: pa.Array, width: int, prefix: int):
     return sym, first, at, doc[at], low[at]
 
 
+@common.trimmed
 def _anchor_rows(batches: Iterator[pa.RecordBatch], width: int, prefix: int) -> Iterator[pa.RecordBatch]:
     """Rows (r, d, t) to rows (r, d, m, n): a document's distinct anchors and the bytes of their stretches."""
     for whole in batches:
@@ -96,6 +97,7 @@ def _shared(b: pa.RecordBatch, width: int, prefix: int):
     return sym, first, at[hit], doc[hit], low[hit]
 
 
+@common.trimmed
 def _stretch_rows(batches: Iterator[pa.RecordBatch], width: int, prefix: int) -> Iterator[pa.RecordBatch]:
     """Rows (r, d, t, anchors) to stretches (r, d, starts, n, m, words); equal ones of a document are one row."""
     for whole in batches:
@@ -123,6 +125,7 @@ def _stretch_rows(batches: Iterator[pa.RecordBatch], width: int, prefix: int) ->
             yield pa.record_batch([pa.array(r), pa.array(d), starts, pa.array(n.astype(np.int32)), pa.array(low[head].view(np.int64)), data], ["r", "d", "starts", "n", "m", "words"])
 
 
+@common.trimmed
 def _window_rows(batches: Iterator[pa.RecordBatch], width: int, prefix: int) -> Iterator[pa.RecordBatch]:
     """Rows (r, d, t, anchors) to (r, d, start, p, q): each suffix with its prefix of ``width`` words, as 128 bits."""
     for whole in batches:
@@ -173,6 +176,7 @@ def subtree(group: np.ndarray, words: np.ndarray, begin: np.ndarray, have: np.nd
     return Nodes(order, np.append(first, len(at)), np.minimum.reduceat(depth, first), np.minimum.reduceat(doc[order], first))
 
 
+@common.trimmed
 def _lowest(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Stretches sorted by m: (r, d, starts, bits) where a suffix's node has a smaller document."""
     held: dict | None = None
@@ -267,6 +271,7 @@ def covered(n: int, marks: list | None, width: int = WIDTH) -> np.ndarray:
     return np.cumsum(step)[:n] > 0
 
 
+@common.trimmed
 def _kept(batches: Iterator[pa.RecordBatch], width: int, text: bool) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in common.slices(whole, "t"):
