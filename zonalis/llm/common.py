@@ -218,10 +218,10 @@ SALTS = 16
 
 def salted(many: DataFrame, one: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
     """Join on a key that ``one`` has once and ``many`` may have in a third of its rows: those are dealt to ``SALTS`` tasks by a
-    hash of the column ``spread``, and ``one`` is repeated for each."""
+    hash of the column ``spread``, and ``one`` is repeated for each. Both sides are shuffled at every size: neither has a bound."""
     left = many.withColumn("_s", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     right = one.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, [key, "_s"], how).drop("_s")
+    return left.join(right.hint("merge"), [key, "_s"], how).drop("_s")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
