@@ -1,4 +1,4 @@
-"""The ten opN queries and the pipeline, and their SQL where SQL can express them."""
+"""The opN queries, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from zonalis.llm.language import op4_language
 from zonalis.llm.media import op10_media
 from zonalis.llm.pieces import op5_sentencepiece
 from zonalis.llm.pii import op7_pii
+from zonalis.llm.quality import op11_quality
 from zonalis.llm.simhash import op8_simhash
 from zonalis.llm.substrings import op3_substrings
 from zonalis.llm.token_counts import op6_token_counts
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_media": op10_media,
+    "op11_quality": op11_quality,
 }
 ORACLE: dict[str, str] = {"op1_url_filter": OP1_SQL}
