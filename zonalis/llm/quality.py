@@ -4,7 +4,8 @@ Every text has ``FEATURES``, numbers that come from its bytes and words in one v
 bins at quantiles, and the model is a lookup table for each feature and for some pairs of features; a score is the
 logistic function of the sum of the bins' entries. The tables are learned by boosting that goes round the features: each
 step fits a tree of at most four leaves to the gradient over one feature's bins (or over a pair's) and adds a part of it to
-that feature's table. The pairs are those whose four quarters best explain what the single features leave.
+that feature's table. The pairs are those whose four quarters best explain what the single features leave. Several such
+fits, each of which is stopped by other rows that it does not learn from, are averaged table by table.
 
 The model is fitted on the driver on the features of at most ``SAMPLE`` labelled rows (a documented bound; they are those
 of least hash among all rows outside the held-out part). Scoring covers all rows.
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 from zonalis.llm import common
 
-SAMPLE, BINS, PAIR_BINS, PAIRS, ROUNDS, RATE = 20_000, 48, 12, 10, 240, 0.08
+SAMPLE, BINS, PAIR_BINS, PAIRS, ROUNDS, RATE, BAGS = 20_000, 48, 12, 10, 240, 0.08, 5
+LEAST_GAIN = 1.0  # of a pair, in units of log-likelihood
 THRESHOLD = 0.3
 
 FEATURES = (
@@ -95,7 +97,7 @@ def features(off: np.ndarray, raw: np.ndarray) -> np.ndarray:
     distinct, top = _distinct(doc, sym, n)
     next_same = np.zeros(len(doc), bool)
     if len(doc) > 1:
-        next_same[1:] = (doc[1:] == doc[:-1])
+        next_same[1:] = doc[1:] == doc[:-1]
     echo = next_same.copy()
     echo[1:] &= sym[1:] == sym[:-1]
     pair = np.flatnonzero(next_same)
@@ -119,7 +121,7 @@ def features(off: np.ndarray, raw: np.ndarray) -> np.ndarray:
         line_kinds = ended = np.zeros(n)
     few = np.maximum(lines, 1)
     columns = (
-        np.log1p(size), np.log1p(words), length_mean(doc, length, n, some), np.log1p(longest), hist @ _SPACES / total,
+        np.log1p(size), np.log1p(words), _of(doc, n, length) / some, np.log1p(longest), hist @ _SPACES / total,
         *(hist @ k / ink for k in (_LOWER, _UPPER, _DIGIT, _BEYOND, _STOP, _SYMBOL)), entropy,
         _of(doc, n, _UPPER[raw[start]]) / some, _of(doc, n, having(_SYMBOL)) / some, _of(doc, n, having(_DIGIT)) / some, _of(doc, n, ~letter) / some, _of(doc, n, length == 1) / some,
         distinct / some, top / some, _of(doc, n, echo) / some, pair_kinds / np.maximum(words - 1, 1),
@@ -128,10 +130,6 @@ def features(off: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
-def length_mean(doc: np.ndarray, length: np.ndarray, n: int, some: np.ndarray) -> np.ndarray:
-    return _of(doc, n, length) / some
-
-
 # --------------------------------------------------------------------------- the model
 def _leaf(g: np.ndarray, h: np.ndarray) -> np.ndarray:
     return g / (h + 1.0)
@@ -148,7 +146,7 @@ def _cut(g: np.ndarray, h: np.ndarray, least: float) -> tuple[float, int]:
     return float(gain.max()), int(gain.argmax()) + 1
 
 
-def shallow(g: np.ndarray, h: np.ndarray, least: float = 2.0) -> np.ndarray:
+def shallow(g: np.ndarray, h: np.ndarray, least: float = 1.0) -> np.ndarray:
     """A tree of depth two over ordered bins, as an entry for each bin."""
     out = np.full(len(g), _leaf(g.sum(), h.sum()))
     gain, at = _cut(g, h, least)
@@ -161,7 +159,7 @@ def shallow(g: np.ndarray, h: np.ndarray, least: float = 2.0) -> np.ndarray:
     return out
 
 
-def crossed(g: np.ndarray, h: np.ndarray, least: float = 2.0) -> tuple[float, np.ndarray]:
+def crossed(g: np.ndarray, h: np.ndarray, least: float = 1.0) -> tuple[float, np.ndarray]:
     """(gain, table): the best tree of depth two over a grid of bins that cuts one feature, then the other on each side."""
     best, table = 0.0, np.full(g.shape, _leaf(g.sum(), h.sum()))
     whole = g.sum() * _leaf(g.sum(), h.sum())
@@ -211,7 +209,17 @@ class Additive:
         return 1 / (1 + np.exp(-self.odds(self.bins(x))))
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, rounds: int = ROUNDS, rate: float = RATE, seed: int = 3) -> "Additive":
+    def fit(cls, x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, rounds: int = ROUNDS, rate: float = RATE, bags: int = BAGS) -> "Additive":
+        """The mean of ``bags`` fits, each of which keeps another seventh of the rows apart; the first one finds the pairs."""
+        out = cls._fit(x, y, pairs, rounds, rate, 0)
+        if len(y) >= 70 and y.min() < y.max():
+            each = [out, *(cls._fit(x, y, list(out.pairs), rounds, rate, seed) for seed in range(1, bags))]
+            out.tables = [sum(t) / bags for t in zip(*(m.tables for m in each))]
+            out.pairs = {k: sum(m.pairs[k] for m in each) / bags for k in out.pairs}
+        return out
+
+    @classmethod
+    def _fit(cls, x: np.ndarray, y: np.ndarray, pairs: int | list[tuple[int, int]], rounds: int, rate: float, seed: int) -> "Additive":
         """Cyclic boosting; a seventh of the rows says when to stop."""
         n = len(y)
         share = (y.sum() + 0.5) / (n + 1) if n else 0.5
@@ -276,10 +284,10 @@ class Additive:
             at = model.coarse[i][rows[i]] * many[j] + model.coarse[j][rows[j]]
             return np.bincount(at, v, many[i] * many[j]).reshape(many[i], many[j])
 
-        gains = sorted(((-crossed(grid(i, j, g), grid(i, j, h))[0], i, j) for i in range(len(edges)) for j in range(i) if many[i] > 1 and many[j] > 1))
-        for gain, i, j in gains[:pairs]:
-            if gain < 0:
-                model.pairs[i, j] = np.zeros((many[i], many[j]))
+        if isinstance(pairs, int):
+            gains = sorted((-crossed(grid(i, j, g), grid(i, j, h))[0], i, j) for i in range(len(edges)) for j in range(i) if many[i] > 1 and many[j] > 1)
+            pairs = [(i, j) for gain, i, j in gains[:pairs] if gain < -LEAST_GAIN]
+        model.pairs = {(i, j): np.zeros((many[i], many[j])) for i, j in pairs}
 
         def both(i: int, j: int):
             def step() -> None:
