@@ -9,6 +9,7 @@ from zonalis.llm.media import op10_media
 from zonalis.llm.pieces import op5_sentencepiece
 from zonalis.llm.pii import op7_pii
 from zonalis.llm.quality import op11_quality
+from zonalis.llm.search import OP12_SQL, op12_search
 from zonalis.llm.simhash import op8_simhash
 from zonalis.llm.substrings import op3_substrings
 from zonalis.llm.token_counts import op6_token_counts
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_media": op10_media,
     "op11_quality": op11_quality,
+    "op12_search": op12_search,
 }
-ORACLE: dict[str, str] = {"op1_url_filter": OP1_SQL}
+ORACLE: dict[str, str] = {"op1_url_filter": OP1_SQL, "op12_search": OP12_SQL}
