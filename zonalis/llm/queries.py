@@ -11,6 +11,7 @@ from zonalis.llm.pii import op7_pii
 from zonalis.llm.quality import op11_quality
 from zonalis.llm.search import OP12_SQL, op12_search
 from zonalis.llm.simhash import op8_simhash
+from zonalis.llm.spelling import OP13_SQL, op13_spelling
 from zonalis.llm.substrings import op3_substrings
 from zonalis.llm.token_counts import op6_token_counts
 from zonalis.llm.url_filter import OP1_SQL, op1_url_filter
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_media": op10_media,
     "op11_quality": op11_quality,
     "op12_search": op12_search,
+    "op13_spelling": op13_spelling,
 }
-ORACLE: dict[str, str] = {"op1_url_filter": OP1_SQL, "op12_search": OP12_SQL}
+ORACLE: dict[str, str] = {"op1_url_filter": OP1_SQL, "op12_search": OP12_SQL, "op13_spelling": OP13_SQL}
