@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.functions.scalar import finite, kernel, masked_power
-from zonalis.operators import distance, graph
+from zonalis.operators import distance, farfield, graph
 
 
 def normalize(df: DataFrame, weight: Column | str, totals: DataFrame, on_zero: str = "uniform", by: tuple[str, ...] = ("region",), value: str = "value", settle: bool = False) -> DataFrame:
@@ -64,9 +64,17 @@ def potential(pairs: DataFrame, scale: float, kind: str = "exp", use_population:
     return pairs.groupBy("region", "cell_id").agg(F.sum(F.col("mass") * f if use_population else f).alias("weight"))
 
 
-def decay(cells: DataFrame, places: DataFrame, totals: DataFrame, scale: float, kind: str = "exp", beta: float = 1.0, buffer_km: float | None = 30.0, use_population: bool = True) -> DataFrame:
-    """Gravity allocation; places out of reach of all cells are left out before masses are formed."""
+def decay(cells: DataFrame, places: DataFrame, totals: DataFrame, scale: float, kind: str = "exp", beta: float = 1.0, buffer_km: float | None = 30.0, use_population: bool = True, far: float | None = None, **options) -> DataFrame:
+    """Gravity allocation; places out of reach of all cells are left out before masses are formed.
+
+    With ``far`` places far away count together (``farfield``, whose options may be given), and a cell's weight is off by no more
+    than that part of itself and the mean weight; else every cell meets every place of its region.
+    """
     near = distance.within_buffer(places, cells, buffer_km) if buffer_km is not None else places
+    if far is not None:
+        share = masses(near, 1.0).withColumn("share", F.col("mass") if use_population else F.lit(1.0))
+        found = farfield.potentials(cells, share, kind, (scale,), (beta,), far, **options)
+        return on_weights(cells, found.withColumnRenamed("w0", "weight"), totals)
     found = potential(distance.pairs(cells, masses(near, beta), "mass"), scale, kind, use_population)
     return on_weights(cells, found, totals)
 

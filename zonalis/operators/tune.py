@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.functions.scalar import KERNELS, kernel
-from zonalis.operators import allocate, distance, graph
+from zonalis.operators import allocate, distance, farfield, graph
 from zonalis.operators.ranks import average_rank
 
 
@@ -29,11 +29,16 @@ def sweep(pairs: DataFrame, target: DataFrame, kind: str, scales: Sequence[float
     ``pairs`` (region, cell_id, d, share) has each place's part of the region's greatest population; one pass over
     it makes the sums of all combinations. ``target`` is (region, cell_id, target).
     """
+    sums = [F.sum(F.pow("share", F.lit(float(b))) * kernel(F.col("d"), s, kind)).alias(f"w{i}") for i, (b, s) in enumerate((b, s) for b in betas for s in scales)]
+    return scored(pairs.groupBy("region", "cell_id").agg(*sums), target, kind, scales, betas)
+
+
+def scored(sums: DataFrame, target: DataFrame, kind: str, scales: Sequence[float], betas: Sequence[float]) -> DataFrame:
+    """The trace of a sweep whose weights are made: (region, cell_id, w0, w1, ...), beta by beta."""
     combos = [(b, s) for b in betas for s in scales]
-    sums = [F.sum(F.pow("share", F.lit(float(b))) * kernel(F.col("d"), s, kind)).alias(f"w{i}") for i, (b, s) in enumerate(combos)]
     # one rank of the target serves all combinations
     goal = average_rank(target, "target", ("region",), "_rb").select("region", "cell_id", "_rb")
-    cells = graph.settle(pairs.groupBy("region", "cell_id").agg(*sums).join(goal, ["region", "cell_id"]))
+    cells = graph.settle(sums.join(goal, ["region", "cell_id"]))
     # sums that differ only by the order of their terms are equal: eleven digits count
     digits = lambda w: F.when(w > 1e-290, F.rint(w / F.pow(F.lit(10.0), F.floor(F.log10(w)) - 10)) * F.pow(F.lit(10.0), F.floor(F.log10(w)) - 10)).otherwise(w)
     params = F.array(*[F.struct(F.lit(i).alias("combo"), digits(F.col(f"w{i}")).alias("w")) for i in range(len(combos))])
@@ -49,11 +54,14 @@ def best(trace: DataFrame) -> DataFrame:
     return trace.groupBy("region", "kind").agg(first).select("region", "kind", "b.beta", "b.scale", "b.rho")
 
 
-def gravity(cells: DataFrame, places: DataFrame, kind: str, scales: Sequence[float], betas: Sequence[float] = (1.0,), buffer_km: float | None = 30.0) -> DataFrame:
-    """The trace of a sweep against the cells' population."""
+def gravity(cells: DataFrame, places: DataFrame, kind: str, scales: Sequence[float], betas: Sequence[float] = (1.0,), buffer_km: float | None = 30.0, far: float | None = None) -> DataFrame:
+    """The trace of a sweep against the cells' population; with ``far`` places far away count together (``farfield``)."""
     near = distance.within_buffer(places, cells, buffer_km) if buffer_km is not None else places
-    p = distance.pairs(cells, allocate.masses(near, 1.0).withColumnRenamed("mass", "share"), "share")
-    return sweep(p, cells.select("region", "cell_id", F.col("population").alias("target")), kind, scales, betas)
+    shares = allocate.masses(near, 1.0).withColumnRenamed("mass", "share")
+    goal = cells.select("region", "cell_id", F.col("population").alias("target"))
+    if far is not None:
+        return scored(farfield.potentials(cells, shares, kind, scales, betas, far), goal, kind, scales, betas)
+    return sweep(distance.pairs(cells, shares, "share"), goal, kind, scales, betas)
 
 
 def allocated(cells: DataFrame, places: DataFrame, totals: DataFrame, chosen: DataFrame, buffer_km: float | None = 30.0) -> DataFrame:

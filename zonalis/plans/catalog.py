@@ -141,6 +141,30 @@ def alloc_decay_beta277(spark, sf):
     return _decay(spark, sf, scale=10.0, beta=2.77)
 
 
+def _shops(spark, sf):
+    """Parts as many small places."""
+    p, k = t(spark, sf, "part"), F.col("p_partkey")
+    r = t(spark, sf, "region").select("r_regionkey", F.col("r_name").alias("region"))
+    p = p.join(F.broadcast(r), (k % 5) == F.col("r_regionkey"))
+    return p.select("region", k.alias("place_id"), _at("p_partkey", 15485863).alias("x"), _at("p_partkey", 32452843).alias("y"), F.col("p_retailprice").alias("population"))
+
+
+def _far(spark, sf, kind, scale):
+    """Places far from a cell count together, to a thousand millionth of its weight."""
+    v = allocate.decay(cells(spark, sf), _shops(spark, sf), totals(spark, sf), scale, kind, buffer_km=None, far=1e-9, order=8, leaf_km=10.0)
+    return v.select("region", "cell_id", F.round("value", 5).alias("value"))
+
+
+@query
+def alloc_far_exp(spark, sf):
+    return _far(spark, sf, "exp", 5.0)
+
+
+@query
+def alloc_far_gauss(spark, sf):
+    return _far(spark, sf, "gauss", 20.0)
+
+
 @query
 def alloc_zero_total_fallback(spark, sf):
     """No place is ever reached: equal shares."""

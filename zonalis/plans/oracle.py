@@ -123,7 +123,20 @@ pn as (select place_id, region, arg_min(id, (dd, id)) as node, min(dd) as off fr
 mins as (select cn.region, cell_id, pn.place_id, coalesce(sec / 60 + (cn.off + pn.off) * (60.0e0 / 25000.0e0), 'inf'::double) as d from cn join pn on cn.region = pn.region left join paths on paths.place_id = pn.place_id and paths.node = cn.node)"""
 _HOLE = "x >= xmin + 1000 and x < xmin + 3000 and y >= ymin + 1000 and y < ymin + 3000"
 
+
+
+def _far(f: str) -> str:
+    """Many places: all pairs."""
+    return f"""{_W}, shops as (select r_name as region, p_partkey as place_id, (100.0e0 + (p_partkey * 15485863) % 40000 / 100.0e0) * 1000 as px, (100.0e0 + (p_partkey * 32452843) % 40000 / 100.0e0) * 1000 as py, p_retailprice as v from part join region on p_partkey % 5 = r_regionkey),
+top as (select region, max(v) as top from shops group by region),
+met as (select c.region, cell_id, v / top as m, sqrt((c.x - px) * (c.x - px) + (c.y - py) * (c.y - py)) / 1000 as d from cells c join shops s on c.region = s.region join top on top.region = s.region),
+w as (select region, cell_id, sum(m * {f}) as w from met group by region, cell_id), s as (select region, sum(w) as s from w group by region)
+select region, cell_id, round(x_total * w / s, 5) as value from w join s using (region) join totals using (region)"""
+
+
 ORACLE: dict[str, str] = {
+    "alloc_far_exp": _far("exp(-d / 5.0e0)"),
+    "alloc_far_gauss": _far("exp(-(d * d) / 800.0e0)"),
     "alloc_uniform": _alloc("area_km2"),
     "alloc_proximity": _alloc("0.7e0 / (dc + 1) + 0.3e0 / (dn + 1)"),
     "alloc_by_name": _alloc("0.7e0 / (dc + 1) + 0.3e0 / (dn + 1)"),
