@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.functions.scalar import finite, kernel, masked_power
-from zonalis.operators import distance, farfield, graph
+from zonalis.operators import distance, farfield, graph, groups
 
 
 def normalize(df: DataFrame, weight: Column | str, totals: DataFrame, on_zero: str = "uniform", by: tuple[str, ...] = ("region",), value: str = "value", settle: bool = False) -> DataFrame:
     """Adds ``value``; ``totals`` has the keys ``by`` and x_total.
 
-    Where the weights' sum is not a positive number: equal shares (uniform), 0 (zero) or null (null). The weights are read
-    twice, for their sum and for the shares; with ``settle`` they are written in between, as dear ones should be.
+    Where the weights' sum is not a positive number: equal shares (uniform), 0 (zero) or null (null). The sums are made first and
+    sent to all tasks, so the rows stay where they are; the weights are made twice, for their sum and for the shares, and
+    with ``settle`` they are written in between, as dear ones should be.
     """
     if on_zero not in ("uniform", "zero", "null"):
         raise ValueError(f"unknown on_zero {on_zero!r}")
@@ -22,7 +23,7 @@ def normalize(df: DataFrame, weight: Column | str, totals: DataFrame, on_zero: s
     sums = w.groupBy(*by).agg(F.sum("_w").alias("_s"), F.count("*").alias("_n")).join(totals.select(*by, "x_total"), list(by))
     other = {"uniform": F.col("x_total") / F.col("_n"), "zero": F.lit(0.0), "null": F.lit(None).cast("double")}[on_zero]
     ok = finite(F.col("_s")) & (F.col("_s") > 0)
-    return w.join(sums, list(by)).withColumn(value, F.when(ok, F.col("x_total") * F.col("_w") / F.col("_s")).otherwise(other)).drop("_w", "_s", "_n", "x_total")
+    return groups.attach(w, sums, by).withColumn(value, F.when(ok, F.col("x_total") * F.col("_w") / F.col("_s")).otherwise(other)).drop("_w", "_s", "_n", "x_total")
 
 
 def area(cells: DataFrame, totals: DataFrame) -> DataFrame:
@@ -31,16 +32,16 @@ def area(cells: DataFrame, totals: DataFrame) -> DataFrame:
 
 def proximity(cells: DataFrame, totals: DataFrame) -> DataFrame:
     """0.7 / (distance to the centre + 1) + 0.3 / (distance to the nearest place + 1)."""
-    return normalize(cells, 0.7 / (F.col(distance.centre_column(cells)) + 1) + 0.3 / (F.col("dist_to_city_km") + 1), totals, "null", settle=True)
+    return normalize(cells, 0.7 / (F.col(distance.centre_column(cells)) + 1) + 0.3 / (F.col("dist_to_city_km") + 1), totals, "null")
 
 
 def remoteness(cells: DataFrame, totals: DataFrame) -> DataFrame:
     """Distance to the nearest place / (distance to the centre + 1)."""
-    return normalize(cells, F.col("dist_to_city_km") / (F.col(distance.centre_column(cells)) + 1), totals, "null", settle=True)
+    return normalize(cells, F.col("dist_to_city_km") / (F.col(distance.centre_column(cells)) + 1), totals, "null")
 
 
 def nearest_place(cells: DataFrame, totals: DataFrame) -> DataFrame:
-    return normalize(cells, 1 / (F.col("dist_to_city_km") + 1), totals, "null", settle=True)
+    return normalize(cells, 1 / (F.col("dist_to_city_km") + 1), totals, "null")
 
 
 def population(cells: DataFrame, totals: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def masses(places: DataFrame, beta: float = 1.0) -> DataFrame:
     """Adds ``mass`` = (population / the region's greatest)^beta; where the greatest is not positive it counts as 1."""
     top = places.groupBy("region").agg(F.max("population").alias("_m"))
     share = F.col("population") / F.when(F.col("_m") > 0, F.col("_m")).otherwise(1.0)
-    return places.join(top, "region").withColumn("mass", F.pow(share, F.lit(float(beta)))).drop("_m")
+    return groups.attach(places, top, ["region"]).withColumn("mass", F.pow(share, F.lit(float(beta)))).drop("_m")
 
 
 def potential(pairs: DataFrame, scale: float, kind: str = "exp", use_population: bool = True) -> DataFrame:
@@ -111,7 +112,7 @@ def several(cells: DataFrame, totals: DataFrame, methods: tuple[str, ...]) -> Da
         return F.struct(F.lit(method).alias("method"), F.when(finite(s) & (s > 0), F.col("x_total") * F.col(f"_w{k}") / s).otherwise(other).alias("value"))
 
     each = F.array(*[share(k, m) for k, m in enumerate(methods)])
-    return w.join(sums, "region").select("region", "cell_id", F.explode(each).alias("m")).select("region", "cell_id", "m.method", "m.value")
+    return groups.attach(w, sums, ["region"]).select("region", "cell_id", F.explode(each).alias("m")).select("region", "cell_id", "m.method", "m.value")
 
 
 def rescale(df: DataFrame, factor: float = 1000.0, value: str = "value") -> DataFrame:

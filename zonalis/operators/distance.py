@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonalis.operators import groups
+
 #: Places are repeated for so many parts of a region's cells, so that a join on a few regions has many tasks.
 SALTS = 16
 
@@ -62,8 +64,8 @@ def nearest(cells: DataFrame, places: DataFrame, square_km: float = 25.0) -> Dat
 
 def to_point(cells: DataFrame, centres: DataFrame, name: str = "dist_to_center_km") -> DataFrame:
     """Cells with the distance to their region's one centre (region, cx, cy) as ``name``."""
-    c = centres.select(F.col("region").alias("_r"), "cx", "cy")
-    return cells.join(c, cells.region == c._r).withColumn(name, km(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))).drop("_r", "cx", "cy")
+    found = groups.attach(cells, centres.select("region", "cx", "cy"), ["region"])
+    return found.withColumn(name, km(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))).drop("cx", "cy")
 
 
 def attach(cells: DataFrame, places: DataFrame, centres: DataFrame, capital: tuple[float, float] | None = None, capital_of: str | None = None) -> DataFrame:

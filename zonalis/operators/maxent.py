@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from zonalis.functions.scalar import masked_power
 from zonalis.operators import allocate as spread
-from zonalis.operators import distance, graph
+from zonalis.operators import distance, graph, groups
 
 FEATURES = ("f1", "f2", "f3")
 
@@ -27,7 +27,7 @@ def features(cells: DataFrame) -> DataFrame:
     raw = raw_features(cells)
     m = raw.groupBy("region").agg(*[F.avg(f).alias(f"_m{f}") for f in FEATURES], *[F.stddev_pop(f).alias(f"_s{f}") for f in FEATURES])
     std = {f: (F.col(f) - F.col(f"_m{f}")) / F.when(F.col(f"_s{f}") < 1e-9, 1.0).otherwise(F.col(f"_s{f}")) for f in FEATURES}
-    return raw.join(m, "region").withColumns(std).drop(*[f"_{k}{f}" for k in "ms" for f in FEATURES])
+    return groups.attach(raw, m, ["region"]).withColumns(std).drop(*[f"_{k}{f}" for k in "ms" for f in FEATURES])
 
 
 def reference(cells: DataFrame, elasticity: float = 2.77, power: float = 0.35) -> DataFrame:
@@ -98,9 +98,9 @@ def weights(frame: DataFrame, solution: DataFrame) -> DataFrame:
     score = sum((F.col(f"l{i + 1}") * F.col(f) for i, f in enumerate(FEATURES)), F.lit(0.0))
     s = frame.join(F.broadcast(solution.select("region", "l1", "l2", "l3")), "region").withColumn("_s", score)
     top = s.groupBy("region").agg(F.max("_s").alias("_t"))
-    e = s.join(top, "region").withColumn("_e", F.exp(F.col("_s") - F.col("_t")))
+    e = groups.attach(s, top, ["region"]).withColumn("_e", F.exp(F.col("_s") - F.col("_t")))
     z = e.groupBy("region").agg(F.sum("_e").alias("_z"))
-    return e.join(z, "region").withColumn("p", F.col("_e") / F.col("_z")).drop("_s", "_t", "_e", "_z", "l1", "l2", "l3")
+    return groups.attach(e, z, ["region"]).withColumn("p", F.col("_e") / F.col("_z")).drop("_s", "_t", "_e", "_z", "l1", "l2", "l3")
 
 
 def prepared(cells: DataFrame, elasticity: float = 2.77, power: float = 0.35) -> DataFrame:
@@ -111,7 +111,7 @@ def allocate_frame(frame: DataFrame, totals: DataFrame, tolerance: float = 1e-8)
     """(cells with p and value, solution) of a frame from ``prepared``."""
     frame = graph.settle(frame)
     solution = solve(frame.select("region", *FEATURES), targets(frame), tolerance)
-    out = weights(frame, solution).join(totals.select("region", "x_total"), "region")
+    out = groups.attach(weights(frame, solution), totals.select("region", "x_total"), ["region"])
     return out.withColumn("value", F.col("x_total") * F.col("p")).drop("x_total"), solution
 
 

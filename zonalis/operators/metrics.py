@@ -8,17 +8,29 @@ from pyspark.sql import functions as F
 from zonalis.operators import ranks
 
 
+def _gini():
+    """The coefficient as an aggregate over ``ranks.prefixed`` values; a sum of 0 or less: 0."""
+    v, c, b = (F.col(k) for k in ("_v", "_c", "_b"))
+    ranked, total, n = F.sum(v * (c * b + c * (c + 1) / 2)), F.sum(v * c), F.sum("_c")
+    return F.coalesce((2 * ranked - (n + 1) * total) / (n * F.when(total > 0, total)), F.lit(0.0))
+
+
+def _top_share(fraction: float, mode: str):
+    """The share of the greatest values as an aggregate over ``ranks.prefixed`` values: a value that the limit cuts counts in part."""
+    n = F.col("_n") * F.lit(float(fraction))
+    k = {"all_round": F.greatest(F.lit(1), F.bround(n).cast("long")), "positive_trunc": F.greatest(F.lit(1), F.floor(n)), "all_trunc": F.floor(n)}[mode]
+    above = F.col("_n") - F.col("_b") - F.col("_c")
+    top, total = F.sum(F.col("_v") * F.greatest(F.lit(0), F.least("_c", k - above))), F.sum(F.col("_v") * F.col("_c"))
+    return F.coalesce(top / F.when(total > 0, total), F.lit(0.0))
+
+
 def gini(df: DataFrame, value: str = "value", by: tuple[str, ...] = ("region", "method"), keep: str = "all") -> DataFrame:
     """by..., gini. Equal values are one block, so that a million zeros are one row of the running sum.
 
     keep="nonnegative" drops negative values first. No rows or a sum of 0 or less: 0.
     """
     v = df.where(F.col(value) >= 0) if keep == "nonnegative" else df
-    blocks = v.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    place = F.col("_c") * F.col("_b") + F.col("_c") * (F.col("_c") + 1) / 2
-    s = ranks.running(blocks, by, "_v", "_c", "_b").groupBy(*by).agg(F.sum(F.col("_v") * place).alias("_r"), F.sum(F.col("_v") * F.col("_c")).alias("_s"), F.sum("_c").alias("_n"))
-    g = (2 * F.col("_r") - (F.col("_n") + 1) * F.col("_s")) / (F.col("_n") * F.when(F.col("_s") > 0, F.col("_s")))
-    return s.select(*by, F.coalesce(g, F.lit(0.0)).alias("gini"))
+    return ranks.prefixed(v, value, by).groupBy(*by).agg(_gini().alias("gini"))
 
 
 def top_share(df: DataFrame, value: str = "value", by: tuple[str, ...] = ("region", "method"), fraction: float = 0.1, mode: str = "all_round") -> DataFrame:
@@ -30,20 +42,16 @@ def top_share(df: DataFrame, value: str = "value", by: tuple[str, ...] = ("regio
     if mode not in ("all_round", "positive_trunc", "all_trunc"):
         raise ValueError(f"unknown mode {mode!r}")
     v = df.where(F.col(value) > 0) if mode == "positive_trunc" else df
-    blocks = v.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    n = F.col("_n") * F.lit(float(fraction))
-    k = {"all_round": F.greatest(F.lit(1), F.bround(n).cast("long")), "positive_trunc": F.greatest(F.lit(1), F.floor(n)), "all_trunc": F.floor(n)}[mode]
-    count = blocks.groupBy(*by).agg(F.sum("_c").alias("_n"))
-    s = ranks.running(blocks, by, "_v", "_c", "_b", descending=True).join(count, list(by)).withColumn("_k", k)
-    part = F.col("_v") * F.greatest(F.lit(0), F.least("_c", F.col("_k") - F.col("_b")))
-    t = s.groupBy(*by).agg(F.sum(part).alias("_t"), F.sum(F.col("_v") * F.col("_c")).alias("_s"))
-    return t.select(*by, F.coalesce(F.col("_t") / F.when(F.col("_s") > 0, F.col("_s")), F.lit(0.0)).alias("top_share"))
+    return ranks.prefixed(v, value, by).groupBy(*by).agg(_top_share(fraction, mode).alias("top_share"))
 
 
 def table(df: DataFrame, value: str = "value", by: tuple[str, ...] = ("region", "method"), fraction: float = 0.1, mode: str = "all_round") -> DataFrame:
     """by..., gini, top_share, total, cells (those above 0): one row for each region and method of a long frame."""
-    counts = df.groupBy(*by).agg(F.sum(value).alias("total"), F.count_if(F.col(value) > 0).alias("cells"))
-    return gini(df, value, by).join(top_share(df, value, by, fraction, mode), list(by)).join(counts, list(by))
+    total, cells = F.sum(F.col("_v") * F.col("_c")), F.coalesce(F.sum(F.when(F.col("_v") > 0, F.col("_c"))), F.lit(0).cast("long"))
+    if mode != "positive_trunc":  # one running sum for all of it
+        return ranks.prefixed(df, value, by).groupBy(*by).agg(_gini().alias("gini"), _top_share(fraction, mode).alias("top_share"), total.alias("total"), cells.alias("cells"))
+    rest = ranks.prefixed(df, value, by).groupBy(*by).agg(_gini().alias("gini"), total.alias("total"), cells.alias("cells"))
+    return top_share(df, value, by, fraction, mode).join(rest, list(by)).select(*by, "gini", "top_share", "total", "cells")
 
 
 def describe(df: DataFrame, value: str, by: tuple[str, ...] = ("region",)) -> DataFrame:

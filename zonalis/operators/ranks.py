@@ -1,56 +1,76 @@
 """Running sums, ranks and exact quantiles of groups too large for one task.
 
-A group's values are cut into ranges by a step function of the logarithm; sums run inside the ranges, and the ranges'
-totals, a few thousand rows at most, are run over the whole group.
+Rows are sorted into ranges that Spark samples (``repartitionByRange``), so that a range has about as many rows as any other,
+whatever the values are. Sums run inside the ranges; the ranges' totals, a row for each group and range, are run over the
+whole group and sent to all tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-STEPS = 64  # ranges for each factor e
+from zonalis.operators import graph, groups
 
 
-def range_of(value: str) -> Column:
-    """A number that never falls as the value grows (NaN comes last, as in Spark's order)."""
-    v = F.col(value)
-    step = lambda x: F.floor(F.least(F.ln(x), F.lit(1000.0)) * STEPS) + 100_000
-    return F.when(F.isnan(v), F.lit(10**9)).when(v > 0, step(v)).when(v < 0, -step(-v)).when(v == 0, F.lit(0)).cast("long")
+def dealt(df: DataFrame, *order: str) -> DataFrame:
+    """The rows in sampled ranges of ``order``, written once, with the number of their range as ``_p``: ranges never fall as the
+    order grows."""
+    return graph.settle(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+
+
+def running(blocks: DataFrame, by: Sequence[str], value: str, amount: str, name: str, descending: bool = False, total: str | None = None) -> DataFrame:
+    """Adds ``name``, the sum of ``amount`` over the values before this one, and with ``total`` the group's whole sum; ``blocks`` has
+    each value of a group once. Nulls come first and NaN last, as in Spark's order (descending: the other way)."""
+    d = dealt(blocks, *by, value)
+    order = F.desc if descending else F.asc
+    before = W.partitionBy(*by).orderBy(order("_p")).rowsBetween(W.unboundedPreceding, -1)
+    ranges = d.groupBy(*by, "_p").agg(F.sum(amount).alias("_t"))
+    whole = {total: F.sum("_t").over(W.partitionBy(*by))} if total else {}
+    ranges = ranges.withColumns({"_o": F.coalesce(F.sum("_t").over(before), F.lit(0)), **whole}).drop("_t")
+    inside = W.partitionBy(*by, "_p").orderBy(order(value)).rowsBetween(W.unboundedPreceding, -1)
+    own = d.withColumn(name, F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    return groups.attach(own, ranges, [*by, "_p"]).withColumn(name, F.col("_o") + F.col(name)).drop("_o", "_p")
 
 
-def running(blocks: DataFrame, by: Sequence[str], value: str, amount: str, name: str, descending: bool = False) -> DataFrame:
-    """Adds ``name``, the sum of ``amount`` over the values before this one; ``blocks`` has each value of a group once."""
-    b = blocks.withColumn("_q", range_of(value))
-    order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
-    inside = W.partitionBy(*by, "_q").orderBy(order(value)).rowsBetween(W.unboundedPreceding, -1)
-    among = W.partitionBy(*by).orderBy(order("_q")).rowsBetween(W.unboundedPreceding, -1)
-    total = b.groupBy(*by, "_q").agg(F.sum(amount).alias("_t"))
-    total = total.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate([*by, "_q"])], F.coalesce(F.sum("_t").over(among), F.lit(0)).alias("_before"))
-    own = b.withColumn("_own", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate([*by, "_q"])])
-    return own.join(total, same).withColumn(name, F.col("_before") + F.col("_own")).drop("_q", "_own", "_before", *[f"_g{i}" for i in range(len(by) + 1)])
+def prefixed(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """by..., _v, _c, _b, _n: each value of a group once, how often it is there, how many rows are before it, and the group's rows.
+
+    A million equal values are one row.
+    """
+    return running(df.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c")), by, "_v", "_c", "_b", total="_n")
 
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str], name: str) -> DataFrame:
-    """Adds the rank of ``value`` within ``by``; equal values share their mean rank. Ranks are made over blocks
-    of equal values, so that a million zeros are one row of the running sum."""
-    blocks = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    ranked = running(blocks, by, "_v", "_c", "_b").select(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], "_v", (F.col("_b") + (F.col("_c") + 1) / 2).alias(name))
-    on = [df[b] == F.col(f"_k{i}") for i, b in enumerate(by)] + [df[value] == F.col("_v")]
-    return df.join(ranked, on).drop("_v", *[f"_k{i}" for i in range(len(by))])
+    """Adds the rank of ``value`` within ``by``; equal values share their mean rank, rows with a null go.
+
+    A row carries its rank: it is not joined back by its value. Rows of one value may fill several ranges (they are dealt by a
+    hash of the row), so the values at the ends of ranges are counted over all of them.
+    """
+    d = dealt(df.where(F.col(value).isNotNull()).withColumn("_h", F.xxhash64(*df.columns)), *by, value, "_h").drop("_h")
+    up = W.partitionBy(*by, "_p").orderBy(value)
+    rows = d.withColumns({"_b": F.rank().over(up) - 1, "_c": F.count("*").over(up.rangeBetween(W.currentRow, W.currentRow))})
+    # from here a row for each range: its rows, and its least and greatest value with their counts
+    each = d.groupBy(*by, "_p", F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    ranges = graph.settle(each.groupBy(*by, "_p").agg(F.sum("c").alias("t"), F.min(F.struct("v", "c")).alias("low"), F.max(F.struct("v", "c")).alias("high")))
+    before = W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.withColumn("o", F.coalesce(F.sum("t").over(before), F.lit(0)))
+    ends = F.array_distinct(F.array(F.struct("low.v", "low.c", F.lit(0).cast("long").alias("b")), F.struct("high.v", "high.c", (F.col("t") - F.col("high.c")).alias("b"))))
+    ends = ranges.select(*by, "_p", "o", F.explode(ends).alias("e")).select(*by, "_p", "o", "e.*")
+    same = W.partitionBy(*by, "v")
+    ends = ends.select(*by, "_p", "o", "v", ((F.min(F.col("o") + F.col("b")).over(same)) + (F.sum("c").over(same) + 1) / 2).alias("r"))
+    ends = ends.groupBy(*by, "_p").agg(F.first("o").alias("_o"), F.min(F.struct("v", "r")).alias("_low"), F.max(F.struct("v", "r")).alias("_high"))
+    v = F.col(value)
+    rank = F.when(v == F.col("_low.v"), F.col("_low.r")).when(v == F.col("_high.v"), F.col("_high.r")).otherwise(F.col("_o") + F.col("_b") + (F.col("_c") + 1) / 2)
+    return groups.attach(rows, ends, [*by, "_p"]).withColumn(name, rank).drop("_p", "_o", "_b", "_c", "_low", "_high")
 
 
 def quantiles(df: DataFrame, value: str, by: Sequence[str], points: dict[str, float]) -> DataFrame:
     """by..., and for each name its exact quantile, linear between neighbours; nulls are left out."""
-    blocks = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    n = blocks.groupBy(*by).agg(F.sum("_c").alias("_n")).withColumnsRenamed({b: f"_h{i}" for i, b in enumerate(by)})
-    same = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(f"_h{i}")) for i, b in enumerate(by)])
-    ranked = running(blocks, by, "_v", "_c", "_b").join(n, same)
+    ranked = prefixed(df.where(F.col(value).isNotNull()), value, by)
     at = {k: (F.col("_n") - 1) * F.lit(float(p)) for k, p in points.items()}
     holds = lambda k: (F.col("_b") <= k) & (k < F.col("_b") + F.col("_c"))
     ends = []

@@ -42,7 +42,7 @@ def scored(sums: DataFrame, target: DataFrame, kind: str, scales: Sequence[float
     # sums that differ only by the order of their terms are equal: eleven digits count
     digits = lambda w: F.when(w > 1e-290, F.rint(w / F.pow(F.lit(10.0), F.floor(F.log10(w)) - 10)) * F.pow(F.lit(10.0), F.floor(F.log10(w)) - 10)).otherwise(w)
     params = F.array(*[F.struct(F.lit(i).alias("combo"), digits(F.col(f"w{i}")).alias("w")) for i in range(len(combos))])
-    long = cells.select("region", "_rb", F.explode(params).alias("p")).select("region", "_rb", "p.combo", "p.w")
+    long = cells.select("region", "cell_id", "_rb", F.explode(params).alias("p")).select("region", "cell_id", "_rb", "p.combo", "p.w")
     rho = correlation(average_rank(long, "w", ("region", "combo"), "_ra"), ("region", "combo"))
     names = F.create_map(*[x for i, (b, s) in enumerate(combos) for x in (F.lit(i), F.struct(F.lit(float(b)).alias("beta"), F.lit(float(s)).alias("scale")))])
     return rho.select("region", F.lit(kind).alias("kind"), names[F.col("combo")]["beta"].alias("beta"), names[F.col("combo")]["scale"].alias("scale"), (F.col("combo") / len(scales)).cast("int").alias("beta_pos"), (F.col("combo") % len(scales)).alias("scale_pos"), "rho")
