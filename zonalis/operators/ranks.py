@@ -17,22 +17,21 @@ from zonalis.operators import graph, groups
 
 
 def dealt(df: DataFrame, *order: str) -> DataFrame:
-    """The rows in sampled ranges of ``order``, written once, with the number of their range as ``_p``: ranges never fall as the
-    order grows."""
-    return graph.settle(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    """The rows with the number of their sampled range of ``order`` as ``_p``: ranges never fall as the order grows. Another run of the
+    plan may draw other ranges, so what is made of them in one pass has to be written."""
+    return df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
 
 
 def running(blocks: DataFrame, by: Sequence[str], value: str, amount: str, name: str, descending: bool = False, total: str | None = None) -> DataFrame:
     """Adds ``name``, the sum of ``amount`` over the values before this one, and with ``total`` the group's whole sum; ``blocks`` has
     each value of a group once. Nulls come first and NaN last, as in Spark's order (descending: the other way)."""
-    d = dealt(blocks, *by, value)
     order = F.desc if descending else F.asc
+    inside = W.partitionBy(*by, "_p").orderBy(order(value)).rowsBetween(W.unboundedPreceding, -1)
+    own = graph.settle(dealt(blocks, *by, value).withColumn(name, F.coalesce(F.sum(amount).over(inside), F.lit(0))))
     before = W.partitionBy(*by).orderBy(order("_p")).rowsBetween(W.unboundedPreceding, -1)
-    ranges = d.groupBy(*by, "_p").agg(F.sum(amount).alias("_t"))
+    ranges = own.groupBy(*by, "_p").agg(F.sum(amount).alias("_t"))
     whole = {total: F.sum("_t").over(W.partitionBy(*by))} if total else {}
     ranges = ranges.withColumns({"_o": F.coalesce(F.sum("_t").over(before), F.lit(0)), **whole}).drop("_t")
-    inside = W.partitionBy(*by, "_p").orderBy(order(value)).rowsBetween(W.unboundedPreceding, -1)
-    own = d.withColumn(name, F.coalesce(F.sum(amount).over(inside), F.lit(0)))
     return groups.attach(own, ranges, [*by, "_p"]).withColumn(name, F.col("_o") + F.col(name)).drop("_o", "_p")
 
 
@@ -52,10 +51,10 @@ def average_rank(df: DataFrame, value: str, by: Sequence[str], name: str) -> Dat
     """
     d = dealt(df.where(F.col(value).isNotNull()).withColumn("_h", F.xxhash64(*df.columns)), *by, value, "_h").drop("_h")
     up = W.partitionBy(*by, "_p").orderBy(value)
-    rows = d.withColumns({"_b": F.rank().over(up) - 1, "_c": F.count("*").over(up.rangeBetween(W.currentRow, W.currentRow))})
+    rows = graph.settle(d.withColumns({"_b": F.rank().over(up) - 1, "_c": F.count("*").over(up.rangeBetween(W.currentRow, W.currentRow))}))
     # from here a row for each range: its rows, and its least and greatest value with their counts
-    each = d.groupBy(*by, "_p", F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    ranges = graph.settle(each.groupBy(*by, "_p").agg(F.sum("c").alias("t"), F.min(F.struct("v", "c")).alias("low"), F.max(F.struct("v", "c")).alias("high")))
+    end = F.struct(F.col(value).alias("v"), F.col("_c").alias("c"))
+    ranges = rows.groupBy(*by, "_p").agg(F.count("*").alias("t"), F.min(end).alias("low"), F.max(end).alias("high"))
     before = W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     ranges = ranges.withColumn("o", F.coalesce(F.sum("t").over(before), F.lit(0)))
     ends = F.array_distinct(F.array(F.struct("low.v", "low.c", F.lit(0).cast("long").alias("b")), F.struct("high.v", "high.c", (F.col("t") - F.col("high.c")).alias("b"))))

@@ -89,17 +89,17 @@ def alloc_uniform(spark, sf):
 
 @query
 def alloc_proximity(spark, sf):
-    return _out(allocate.proximity(featured(spark, sf), totals(spark, sf)))
+    return _out(allocate.proximity(graph.settle(featured(spark, sf)), totals(spark, sf)))
 
 
 @query
 def alloc_agri(spark, sf):
-    return _out(allocate.remoteness(featured(spark, sf), totals(spark, sf)))
+    return _out(allocate.remoteness(graph.settle(featured(spark, sf)), totals(spark, sf)))
 
 
 @query
 def alloc_naive_nearest(spark, sf):
-    return _out(allocate.nearest_place(featured(spark, sf), totals(spark, sf)))
+    return _out(allocate.nearest_place(graph.settle(featured(spark, sf)), totals(spark, sf)))
 
 
 @query
