@@ -113,8 +113,8 @@ def simplify(pts: np.ndarray, tolerance: float) -> np.ndarray:
 CHUNK = 64  # columns of cells in one task's share of a ring
 
 
-def _column(ring: np.ndarray, ix: int, size: float, big: float) -> Iterator[tuple[int, int, float, float, float]]:
-    """The cells of one column of a ring: (first iy, iy after the last, area, mx, my); whole cells as ranges with area 0."""
+def column_pieces(ring: np.ndarray, ix: int, size: float, big: float) -> Iterator[tuple[int, int, np.ndarray | None]]:
+    """The cells of one column of a ring: (first iy, iy after the last, the ring clipped to the cell); whole cells as ranges with None."""
     x0, x1 = ix * size, (ix + 1) * size
     column = clip_ring(ring, x0, -big, x1, big)
     if len(column) < 3:
@@ -131,12 +131,19 @@ def _column(ring: np.ndarray, ix: int, size: float, big: float) -> Iterator[tupl
     for lo, hi in edge.reshape(-1, 2):  # runs of untouched cells are inside or outside as a whole
         mid = np.array([(low + lo + 0.5) * size])
         if inside(column, np.array([(x0 + x1) / 2]), mid)[0]:
-            yield low + int(lo), low + int(hi), 0.0, 0.0, 0.0
+            yield low + int(lo), low + int(hi), None
     for k in np.flatnonzero(touched):
         iy = low + int(k)
-        m = moments(clip_ring(column, x0, iy * size, x1, (iy + 1) * size))
-        if m[0] > 0:
-            yield iy, iy + 1, *m
+        yield iy, iy + 1, clip_ring(column, x0, iy * size, x1, (iy + 1) * size)
+
+
+def _column(ring: np.ndarray, ix: int, size: float, big: float) -> Iterator[tuple[int, int, float, float, float]]:
+    """The cells of one column of a ring: (first iy, iy after the last, area, mx, my); whole cells as ranges with area 0."""
+    for lo, hi, piece in column_pieces(ring, ix, size, big):
+        if piece is None:
+            yield lo, hi, 0.0, 0.0, 0.0
+        elif (m := moments(piece))[0] > 0:
+            yield lo, hi, *m
 
 
 def _ring_cells(batches: Iterator[pa.RecordBatch], size: float) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonalis.functions import scalar
-from zonalis.operators import allocate, distance, graph, grid, maxent, metrics, region, regress, tune
+from zonalis.operators import allocate, distance, graph, grid, maxent, metrics, overlay, region, regress, tune
 from zonalis.plans import report
 from zonalis.sources import files
 
@@ -287,6 +287,29 @@ def grid_l_shape(spark, sf):
     return _grid(grid.polygon_grid(_l_shape(spark, sf)))
 
 
+@query
+def cell_overlay(spark, sf):
+    """Cells cut by a border that is not convex and has a hole: the area of each cut geometry."""
+    return overlay.cut_cells(_l_shape(spark, sf)).select("region", "ix", "iy", F.round("area_km2", DIGITS).alias("area_km2"))
+
+
+def _plots(spark, sf):
+    """A rectangle for each supplier, near its nation's box, as (region, part, ring, is_hole, pts)."""
+    k = F.col("s_suppkey")
+    s = t(spark, sf, "supplier").join(_boxes(spark, sf).join(t(spark, sf, "nation"), F.col("n_name") == F.col("region")), F.col("s_nationkey") == F.col("n_nationkey"))
+    x, y = F.col("xmin") - 900 + (k * 7919) % 8000, F.col("ymin") - 700 + (k * 104729) % 9000
+    p = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+    w, h = F.lit(1250.5) + k % 7 * 300, F.lit(900.25) + k % 5 * 700
+    return s.select(k.cast("string").alias("region"), F.lit(0).alias("part"), F.lit(0).alias("ring"), F.lit(False).alias("is_hole"), F.array(p(0, 0), p(w, 0), p(w, h), p(0, h)).alias("pts"))
+
+
+@query
+def overlay_pairs(spark, sf):
+    """The area that each supplier's rectangle has in common with a border that is not convex and has a hole."""
+    both = overlay.intersections(_l_shape(spark, sf), _plots(spark, sf), names=("region", "plot"))
+    return both.groupBy("region", "plot").agg(F.round(F.sum("area_km2"), DIGITS).alias("area_km2")).where("area_km2 > 0")
+
+
 @query
 def region_outline(spark, sf):
     """Each box as two halves and a hole: one outline without the hole and without points on straight sides."""

@@ -235,6 +235,14 @@ pts as (select region, xmin - 500 + (event_id * 7919) % 12000 as x, ymin - 500 +
 px as (select region, floor(x / 1000)::bigint as ix, floor(y / 1000)::bigint as iy, sum(value) as v from pts where event_type <> 'error' and value is not null
   and x >= xmin and x < xmax and y >= ymin and y < ymax and not ({_HOLE}) and not (x >= xm and y >= ym) group by 1, 2, 3)"""
 ORACLE |= {
+    "cell_overlay": f"{_SHAPE} select region, ix, iy, round(area / 1e6, 6) as area_km2 from shape",
+    "overlay_pairs": f"""with {_BOXES}, r as (select region, s_suppkey::varchar as plot, xmin, ymin, xmax, ymax, xmin + (xmax - xmin) * 0.55e0 as xm, ymin + (ymax - ymin) * 0.4e0 as ym,
+  xmin - 900 + (s_suppkey * 7919) % 8000 as x0, ymin - 700 + (s_suppkey * 104729) % 9000 as y0, 1250.5e0 + s_suppkey % 7 * 300 as w, 900.25e0 + s_suppkey % 5 * 700 as h
+  from supplier join nation on s_nationkey = n_nationkey join boxes on region = n_name),
+o as (select region, plot, greatest(0, least(x0 + w, xmax) - greatest(x0, xmin)) * greatest(0, least(y0 + h, ymax) - greatest(y0, ymin))
+  - greatest(0, least(x0 + w, xmax) - greatest(x0, xm)) * greatest(0, least(y0 + h, ymax) - greatest(y0, ym))
+  - greatest(0, least(x0 + w, xmin + 3000) - greatest(x0, xmin + 1000)) * greatest(0, least(y0 + h, ymin + 3000) - greatest(y0, ymin + 1000)) as a from r)
+select region, plot, round(a / 1e6, 6) as area_km2 from o where round(a / 1e6, 6) > 0""",
     "grid_l_shape": f"{_SHAPE} select region, ix, iy, round((a * (x0 + x1) / 2 - h * hx - q * qx) / area, 3) as x, round((a * (y0 + y1) / 2 - h * hy - q * qy) / area, 3) as y, round(area / 1e6, 6) as area_km2 from shape",
     "region_outline": f"with {_BOXES} select region, 4::bigint as n, round((xmax - xmin) * (ymax - ymin) / 1e6, 6) as area_km2 from boxes",
     "inner_point": f"with {_BOXES} select region, round(xmin + (xmax - xmin) * 0.55e0 / 2, 3) as x, round(ymin + (ymax - ymin) * 0.5000173e0, 3) as y from boxes",

@@ -61,8 +61,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_grid(df: DataFrame, path: str, *optional: str, geometry: bool = False, size: float = 1000.0) -> None:
-    """Cells as Parquet by region; ``optional`` columns are kept where there are any. With ``geometry`` the cells' squares go
-    with them as WKB."""
+    """Cells as Parquet by region; ``optional`` columns are kept where there are any. With ``geometry`` the cells go with
+    their shape as WKB: cut by the border where they have ``parts``, else their square."""
     if geometry:
         from zonalis.sources.spatial import with_wkb
 

@@ -310,8 +310,18 @@ def box_wkb(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Se
     return pd.Series([_BOX_HEAD + row.tobytes() for row in xy])
 
 
+@F.pandas_udf(BinaryType())
+def parts_wkb(parts: pd.Series) -> pd.Series:
+    """Polygons of rings of numbers (x, y, x, y, ...) as WKB, rings closed."""
+    closed = lambda ring: list(zip((*ring[0::2], ring[0]), (*ring[1::2], ring[1])))
+    return pd.Series([wkb([[closed(r) for r in part] for part in g]) if g is not None and len(g) else None for g in parts])
+
+
 def with_wkb(cells: DataFrame, size: float = 1000.0) -> DataFrame:
-    """Cells with ``geometry``, their square's outline as WKB."""
+    """Cells with ``geometry`` as WKB: what a border leaves of them where there are ``parts`` (``overlay.cut_cells``), else their square."""
+    if "parts" in cells.columns:
+        flat = F.transform("parts", lambda part: F.transform(part, lambda ring: F.flatten(F.transform(ring, lambda p: F.array(p["x"], p["y"])))))
+        return cells.withColumn("geometry", parts_wkb(flat))
     s = F.lit(float(size))
     return cells.withColumn("geometry", box_wkb(F.col("ix") * s, F.col("iy") * s, (F.col("ix") + 1) * s, (F.col("iy") + 1) * s))
 
