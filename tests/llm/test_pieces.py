@@ -2,6 +2,7 @@ import hashlib
 import random
 import struct
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 
@@ -123,3 +124,53 @@ def test_new_columns_replace_those_of_their_names(spark):
     df = spark.createDataFrame([(1, "a b", "old", 5)], "doc_id long, text string, pieces string, n_pieces int")
     (row,) = pieces.with_pieces(df, PATH).collect()
     assert row.asDict().keys() == {"doc_id", "text", "n_pieces", "pieces"} and row.n_pieces == len(row.pieces)
+
+
+def test_every_id_comes_from_a_composition(monkeypatch):
+    t = pieces.Transducer(PATH)
+    met = []
+    compose = t.compose
+    monkeypatch.setattr(t, "compose", lambda s: met.append(s) or compose(s))
+    text = "A composition for each new segment, naïve 日本 \n once."
+    got = struct.unpack(f"<{len(t.encode(text)) // 4}i", t.encode(text))
+    assert list(got) == sentencepiece.SentencePieceProcessor(model_file=PATH).encode(text)
+    assert len(met) == len(set(met)) and set(met) == set(t.segments(" " + text))  # the second time from the memo
+
+
+def test_the_lexicon_reads_what_the_normaliser_reads():
+    t = pieces.machine(PATH)
+    todo, arcs, met = [t.lexicon.root], 0, 0
+    while todo:
+        at = todo.pop()
+        assert (" " in at) == (pieces.BAR in at) and at.get(" ") is at.get(pieces.BAR)
+        met += " " in at
+        arcs += len(at)
+        todo += [to for c, (to, _, _) in at.items() if c != " "]
+    assert met > 1 and arcs > 20_000
+    m = pieces.Machine()
+    m.add("ab", 1, 1.0)
+    m.add("b", 2, 1.0)
+    m.behind({"a": "b"})  # an a reads as a b, and nothing writes an a
+    assert m.root.keys() == {"a", "b"} and m.root["a"][1] == 2
+
+
+def test_a_segment_of_two_million_characters_takes_seconds():
+    import time
+
+    t = pieces.machine(PATH)
+    text = "abcdefghij" * 200_000
+    began = time.process_time()
+    ids = t.encode(text)
+    assert time.process_time() - began < 30
+    assert len(t.segments(" " + text)) == 1 and t.decode(np.frombuffer(ids, "<i4")) == text
+    short = "abcdefghij" * 2000
+    assert t.shortest(" " + short) == sentencepiece.SentencePieceProcessor(model_file=PATH).encode(short)
+
+
+def test_a_place_may_have_several_states():
+    """Grammar states that differ meet at one place when weights decide; each keeps its own way back."""
+    live = pieces.Composition(3)
+    t = pieces.machine(PATH)
+    for new in ((5, 2.0, 0, 0, 5), (6, 1.0, 0, 0, 6), (5, 1.5, 1, 0, 5), (6, 3.0, 1, 0, 6)):
+        t._reach(live, 2, new)
+    assert live[2] == [(5, 1.5, 1, 0, 5), (6, 1.0, 0, 0, 6)] and live[1] is None and [len(x) for x in live if x] == [1, 2]

@@ -2,19 +2,21 @@
 
 A model is compiled into three machines (``Machine``: states with arcs from a label to an output, a weight and a state):
 
-* the normaliser writes the dummy prefix and U+2581 for spaces, and copies all other characters (only identity
-  normalisation is taken);
+* the normaliser has one state and an arc that writes U+2581 for a space; all other characters are copied (only identity
+  normalisation is taken). The dummy prefix is an arc before the input that reads as a space does;
 * the lexicon is a trie of characters whose ends write a piece and go back to the root at the piece's weight; a
-  character that no piece has is written as its bytes;
+  character that no piece has is written as its bytes. It is composed with the normaliser when the model is compiled
+  (``Machine.behind``): wherever it reads what an arc of the normaliser writes, it reads that arc's label;
 * the grammar reads pieces. For a unigram model it has one state, and a piece weighs minus its score. A merge model's
   pieces come from merges by score, and a sequence of pieces is its encoding if and only if no merge across any
   two neighbours comes before those inside them; the grammar's state is the last piece, an arc is there for
   each piece that may follow it, and each piece weighs 1.
 
-Each input is composed with the machines: the composition's states are (place in the input, lexicon state, grammar
-state), expanded from left to right as paths reach them, and the encoding is its shortest path in the tropical semiring
-(weights add along a path, the least wins). Paths never lead over two characters that no piece has beside each other:
-segments between are composed on their own, and their paths are kept in a bounded memo.
+Each input is composed with the machines (``Transducer.compose``): the composition's states are (place in the input, lexicon
+state, grammar state), expanded from left to right as paths reach them, and the encoding is its shortest path in the
+tropical semiring (``Transducer.shortest``: weights add along a path, the least wins). Paths never lead over two characters that no
+piece has beside each other: segments between are composed on their own, and the paths of short ones are kept in a bounded
+memo. A composition takes time and memory in proportion to its segment, as a way through the trie is no longer than a piece.
 
 Defined cases: a null or empty text has no pieces and decodes to an empty text; a literal U+2581 in a text
 decodes to a space (``round_trip`` is false); repeated rows and ids are kept; a null id stays null; an empty
@@ -26,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,6 +60,17 @@ class Machine:
             at[label] = (to, out, weight) if k == len(labels) - 1 else (to, old, w)
             at = to
 
+    def behind(self, before: dict[str, str]) -> None:
+        """This machine composed with one of one state before it, which writes ``before[label]`` for a label and copies others."""
+        todo = [self.root]
+        while todo:
+            arcs = todo.pop()
+            todo += [to for to, _, _ in arcs.values()]
+            new = {label: arcs[written] for label, written in before.items() if written in arcs}
+            for label in before:
+                arcs.pop(label, None)
+            arcs.update(new)
+
 
 def merges(s: str, score: dict[str, float]) -> tuple[list[tuple[float, str, str]], list[str]]:
     """A merge model's rule on one string: join the neighbours with the best score, leftmost first, while there are any.
@@ -159,6 +173,52 @@ class Grammar:
                 j += 1
 
 
+NONE = -2
+
+
+class Composition:
+    """An input composed with the machines. Of each place one state as a row of columns (grammar state, or NONE; least weight; place
+    and index of the state before; piece of the last arc, -1 for bytes), further ones in ``more``."""
+
+    __slots__ = ("state", "cost", "back", "piece", "index", "more")
+
+    def __init__(self, n: int):
+        if n > 4096:  # compact
+            self.state, self.cost, self.back, self.piece = (array(kind, [v]) * (n + 1) for kind, v in (("i", NONE), ("d", 0.0), ("i", 0), ("i", -1)))
+        else:
+            self.state, self.cost, self.back, self.piece = [NONE] * (n + 1), [0.0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        self.index: dict[int, int] = {}  # of the states before that are not the first of their place
+        self.more: dict[int, list[tuple[int, float, int, int, int]]] = {}
+        self.state[0] = -1
+
+    def __len__(self) -> int:
+        return len(self.state)
+
+    def __getitem__(self, j: int) -> list[tuple[int, float, int, int, int]] | None:
+        if self.state[j] == NONE:
+            return None
+        return [(self.state[j], self.cost[j], self.back[j], self.index.get(j, 0), self.piece[j]), *self.more.get(j, ())]
+
+    def __iter__(self):
+        return (self[j] for j in range(len(self)))
+
+    def relax(self, j: int, new: tuple[int, float, int, int, int]) -> None:
+        """A way to a place that has a state: of equal grammar states the one of less weight stays."""
+        state, cost, back, index, piece = new
+        if self.state[j] == state:
+            if cost < self.cost[j]:
+                self.cost[j], self.back[j], self.piece[j] = cost, back, piece
+                self.index[j] = index
+            return
+        there = self.more.setdefault(j, [])
+        for k, old in enumerate(there):
+            if old[0] == state:
+                if cost < old[1]:
+                    there[k] = new
+                return
+        there.append(new)
+
+
 class Transducer:
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -175,7 +235,7 @@ class Transducer:
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == 6}
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.first_byte, self.last_byte = min(self.of_byte), max(self.of_byte)
-        self.normaliser = {" ": BAR}  # one state; all other labels are copied
+        self.normaliser = {" ": BAR}
         self.lexicon, events = Machine(), {}
         for i, p in enumerate(m.pieces):
             if p.type == 1:
@@ -185,8 +245,11 @@ class Transducer:
                     events[i], parts = merges(p.piece, score)
                     if parts == [p.piece]:  # others are never written
                         self.lexicon.add(p.piece, i, 1.0)
+        self.lexicon.behind(self.normaliser)
+        self.longest = max(map(len, score))  # of a way through the trie
         self.grammar = Free() if kind == UNIGRAM else Grammar(events, self.text, score)
         self.single = {p for p in score if len(p) == 1}
+        self.single |= {label for label, out in self.normaliser.items() if out in self.single}
         if kind == MERGES and any(c not in self.single for p in score for c in p):
             raise ValueError("a character of a piece is no piece")
         #: The weight of a character that no piece has, written as bytes.
@@ -196,6 +259,8 @@ class Transducer:
         letters = sorted({c for p in score for c in p})
         self.code = np.zeros(0x110000, np.uint16 if len(letters) < 65_000 else np.uint32)
         self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        for label, out in self.normaliser.items():
+            self.code[ord(label)] = self.code[ord(out)]
         number = {c: k + 1 for k, c in enumerate(letters)}
         self.meets = np.zeros((len(letters) + 1,) * 2, bool)
         for p in score:
@@ -215,24 +280,21 @@ class Transducer:
                 found.append((j + 1, piece, w))
         return found
 
-    def compose(self, s: str) -> list[list[tuple[int, float, int, int, int]] | None]:
-        """The composition of a segment with the machines, as far as paths reach.
-
-        Of each place in s its states: (grammar state, least weight, place and index of the state before, piece of the last
-        arc; -1 for bytes).
-        """
-        n, root, single, arc, to = len(s), self.lexicon.root, self.single, self.grammar.arc, self.grammar.to
+    def compose(self, s: str) -> Composition:
+        """The composition of a segment with the machines, as far as paths reach."""
+        n, root, single, arc, free, longest = len(s), self.lexicon.root, self.single, self.grammar.arc, isinstance(self.grammar, Free), self.longest
         known, none = self.grammar.known, {}
-        live: list = [[(-1, 0.0, 0, 0, -1)], *[None] * n]
+        live = Composition(n)
+        states, costs, backs, pieces, more = live.state, live.cost, live.back, live.piece, live.more
         for i in range(n):
-            here = live[i]
-            if here is None:
+            state = states[i]
+            if state == NONE:
                 continue
-            index = 0
-            for state, cost, _, _, _ in here:
+            cost, index, rest = costs[i], 0, iter(more.get(i, ()))
+            while True:
                 arcs, j, follow = root, i, known.get(state, none)
-                while j < n:
-                    got = arcs.get(s[j])
+                for label in s[i : i + longest]:
+                    got = arcs.get(label)
                     if got is None:
                         break
                     j += 1
@@ -240,33 +302,34 @@ class Transducer:
                     if piece >= 0:
                         ok = follow.get(piece)
                         if ok or ok is None and arc(state, piece):
-                            there = live[j]
-                            if there is None:
-                                live[j] = [(to(piece), cost + w, i, index, piece)]
+                            if states[j] == NONE and not index:
+                                states[j], costs[j], backs[j], pieces[j] = -1 if free else piece, cost + w, i, piece
                             else:
-                                self._relax(there, (to(piece), cost + w, i, index, piece))
+                                self._reach(live, j, (-1 if free else piece, cost + w, i, index, piece))
                 if s[i] not in single:
-                    new = (-1, cost + self.fallback, i, index, -1)
-                    if live[i + 1] is None:
-                        live[i + 1] = [new]
-                    else:
-                        self._relax(live[i + 1], new)
+                    self._reach(live, i + 1, (-1, cost + self.fallback, i, index, -1))
+                if not more:
+                    break
+                further = next(rest, None)
+                if further is None:
+                    break
+                state, cost = further[:2]
                 index += 1
         return live
 
     @staticmethod
-    def _relax(there: list[tuple], new: tuple) -> None:
-        for k, old in enumerate(there):
-            if old[0] == new[0]:
-                if new[1] < old[1]:
-                    there[k] = new
-                return
-        there.append(new)
+    def _reach(live: Composition, j: int, new: tuple[int, float, int, int, int]) -> None:
+        if live.state[j] == NONE:
+            live.state[j], live.cost[j], live.back[j], index, live.piece[j] = new
+            if index:
+                live.index[j] = index
+        else:
+            live.relax(j, new)
 
     def shortest(self, s: str) -> list[int]:
         """Shortest path through the composition of a segment with the machines."""
         live, out, j = self.compose(s), [], len(s)
-        _, _, i, index, piece = min(live[j], key=lambda x: x[1])
+        _, _, i, index, piece = live[j][0] if j not in live.more else min(live[j], key=lambda x: x[1])
         while True:
             if piece >= 0:
                 out.append(piece)
@@ -275,49 +338,12 @@ class Transducer:
             if not i:
                 return out[::-1]
             j = i
-            _, _, i, index, piece = live[j][index]
-
-    def solve(self, s: str) -> list[int]:
-        """``shortest``. A merge model's composition has one path to the end of a segment, so that path is sought there depth
-        first, longest pieces first; the places from which none leads on are not tried again."""
-        if isinstance(self.grammar, Free):
-            return self.shortest(s)
-        n, root, single, arc, known, none = len(s), self.lexicon.root, self.single, self.grammar.arc, self.grammar.known, {}
-        path: list[tuple[int, int, list[tuple[int, int]]]] = []  # place, state there, ways not yet tried
-        dead: set[int] = set()
-        i, a, ways = 0, -1, None
-        while i < n:
-            if ways is None:
-                ways, arcs, j = [], root, i
-                for c in s[i:]:
-                    got = arcs.get(c)
-                    if got is None:
-                        break
-                    j += 1
-                    arcs, piece, _ = got
-                    if piece >= 0:
-                        ways.append((j, piece))
-                if s[i] not in single:
-                    ways.append((i + 1, -1))
-            follow = known.get(a, none)
-            while ways:
-                j, piece = ways.pop()
-                ok = follow.get(piece) if piece >= 0 else True
-                if (ok or ok is None and arc(a, piece)) and j not in dead:
-                    path.append((i, a, ways))
-                    i, a, ways = j, piece, None
-                    break
+            if index or j in live.index:
+                _, _, i, index, piece = live[j][index]
             else:
-                dead.add(i)
-                i, a, ways = path.pop()
-        out, j = [], n
-        for i, before, _ in reversed(path):
-            if a >= 0:
-                out.append(a)
-            else:
-                out += [self.byte[b] for b in reversed(s[i:j].encode())]
-            j, a = i, before
-        return out[::-1]
+                i, piece = live.back[j], live.piece[j]
+
+    solve = shortest
 
     def _remember(self, s: str, ids: bytes) -> None:
         young, old = self.memo
@@ -327,17 +353,17 @@ class Transducer:
         young[s] = ids
 
     def _segment(self, s: str) -> bytes:
-        """Ids of one segment, from the memo or solved."""
+        """Ids of one segment, from the memo or the composition."""
         found = self.memo[1].get(s)
         if found is None:
-            ids = self.solve(s)
+            ids = self.shortest(s)
             found = struct.pack(f"<{len(ids)}i", *ids)
         if len(s) <= 48:
             self._remember(s, found)
         return found
 
     def segments(self, text: str) -> list[str]:
-        """A normalised text cut wherever no piece leads over."""
+        """A text cut wherever no piece leads over."""
         code = self.code[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
         cut = np.flatnonzero(~self.meets[code[:-1], code[1:]]) + 1
         at = [0, *cut.tolist(), len(text)]
@@ -347,10 +373,8 @@ class Transducer:
         """Piece ids of a text as little-endian 32-bit integers."""
         if not text:
             return b""
-        for label, out in self.normaliser.items():
-            text = text.replace(label, out)
         if self.prefix:
-            text = BAR + text
+            text = " " + text
         segments = self.segments(text)
         got = list(map(self.memo[0].get, segments))
         if None in got:
