@@ -108,3 +108,75 @@ def test_repeated_stretches_tile_an_item_as_often_as_it_has_them():
     docs = pa.record_batch([pa.array([1, 2, 3]), pa.array([f"{part} x " * n for n in (1, 3, 7)])], ["d", "t"])
     (got,) = list(dc._scan(iter([docs]), dc.Index([(5, f"{part} y " * 3)], 5), 0.8))
     assert [(r["d"], r["n_tiles"], r["n_covered"]) for r in got.to_pylist()] == [(2, 3, 15), (3, 3, 15)]
+
+
+def test_repeated_words_do_not_meet_each_with_each():
+    import time
+
+    import pyarrow as pa
+
+    for unit in ("ha", "ha ho", "a b c d e f g"):
+        words = (unit + " ") * (4000 // len(unit.split()))
+        n = len(words.split())
+        began = time.process_time()
+        got = dc.tiles([ord(w[0]) * 7 + len(w) + ord(w[-1]) for w in words.split()], [ord(w[0]) * 7 + len(w) + ord(w[-1]) for w in words.split()], 5)
+        assert got == [(0, 0, n)] and time.process_time() - began < 1.5
+        docs = pa.record_batch([pa.array([1, 2]), pa.array([words, words * 3])], ["d", "t"])
+        began = time.process_time()
+        (found,) = list(dc._scan(iter([docs]), dc.Index([(5, words)], 5), 0.8))
+        assert [(r["d"], r["n_covered"]) for r in found.to_pylist()] == [(1, n), (2, n)] and time.process_time() - began < 6
+
+
+def plain_tiles(a, b, least):
+    """The same search over all pairs of places with equal runs, symbol by symbol."""
+    fa, fb, out = [True] * len(a), [v >= 0 for v in b], []
+    s = max(least, min(20, len(a)))
+
+    def match(q, p):
+        k = 0
+        while q + k < len(a) and p + k < len(b) and fa[q + k] and fb[p + k] and a[q + k] == b[p + k]:
+            k += 1
+        return k
+
+    while True:
+        found, longest = {}, 0
+        for q in range(len(a)):
+            for p in range(len(b)):
+                before = q and p and fa[q - 1] and fb[p - 1] and a[q - 1] == b[p - 1]
+                k = match(q, p)
+                if k >= s and not before:
+                    found.setdefault(k, []).append((q, p))
+                    longest = max(longest, k)
+        if longest > 2 * s:
+            s = longest
+            continue
+        k = longest
+        while k >= s:
+            for q, p in sorted(found.pop(k, ())):
+                i = 0
+                while i < k:
+                    n = 0
+                    while i + n < k and fa[q + i + n] and fb[p + i + n]:
+                        n += 1
+                    if n == k:
+                        out.append((q, p, k))
+                        fa[q : q + k] = [False] * k
+                        fb[p : p + k] = [False] * k
+                    elif n >= s:
+                        found.setdefault(n, []).append((q + i, p + i))
+                    i += max(n, 1)
+            k = max((n for n in found if n <= k and found[n]), default=0)
+        if s == least:
+            return sorted(out)
+        s = max(least, s // 2)
+
+
+def test_tiles_of_tied_and_repeated_words_are_those_of_the_plain_search():
+    r = random.Random(7)
+    for _ in range(250):
+        a = [r.randrange(3) for _ in range(r.randrange(1, 50))]
+        b = [r.randrange(-1, 3) for _ in range(r.randrange(0, 70))]
+        if r.random() < 0.4:
+            a, b = a[:3] * 12, (a[:3] * 9 + [-1] + b)[:70]
+        for least in (2, 5):
+            assert dc.tiles(a, b, least) == plain_tiles(a, b, least), (a, b)

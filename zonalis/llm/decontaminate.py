@@ -30,41 +30,75 @@ _MOD, _RADIX = (1 << 61) - 1, 911382323
 SCHEMA = "d long, item_id long, n_words long, n_tiles long, n_covered long, coverage double"
 
 
-def _hashes(x: Sequence[int], free: list[bool], s: int) -> Iterator[tuple[int, int]]:
-    """(position, rolling hash) of each unmarked run of s symbols."""
-    top = pow(_RADIX, s, _MOD)
-    h = run = 0
-    for i, v in enumerate(x):
-        if not free[i]:
-            h = run = 0
-            continue
-        h = (h * _RADIX + v) % _MOD
-        run += 1
-        if run > s:
-            h = (h - x[i - s] * top) % _MOD
-        if run >= s:
-            yield i - s + 1, h
+class _Side:
+    """One of two sequences: its symbols, which of them are not marked yet, and Karp-Rabin hashes of its prefixes."""
+
+    def __init__(self, x: Sequence[int], power: list[int]):
+        self.x, self.free, self.power = x, bytearray(v >= 0 for v in x), power
+        self.prefix = [0]
+        h = 0
+        for v in x:
+            h = (h * _RADIX + v + 1) % _MOD
+            self.prefix.append(h)
+
+    def hash(self, i: int, s: int) -> int:
+        return (self.prefix[i + s] - self.prefix[i] * self.power[s]) % _MOD
+
+    def end(self, i: int, byte: int = 0) -> int:
+        """The next marked place (or, with 1, the next free one) from i on."""
+        at = self.free.find(byte, i)
+        return at if at >= 0 else len(self.x)
+
+    def runs(self, s: int) -> Iterator[tuple[int, int | None, int]]:
+        """(position, unmarked symbol before it, hash) of each unmarked run of s symbols."""
+        lo = self.end(0, 1)
+        while lo < len(self.x):
+            hi = self.end(lo)
+            top, prefix, before = self.power[s] if s < len(self.power) else 0, self.prefix, None
+            for i in range(lo, hi - s + 1):
+                yield i, before, (prefix[i + s] - prefix[i] * top) % _MOD
+                before = self.x[i]
+            lo = self.end(hi, 1)
+
+
+def _common(a: _Side, b: _Side, q: int, p: int, least: int) -> int:
+    """Length of the unmarked match from q and p, which is ``least`` at least: by halving, over hashes."""
+    low, high = least, min(a.end(q) - q, b.end(p) - p)
+    if a.hash(q, high) == b.hash(p, high):
+        return high
+    while high - low > 1:
+        mid = (low + high) // 2
+        if a.hash(q, mid) == b.hash(p, mid):
+            low = mid
+        else:
+            high = mid
+    return low
 
 
 def tiles(a: Sequence[int], b: Sequence[int], least: int = LEAST) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of a by b: (position in a, position in b, length), by running Karp-Rabin."""
-    free_a, free_b = [True] * len(a), [v >= 0 for v in b]
+    """Greedy string tiling of a by b: (position in a, position in b, length), by running Karp-Rabin.
+
+    Only matches that no equal pair of symbols goes before are met, so that repeated words do not meet each with each; runs
+    of symbols are equal where their 61-bit hashes are.
+    """
+    power = [1]
+    for _ in range(max(len(a), len(b))):
+        power.append(power[-1] * _RADIX % _MOD)
+    x, y = _Side(a, power), _Side(b, power)
     out: list[tuple[int, int, int]] = []
     s = max(least, min(20, len(a)))
     while True:
-        table = defaultdict(list)
-        for p, h in _hashes(b, free_b, s):
-            table[h].append(p)
+        table: dict[int, dict[int | None, list[int]]] = {}
+        for p, before, h in y.runs(s):
+            table.setdefault(h, {}).setdefault(before, []).append(p)
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
         longest = 0
-        for q, h in _hashes(a, free_a, s):
-            for p in table.get(h, ()):
-                if q and p and free_a[q - 1] and free_b[p - 1] and a[q - 1] == b[p - 1]:
-                    continue  # part of the match that begins one earlier
-                k = 0
-                while q + k < len(a) and p + k < len(b) and free_a[q + k] and free_b[p + k] and a[q + k] == b[p + k]:
-                    k += 1
-                if k >= s:
+        for q, before, h in x.runs(s):
+            for other, places in table.get(h, {}).items():
+                if other is not None and other == before:
+                    continue  # parts of matches that begin one earlier
+                for p in places:
+                    k = _common(x, y, q, p, s)
                     found[k].append((q, p))
                     longest = max(longest, k)
         if longest > 2 * s:
@@ -75,16 +109,16 @@ def tiles(a: Sequence[int], b: Sequence[int], least: int = LEAST) -> list[tuple[
             for q, p in sorted(found.pop(k, ())):
                 i = 0
                 while i < k:  # the parts of it that are still free
-                    n = 0
-                    while i + n < k and free_a[q + i + n] and free_b[p + i + n]:
-                        n += 1
+                    i = max(x.end(q + i, 1) - q, y.end(p + i, 1) - p)
+                    if not (i < k and x.free[q + i] and y.free[p + i]):
+                        continue
+                    n = min(x.end(q + i) - q, y.end(p + i) - p, k) - i
                     if n == k:
                         out.append((q, p, k))
-                        free_a[q : q + k] = [False] * k
-                        free_b[p : p + k] = [False] * k
+                        x.free[q : q + k] = y.free[p : p + k] = bytes(k)
                     elif n >= s:
                         found[n].append((q + i, p + i))
-                    i += max(n, 1)
+                    i += n
             k = max((n for n in found if n <= k and found[n]), default=0)
         if s == least:
             return sorted(out)
