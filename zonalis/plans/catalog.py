@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonalis.functions import scalar
-from zonalis.operators import allocate, distance, graph, grid, maxent, metrics, overlay, region, regress, tune
+from zonalis.operators import allocate, chains, distance, graph, grid, maxent, metrics, overlay, region, regress, tune
 from zonalis.plans import report
 from zonalis.sources import files
 
@@ -722,6 +722,33 @@ def largest_component(spark, sf):
     return graph.largest_component(*roads(spark, sf)).select("id")
 
 
+def _lanes(spark, sf) -> DataFrame:
+    """Each customer's orders as a lane that leaves its nation, and nations on the way to their region; both directions."""
+    from pyspark.sql import Window as W
+
+    o, c = t(spark, sf, "orders"), t(spark, sf, "customer")
+    o = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "o_custkey", "c_nationkey", "o_totalprice")
+    before = F.lag("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    lane = o.select(F.coalesce(before, (-1 - F.col("c_nationkey")).cast("long")).alias("src"), F.col("o_orderkey").alias("dst"), (F.col("o_totalprice") / 1000).alias("travel_time"))
+    n = t(spark, sf, "nation").select((-100 - F.col("n_regionkey")).cast("long").alias("src"), (-1 - F.col("n_nationkey")).cast("long").alias("dst"), (F.col("n_nationkey") + 10.0).alias("travel_time"))
+    return graph.undirected(lane.union(n))
+
+
+@query
+def road_chains(spark, sf):
+    """One edge for each customer's lane, from the nation to the last order."""
+    hubs = t(spark, sf, "nation").select((-1 - F.col("n_nationkey")).cast("long").alias("node"))
+    short, _ = chains.contract(_lanes(spark, sf), hubs)
+    return short.where("src < 0 and dst >= 0").select("src", "dst", F.round("travel_time", DIGITS).alias("travel_time"))
+
+
+@query
+def shortest_chains(spark, sf):
+    """Times from the regions to all orders, without a round for each order on the way."""
+    seeds = t(spark, sf, "region").select((-100 - F.col("r_regionkey")).cast("long").alias("place_id"), (-100 - F.col("r_regionkey")).cast("long").alias("node"))
+    return chains.shortest(seeds, _lanes(spark, sf)).where("node >= 0").select("place_id", "node", F.round("sec", DIGITS).alias("sec"))
+
+
 @query
 def edge_times(spark, sf):
     s = t(spark, sf, "supplier")

@@ -235,6 +235,9 @@ pts as (select region, xmin - 500 + (event_id * 7919) % 12000 as x, ymin - 500 +
 px as (select region, floor(x / 1000)::bigint as ix, floor(y / 1000)::bigint as iy, sum(value) as v from pts where event_type <> 'error' and value is not null
   and x >= xmin and x < xmax and y >= ymin and y < ymax and not ({_HOLE}) and not (x >= xm and y >= ym) group by 1, 2, 3)"""
 ORACLE |= {
+    "road_chains": "select (-1 - c_nationkey)::bigint as src, max(o_orderkey) as dst, round(sum(o_totalprice / 1000), 6) as travel_time from orders join customer on o_custkey = c_custkey group by o_custkey, c_nationkey",
+    "shortest_chains": """select (-100 - n_regionkey)::bigint as place_id, o_orderkey as node, round(n_nationkey + 10.0e0 + sum(o_totalprice / 1000) over (partition by o_custkey order by o_orderkey), 6) as sec
+from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey""",
     "cell_overlay": f"{_SHAPE} select region, ix, iy, round(area / 1e6, 6) as area_km2 from shape",
     "overlay_pairs": f"""with {_BOXES}, r as (select region, s_suppkey::varchar as plot, xmin, ymin, xmax, ymax, xmin + (xmax - xmin) * 0.55e0 as xm, ymin + (ymax - ymin) * 0.4e0 as ym,
   xmin - 900 + (s_suppkey * 7919) % 8000 as x0, ymin - 700 + (s_suppkey * 104729) % 9000 as y0, 1250.5e0 + s_suppkey % 7 * 300 as w, 900.25e0 + s_suppkey % 5 * 700 as h
