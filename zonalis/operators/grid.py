@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -195,19 +195,30 @@ def polygon_area(border: DataFrame) -> DataFrame:
 
 
 def points_inside(points: DataFrame, border: DataFrame, size: float = 1000.0) -> DataFrame:
-    """Points (region, x, y, ...) inside their region's polygons: by squares, where only those that an edge may
-    cross are tested exactly; the edges of a square's row to the right of a point are counted (even-odd)."""
-    n = F.size("pts")
-    edge = border.select("region", F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.element_at("pts", i).alias("p"), F.element_at("pts", (F.pmod(i, n) + 1).cast("int")).alias("q")))).alias("e"))
-    edge = edge.select("region", F.col("e.p.x").alias("ax"), F.col("e.p.y").alias("ay"), F.col("e.q.x").alias("bx"), F.col("e.q.y").alias("by")).where("ay <> by")
-    rows = F.sequence(F.floor(F.least("ay", "by") / size), F.floor(F.greatest("ay", "by") / size))
-    edge = edge.withColumn("row", F.explode(rows)).withColumnRenamed("region", "_r")
-    keyed = points.withColumn("_id", F.monotonically_increasing_id())
-    p = keyed.select("region", "_id", "x", "y", F.floor(F.col("y") / size).alias("_row"))
-    over = (F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))
-    right = F.col("x") < (F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")
-    hits = p.join(edge, (p.region == edge._r) & (p._row == edge.row)).where(over & right).groupBy("_id").agg((F.count("*") % 2).alias("odd")).where("odd = 1")
-    return keyed.join(hits, "_id", "left_semi").drop("_id")
+    """Points (region, x, y, ...) inside their region's polygons. A point meets its square only: where the polygons cover the whole
+    square it is inside, where an edge cuts the square it is tested against what is left of it (even-odd)."""
+    from zonalis.operators import overlay
+
+    cut = overlay.cut_cells(border, size).select(F.col("region").alias("_r"), F.col("ix").alias("_ix"), F.col("iy").alias("_iy"), F.col("whole").alias("_whole"), F.when(~F.col("whole"), F.flatten("parts")).alias("_rings"))
+    keyed = points.withColumns({"_px": F.floor(F.col("x") / size), "_py": F.floor(F.col("y") / size)})
+    j = keyed.join(cut, (keyed.region == cut._r) & (keyed._px == cut._ix) & (keyed._py == cut._iy))
+    return j.where(F.col("_whole") | _odd(F.col("_rings"), F.col("x"), F.col("y"))).drop("_r", "_ix", "_iy", "_px", "_py", "_whole", "_rings")
+
+
+def _odd(rings: Column, x: Column, y: Column) -> Column:
+    """Whether a line to the right of a point crosses an odd number of the rings' edges."""
+
+    def crossings(ring: Column) -> Column:
+        after = lambda i: F.element_at(ring, (F.pmod(i + 1, F.size(ring)) + 1).cast("int"))
+
+        def crosses(p: Column, i: Column) -> Column:
+            q = after(i)
+            over = (p["y"] > y) != (q["y"] > y)
+            return F.when(over & (x < (q["x"] - p["x"]) * (y - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) + p["x"]), 1).otherwise(0)
+
+        return F.aggregate(F.transform(ring, crosses), F.lit(0), lambda s, v: s + v)
+
+    return F.aggregate(F.transform(rings, crossings), F.lit(0), lambda s, v: s + v) % 2 == 1
 
 
 def zonal_sum(cells: DataFrame, pixels: DataFrame, size: float = 1000.0, nodata: float = -99999.0, value: str = "value", border: DataFrame | None = None) -> DataFrame:

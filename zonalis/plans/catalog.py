@@ -190,7 +190,9 @@ def city_mass(spark, sf):
 
 @query
 def kernel_curve(spark, sf):
-    return report.kernel_curves([("exp", 10.0), ("gauss", 10.0), ("power", 2.5)], spark).select("kind", F.round("d", DIGITS).alias("d"), F.round("f", DIGITS).alias("f"))
+    """The kernels up to the distance of the cell that is farthest from its centre."""
+    top = distance.to_point(cells(spark, sf), centres(spark, sf)).agg(F.max("dist_to_center_km")).first()[0]
+    return report.kernel_curves([("exp", 10.0), ("gauss", 10.0), ("power", 2.5)], spark, top).select("kind", F.round("d", DIGITS).alias("d"), F.round("f", DIGITS).alias("f"))
 
 
 @query
@@ -692,6 +694,16 @@ def maxent_alloc(spark, sf):
     return _out(maxent.allocate(featured(spark, sf), totals(spark, sf), 1.0, 0.5, tolerance=1e-11))
 
 
+def _measured(values: DataFrame) -> DataFrame:
+    return metrics.table(values, by=("region",)).select("region", F.round("gini", 4).alias("gini"), F.round("top_share", 4).alias("top_share"))
+
+
+@query
+def maxent_metrics(spark, sf):
+    """How concentrated the allocation by maximum entropy is."""
+    return _measured(maxent_alloc(spark, sf))
+
+
 # ------------------------------------------------------------------ roads
 def roads(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Nations as nodes, and their trade with each other as edges."""
@@ -771,24 +783,33 @@ def alloc_network(spark, sf):
     return _out(allocate.run(cells(spark, sf), totals(spark, sf), "network", places=places(spark, sf), minutes=_minutes(spark, sf), scale=30.0, buffer_km=None))
 
 
+@query
+def network_metrics(spark, sf):
+    """How concentrated the allocation over the road graph is."""
+    return _measured(alloc_network(spark, sf))
+
+
 @query
 def reachable_share(spark, sf):
     return graph.reachable_share(_minutes(spark, sf)).select("region", F.round("share", DIGITS).alias("share"))
 
 
 # ------------------------------------------------------------------ documents from the web
-OVERPASS_JSON = (
-    '{"elements":[{"type":"node","id":1,"lat":62.0,"lon":129.7,"tags":{"name":"A","population":"361 154","place":"city"}},'
-    '{"type":"way","id":2,"center":{"lat":61.5,"lon":129.1},"tags":{"name":"B","population":"9,256","place":"town"}},'
-    '{"type":"node","id":3,"lat":1.0,"lon":2.0,"tags":{"population":"5"}},{"type":"node","id":4,"tags":{"name":"C"}},'
-    '{"type":"way","id":5,"lat":9.0,"lon":9.0,"tags":{"name":"D"}},{"type":"node","id":6,"lat":3.5,"lon":4.5,"tags":{"name":"A","population":"1"}},'
-    '{"type":"node","id":7,"lat":7.5,"lon":8.5,"tags":{"name":"E","population":"10.5","place":"town"}},{"type":"node","id":8,"lat":5.0,"lon":6.0}]}'
-)
-
-
 @query
 def json_cities(spark, sf):
-    return files.overpass_places(spark.range(1).select(F.lit(OVERPASS_JSON).alias("json")))
+    """Suppliers as elements of map answers, fifty in one: nodes and ways with a centre, some without a name or a place, names that come
+    again, and populations as people write them."""
+    k = F.col("s_suppkey")
+    lon, lat = ((k * 37) % 360 - 180).cast("double"), ((k * 53) % 170 - 85).cast("double")
+    node = k % 3 != 0
+    people = F.when(k % 4 == 0, F.concat(k.cast("string"), F.lit(",250"))).when(k % 4 == 1, F.concat(k.cast("string"), F.lit(" 100"))).when(k % 4 == 2, F.concat(k.cast("string"), F.lit(".5")))
+    name, kind = F.when(k % 11 != 0, F.concat(F.lit("N"), (k % 60).cast("string"))), F.when(k % 2 == 0, "city").otherwise("town")
+    centre = F.when(~node & (k % 13 != 0), F.struct(lat.alias("lat"), lon.alias("lon")))
+    row = F.struct(k.alias("id"), F.when(node, "node").otherwise("way").alias("type"), F.when(node, lat).alias("lat"), F.when(node, lon).alias("lon"), centre.alias("center"), name.alias("name"), people.alias("people"), kind.alias("kind"))
+    rows = t(spark, sf, "supplier").groupBy(F.floor(k / 50).alias("answer")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    tagged = lambda e: F.struct(*[e[c].alias(c) for c in ("id", "type", "lat", "lon", "center")], F.create_map(F.lit("name"), e["name"], F.lit("population"), e["people"], F.lit("place"), e["kind"]).alias("tags"))
+    answers = rows.select("answer", F.transform("rows", tagged).alias("elements"))
+    return files.overpass_places(answers.select("answer", F.to_json(F.struct("elements")).alias("json")), order="answer")
 
 
 @query

@@ -152,7 +152,7 @@ ORACLE: dict[str, str] = {
     "alloc_decay_beta277": _decay("exp(-d / 10.0e0)", "power(population / top, 2.77e0)"),
     "alloc_zero_total_fallback": f"{_W} select region, cell_id, round(x_total / count(*) over (partition by region), 6) as value from cells join totals using (region)",
     "city_mass": f"{_W} select region, place_id, round(power(population / max(population) over (partition by region), 2.77e0), 6) as mass from places",
-    "kernel_curve": """with d as (select unnest(range(400)) * (120.0e0 / 399) as d) select 'exp' as kind, round(d, 6) as d, round(exp(-d / 10.0e0), 6) as f from d
+    "kernel_curve": f"""{_W}, d as (select k * (top / 399) as d from (select max(dc) as top from feat), range(400) r(k)) select 'exp' as kind, round(d, 6) as d, round(exp(-d / 10.0e0), 6) as f from d
 union all select 'gauss', round(d, 6), round(exp(-(d * d) / 200.0e0), 6) from d union all select 'power', round(d, 6), round(power(d + 1, -2.5e0), 6) from d""",
     "mercator_roundtrip": """with p as (select c_custkey, (c_custkey * 7919) % 36000 / 100.0e0 - 180 as lon, (c_custkey * 104729) % 16000 / 100.0e0 - 80 as lat from customer)
 select c_custkey, round(radians(lon) * 6378137.0e0, 3) as x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0e0, 3) as y, round(lon, 6) as lon, round(lat, 6) as lat from p""",
@@ -218,7 +218,9 @@ select src, round(len / (coalesce(ms, avg(ms) over (partition by hw), (select av
 w as (select region, cell_id, sum(m * case when d = 'inf'::double then 0 else exp(-d / 30.0e0) end) as w from mins join m using (place_id) group by region, cell_id), s as (select region, sum(w) as s, count(*) as n from w group by region)
 select region, cell_id, round(case when s > 0 then x_total * w / s else x_total / n end, 6) as value from w join s using (region) join totals using (region)""",
     "reachable_share": f"{_MINUTES}, n as (select region, cell_id, min(d) as d from mins group by region, cell_id) select region, round(avg((d < 'inf'::double)::int::double), 6) as share from n group by region",
-    "json_cities": "select * from (values ('A', 129.7e0, 62.0e0, 361154.0e0, 'city'), ('B', 129.1e0, 61.5e0, 9256.0e0, 'town'), ('E', 8.5e0, 7.5e0, null, 'town')) v(name, lon, lat, population, place)",
+    "json_cities": """with e as (select s_suppkey as k, case when s_suppkey % 11 <> 0 then 'N' || (s_suppkey % 60) end as name, ((s_suppkey * 37) % 360 - 180)::double as lon, ((s_suppkey * 53) % 170 - 85)::double as lat,
+  case s_suppkey % 4 when 0 then (s_suppkey || '250')::double when 1 then (s_suppkey || '100')::double end as population, case when s_suppkey % 2 = 0 then 'city' else 'town' end as place from supplier)
+select name, lon, lat, population, place from e where name is not null and (k % 3 <> 0 or k % 13 <> 0) qualify row_number() over (partition by name order by k) = 1""",
     "json_numbers": "select event_id, (props->>'k')::bigint as k, ((props->>'k') || '01')::bigint as n from events",
     "dedupe_first": "select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as k from events) where k = 1",
 }
@@ -305,3 +307,12 @@ select region, '{k}' as kind, max(beta) as beta, max(scale) as scale, round((2 *
 )
 _BY_ROAD = _trace("exp", SWEEP_BETAS, SWEEP_MINUTES).replace(_W, _MINUTES).replace("exp(-d / ", "exp(-least(d, 1e6) / ").replace("from dist d join sh", "from mins d join sh")
 ORACLE["tune_sweep_network"] = f"{_BY_ROAD} select {_SHOWN.format(kind='exp')} from trace"
+
+
+def _measured(sql: str) -> str:
+    return f"""with base as ({sql}), r as (select *, row_number() over (partition by region order by value, cell_id) as i, row_number() over (partition by region order by value desc, cell_id) as k, count(*) over (partition by region) as n from base)
+select region, round((2 * sum(i * value) - (max(n) + 1) * sum(value)) / (max(n) * sum(value)), 4) as gini, round(coalesce(sum(value) filter (where k <= greatest(1, round_even(n * 0.1e0, 0))), 0) / sum(value), 4) as top_share from r group by region"""
+
+
+ORACLE["maxent_metrics"] = _measured(ORACLE["maxent_alloc"])
+ORACLE["network_metrics"] = _measured(ORACLE["alloc_network"])
