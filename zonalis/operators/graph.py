@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OFFROAD_KMH = 25.0
+SALTS = 8
 _local: dict[str, str] = {}
+_written: dict[str, DataFrame] = {}
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -30,7 +33,30 @@ def settle(df: DataFrame) -> DataFrame:
             base = _local[spark.sparkContext.applicationId] = f"file://{folder}"
     path = f"{base.rstrip('/')}/zonalis/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _written:
+        atexit.register(release)  # before the session ends, which began earlier
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[path] = out
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``settle`` wrote and that nothing reads any more; others stay."""
+    for path in [p for p, df in _written.items() if any(df is t for t in tables)]:
+        _delete(_written.pop(path).sparkSession, path)
+
+
+def release() -> None:
+    """Delete all tables that ``settle`` wrote in this process: when it ends, or when no result is read any more."""
+    with contextlib.suppress(Exception):  # the session may have ended
+        for path, df in list(_written.items()):
+            _delete(df.sparkSession, path)
+    _written.clear()
 
 
 def edge_times(edges: DataFrame) -> DataFrame:
@@ -70,7 +96,9 @@ def shortest(seeds: DataFrame, edges: DataFrame, rounds: int = 10_000, together:
             return known()
         parts.append(front)
         if len(parts) > together:
-            parts = [settle(known())]
+            merged = settle(known())
+            discard(*(p for p in parts if p is not front))
+            parts = [merged]
     raise RuntimeError(f"shortest paths not settled after {rounds} rounds")
 
 
@@ -94,7 +122,8 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFra
         far = _salted(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = far.groupBy("a").agg(F.min("b").alias("m"))
         near = _salted(far, least).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        cur = settle(near.where("a <> b").distinct())
+        last, cur = cur, settle(near.where("a <> b").distinct())
+        discard(last)
         now = cur.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             found = cur.withColumnsRenamed({"a": "node", "b": "label"})
@@ -143,11 +172,15 @@ def travel_minutes(cells: DataFrame, places: DataFrame, nodes: DataFrame, edges:
     p = nearest_node(places, nodes, "place_id").withColumnsRenamed({"node": "p_node", "off_m": "p_off"})
     times = shortest(p.select("place_id", F.col("p_node").alias("node")).where("node is not null"), undirected(edges))
     t = times.withColumnsRenamed({"place_id": "_p", "node": "_n"})
-    cc = cells.select("region", "cell_id").join(c, "cell_id")
-    pp = places.select(F.col("region").alias("_r"), "place_id").join(p, "place_id")
-    both = cc.join(pp, cc.region == pp._r)
-    j = both.join(t, (both.place_id == t._p) & (both.c_node == t._n), "left")
-    return j.select("region", "cell_id", "place_id", F.coalesce(F.col("sec") / 60 + (F.col("c_off") + F.col("p_off")) * per_m, F.lit(float("inf"))).alias("d"))
+    pp = p.join(places.select(F.col("region"), "place_id"), "place_id")
+    cc = settle(cells.select("region", "cell_id").join(c, "cell_id"))
+    # nodes meet the places of their region, and cells their node: its times are looked up once, not for each of its cells
+    near = cc.select("region", "c_node").distinct()
+    ways = near.join(pp, "region").join(t, (F.col("place_id") == t._p) & (F.col("c_node") == t._n), "left").select(F.col("region").alias("_r"), F.col("c_node").alias("_c"), "place_id", "p_off", "sec")
+    # a node may have a third of all cells: they are dealt to several tasks
+    ways = ways.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = (cc.region == ways._r) & cc.c_node.eqNullSafe(ways._c) & (F.pmod(F.xxhash64(cc.cell_id), F.lit(SALTS)).cast("int") == ways._s)
+    return cc.join(ways, same).select("region", "cell_id", "place_id", F.coalesce(F.col("sec") / 60 + (F.col("c_off") + F.col("p_off")) * per_m, F.lit(float("inf"))).alias("d"))
 
 
 def reachable_share(minutes: DataFrame) -> DataFrame:

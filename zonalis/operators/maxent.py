@@ -6,6 +6,8 @@ solved together: each has a row of three multipliers.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,9 +88,13 @@ def solve(frame: DataFrame, goal: DataFrame, tolerance: float = 1e-8, steps: int
                 break
             for r in worse:
                 size[r] /= 2
-        lam, now = trial, got
-        for r in open_:
+        # a region whose shortest step is still worse stays where it is
+        better = open_ - set(worse)
+        lam, now = {r: trial[r] if r in better else lam[r] for r in mu}, {r: got[r] if r in better else now[r] for r in mu}
+        for r in better:
             used[r] += 1
+        if not better:
+            break
     rows = [(r, *map(float, lam[r]), float(np.abs(now[r][1] - mu[r]).max()), used[r], bool(np.abs(now[r][1] - mu[r]).max() <= 1e-6)) for r in sorted(mu)]
     return frame.sparkSession.createDataFrame(rows, "region string, l1 double, l2 double, l3 double, gap double, steps int, converged boolean")
 
@@ -111,6 +117,9 @@ def allocate_frame(frame: DataFrame, totals: DataFrame, tolerance: float = 1e-8)
     """(cells with p and value, solution) of a frame from ``prepared``."""
     frame = graph.settle(frame)
     solution = solve(frame.select("region", *FEATURES), targets(frame), tolerance)
+    short = [r.region for r in solution.where("not converged").collect()]
+    if short:
+        warnings.warn(f"the means are not reached in {len(short)} regions, as {short[:5]}", RuntimeWarning, stacklevel=2)
     out = groups.attach(weights(frame, solution), totals.select("region", "x_total"), ["region"])
     return out.withColumn("value", F.col("x_total") * F.col("p")).drop("x_total"), solution
 

@@ -23,29 +23,42 @@ def correlation(r: DataFrame, by: Sequence[str]) -> DataFrame:
     return r.groupBy(*by).agg(F.coalesce(F.covar_pop("_ra", "_rb") / F.nullif(spread, F.lit(0.0)), F.lit(0.0)).alias("rho"))
 
 
+#: One combination of a sweep: kernel, beta, scale and the positions of the last two in their grids.
+Combo = tuple[str, float, float, int, int]
+
+
+def grid(kind: str, scales: Sequence[float], betas: Sequence[float]) -> list[Combo]:
+    return [(kind, float(b), float(s), i, j) for i, b in enumerate(betas) for j, s in enumerate(scales)]
+
+
+def summed(pairs: DataFrame, combos: Sequence[Combo]) -> DataFrame:
+    """(region, cell_id, w0, w1, ...): the weights of all combinations, in one pass over the pairs."""
+    sums = [F.sum(F.pow("share", F.lit(b)) * kernel(F.col("d"), s, kind)).alias(f"w{i}") for i, (kind, b, s, _, _) in enumerate(combos)]
+    return pairs.groupBy("region", "cell_id").agg(*sums)
+
+
 def sweep(pairs: DataFrame, target: DataFrame, kind: str, scales: Sequence[float], betas: Sequence[float] = (1.0,)) -> DataFrame:
     """(region, kind, beta, scale, beta_pos, scale_pos, rho) of every combination.
 
     ``pairs`` (region, cell_id, d, share) has each place's part of the region's greatest population; one pass over
     it makes the sums of all combinations. ``target`` is (region, cell_id, target).
     """
-    sums = [F.sum(F.pow("share", F.lit(float(b))) * kernel(F.col("d"), s, kind)).alias(f"w{i}") for i, (b, s) in enumerate((b, s) for b in betas for s in scales)]
-    return scored(pairs.groupBy("region", "cell_id").agg(*sums), target, kind, scales, betas)
+    combos = grid(kind, scales, betas)
+    return scored(summed(pairs, combos), target, combos)
 
 
-def scored(sums: DataFrame, target: DataFrame, kind: str, scales: Sequence[float], betas: Sequence[float]) -> DataFrame:
-    """The trace of a sweep whose weights are made: (region, cell_id, w0, w1, ...), beta by beta."""
-    combos = [(b, s) for b in betas for s in scales]
+def scored(sums: DataFrame, target: DataFrame, combos: Sequence[Combo]) -> DataFrame:
+    """The trace of combinations whose weights are made: (region, cell_id, w0, w1, ...), one for each."""
     # one rank of the target serves all combinations
     goal = average_rank(target, "target", ("region",), "_rb").select("region", "cell_id", "_rb")
     cells = graph.settle(sums.join(goal, ["region", "cell_id"]))
     # sums that differ only by the order of their terms are equal: eleven digits count
     digits = lambda w: F.when(w > 1e-290, F.rint(w / F.pow(F.lit(10.0), F.floor(F.log10(w)) - 10)) * F.pow(F.lit(10.0), F.floor(F.log10(w)) - 10)).otherwise(w)
-    params = F.array(*[F.struct(F.lit(i).alias("combo"), digits(F.col(f"w{i}")).alias("w")) for i in range(len(combos))])
-    long = cells.select("region", "cell_id", "_rb", F.explode(params).alias("p")).select("region", "cell_id", "_rb", "p.combo", "p.w")
+    params = F.posexplode(F.array(*[F.col(f"w{i}") for i in range(len(combos))]))
+    long = cells.select("region", "cell_id", "_rb", params.alias("combo", "w")).withColumn("w", digits(F.col("w")))
     rho = correlation(average_rank(long, "w", ("region", "combo"), "_ra"), ("region", "combo"))
-    names = F.create_map(*[x for i, (b, s) in enumerate(combos) for x in (F.lit(i), F.struct(F.lit(float(b)).alias("beta"), F.lit(float(s)).alias("scale")))])
-    return rho.select("region", F.lit(kind).alias("kind"), names[F.col("combo")]["beta"].alias("beta"), names[F.col("combo")]["scale"].alias("scale"), (F.col("combo") / len(scales)).cast("int").alias("beta_pos"), (F.col("combo") % len(scales)).alias("scale_pos"), "rho")
+    names = cells.sparkSession.createDataFrame([(i, *c) for i, c in enumerate(combos)], "combo int, kind string, beta double, scale double, beta_pos int, scale_pos int")
+    return rho.join(F.broadcast(names), "combo").select("region", "kind", "beta", "scale", "beta_pos", "scale_pos", "rho")
 
 
 def best(trace: DataFrame) -> DataFrame:
@@ -56,12 +69,23 @@ def best(trace: DataFrame) -> DataFrame:
 
 def gravity(cells: DataFrame, places: DataFrame, kind: str, scales: Sequence[float], betas: Sequence[float] = (1.0,), buffer_km: float | None = 30.0, far: float | None = None) -> DataFrame:
     """The trace of a sweep against the cells' population; with ``far`` places far away count together (``farfield``)."""
+    return kernels(cells, places, {kind: scales}, betas, buffer_km, far)
+
+
+def kernels(cells: DataFrame, places: DataFrame, grids: dict[str, Sequence[float]], betas: Sequence[float] = (1.0,), buffer_km: float | None = 30.0, far: float | None = None) -> DataFrame:
+    """The traces of several kernels: cells meet places once for all of them."""
     near = distance.within_buffer(places, cells, buffer_km) if buffer_km is not None else places
     shares = allocate.masses(near, 1.0).withColumnRenamed("mass", "share")
     goal = cells.select("region", "cell_id", F.col("population").alias("target"))
+    combos = {kind: grid(kind, scales, betas) for kind, scales in grids.items()}
     if far is not None:
-        return scored(farfield.potentials(cells, shares, kind, scales, betas, far), goal, kind, scales, betas)
-    return sweep(distance.pairs(cells, shares, "share"), goal, kind, scales, betas)
+        out = None
+        for kind, part in combos.items():
+            one = scored(farfield.potentials(cells, shares, kind, grids[kind], betas, far), goal, part)
+            out = one if out is None else out.unionByName(one)
+        return out
+    every = [c for part in combos.values() for c in part]
+    return scored(summed(distance.pairs(cells, shares, "share"), every), goal, every)
 
 
 def allocated(cells: DataFrame, places: DataFrame, totals: DataFrame, chosen: DataFrame, buffer_km: float | None = 30.0) -> DataFrame:

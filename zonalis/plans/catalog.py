@@ -301,7 +301,7 @@ def _plots(spark, sf):
     s = t(spark, sf, "supplier").join(_boxes(spark, sf).join(t(spark, sf, "nation"), F.col("n_name") == F.col("region")), F.col("s_nationkey") == F.col("n_nationkey"))
     x, y = F.col("xmin") - 900 + (k * 7919) % 8000, F.col("ymin") - 700 + (k * 104729) % 9000
     p = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
-    w, h = F.lit(1250.5) + k % 7 * 300, F.lit(900.25) + k % 5 * 700
+    w, h = F.lit(1250.37) + k % 7 * 300, F.lit(900.71) + k % 5 * 700
     return s.select(k.cast("string").alias("region"), F.lit(0).alias("part"), F.lit(0).alias("ring"), F.lit(False).alias("is_hole"), F.array(p(0, 0), p(w, 0), p(w, h), p(0, h)).alias("pts"))
 
 
@@ -547,16 +547,14 @@ def tune_sweep_network(spark, sf):
 @query
 def tune_sweep_best(spark, sf):
     """The best of each kernel's grid."""
-    a, b, c = (_sweep(spark, sf, k) for k in SWEEP)
-    return _swept(tune.best(a.unionByName(b).unionByName(c)))
+    return _swept(tune.best(tune.kernels(cells(spark, sf), places(spark, sf), SWEEP, SWEEP_BETAS)))
 
 
 @query
 def kernel_metrics(spark, sf):
     """Of each region and kernel the best parameters and how concentrated the allocation by them is."""
     c, p = cells(spark, sf), places(spark, sf)
-    a, b, g = (_sweep(spark, sf, k) for k in SWEEP)
-    chosen = graph.settle(tune.best(a.unionByName(b).unionByName(g)))
+    chosen = graph.settle(tune.best(tune.kernels(c, p, SWEEP, SWEEP_BETAS)))
     m = metrics.table(tune.allocated(c, p, totals(spark, sf), chosen), by=("region", "kind"))
     return m.join(chosen, ["region", "kind"]).select("region", "kind", "beta", "scale", F.round("gini", 5).alias("gini"), F.round("top_share", 5).alias("top_share"))
 

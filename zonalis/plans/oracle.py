@@ -242,7 +242,7 @@ ORACLE |= {
 from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey""",
     "cell_overlay": f"{_SHAPE} select region, ix, iy, round(area / 1e6, 6) as area_km2 from shape",
     "overlay_pairs": f"""with {_BOXES}, r as (select region, s_suppkey::varchar as plot, xmin, ymin, xmax, ymax, xmin + (xmax - xmin) * 0.55e0 as xm, ymin + (ymax - ymin) * 0.4e0 as ym,
-  xmin - 900 + (s_suppkey * 7919) % 8000 as x0, ymin - 700 + (s_suppkey * 104729) % 9000 as y0, 1250.5e0 + s_suppkey % 7 * 300 as w, 900.25e0 + s_suppkey % 5 * 700 as h
+  xmin - 900 + (s_suppkey * 7919) % 8000 as x0, ymin - 700 + (s_suppkey * 104729) % 9000 as y0, 1250.37e0 + s_suppkey % 7 * 300 as w, 900.71e0 + s_suppkey % 5 * 700 as h
   from supplier join nation on s_nationkey = n_nationkey join boxes on region = n_name),
 o as (select region, plot, greatest(0, least(x0 + w, xmax) - greatest(x0, xmin)) * greatest(0, least(y0 + h, ymax) - greatest(y0, ymin))
   - greatest(0, least(x0 + w, xmax) - greatest(x0, xm)) * greatest(0, least(y0 + h, ymax) - greatest(y0, ym))
