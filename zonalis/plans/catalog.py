@@ -759,6 +759,14 @@ def shortest_chains(spark, sf):
     return chains.shortest(seeds, _lanes(spark, sf)).where("node >= 0").select("place_id", "node", F.round("sec", DIGITS).alias("sec"))
 
 
+@query
+def nearest_on_sphere(spark, sf):
+    """The supplier nearest to each customer along great circles, over the whole globe."""
+    at = lambda k: ((F.col(k) * 7919 % 36000 / F.lit(100.0) - 180).alias("lon"), (F.col(k) * 104729 % 17900 / F.lit(100.0) - 89.5).alias("lat"))
+    points, nodes = t(spark, sf, "customer").select("c_custkey", *at("c_custkey")), t(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), *at("s_suppkey"))
+    return graph.nearest_on_sphere(points, nodes, "c_custkey").select("c_custkey", "node", F.round("off_m", 2).alias("off_m"))
+
+
 @query
 def edge_times(spark, sf):
     s = t(spark, sf, "supplier")

@@ -237,6 +237,10 @@ pts as (select region, xmin - 500 + (event_id * 7919) % 12000 as x, ymin - 500 +
 px as (select region, floor(x / 1000)::bigint as ix, floor(y / 1000)::bigint as iy, sum(value) as v from pts where event_type <> 'error' and value is not null
   and x >= xmin and x < xmax and y >= ymin and y < ymax and not ({_HOLE}) and not (x >= xm and y >= ym) group by 1, 2, 3)"""
 ORACLE |= {
+    "nearest_on_sphere": """with a as (select c_custkey, radians(c_custkey * 7919 % 36000 / 100.0e0 - 180) as lon, radians(c_custkey * 104729 % 17900 / 100.0e0 - 89.5e0) as lat from customer),
+b as (select s_suppkey as id, radians(s_suppkey * 7919 % 36000 / 100.0e0 - 180) as lon, radians(s_suppkey * 104729 % 17900 / 100.0e0 - 89.5e0) as lat from supplier),
+d as (select c_custkey, id, 2 * 6371009.0e0 * asin(sqrt(least(1, sin((a.lat - b.lat) / 2) * sin((a.lat - b.lat) / 2) + cos(a.lat) * cos(b.lat) * sin((a.lon - b.lon) / 2) * sin((a.lon - b.lon) / 2)))) as m from a, b)
+select c_custkey, arg_min(id, (m, id)) as node, round(min(m), 2) as off_m from d group by c_custkey""",
     "road_chains": "select (-1 - c_nationkey)::bigint as src, max(o_orderkey) as dst, round(sum(o_totalprice / 1000), 6) as travel_time from orders join customer on o_custkey = c_custkey group by o_custkey, c_nationkey",
     "shortest_chains": """select (-100 - n_regionkey)::bigint as place_id, o_orderkey as node, round(n_nationkey + 10.0e0 + sum(o_totalprice / 1000) over (partition by o_custkey order by o_orderkey), 6) as sec
 from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey""",
