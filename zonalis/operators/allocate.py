@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.functions.scalar import finite, kernel, masked_power
-from zonalis.operators import distance, farfield, graph, groups
+from zonalis.operators import distance, farfield, graph, groups, spots
 
 
 def normalize(df: DataFrame, weight: Column | str, totals: DataFrame, on_zero: str = "uniform", by: tuple[str, ...] = ("region",), value: str = "value", settle: bool = False) -> DataFrame:
@@ -69,27 +69,35 @@ def decay(cells: DataFrame, places: DataFrame, totals: DataFrame, scale: float,
     """Gravity allocation; places out of reach of all cells are left out before masses are formed.
 
     With ``far`` places far away count together (``farfield``, whose options may be given), and a cell's weight is off by no more
-    than that part of itself and the mean weight; else every cell meets every place of its region.
+    than that part of itself and the mean weight; else every spot of cells meets every spot of places of its region.
     """
     near = distance.within_buffer(places, cells, buffer_km) if buffer_km is not None else places
     if far is not None:
         share = masses(near, 1.0).withColumn("share", F.col("mass") if use_population else F.lit(1.0))
-        found = farfield.potentials(cells, share, kind, (scale,), (beta,), far, **options)
-        return on_weights(cells, found.withColumnRenamed("w0", "weight"), totals)
-    found = potential(distance.pairs(cells, masses(near, beta), "mass"), scale, kind, use_population)
-    return on_weights(cells, found, totals)
+        found = farfield.fields(cells, share, kind, (scale,), (beta,), far, **options)
+    else:
+        mass = F.sum("mass") if use_population else F.sum(F.lit(1.0))
+        towns = masses(near, beta).groupBy("region", "x", "y").agg(mass.alias("m"))
+        found = spots.sums(spots.spots(cells, "region", "x", "y"), towns, ["region"], ["x", "y"], [(kind, float(scale), "m")])
+    return on_weights(cells, found.withColumnRenamed("w0", "weight"), totals, ("region", "x", "y"))
 
 
-def decay_network(cells: DataFrame, places: DataFrame, minutes: DataFrame, totals: DataFrame, scale: float, kind: str = "exp", beta: float = 1.0, buffer_km: float | None = 30.0) -> DataFrame:
-    """Gravity allocation by travel minutes (region, cell_id, place_id, d); places out of the buffer are left out as in ``decay``."""
+def decay_network(cells: DataFrame, places: DataFrame, minutes: DataFrame | graph.Legs, totals: DataFrame, scale: float, kind: str = "exp", beta: float = 1.0, buffer_km: float | None = 30.0) -> DataFrame:
+    """Gravity allocation by travel minutes (region, cell_id, place_id, d), or by ``graph.legs``, which need no row for each pair; places
+    out of the buffer are left out as in ``decay``."""
     near = distance.within_buffer(places, cells, buffer_km) if buffer_km is not None else places
     mass = masses(near, beta).select("place_id", "mass")
+    if isinstance(minutes, graph.Legs):
+        ways = minutes.ways.join(mass, "place_id").groupBy("region", "c_at", "at").agg(F.sum("mass").alias("m"))
+        found = spots.sums(spots.spots(minutes.cells, "region", "c_at", "at"), ways, ["region", "c_at"], ["at"], [(kind, float(scale), "m")])
+        there = cells.join(minutes.cells.select("region", "cell_id", "c_at", "at"), ["region", "cell_id"], "left")
+        return on_weights(there, found.withColumnRenamed("w0", "weight"), totals, ("region", "c_at", "at")).drop("c_at", "at")
     return on_weights(cells, potential(minutes.join(mass, "place_id"), scale, kind), totals)
 
 
-def on_weights(cells: DataFrame, weights: DataFrame, totals: DataFrame) -> DataFrame:
-    """Allocation by weights (region, cell_id, weight); cells without one have 0."""
-    w = cells.join(weights, ["region", "cell_id"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+def on_weights(cells: DataFrame, weights: DataFrame, totals: DataFrame, on: tuple[str, ...] = ("region", "cell_id")) -> DataFrame:
+    """Allocation by weights (region, cell_id, weight), or of the spots ``on``; cells without one have 0."""
+    w = cells.join(weights, list(on), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     return normalize(w, "weight", totals, "uniform", settle=True)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.functions.scalar import kernel
-from zonalis.operators import distance, graph
+from zonalis.operators import graph, spots
 
 ORDER, LEAF_KM, SQUARE_KM, TOLERANCE = 6, 5.0, 25.0, 1e-3
 ELLIPSES = (2.0, 3.5, 6.0, 10.0)
@@ -43,7 +43,7 @@ def _up(leaves: DataFrame, levels: int) -> DataFrame:
 
 def _nodes(places: DataFrame, levels: int, betas: Sequence[float]) -> DataFrame:
     """The tree: (region, level, bx, by, places, m0, m1, ...), a mass for each beta."""
-    mass = [F.sum(F.pow("share", F.lit(float(b)))).alias(f"m{k}") for k, b in enumerate(betas)]
+    mass = [F.sum(f"m{k}").alias(f"m{k}") for k in range(len(betas))]
     leaves = places.groupBy("region", "bx", "by").agg(F.count("*").alias("places"), *mass)
     return _up(leaves, levels).groupBy(*_NODE).agg(F.sum("places").alias("places"), *[F.sum(f"m{k}").alias(f"m{k}") for k in range(len(betas))])
 
@@ -91,7 +91,9 @@ def sources(cells: DataFrame, places: DataFrame, kind: str, scales: Sequence[flo
     far = places.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0]
     levels = max(0, math.ceil(math.log2(max(far or 0.0, leaf) / leaf)))
     square = {"bx": F.floor(F.col("x") / leaf), "by": F.floor(F.col("y") / leaf)}
-    p = graph.settle(places.select("region", "x", "y", "share").withColumns(square))
+    # places at one spot are one
+    mass = [F.sum(F.pow("share", F.lit(float(b)))).alias(f"m{k}") for k, b in enumerate(betas)]
+    p = graph.settle(places.groupBy("region", "x", "y").agg(*mass).withColumns(square))
     nodes = graph.settle(_nodes(p, levels, betas))
     limits = _allowed(cells.select("region", "x", "y").withColumns(square), nodes, levels, leaf, kind, scales, betas, tolerance)
     at = {"tx": F.floor(F.col("x") / side), "ty": F.floor(F.col("y") / side)}
@@ -126,9 +128,8 @@ def sources(cells: DataFrame, places: DataFrame, kind: str, scales: Sequence[flo
         front = up.join(below, ["region", "_px", "_py"]).drop("_px", "_py")
 
     held = _up(p, levels)
-    mass = [F.pow("share", F.lit(float(b))) for b in betas]
     names = ["region", "tx", "ty", "sx", "sy", *[f"m{k}" for k in range(len(betas))]]
-    near = met.where("verdict = 'places'").join(held, _NODE).select("region", "tx", "ty", F.col("x").alias("sx"), F.col("y").alias("sy"), *[m.alias(f"m{k}") for k, m in enumerate(mass)])
+    near = met.where("verdict = 'places'").join(held, _NODE).select("region", "tx", "ty", F.col("x").alias("sx"), F.col("y").alias("sy"), *[f"m{k}" for k in range(len(betas))])
     wide = met.where("verdict = 'points'")
     weights = _weights(held.join(wide.select(*_NODE).distinct(), _NODE, "left_semi"), leaf, order, betas)
     return near.select(*names).unionByName(wide.join(weights, _NODE).select(*names))
@@ -140,28 +141,28 @@ def _weights(held: DataFrame, leaf: float, order: int, betas: Sequence[float]) -
     size = F.pow(F.lit(2.0), F.col("level")) * leaf
     basis = lambda u: F.array(*[reduce(lambda a, b: a * b, [(u - t[j]) / (t[k] - t[j]) for j in range(order) if j != k], F.lit(1.0)) for k in range(order)])
     inside = lambda axis, b: (F.col(axis) / size - F.col(b)) * 2 - 1
-    rows = held.select(*_NODE, "share", basis(inside("x", "bx")).alias("_a"), basis(inside("y", "by")).alias("_b"))
-    rows = rows.select(*_NODE, "share", "_a", F.posexplode("_b").alias("_j", "_v")).select(*_NODE, "share", "_j", "_v", F.posexplode("_a").alias("_i", "_u"))
-    out = rows.groupBy(*_NODE, "_i", "_j").agg(*[F.sum(F.pow("share", F.lit(float(b))) * F.col("_u") * F.col("_v")).alias(f"m{k}") for k, b in enumerate(betas)])
+    masses = [f"m{k}" for k in range(len(betas))]
+    rows = held.select(*_NODE, *masses, basis(inside("x", "bx")).alias("_a"), basis(inside("y", "by")).alias("_b"))
+    rows = rows.select(*_NODE, *masses, "_a", F.posexplode("_b").alias("_j", "_v")).select(*_NODE, *masses, "_j", "_v", F.posexplode("_a").alias("_i", "_u"))
+    out = rows.groupBy(*_NODE, "_i", "_j").agg(*[F.sum(F.col(m) * F.col("_u") * F.col("_v")).alias(m) for m in masses])
     point = F.array(*[F.lit(v) for v in t])
     place = lambda b, k: (F.col(b) + (F.element_at(point, F.col(k) + 1) + 1) / 2) * size
     return out.select(*_NODE, place("bx", "_i").alias("sx"), place("by", "_j").alias("sy"), *[f"m{k}" for k in range(len(betas))])
 
 
-def met(cells: DataFrame, found: DataFrame, square_km: float = SQUARE_KM) -> DataFrame:
-    """Cells with the sources of their square: (region, cell_id, d, m0, ...), one row for each pair that is met."""
-    side = square_km * 1000.0
-    c = cells.select("region", "cell_id", "x", "y", F.floor(F.col("x") / side).alias("tx"), F.floor(F.col("y") / side).alias("ty"))
-    masses = [c for c in found.columns if c.startswith("m")]
-    return c.join(found, ["region", "tx", "ty"]).select("region", "cell_id", distance.km(F.col("x"), F.col("y"), F.col("sx"), F.col("sy")).alias("d"), *masses)
+def fields(cells: DataFrame, places: DataFrame, kind: str, scales: Sequence[float], betas: Sequence[float] = (1.0,), tolerance: float = TOLERANCE, **options) -> DataFrame:
+    """(region, x, y, w0, w1, ...): for each spot of cells the sums of share^beta * kernel(d) for all betas and scales, beta by beta.
+
+    ``places`` is (region, place_id, x, y, share) with shares of 0 or more. Spots that meet nothing have no row.
+    """
+    side = options.get("square_km", SQUARE_KM) * 1000.0
+    found = sources(cells, places, kind, scales, betas, tolerance, **options).withColumnsRenamed({"sx": "x", "sy": "y"})
+    at = spots.spots(cells, "region", "x", "y").withColumns({"tx": F.floor(F.col("x") / side), "ty": F.floor(F.col("y") / side)})
+    out = spots.sums(at, found, ["region", "tx", "ty"], ["x", "y"], [(kind, float(s), f"m{j}") for j in range(len(betas)) for s in scales])
+    return out.select("region", "x", "y", *[F.greatest(f"w{k}", F.lit(0.0)).alias(f"w{k}") for k in range(len(betas) * len(scales))])
 
 
 def potentials(cells: DataFrame, places: DataFrame, kind: str, scales: Sequence[float], betas: Sequence[float] = (1.0,), tolerance: float = TOLERANCE, **options) -> DataFrame:
-    """(region, cell_id, w0, w1, ...): the sums of share^beta * kernel(d) for all betas and scales, beta by beta.
-
-    ``places`` is (region, place_id, x, y, share) with shares of 0 or more. Cells that meet nothing have no row.
-    """
-    found = sources(cells, places, kind, scales, betas, tolerance, **options)
-    sums = [F.greatest(F.sum(F.col(f"m{j}") * kernel(F.col("d"), s, kind)), F.lit(0.0)) for j in range(len(betas)) for s in scales]
-    pairs = met(cells, found, options.get("square_km", SQUARE_KM))
-    return pairs.groupBy("region", "cell_id").agg(*[w.alias(f"w{k}") for k, w in enumerate(sums)])
+    """(region, cell_id, w0, w1, ...): ``fields`` at the cells. Cells that meet nothing have no row."""
+    found = fields(cells, places, kind, scales, betas, tolerance, **options)
+    return cells.select("region", "cell_id", "x", "y").join(found, ["region", "x", "y"]).drop("x", "y")

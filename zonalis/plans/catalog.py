@@ -69,7 +69,8 @@ def centres(spark, sf) -> DataFrame:
 
 
 def featured(spark, sf) -> DataFrame:
-    return distance.with_nearest(distance.to_point(cells(spark, sf), centres(spark, sf)), places(spark, sf)).drop("place_id")
+    """Cells with their distances, written once: sums and shares read them again."""
+    return graph.settle(distance.with_nearest(distance.to_point(cells(spark, sf), centres(spark, sf)), places(spark, sf)).drop("place_id"))
 
 
 def _out(df: DataFrame) -> DataFrame:
@@ -89,17 +90,17 @@ def alloc_uniform(spark, sf):
 
 @query
 def alloc_proximity(spark, sf):
-    return _out(allocate.proximity(graph.settle(featured(spark, sf)), totals(spark, sf)))
+    return _out(allocate.proximity(featured(spark, sf), totals(spark, sf)))
 
 
 @query
 def alloc_agri(spark, sf):
-    return _out(allocate.remoteness(graph.settle(featured(spark, sf)), totals(spark, sf)))
+    return _out(allocate.remoteness(featured(spark, sf), totals(spark, sf)))
 
 
 @query
 def alloc_naive_nearest(spark, sf):
-    return _out(allocate.nearest_place(graph.settle(featured(spark, sf)), totals(spark, sf)))
+    return _out(allocate.nearest_place(featured(spark, sf), totals(spark, sf)))
 
 
 @query
@@ -168,9 +169,8 @@ def alloc_far_gauss(spark, sf):
 @query
 def alloc_zero_total_fallback(spark, sf):
     """No place is ever reached: equal shares."""
-    c = cells(spark, sf)
-    p = distance.pairs(c, allocate.masses(places(spark, sf)), "mass").withColumn("d", F.lit(float("inf")))
-    return _out(allocate.on_weights(c, allocate.potential(p, 10.0), totals(spark, sf)))
+    nowhere = F.lit(float("inf"))
+    return _out(allocate.decay(cells(spark, sf), places(spark, sf).withColumns({"x": nowhere, "y": nowhere}), totals(spark, sf), 10.0, buffer_km=None))
 
 
 @query
@@ -540,8 +540,7 @@ def tune_sweep_network(spark, sf):
     """The sweep over travel minutes on the whole road graph."""
     c, p = cells(spark, sf), places(spark, sf)
     near = allocate.masses(distance.within_buffer(p, c, 30.0), 1.0).select("place_id", F.col("mass").alias("share"))
-    pairs = _minutes(spark, sf).join(near, "place_id")
-    return _swept(tune.sweep(pairs, c.select("region", "cell_id", F.col("population").alias("target")), "exp", SWEEP_MINUTES, SWEEP_BETAS))
+    return _swept(tune.by_road(_legs(spark, sf), near, c.select("region", "cell_id", F.col("population").alias("target")), "exp", SWEEP_MINUTES, SWEEP_BETAS))
 
 
 @query
@@ -678,8 +677,9 @@ def maxent_achieved(spark, sf):
 @query
 def maxent_scenarios(spark, sf):
     """The strict and the smooth scenario in one frame: means that were asked for and reached."""
-    frame = maxent.features(featured(spark, sf))
-    done, _ = maxent.scenarios(featured(spark, sf), totals(spark, sf))
+    cells_ = featured(spark, sf)
+    frame = maxent.features(cells_)
+    done, _ = maxent.scenarios(cells_, totals(spark, sf))
     goals = None
     for name, (elasticity, power) in maxent.SCENARIOS.items():
         one = maxent.diagnostics(done.where(F.col("scenario") == name), maxent.targets(maxent.reference(frame, elasticity, power))).withColumn("scenario", F.lit(name))
@@ -779,6 +779,10 @@ def _minutes(spark, sf):
     return graph.travel_minutes(cells(spark, sf), places(spark, sf), nodes, edges)
 
 
+def _legs(spark, sf):
+    return graph.legs(cells(spark, sf), places(spark, sf), *roads(spark, sf))
+
+
 @query
 def network_minutes(spark, sf):
     return _minutes(spark, sf).select("cell_id", "place_id", F.round("d", 5).alias("d"))
@@ -786,7 +790,7 @@ def network_minutes(spark, sf):
 
 @query
 def alloc_network(spark, sf):
-    return _out(allocate.run(cells(spark, sf), totals(spark, sf), "network", places=places(spark, sf), minutes=_minutes(spark, sf), scale=30.0, buffer_km=None))
+    return _out(allocate.run(cells(spark, sf), totals(spark, sf), "network", places=places(spark, sf), minutes=_legs(spark, sf), scale=30.0, buffer_km=None))
 
 
 @query
@@ -797,7 +801,7 @@ def network_metrics(spark, sf):
 
 @query
 def reachable_share(spark, sf):
-    return graph.reachable_share(_minutes(spark, sf)).select("region", F.round("share", DIGITS).alias("share"))
+    return graph.reachable_share(_legs(spark, sf)).select("region", F.round("share", DIGITS).alias("share"))
 
 
 # ------------------------------------------------------------------ documents from the web
