@@ -199,7 +199,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterato
         if not n:
             continue
         cols = [np.asarray(batch.column(x)) for x in names]
-        last = [c[-1] for c in cols]
+        last = [c[-1:] for c in cols]  # arrays: NumPy takes the last zeros off bytes that it compares on their own
         same = np.all([c == x for c, x in zip(cols, last)], axis=0)
         cut = 0 if same.all() else n - int(np.argmin(same[::-1]))
         if held and any(np.asarray(held[-1].column(x))[-1] != c[0] for x, c in zip(names, cols)):
