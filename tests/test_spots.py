@@ -70,3 +70,20 @@ def test_legs_add_up_to_minutes(spark):
     assert graph.reachable_share(parts).first().share == graph.reachable_share(whole).first().share == 0.9
     a, b = ({r.cell_id: r.value for r in allocate.decay_network(cells, places, m, totals, 30.0, buffer_km=None).collect()} for m in (parts, whole))
     assert len(a) == 10 and all(abs(a[k] - b[k]) < 1e-9 for k in b)
+
+
+def test_exponential_sums_over_two_parts_meet_no_pairs(spark):
+    """3.6e11 pairs; two groups, one with places only out of reach, and a scale of its group."""
+    n = 600_000
+    at = lambda a: (F.col("id") * a % 600_011 / F.lit(7000.0)).alias("at")
+    cells = spark.range(n).select(F.lit("r").alias("region"), at(7919)).union(spark.createDataFrame([("s", 1.0), ("none", 1.0)], "region string, at double"))
+    ways = spark.range(n).select(F.lit("r").alias("region"), at(104729), (1.0 + F.col("id") % 3).alias("m"), F.lit(4.0).alias("own"))
+    ways = ways.union(spark.createDataFrame([("s", INF, 2.0, 4.0), ("s", None, 2.0, 4.0)], ways.schema))
+    start = time.monotonic()
+    got = spots.sums(cells, ways, ["region"], ["at"], [("exp", 5.0, "m"), ("exp", "own", "m")])
+    assert got.count() == n + 1 and got.where("region = 's'").first()[2:] == (0.0, 0.0)
+    w = ways.where("region = 'r'").toPandas()
+    some = got.where("region = 'r'").orderBy("at").limit(3).collect() + got.where("region = 'r'").orderBy(F.desc("at")).limit(3).collect()
+    assert time.monotonic() - start < 60
+    for r in some:
+        assert np.allclose((r.w0, r.w1), [(w.m * np.exp(-(r["at"] + w["at"]) / s)).sum() for s in (5.0, 4.0)], rtol=1e-11)

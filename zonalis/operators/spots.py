@@ -81,16 +81,28 @@ def _dealt(df: DataFrame, by: Sequence[str], at: Sequence[str], mine: str, other
     return rows.withColumn(mine, F.pmod(F.xxhash64(*at), F.col(f"_n{mine}")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), (F.col(f"_n{other}") - 1).cast("int")))).drop(f"_n{mine}", f"_n{other}")
 
 
+def _parted(cells: DataFrame, places: DataFrame, by: Sequence[str], at: str, terms: Sequence[Term]) -> DataFrame:
+    """``sums`` of exponential kernels over distances in two parts: exp(-(a + b) / s) is exp(-a / s) * exp(-b / s), so a group's places are
+    added up once for all its cells, and no pair is met."""
+    part = lambda scale: F.exp(-F.col(at) / (F.col(scale) if isinstance(scale, str) else F.lit(float(scale))))
+    own = {scale: f"_s{i}" for i, scale in enumerate(dict.fromkeys(scale for _, scale, _ in terms if isinstance(scale, str)))}
+    groups_ = places.groupBy(*by).agg(*[F.sum(F.col(m) * part(scale)).alias(f"w{k}") for k, (_, scale, m) in enumerate(terms)], *[F.first(scale).alias(name) for scale, name in own.items()])
+    rows = groups.attach(cells, groups_, by)
+    return rows.select(*by, at, *[(F.col(f"w{k}") * part(own.get(scale, scale))).alias(f"w{k}") for k, (_, scale, _) in enumerate(terms)])
+
+
 def sums(cells: DataFrame, places: DataFrame, by: Sequence[str], at: Sequence[str], terms: Sequence[Term]) -> DataFrame:
     """(by..., at..., w0, w1, ...): for each spot of cells the sums of mass * kernel(d) over the places of its group.
 
     ``cells`` has each spot once; ``places`` has spots with their masses (places that share a spot may be one row). Two columns
-    ``at`` are metres on the plane, and d kilometres; one is a part of the distance, and d the sum of both parts. Spots of
-    groups without places have no row.
+    ``at`` are metres on the plane, and d kilometres; one is a part of the distance, and d the sum of both parts, where
+    exponential kernels need no pairs. Spots of groups without places have no row.
     """
     by, at, terms = list(by), list(at), list(terms)
     if unknown := {kind for kind, *_ in terms} - set(KERNELS):
         raise ValueError(f"unknown kernels {sorted(unknown)}; some of {KERNELS}")
+    if len(at) == 1 and all(kind == "exp" for kind, *_ in terms):
+        return _parted(cells.select(*by, *at), places.dropna(subset=at), by, at[0], terms)
     cells, places = graph.settle(cells.select(*by, *at)), graph.settle(places.dropna(subset=at))
     count = lambda df, name, size: df.groupBy(*by).agg(F.ceil(F.count("*") / size).alias(name))
     counts = graph.settle(count(cells, "_n_c", CELLS).join(count(places, "_n_p", PLACES), by))
