@@ -87,3 +87,22 @@ def test_exponential_sums_over_two_parts_meet_no_pairs(spark):
     assert time.monotonic() - start < 60
     for r in some:
         assert np.allclose((r.w0, r.w1), [(w.m * np.exp(-(r["at"] + w["at"]) / s)).sum() for s in (5.0, 4.0)], rtol=1e-11)
+
+
+def test_all_pairs_are_those_of_rows(spark, monkeypatch):
+    """Spots with several cells and places, lists of about two, a null coordinate, regions that one side lacks."""
+    monkeypatch.setattr(spots, "LIST", 2)
+    rng = np.random.default_rng(9)
+    rows = lambda names, n: [(names[k % len(names)], k, float(a) * 700, float(b) * 700) for k, (a, b) in enumerate(rng.integers(0, 4, (n, 2)))]
+    cells = spark.createDataFrame([*rows("abc", 60), ("a", 90, None, 1.0)], "region string, cell_id long, x double, y double")
+    places = spark.createDataFrame([*rows("abd", 40), ("b", 90, 1.0, None)], "region string, place_id long, x double, y double")
+    want = distance.pairs(cells, places).withColumn("d", F.round("d", 6))
+    got = distance.matrix(cells, places, 6)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+
+
+def test_distances_of_a_thousand_million_pairs_are_made_by_spot(spark):
+    rows = spark.range(30_000).select(F.lit("r").alias("region"), "id", (F.col("id") % 5 * 300.0).alias("x"), F.lit(0.0).alias("y"))
+    start = time.monotonic()
+    got = distance.matrix(rows.withColumnRenamed("id", "cell_id"), rows.withColumnRenamed("id", "place_id"), 6).agg(F.count("*"), F.min("d"), F.max("d")).first()
+    assert got[:] == (900_000_000, 0.0, 1.2) and time.monotonic() - start < 40

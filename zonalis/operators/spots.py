@@ -8,11 +8,12 @@ pair; the parts' sums, a row for each cell spot and part of places, are added up
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zonalis.functions.scalar import KERNELS
@@ -21,6 +22,9 @@ from zonalis.operators import graph, groups
 #: Spots of cells and places of one block, and distances that are held at once.
 CELLS, PLACES, SLICE = 2048, 16384, 1 << 19
 
+#: So many rows of one spot are about one list.
+LIST = 64
+
 #: A kernel, its scale (or the places' column with their group's scale), and the places' column of masses.
 Term = tuple[str, float | str, str]
 
@@ -116,3 +120,24 @@ def sums(cells: DataFrame, places: DataFrame, by: Sequence[str], at: Sequence[st
 
     each = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_block(names, at, terms, SLICE), kinds)
     return each.groupBy(*names).agg(*[F.sum(f"w{k}").alias(f"w{k}") for k in range(len(terms))])
+
+
+def _listed(df: DataFrame, by: Sequence[str], at: Sequence[str], key: str) -> DataFrame:
+    """(by..., at..., key): the keys at one spot in lists of about ``LIST``."""
+    part = F.pmod(F.xxhash64(key), F.ceil(F.count("*").over(W.partitionBy(*by, *at)) / LIST))
+    return df.select(*by, *at, key, part.alias("_k")).groupBy(*by, *at, "_k").agg(F.collect_list(key).alias(key)).drop("_k")
+
+
+def pairs(cells: DataFrame, places: DataFrame, by: Sequence[str], at: Sequence[str], d: Callable[..., Column], salts: int) -> DataFrame:
+    """(by..., cell_id, place_id, d) of all cells and places of a group; ``d`` makes a distance of the columns ``at`` of both.
+
+    A distance is made once for two spots, and the lists of their cells and places are laid open after it. A group's cells are dealt
+    to ``salts`` parts, each with all its places, in a number of tasks that stays: parts are little data and many rows.
+    """
+    by, at = list(by), list(at)
+    n = cells.sparkSession.sparkContext.defaultParallelism * 8
+    left = _listed(cells, by, at, "cell_id").withColumn("_s", F.pmod(F.xxhash64(*at, "cell_id"), F.lit(salts)).cast("int")).repartition(n, *by, "_s")
+    right = _listed(places, by, at, "place_id").withColumnsRenamed({a: f"_p{a}" for a in at})
+    right = right.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).repartition(n, *by, "_s")
+    both = left.join(right, [*by, "_s"]).select(*by, "cell_id", "place_id", d(*at, *[f"_p{a}" for a in at]).alias("d"))
+    return both.select(*by, F.explode("cell_id").alias("cell_id"), "place_id", "d").select(*by, "cell_id", F.explode("place_id").alias("place_id"), "d")

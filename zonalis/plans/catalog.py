@@ -206,7 +206,7 @@ def mercator_roundtrip(spark, sf):
 # ------------------------------------------------------------------ distances
 @query
 def dist_matrix(spark, sf):
-    return distance.pairs(cells(spark, sf), places(spark, sf)).select("cell_id", "place_id", F.round("d", DIGITS).alias("d"))
+    return distance.matrix(cells(spark, sf), places(spark, sf), DIGITS).select("cell_id", "place_id", "d")
 
 
 @query
