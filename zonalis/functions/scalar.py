@@ -50,6 +50,14 @@ def masked_power(x: Column, exponent: float) -> Column:
     return F.when(finite(x) & (x > 0), F.pow(x, F.lit(float(exponent)))).otherwise(F.lit(0.0))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``F.round`` of doubles, value for value, where there are many: only large numbers and those near a tie go by way of decimals."""
+    up = x * 10.0**digits
+    near = F.rint(up) + 0.0  # no negative zero
+    sure = (F.abs(up) < 1e9) & (F.abs(up - near) < 0.5 - 1e-4)
+    return F.when(sure, near / 10.0**digits).otherwise(F.round(x, digits))
+
+
 def contains(text: Column, keyword: str) -> Column:
     """Case-insensitive regular expression search for any script; a null does not match."""
     return F.coalesce(text.rlike("(?iu)" + keyword), F.lit(False))

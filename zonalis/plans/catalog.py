@@ -785,7 +785,7 @@ def _legs(spark, sf):
 
 @query
 def network_minutes(spark, sf):
-    return _minutes(spark, sf).select("cell_id", "place_id", F.round("d", 5).alias("d"))
+    return _minutes(spark, sf).select("cell_id", "place_id", scalar.rounded(F.col("d"), 5).alias("d"))
 
 
 @query
