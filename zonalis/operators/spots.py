@@ -22,8 +22,8 @@ from zonalis.operators import graph, groups
 #: Spots of cells and places of one block, and distances that are held at once.
 CELLS, PLACES, SLICE = 2048, 16384, 1 << 19
 
-#: So many rows of one spot are about one list.
-LIST = 64
+#: So many rows of one spot are about one list, and so many of a group's places.
+LIST, PACK = 64, 128
 
 #: A kernel, its scale (or the places' column with their group's scale), and the places' column of masses.
 Term = tuple[str, float | str, str]
@@ -122,22 +122,33 @@ def sums(cells: DataFrame, places: DataFrame, by: Sequence[str], at: Sequence[st
     return each.groupBy(*names).agg(*[F.sum(f"w{k}").alias(f"w{k}") for k in range(len(terms))])
 
 
-def _listed(df: DataFrame, by: Sequence[str], at: Sequence[str], key: str) -> DataFrame:
-    """(by..., at..., key): the keys at one spot in lists of about ``LIST``."""
+def _numbered(df: DataFrame, by: Sequence[str], at: Sequence[str], key: str) -> DataFrame:
+    """(by..., at..., key, _k): the rows of one spot in parts of about ``LIST``."""
     part = F.pmod(F.xxhash64(key), F.ceil(F.count("*").over(W.partitionBy(*by, *at)) / LIST))
-    return df.select(*by, *at, key, part.alias("_k")).groupBy(*by, *at, "_k").agg(F.collect_list(key).alias(key)).drop("_k")
+    return df.select(*by, *at, key, part.alias("_k"))
 
 
 def pairs(cells: DataFrame, places: DataFrame, by: Sequence[str], at: Sequence[str], d: Callable[..., Column], salts: int) -> DataFrame:
-    """(by..., cell_id, place_id, d) of all cells and places of a group; ``d`` makes a distance of the columns ``at`` of both.
+    """(by..., cell_id, place_id, d) of all cells and places of a group; ``d`` makes a distance of the columns ``at`` of the cell and
+    of the place.
 
-    A distance is made once for two spots, and the lists of their cells and places are laid open after it. A group's cells are dealt
-    to ``salts`` parts, each with all its places, in a number of tasks that stays: parts are little data and many rows.
+    A spot's cells are in lists, and a group's places in lists of about ``PACK``, those of one spot side by side. The distances of a
+    list are made once for a spot of cells, and laid open for each of its cells after it: a cell's rows and equal distances lie
+    together, which keeps the files small that they are written to. A group's cells are dealt to ``salts`` parts, each with all
+    its places, in a number of tasks that stays: parts are little data and many rows.
     """
     by, at = list(by), list(at)
     n = cells.sparkSession.sparkContext.defaultParallelism * 8
-    left = _listed(cells, by, at, "cell_id").withColumn("_s", F.pmod(F.xxhash64(*at, "cell_id"), F.lit(salts)).cast("int")).repartition(n, *by, "_s")
-    right = _listed(places, by, at, "place_id").withColumnsRenamed({a: f"_p{a}" for a in at})
-    right = right.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).repartition(n, *by, "_s")
-    both = left.join(right, [*by, "_s"]).select(*by, "cell_id", "place_id", d(*at, *[f"_p{a}" for a in at]).alias("d"))
-    return both.select(*by, F.explode("cell_id").alias("cell_id"), "place_id", "d").select(*by, "cell_id", F.explode("place_id").alias("place_id"), "d")
+    right = _numbered(cells, by, at, "cell_id").groupBy(*by, *at, "_k").agg(F.collect_list("cell_id").alias("_c")).drop("_k")
+    right = right.withColumn("_s", F.pmod(F.xxhash64(*at, "_c"), F.lit(salts)).cast("int")).repartition(n, *by, "_s")
+    rows = groups.attach(_numbered(places, by, at, "place_id"), places.groupBy(*by).agg(F.ceil(F.count("*") / PACK).alias("_n")), by)
+    pack = F.pmod(F.xxhash64(*at, "_k"), F.col("_n")).alias("_k")
+    packs = rows.groupBy(*by, pack).agg(F.sort_array(F.collect_list(F.struct(*at, "place_id"))).alias("_l"))
+    far = [f"_p{a}" for a in at]
+    packs = packs.select(*by, F.col("_l.place_id").alias("_p"), *[F.col(f"_l.{a}").alias(f) for a, f in zip(at, far)])
+    left = packs.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).repartition(n, *by, "_s").hint("merge")
+    made = F.transform(F.col(far[0]), lambda first, i: d(*map(F.col, at), first, *[F.get(f, i) for f in far[1:]]))
+    # the packs come first, so that a merge meets all cells of a part with one of them; each cell gets the whole list
+    both = left.join(right, [*by, "_s"]).select(*by, "_c", "_p", made.alias("_d"))
+    each = both.select(*by, F.explode("_c").alias("cell_id"), "_p", "_d").select(*by, "cell_id", "_d", F.posexplode("_p").alias("_i", "place_id"))
+    return each.select(*by, "cell_id", "place_id", F.get("_d", F.col("_i")).alias("d"))
