@@ -774,18 +774,13 @@ def edge_times(spark, sf):
     return graph.edge_times(e).select("src", F.round("travel_time", DIGITS).alias("travel_time"))
 
 
-def _minutes(spark, sf):
-    nodes, edges = roads(spark, sf)
-    return graph.travel_minutes(cells(spark, sf), places(spark, sf), nodes, edges)
-
-
 def _legs(spark, sf):
     return graph.legs(cells(spark, sf), places(spark, sf), *roads(spark, sf))
 
 
 @query
 def network_minutes(spark, sf):
-    return _minutes(spark, sf).select("cell_id", "place_id", scalar.rounded(F.col("d"), 5).alias("d"))
+    return graph.travel_minutes(cells(spark, sf), places(spark, sf), *roads(spark, sf), digits=5).select("cell_id", "place_id", "d")
 
 
 @query
